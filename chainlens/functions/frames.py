@@ -62,3 +62,15 @@ def prefixed(df: DataFrame, prefix: str, keep: list[str] | None = None) -> DataF
 
 def count_if(cond: Column) -> Column:
     return F.count_if(cond).cast("bigint")
+
+
+def fact_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join of two inputs that BOTH grow with the data (fact to fact).
+
+    Such a join must never be planned as a broadcast: the build side would be
+    collected on the driver and copied to every executor.  The MERGE hint
+    keeps it a shuffled sort-merge join (which spills, and whose skewed
+    partitions AQE splits) whatever the size estimate says.  Joins to
+    dimension-sized inputs are left to Catalyst's size check instead.
+    """
+    return left.join(right.hint("merge"), on, how)

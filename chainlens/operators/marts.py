@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from chainlens import settings
 from chainlens.functions import columns as C
+from chainlens.functions.frames import fact_join
 
 P2, P4 = settings.MONEY_SCALE, settings.PROFIT_SCALE
 
@@ -72,7 +73,7 @@ def _per_category_order(lines: DataFrame, extra: list[Column] | None = None) ->
 
 def _fanout(per_co: DataFrame, fact_returns: DataFrame) -> DataFrame:
     rpo = _returns_per_order(fact_returns)
-    return (per_co.join(rpo, "order_id", "left")
+    return (fact_join(per_co, rpo, "order_id", "left")
             .withColumn("mult", F.coalesce(F.col("ret_rows"), F.lit(1)).cast("bigint"))
             .withColumn("ids", F.coalesce(F.col("ret_ids"), F.lit(0)).cast("bigint")))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainlens import schemas
+from chainlens.functions.frames import fact_join
 from chainlens.operators.transforms import enrich_orders, enrich_people, enrich_returns, normalise_doubles
 
 
@@ -115,5 +116,5 @@ def combine_sources(primary: DataFrame, fallback: DataFrame, key: Sequence[str])
     differ (missing columns become NULL).
     """
     key = list(key)
-    extra = fallback.join(primary.select(*key), on=key, how="left_anti")
+    extra = fact_join(fallback, primary.select(*key), key, "left_anti")
     return primary.unionByName(extra, allowMissingColumns=True)

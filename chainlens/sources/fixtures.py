@@ -16,26 +16,52 @@ is ever shipped whole to every executor.
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlens.functions import columns as C
+from chainlens.functions.frames import fact_join
 from chainlens.operators.transforms import enrich_orders
 
 TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-@dataclass(frozen=True)
+# Source schemas: given explicitly so a scan needs no footer / inference pass.
+TPCH_SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": ("p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+             "p_retailprice DOUBLE"),
+    "orders": ("o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+               "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"),
+    "lineitem": ("l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                 "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+                 "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"),
+    "events": ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, "
+               "props STRING"),
+}
+
+
 class Raw:
-    """Lazily scanned source tables of one scale factor."""
+    """Lazily scanned source tables of one scale factor (one reader per table)."""
 
-    spark: SparkSession
-    sf_dir: str
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.sf_dir = sf_dir
+        self._readers: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        if name not in self._readers:
+            path = os.path.join(self.sf_dir, f"{name}.parquet")
+            reader = self.spark.read
+            if name in TPCH_SCHEMAS:
+                reader = reader.schema(TPCH_SCHEMAS[name])
+            self._readers[name] = reader.parquet(path)
+        return self._readers[name]
 
 
 def raw(spark: SparkSession, sf_dir: str) -> Raw:
@@ -54,7 +80,7 @@ def _order_heads(r: Raw) -> DataFrame:
     cust = r.table("customer").select("c_custkey", "c_nationkey")
     cust = cust.join(_geo(r), cust.c_nationkey == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
     orders = r.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return orders.join(cust, orders.o_custkey == cust.c_custkey).select(
+    return fact_join(orders, cust, orders.o_custkey == cust.c_custkey).select(
         "o_orderkey", "o_custkey", "o_orderdate", "n_name", "r_name")
 
 
@@ -66,8 +92,8 @@ def _lines(r: Raw, returned_only: bool = False) -> DataFrame:
         li = li.where(F.col("l_returnflag") == "R")
     part = r.table("part").select("p_partkey", "p_type", "p_retailprice")
     heads = _order_heads(r)
-    joined = (li.join(heads, li.l_orderkey == heads.o_orderkey)
-                .join(part, li.l_partkey == part.p_partkey))
+    joined = (fact_join(li, heads, li.l_orderkey == heads.o_orderkey)
+              .join(part, li.l_partkey == part.p_partkey))
     return joined.select(
         F.col("l_orderkey").cast("string").alias("order_id"),
         F.col("o_orderdate").cast("date").alias("order_date"),
@@ -161,17 +187,32 @@ def events(r: Raw) -> DataFrame:
     return r.table("events")
 
 
-@dataclass
 class Tables:
-    """The canonical tables of one input, built lazily from a ``Raw``."""
+    """The canonical tables of one input, each built on first use."""
+
+    def __init__(self, r: Raw):
+        self.raw = r
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return order_lines(self.raw)
+
+    @cached_property
+    def returns(self) -> DataFrame:
+        return returns(self.raw)
+
+    @cached_property
+    def people(self) -> DataFrame:
+        return people(self.raw)
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return products(self.raw)
 
-    orders: DataFrame
-    returns: DataFrame
-    people: DataFrame
-    products: DataFrame
-    inventory: DataFrame
+    @cached_property
+    def inventory(self) -> DataFrame:
+        return inventory(self.raw)
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    r = raw(spark, sf_dir)
-    return Tables(order_lines(r), returns(r), people(r), products(r), inventory(r))
+    return Tables(raw(spark, sf_dir))
