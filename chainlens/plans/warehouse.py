@@ -94,10 +94,13 @@ def dim_customers(people: DataFrame, orders: DataFrame) -> DataFrame:
     order line (ties broken by order id, then the address itself).
     ``max_by`` is a partial aggregate, so a customer with a huge number of
     lines is reduced map-side before the shuffle."""
-    order_key = F.struct("order_date", "order_id", "country", "state")
+    cols = set(orders.columns)
+    country = F.col("country") if "country" in cols else F.lit(None).cast("string")
+    state = F.col("state") if "state" in cols else F.lit(None).cast("string")
+    order_key = F.struct("order_date", "order_id", country.alias("c"), state.alias("s"))
     addr = (orders.where(F.col("customer_id").isNotNull())
             .groupBy("customer_id")
-            .agg(F.max_by(F.struct(F.col("country").alias("a_country"), F.col("state").alias("a_state")),
+            .agg(F.max_by(F.struct(country.alias("a_country"), state.alias("a_state")),
                           order_key).alias("addr")))
     j = people.join(addr, "customer_id", "left")
     return j.select(
