@@ -24,60 +24,121 @@ from chainlens.functions import columns as C
 from chainlens.functions.frames import count_if, nonempty
 
 
-def _pct(c: Column, q: float, exact: bool) -> Column:
-    if exact:
-        return F.percentile(c, q)
-    return F.percentile_approx(c, q, 100_000)
-
-
 def _median(c: Column, exact: bool) -> Column:
     return F.median(c) if exact else F.percentile_approx(c, 0.5, 100_000)
 
 
-# --- A-1 / A-2 lead and cycle time -----------------------------------------
+def _pct(c: Column, q: float, exact: bool) -> Column:
+    return F.percentile(c, q) if exact else F.percentile_approx(c, q, 100_000)
+
+
+# Each family is a list of aliased aggregate expressions plus the name of
+# the column that counts its input rows.  A family can be evaluated alone
+# (``_family_frame``) or merged with others into ONE aggregate pass over the
+# same table (the summary report does that).
 
-def lead_time_metrics(orders: DataFrame, lead_col: str = "lead_time_days") -> DataFrame:
+def lead_time_exprs(lead: Column, exact: bool = True) -> tuple[dict[str, Column], str]:
     """Lead-time family over valid rows (0 <= days <= 30).
 
     Bands: excellent d <= 3, good 3 < d <= 7, poor d > 7.
     ``invalid_lead_times`` = all rows - valid rows (NULL lead time is invalid).
     """
-    if lead_col not in orders.columns:
-        orders = orders.withColumn(lead_col, C.day_diff("ship_date", "order_date"))
-    lt = F.col(lead_col)
-    valid = C.valid_lead_time(lt)
-    v = F.when(valid, lt)
+    valid = C.valid_lead_time(lead)
+    v = F.when(valid, lead)
     th = settings.LEAD_TIME_THRESHOLDS
-    agg = orders.agg(
-        C.ratio_round(F.avg(v)).alias("mean_lead_time"),
-        C.ratio_round(F.median(v)).alias("median_lead_time"),
-        C.ratio_round(F.stddev_samp(v)).alias("std_lead_time"),
-        F.min(v).cast("double").alias("min_lead_time"),
-        F.max(v).cast("double").alias("max_lead_time"),
-        C.ratio_round(F.percentile(v, 0.95)).alias("lead_time_95th_percentile"),
-        C.share(F.when(valid, v <= th["excellent"])).alias("excellent_pct"),
-        C.share(F.when(valid, (v > th["excellent"]) & (v <= th["good"]))).alias("good_pct"),
-        C.share(F.when(valid, v > th["good"])).alias("poor_pct"),
-        F.count(v).alias("total_orders"),
-        (F.count(F.lit(1)) - F.count(v)).alias("invalid_lead_times"),
-    )
-    return nonempty(agg, "total_orders")
-
-
-def order_cycle_time_metrics(orders: DataFrame) -> DataFrame:
+    return {
+        "mean_lead_time": C.ratio_round(F.avg(v)),
+        "median_lead_time": C.ratio_round(_median(v, exact)),
+        "std_lead_time": C.ratio_round(F.stddev_samp(v)),
+        "min_lead_time": F.min(v).cast("double"),
+        "max_lead_time": F.max(v).cast("double"),
+        "lead_time_95th_percentile": C.ratio_round(_pct(v, 0.95, exact)),
+        "excellent_pct": C.share(F.when(valid, v <= th["excellent"])),
+        "good_pct": C.share(F.when(valid, (v > th["excellent"]) & (v <= th["good"]))),
+        "poor_pct": C.share(F.when(valid, v > th["good"])),
+        "total_orders": F.count(v),
+        "invalid_lead_times": (F.count(F.lit(1)) - F.count(v)),
+    }, "total_orders"
+
+
+def cycle_time_exprs(exact: bool = True) -> tuple[dict[str, Column], str]:
     """Cycle time = ship date - order date over the same 0..30 window."""
     ct = C.day_diff("ship_date", "order_date")
     v = F.when(C.valid_lead_time(ct), ct)
-    agg = orders.agg(
-        C.ratio_round(F.avg(v)).alias("mean_cycle_time"),
-        C.ratio_round(F.median(v)).alias("median_cycle_time"),
-        C.ratio_round(F.stddev_samp(v)).alias("std_cycle_time"),
-        F.min(v).cast("double").alias("min_cycle_time"),
-        F.max(v).cast("double").alias("max_cycle_time"),
-        C.ratio_round(F.percentile(v, 0.95)).alias("cycle_time_95th_percentile"),
-        F.count(v).alias("total_orders"),
-    )
-    return nonempty(agg, "total_orders")
+    return {
+        "mean_cycle_time": C.ratio_round(F.avg(v)),
+        "median_cycle_time": C.ratio_round(_median(v, exact)),
+        "std_cycle_time": C.ratio_round(F.stddev_samp(v)),
+        "min_cycle_time": F.min(v).cast("double"),
+        "max_cycle_time": F.max(v).cast("double"),
+        "cycle_time_95th_percentile": C.ratio_round(_pct(v, 0.95, exact)),
+        "total_orders": F.count(v),
+    }, "total_orders"
+
+
+def turnover_exprs(exact: bool = True) -> tuple[dict[str, Column], str]:
+    t = C.nan_to_null("annualized_turnover")
+    return {
+        "mean_turnover": C.ratio_round(F.avg(t)),
+        "median_turnover": C.ratio_round(_median(t, exact)),
+        "std_turnover": C.ratio_round(F.stddev_samp(t)),
+        "min_turnover": C.ratio_round(F.min(t)),
+        "max_turnover": C.ratio_round(F.max(t)),
+        "_n_turnover": F.count(t),
+    }, "_n_turnover"
+
+
+def days_of_inventory_exprs(exact: bool = True) -> tuple[dict[str, Column], str]:
+    """days = stock_level / daily_demand over rows with both > 0."""
+    ok = (F.col("stock_level") > 0) & (F.col("daily_demand") > 0)
+    d = F.when(ok, C.nan_to_null(F.try_divide(F.col("stock_level").cast("double"),
+                                              F.col("daily_demand").cast("double"))))
+    return {
+        "mean_days_of_inventory": C.ratio_round(F.avg(d)),
+        "median_days_of_inventory": C.ratio_round(_median(d, exact)),
+        "std_days_of_inventory": C.ratio_round(F.stddev_samp(d)),
+        "_n_days": F.count(d),
+    }, "_n_days"
+
+
+def fill_rate_exprs(exact: bool = True) -> tuple[dict[str, Column], str]:
+    """Bands: excellent >= 0.95, good 0.85 <= x < 0.95, poor < 0.85."""
+    fr = C.nan_to_null("fill_rate")
+    th = settings.FILL_RATE_THRESHOLDS
+    return {
+        "mean_fill_rate": C.ratio_round(F.avg(fr)),
+        "median_fill_rate": C.ratio_round(_median(fr, exact)),
+        "std_fill_rate": C.ratio_round(F.stddev_samp(fr)),
+        "excellent_fill_rate_pct": C.share(fr >= th["excellent"]),
+        "good_fill_rate_pct": C.share((fr >= th["good"]) & (fr < th["excellent"])),
+        "poor_fill_rate_pct": C.share(fr < th["good"]),
+        "_n_fill": F.count(fr),
+    }, "_n_fill"
+
+
+def stockout_exprs() -> tuple[dict[str, Column], str]:
+    """products_at_risk counts snapshot ROWS flagged at risk."""
+    risk = F.col("stockout_risk")
+    return {
+        "products_at_risk": count_if(risk),
+        "total_products": F.count(F.lit(1)),
+        "risk_percentage": C.share(risk),
+    }, "total_products"
+
+
+def _family_frame(df: DataFrame, family: tuple[dict[str, Column], str]) -> DataFrame:
+    exprs, n = family
+    out = nonempty(df.agg(*[c.alias(k) for k, c in exprs.items()]), n)
+    return out.drop(n) if n.startswith("_") else out
+
+
+def lead_time_metrics(orders: DataFrame, lead_col: str = "lead_time_days", exact: bool = True) -> DataFrame:
+    lead = F.col(lead_col) if lead_col in orders.columns else C.day_diff("ship_date", "order_date")
+    return _family_frame(orders, lead_time_exprs(lead, exact))
+
+
+def order_cycle_time_metrics(orders: DataFrame, exact: bool = True) -> DataFrame:
+    return _family_frame(orders, cycle_time_exprs(exact))
 
 
 def lead_time_bands(orders: DataFrame, lead_col: str = "lead_time_days") -> DataFrame:
@@ -88,61 +149,20 @@ def lead_time_bands(orders: DataFrame, lead_col: str = "lead_time_days") -> Data
             .agg(F.count(F.lit(1)).alias("orders")))
 
 
-# --- A-3 / A-4 inventory ----------------------------------------------------
-
 def inventory_turnover_metrics(inventory: DataFrame, exact: bool = True) -> DataFrame:
-    t = C.nan_to_null("annualized_turnover")
-    agg = inventory.agg(
-        C.ratio_round(F.avg(t)).alias("mean_turnover"),
-        C.ratio_round(_median(t, exact)).alias("median_turnover"),
-        C.ratio_round(F.stddev_samp(t)).alias("std_turnover"),
-        C.ratio_round(F.min(t)).alias("min_turnover"),
-        C.ratio_round(F.max(t)).alias("max_turnover"),
-        F.count(t).alias("_n"),
-    )
-    return nonempty(agg, "_n").drop("_n")
+    return _family_frame(inventory, turnover_exprs(exact))
 
 
 def days_of_inventory_metrics(inventory: DataFrame, exact: bool = True) -> DataFrame:
-    """days = stock_level / daily_demand over rows with both > 0."""
-    ok = (F.col("stock_level") > 0) & (F.col("daily_demand") > 0)
-    d = C.nan_to_null(F.try_divide(F.col("stock_level").cast("double"), F.col("daily_demand").cast("double")))
-    agg = inventory.where(ok).agg(
-        C.ratio_round(F.avg(d)).alias("mean_days_of_inventory"),
-        C.ratio_round(_median(d, exact)).alias("median_days_of_inventory"),
-        C.ratio_round(F.stddev_samp(d)).alias("std_days_of_inventory"),
-        F.count(d).alias("_n"),
-    )
-    return nonempty(agg, "_n").drop("_n")
-
+    return _family_frame(inventory, days_of_inventory_exprs(exact))
 
-# --- A-5 / A-6 fill rate and stockout ----------------------------------------
 
 def fill_rate_metrics(inventory: DataFrame, exact: bool = True) -> DataFrame:
-    """Bands: excellent >= 0.95, good 0.85 <= x < 0.95, poor < 0.85."""
-    fr = C.nan_to_null("fill_rate")
-    th = settings.FILL_RATE_THRESHOLDS
-    agg = inventory.agg(
-        C.ratio_round(F.avg(fr)).alias("mean_fill_rate"),
-        C.ratio_round(_median(fr, exact)).alias("median_fill_rate"),
-        C.ratio_round(F.stddev_samp(fr)).alias("std_fill_rate"),
-        C.share(fr >= th["excellent"]).alias("excellent_fill_rate_pct"),
-        C.share((fr >= th["good"]) & (fr < th["excellent"])).alias("good_fill_rate_pct"),
-        C.share(fr < th["good"]).alias("poor_fill_rate_pct"),
-        F.count(fr).alias("_n"),
-    )
-    return nonempty(agg, "_n").drop("_n")
+    return _family_frame(inventory, fill_rate_exprs(exact))
 
 
 def stockout_risk_metrics(inventory: DataFrame) -> DataFrame:
-    """products_at_risk counts snapshot ROWS flagged at risk."""
-    risk = F.col("stockout_risk")
-    agg = inventory.agg(
-        count_if(risk).alias("products_at_risk"),
-        F.count(F.lit(1)).alias("total_products"),
-        C.share(risk).alias("risk_percentage"),
-    )
-    return nonempty(agg, "total_products")
+    return _family_frame(inventory, stockout_exprs())
 
 
 # --- A-7 .. A-9, S-1, S-2 category breakdown ----------------------------------

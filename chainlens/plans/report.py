@@ -5,55 +5,121 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainlens.functions import columns as C
-from chainlens.functions.frames import union_all, unpivot_metrics
+from chainlens.functions.frames import one_row_join
 from chainlens.operators import dashboard as D
 from chainlens.operators import metrics as M
 
 
 def metric_families(orders: DataFrame, inventory: DataFrame, returns: DataFrame) -> dict[str, list[DataFrame]]:
-    """All six families as one-row DataFrames (plus the flattened category
-    and returns breakdowns), keyed by family name."""
+    """All six families as separate one-row DataFrames (plus the flattened
+    category and returns breakdowns), keyed by family name.  Convenient for
+    inspection; the report itself uses the merged form below."""
     top = M.top_sales_category(orders)
     best = M.best_lead_time_category(orders)
-    by_cat = M.returns_by(returns, "category").select(
-        F.concat(F.lit("returns_by_category."), F.col("category")).alias("metric"),
-        F.col("return_count").cast("double").alias("value"), F.lit(None).cast("string").alias("label"))
-    by_reg = M.returns_by(returns, "region").select(
-        F.concat(F.lit("returns_by_region."), F.col("region")).alias("metric"),
-        F.col("return_count").cast("double").alias("value"), F.lit(None).cast("string").alias("label"))
     return {
         "lead_time": [M.lead_time_metrics(orders)],
         "order_cycle": [M.order_cycle_time_metrics(orders)],
         "inventory_turnover": [M.inventory_turnover_metrics(inventory), M.days_of_inventory_metrics(inventory)],
         "fill_rate": [M.fill_rate_metrics(inventory), M.stockout_risk_metrics(inventory)],
-        "category_performance": [
-            top.select(F.col("category").alias("top_sales_category.category"),
-                       F.col("total_sales").alias("top_sales_category.total_sales"),
-                       F.col("order_count").alias("top_sales_category.order_count")),
-            best.select(F.col("category").alias("best_lead_time_category.category"),
-                        F.col("avg_lead_time").alias("best_lead_time_category.avg_lead_time"),
-                        F.col("order_count").alias("best_lead_time_category.order_count")),
-        ],
-        "returns": [M.return_metrics(orders, returns), by_cat, by_reg],
+        "category_performance": [top, best],
+        "returns": [M.return_metrics(orders, returns), M.returns_by(returns, "category"),
+                    M.returns_by(returns, "region")],
     }
 
 
+def _merged(df: DataFrame, families: dict[str, tuple[dict[str, Column], str]],
+            extra: list[Column] = ()) -> DataFrame:
+    """Several families in ONE aggregate pass; columns become tag__name."""
+    exprs = list(extra)
+    for tag, (cols, _n) in families.items():
+        exprs += [c.alias(f"{tag}__{name}") for name, c in cols.items()]
+    return df.agg(*exprs)
+
+
 def summary_report(orders: DataFrame, inventory: DataFrame, returns: DataFrame) -> DataFrame:
-    """Long report (metric_type, metric, value, label): every family unpivoted
-    and unioned.  Each family is a one-row aggregate, so the report is a
-    handful of rows whatever the input size."""
-    parts = []
-    for family, frames in metric_families(orders, inventory, returns).items():
-        for df in frames:
-            if set(df.columns) == {"metric", "value", "label"}:
-                parts.append(df.select(F.lit(family).alias("metric_type"), "metric", "value", "label"))
-            else:
-                parts.append(unpivot_metrics(df, family))
-    return union_all(parts)
+    """Long report (metric_type, metric, value, label).
+
+    Work per input: one global aggregate over order lines (lead and cycle
+    families + row count), one per-category aggregate (top / best category),
+    one global aggregate over inventory (turnover, days, fill rate,
+    stockout), one over returns and one grouped count of returns.  The five
+    single-row results are put side by side and unpivoted with ``explode`` in
+    a single projection; a family is emitted only when it saw input rows.
+    """
+    o_fams = {"lt": M.lead_time_exprs(F.col("lead_time_days")), "ct": M.cycle_time_exprs()}
+    i_fams = {"to": M.turnover_exprs(), "di": M.days_of_inventory_exprs(),
+              "fr": M.fill_rate_exprs(), "so": M.stockout_exprs()}
+    o1 = _merged(orders, o_fams, [F.count(F.lit(1)).alias("rt__orders_rows")])
+    i1 = _merged(inventory, i_fams)
+    cat = M.category_performance(orders)
+    c1 = cat.agg(
+        F.min_by(F.struct("category", "total_sales", "unique_orders"),
+                 F.struct(-F.col("total_sales"), F.col("category"))).alias("top"),
+        F.min_by(F.struct("category", "avg_lead_time", "order_count"),
+                 F.when(F.col("avg_lead_time").isNotNull(),
+                        F.struct(F.col("avg_lead_time"), F.col("category")))).alias("best"),
+        F.count(F.lit(1)).alias("n_cat"),
+        F.count("avg_lead_time").alias("n_best"))
+    r1 = returns.select(F.col("order_id").cast("string").alias("_oid")).agg(
+        (F.count_distinct("_oid") + F.max(F.when(F.col("_oid").isNull(), 1).otherwise(0)))
+        .cast("bigint").alias("rt__returned"),
+        F.count(F.lit(1)).alias("rt__items"))
+    wide = one_row_join(one_row_join(one_row_join(o1, i1), c1), r1)
+
+    def row(family: str, metric: str, value: Column | None, label: Column | None, gate: Column) -> Column:
+        v = value.cast("double") if value is not None else F.lit(None).cast("double")
+        lab = label if label is not None else F.lit(None).cast("string")
+        return F.when(gate, F.struct(F.lit(family).alias("metric_type"), F.lit(metric).alias("metric"),
+                                     v.alias("value"), lab.alias("label")))
+
+    rows: list[Column] = []
+    layout = [("lead_time", "lt", o_fams), ("order_cycle", "ct", o_fams), ("inventory_turnover", "to", i_fams),
+              ("inventory_turnover", "di", i_fams), ("fill_rate", "fr", i_fams), ("fill_rate", "so", i_fams)]
+    for family, tag, fams in layout:
+        n_col = F.col(f"{tag}__{fams[tag][1]}")
+        for name in fams[tag][0]:
+            if not name.startswith("_"):
+                rows.append(row(family, name, F.col(f"{tag}__{name}"), None, n_col > 0))
+    has_cat, has_best = F.col("n_cat") > 0, F.col("n_best") > 0
+    rows += [
+        row("category_performance", "top_sales_category.total_sales", F.col("top.total_sales"), None, has_cat),
+        row("category_performance", "top_sales_category.order_count", F.col("top.unique_orders"), None, has_cat),
+        row("category_performance", "top_sales_category.category", None, F.col("top.category"), has_cat),
+        row("category_performance", "best_lead_time_category.avg_lead_time", F.col("best.avg_lead_time"), None,
+            has_best),
+        row("category_performance", "best_lead_time_category.order_count", F.col("best.order_count"), None,
+            has_best),
+        row("category_performance", "best_lead_time_category.category", None, F.col("best.category"), has_best),
+    ]
+    has_orders = F.col("rt__orders_rows") > 0
+    rows += [
+        row("returns", "return_rate", C.ratio_round(C.safe_ratio("rt__returned", "rt__orders_rows")), None,
+            has_orders),
+        row("returns", "total_orders", F.col("rt__orders_rows"), None, has_orders),
+        row("returns", "total_returned_orders", F.col("rt__returned"), None, has_orders),
+        row("returns", "total_return_items", F.col("rt__items"), None, has_orders),
+    ]
+    scalars = (wide.select(F.explode(F.array(*rows)).alias("m"))
+               .where(F.col("m").isNotNull()).select("m.*"))
+    by = returns_breakdown(returns)
+    return scalars.unionByName(by)
+
+
+def returns_breakdown(returns: DataFrame) -> DataFrame:
+    """Return counts by category and by region in ONE grouped pass
+    (grouping sets), as report rows 'returns_by_<key>.<value>'."""
+    g = (returns.where(F.col("category").isNotNull() | F.col("region").isNotNull())
+         .groupingSets([["category"], ["region"]], "category", "region")
+         .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid")))
+    key = F.when(F.col("gid") == 1, F.concat(F.lit("returns_by_category."), F.col("category"))) \
+        .otherwise(F.concat(F.lit("returns_by_region."), F.col("region")))
+    return (g.where(F.when(F.col("gid") == 1, F.col("category").isNotNull()).otherwise(F.col("region").isNotNull()))
+            .select(F.lit("returns").alias("metric_type"), key.alias("metric"),
+                    F.col("n").cast("double").alias("value"), F.lit(None).cast("string").alias("label")))
 
 
 def metrics_profile(report: DataFrame) -> DataFrame:
