@@ -5,10 +5,11 @@ write Parquet catalog tables with ``mode('overwrite')``; fact tables are
 partitioned by day and clustered by sorting within partitions, which gives
 row-group min/max skipping on the clustering keys.
 
-Before a partitioned write the rows are repartitioned on the partition
-column plus a bounded salt: every day goes to a few tasks (so a day's files
-are few and large) and a day holding a third of all rows is still spread
-over ``salt`` tasks instead of one.
+Before a partitioned write the rows are shuffled with a REBALANCE hint on
+the partition column: AQE then coalesces small days into one task and splits
+a large (or skewed) day into tasks of ``advisoryPartitionSizeInBytes``, so
+each day is written as a few files of useful size and a day holding a third
+of all rows is still spread over many tasks.
 """
 
 from __future__ import annotations
@@ -162,11 +163,10 @@ def with_audit(df: DataFrame) -> DataFrame:
 
 def write_table(df: DataFrame, name: str, partition_col: str | None = None,
                 cluster_cols: list[str] | None = None, path: str | None = None,
-                salt: int = 4, mode: str = "overwrite") -> None:
+                mode: str = "overwrite") -> None:
     """Overwrite-load a table (catalog name, or a path when ``path`` given)."""
     if partition_col:
-        salt_col = (F.abs(F.xxhash64(*[F.col(c) for c in (cluster_cols or df.columns)])) % salt)
-        df = df.repartition(partition_col, salt_col)
+        df = df.hint("rebalance", partition_col)
     if cluster_cols:
         df = df.sortWithinPartitions(*([partition_col] if partition_col else []), *cluster_cols)
     w = df.write.mode(mode).format("parquet")

@@ -18,7 +18,9 @@ def spark():
     from chainlens.session import build_session
     wh = tempfile.mkdtemp(prefix="chainlens-test-wh-")
     s = build_session(master="local[*]", shuffle_partitions=8, app_name="chainlens-tests", driver_memory="4g",
-                      extra={"spark.sql.warehouse.dir": wh})
+                      extra={"spark.sql.warehouse.dir": wh,
+                             # tiny fixtures: keep several write tasks instead of one
+                             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"})
     if not s.conf.get("spark.checkpoint.dir", None):
         ck = tempfile.mkdtemp(prefix="chainlens-test-ckpt-")
         s.sparkContext.setCheckpointDir(ck)

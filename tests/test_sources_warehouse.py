@@ -123,3 +123,17 @@ def test_summary_report_and_csv(spark, tmp_root):
     assert back.count() == rep.count()
     base = R.export_report(t.orders, t.inventory, os.path.join(tmp_root, "exports"), stamp="20240101_000000")
     assert spark.read.parquet(base + "/summary").count() == 1
+
+
+def test_pipeline_run_writes_marts_equal_to_direct(spark, tmp_root):
+    from chainlens.plans import pipeline as P
+    from chainlens.queries import QUERIES
+    out = P.run(spark, SF_SMALL, root=os.path.join(tmp_root, "run"))
+    for name in P.MARTS:
+        written = sorted(tuple(r) for r in spark.read.parquet(os.path.join(out["marts"], name)).collect())
+        direct = sorted(tuple(r) for r in QUERIES[name](spark, SF_SMALL).collect())
+        assert written == direct, name
+    rep = spark.read.option("header", True).csv(os.path.join(out["root"], "summary_report"))
+    assert rep.count() > 40
+    fams = P.all_metrics(*(lambda t: (t.orders, t.inventory, t.returns))(FX.tables(spark, SF_SMALL)))
+    assert fams["lead_time"].count() == 1
