@@ -114,14 +114,34 @@ def alerts(orders: DataFrame, inventory: DataFrame,
     inv = inventory.agg(count_if(F.col("stockout_risk")).alias("v")).select(
         F.lit("stockout").alias("alert"), F.col("v").cast("double").alias("value"),
         F.format_string("%d products at risk of stockout", F.col("v")).alias("message"))
-    ms = missing_share(orders, "orders", missing_threshold).select(
-        F.lit("missing_data").alias("alert"), F.col("missing_share").alias("value"),
-        F.format_string("%.1f%% missing data detected", F.col("missing_share") * 100).alias("message"))
+    # one pass over the order table for both order alerts
+    ncols = len(orders.columns)
+    has_lead = "lead_time_days" in orders.columns
+    o = orders.agg(
+        F.sum(null_cells(orders)).cast("double").alias("_nulls"),
+        (F.count(F.lit(1)) * F.lit(ncols)).cast("double").alias("_cells"),
+        (count_if(F.col("lead_time_days") > lead_days) if has_lead else F.lit(0).cast("bigint")).alias("_long"))
+    share = C.ratio_round(F.try_divide(F.col("_nulls"), F.col("_cells")))
+    ms = o.select(
+        F.lit("missing_data").alias("alert"), share.alias("value"),
+        F.format_string("%.1f%% missing data detected", share * 100).alias("message"))
     parts = [inv.where(F.col("value") > 0),
              ms.where(F.col("value") > F.lit(missing_threshold))]
-    if "lead_time_days" in orders.columns:
-        hl = orders.agg(count_if(F.col("lead_time_days") > lead_days).alias("v")).select(
-            F.lit("high_lead_time").alias("alert"), F.col("v").cast("double").alias("value"),
-            F.format_string(f"%d orders with lead time > {lead_days} days", F.col("v")).alias("message"))
+    if has_lead:
+        hl = o.select(
+            F.lit("high_lead_time").alias("alert"), F.col("_long").cast("double").alias("value"),
+            F.format_string(f"%d orders with lead time > {lead_days} days", F.col("_long")).alias("message"))
         parts.append(hl.where(F.col("value") > 0))
     return union_all(parts)
+
+
+def observe_required_nulls(df: DataFrame, table_name: str, required: list[str] | None = None):
+    """Attach NULL counts of the required columns to a DataFrame that is
+    about to be written: the counts are gathered by the write job itself
+    (no extra pass).  Returns (observed_df, observation); read
+    ``observation.get`` after the action."""
+    from pyspark.sql import Observation
+    cols = [c for c in (required or REQUIRED_FIELDS[table_name]) if c in df.columns]
+    obs = Observation(f"required_nulls_{table_name}")
+    observed = df.observe(obs, *[count_if(F.col(c).isNull()).alias(c) for c in cols])
+    return observed, obs

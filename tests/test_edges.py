@@ -257,3 +257,22 @@ def test_analytics_summary_safe_ratio(spark):
     o = make_orders(spark, [])
     r = one(D.analytics_summary(o, make_returns(spark, []), o.select("customer_id")))
     assert r["total_orders"] == 0 and r["avg_order_value"] == 0.0 and r["total_sales"] == 0.0
+
+
+def test_category_join_form_equals_single_groupby(spark):
+    from conftest import SF_SMALL
+    from chainlens.sources import fixtures as FX
+    o = FX.tables(spark, SF_SMALL).orders
+    joined = M.category_sales(o).join(M.category_lead_time(o), "category")
+    single = M.category_performance(o)
+    cols = sorted(single.columns)
+    assert sorted(tuple(r) for r in joined.select(cols).collect()) == \
+        sorted(tuple(r) for r in single.select(cols).collect())
+
+
+def test_observe_required_nulls_during_write(spark, tmp_root):
+    o = make_orders(spark, [order_row("A", "2024-01-01", "2024-01-02"), order_row(None, "2024-01-01", None)])
+    fo = W.fact_orders(o)
+    observed, obs = Q.observe_required_nulls(fo, "fact_orders")
+    observed.write.mode("overwrite").parquet(tmp_root + "/obs")
+    assert obs.get["order_id"] == 1 and obs.get["sales"] == 0
