@@ -16,15 +16,16 @@ def nonempty(df: DataFrame, count_col: str) -> DataFrame:
 
 
 def one_row_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Put two single-row global aggregates side by side.
+    """Append the columns of a single-row aggregate to every row of ``left``.
 
-    Both inputs are global aggregates (exactly one row each), so the join
-    key is a constant and the broadcast side is one row by construction.
+    ``right`` is evaluated once as a scalar subquery and projected into each
+    row: no join and no pair generation.  Spark fails the query if ``right``
+    ever yields more than one row; with no row its columns are NULL.
     """
-    k = "__one_row_key"
-    return (left.withColumn(k, F.lit(0))
-            .join(F.broadcast(right.withColumn(k, F.lit(0))), k)
-            .drop(k))
+    packed = right.select(F.struct(*[F.col(f"`{c}`") for c in right.columns]).alias("__row")).scalar()
+    return left.select("*", packed.alias("__row")).select(
+        *[F.col(f"`{c}`") for c in left.columns],
+        *[F.col("__row").getField(c).alias(c) for c in right.columns])
 
 
 def unpivot_metrics(df: DataFrame, metric_type: str) -> DataFrame:

@@ -220,15 +220,21 @@ def filter_bounds(orders: DataFrame) -> DataFrame:
 
 
 def filter_options(orders: DataFrame, keys: tuple[str, ...] = ("category", "region")) -> DataFrame:
-    """'All' followed by the distinct values (NULL kept) of each key."""
-    parts = []
-    for k in keys:
-        if k in orders.columns:
-            parts.append(orders.select(F.lit(k).alias("option_type"), F.col(k).cast("string").alias("value")).distinct())
-            # a global aggregate always yields exactly one row: the 'All' entry
-            parts.append(orders.agg(F.count(F.lit(1)).alias("_n"))
-                         .select(F.lit(k).alias("option_type"), F.lit("All").alias("value")))
-    return union_all(parts)
+    """'All' plus the distinct values (NULL kept) of each key, from ONE
+    grouping-sets aggregate: one set per key and the empty set (which
+    supplies the 'All' entries)."""
+    cols = [k for k in keys if k in orders.columns]
+    n, full = len(cols), (1 << len(cols)) - 1
+    g = orders.groupingSets([[k] for k in cols] + [[]], *cols).agg(F.grouping_id().alias("gid"))
+    entries = []
+    for i, k in enumerate(cols):
+        own = full ^ (1 << (n - 1 - i))  # only k is grouped
+        entries.append(F.when(F.col("gid") == own, F.struct(
+            F.lit(k).alias("option_type"), F.col(k).cast("string").alias("value"))))
+        entries.append(F.when(F.col("gid") == full, F.struct(
+            F.lit(k).alias("option_type"), F.lit("All").alias("value"))))
+    return (g.select(F.explode(F.array(*entries)).alias("o"))
+            .where(F.col("o").isNotNull()).select("o.*"))
 
 
 def low_stock_vs_max(inventory: DataFrame, threshold: float = settings.INVENTORY_ALERT_THRESHOLD,

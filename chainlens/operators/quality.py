@@ -56,17 +56,20 @@ def dq_missing_cells(tables: Mapping[str, DataFrame]) -> DataFrame:
     return union_all([missing_share(df, name) for name, df in tables.items()])
 
 
-def required_columns(df: DataFrame, table_name: str, required: list[str]) -> DataFrame:
+def required_columns(df: DataFrame, checks: Mapping[str, list[str]]) -> DataFrame:
     """FAIL with the missing names when a required column is absent (decided
-    from the schema); the pipeline is never stopped by it."""
+    from the schema at plan time); the pipeline is never stopped by it.
+    One row per check, all attached to a single row count of the table."""
     present = set(df.columns)
-    missing = [CANONICAL_TO_SHEET.get(c, c) for c in required if c not in present]
-    status = "FAIL" if missing else "PASS"
-    return df.agg(F.count(F.lit(1)).alias("rows_checked")).select(
-        F.lit(table_name).alias("table_name"),
-        F.lit(status).alias("status"),
-        F.lit(", ".join(missing)).alias("missing_columns"),
-        "rows_checked")
+    rows = []
+    for name, required in checks.items():
+        missing = [CANONICAL_TO_SHEET.get(c, c) for c in required if c not in present]
+        rows.append(F.struct(F.lit(name).alias("table_name"),
+                             F.lit("FAIL" if missing else "PASS").alias("status"),
+                             F.lit(", ".join(missing)).alias("missing_columns"),
+                             F.col("_rows").alias("rows_checked")))
+    return (df.agg(F.count(F.lit(1)).alias("_rows"))
+            .select(F.explode(F.array(*rows)).alias("c")).select("c.*"))
 
 
 SHEET_REQUIRED = ["order_id", "order_date", "ship_date", "customer_id", "product_id"]
@@ -74,10 +77,7 @@ API_REQUIRED = ["order_id", "order_date", "customer_id", "product_id"]
 
 
 def dq_required_columns(orders: DataFrame) -> DataFrame:
-    return union_all([
-        required_columns(orders, "orders_sheet", SHEET_REQUIRED),
-        required_columns(orders, "orders_api", API_REQUIRED),
-    ])
+    return required_columns(orders, {"orders_sheet": SHEET_REQUIRED, "orders_api": API_REQUIRED})
 
 
 def required_nulls(df: DataFrame, table_name: str, required: list[str] | None = None) -> DataFrame:
@@ -122,17 +122,15 @@ def alerts(orders: DataFrame, inventory: DataFrame,
         (F.count(F.lit(1)) * F.lit(ncols)).cast("double").alias("_cells"),
         (count_if(F.col("lead_time_days") > lead_days) if has_lead else F.lit(0).cast("bigint")).alias("_long"))
     share = C.ratio_round(F.try_divide(F.col("_nulls"), F.col("_cells")))
-    ms = o.select(
+    order_alerts = [F.when(share > F.lit(missing_threshold), F.struct(
         F.lit("missing_data").alias("alert"), share.alias("value"),
-        F.format_string("%.1f%% missing data detected", share * 100).alias("message"))
-    parts = [inv.where(F.col("value") > 0),
-             ms.where(F.col("value") > F.lit(missing_threshold))]
+        F.format_string("%.1f%% missing data detected", share * 100).alias("message")))]
     if has_lead:
-        hl = o.select(
+        order_alerts.append(F.when(F.col("_long") > 0, F.struct(
             F.lit("high_lead_time").alias("alert"), F.col("_long").cast("double").alias("value"),
-            F.format_string(f"%d orders with lead time > {lead_days} days", F.col("_long")).alias("message"))
-        parts.append(hl.where(F.col("value") > 0))
-    return union_all(parts)
+            F.format_string(f"%d orders with lead time > {lead_days} days", F.col("_long")).alias("message"))))
+    o_rows = o.select(F.explode(F.array(*order_alerts)).alias("a")).where(F.col("a").isNotNull()).select("a.*")
+    return inv.where(F.col("value") > 0).unionByName(o_rows)
 
 
 def observe_required_nulls(df: DataFrame, table_name: str, required: list[str] | None = None):

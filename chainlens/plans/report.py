@@ -64,10 +64,8 @@ def summary_report(orders: DataFrame, inventory: DataFrame, returns: DataFrame)
                         F.struct(F.col("avg_lead_time"), F.col("category")))).alias("best"),
         F.count(F.lit(1)).alias("n_cat"),
         F.count("avg_lead_time").alias("n_best"))
-    r1 = returns.select(F.col("order_id").cast("string").alias("_oid")).agg(
-        (F.count_distinct("_oid") + F.max(F.when(F.col("_oid").isNull(), 1).otherwise(0)))
-        .cast("bigint").alias("rt__returned"),
-        F.count(F.lit(1)).alias("rt__items"))
+    rb = returns_grouped(returns)
+    r1 = rb.where(F.col("gid") == 3).select(F.col("returned").alias("rt__returned"), F.col("n").alias("rt__items"))
     wide = one_row_join(one_row_join(one_row_join(o1, i1), c1), r1)
 
     def row(family: str, metric: str, value: Column | None, label: Column | None, gate: Column) -> Column:
@@ -105,19 +103,28 @@ def summary_report(orders: DataFrame, inventory: DataFrame, returns: DataFrame)
     ]
     scalars = (wide.select(F.explode(F.array(*rows)).alias("m"))
                .where(F.col("m").isNotNull()).select("m.*"))
-    by = returns_breakdown(returns)
-    return scalars.unionByName(by)
-
-
-def returns_breakdown(returns: DataFrame) -> DataFrame:
-    """Return counts by category and by region in ONE grouped pass
-    (grouping sets), as report rows 'returns_by_<key>.<value>'."""
-    g = (returns.where(F.col("category").isNotNull() | F.col("region").isNotNull())
-         .groupingSets([["category"], ["region"]], "category", "region")
-         .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid")))
-    key = F.when(F.col("gid") == 1, F.concat(F.lit("returns_by_category."), F.col("category"))) \
+    return scalars.unionByName(returns_breakdown(rb))
+
+
+def returns_grouped(returns: DataFrame) -> DataFrame:
+    """Returns counted by category, by region and overall in ONE
+    grouping-sets pass.  gid 1 = per category, 2 = per region, 3 = total;
+    ``returned`` = distinct returned order ids (a NULL id counts once)."""
+    r = returns.select("category", "region", F.col("order_id").cast("string").alias("_oid"))
+    return (r.groupingSets([["category"], ["region"], []], "category", "region")
+            .agg(F.count(F.lit(1)).alias("n"),
+                 (F.count_distinct("_oid") + F.max(F.when(F.col("_oid").isNull(), 1).otherwise(0)))
+                 .cast("bigint").alias("returned"),
+                 F.grouping_id().alias("gid")))
+
+
+def returns_breakdown(grouped: DataFrame) -> DataFrame:
+    """Report rows 'returns_by_<key>.<value>' from ``returns_grouped``."""
+    by_cat = (F.col("gid") == 1) & F.col("category").isNotNull()
+    by_reg = (F.col("gid") == 2) & F.col("region").isNotNull()
+    key = F.when(by_cat, F.concat(F.lit("returns_by_category."), F.col("category"))) \
         .otherwise(F.concat(F.lit("returns_by_region."), F.col("region")))
-    return (g.where(F.when(F.col("gid") == 1, F.col("category").isNotNull()).otherwise(F.col("region").isNotNull()))
+    return (grouped.where(by_cat | by_reg)
             .select(F.lit("returns").alias("metric_type"), key.alias("metric"),
                     F.col("n").cast("double").alias("value"), F.lit(None).cast("string").alias("label")))
 
