@@ -130,9 +130,17 @@ def fill_rate_by_category(inventory: DataFrame) -> DataFrame:
             .agg(C.ratio_round(F.avg(C.nan_to_null("fill_rate"))).alias("avg_fill_rate")))
 
 
-def turnover_describe(inventory: DataFrame, col: str = "annualized_turnover", exact: bool = True) -> DataFrame:
-    """count, mean, std, min, quartiles, max (exact linear-interpolated
-    quartiles; ``exact=False`` switches to percentile_approx)."""
+def turnover_describe(inventory: DataFrame, col: str = "annualized_turnover",
+                      exact: bool | str = True) -> DataFrame:
+    """count, mean, std, min, quartiles, max.
+
+    ``exact=True``: Spark's exact percentile (value -> count map merged in
+    one task; right for bounded value domains such as these ratios of small
+    integers); ``"distributed"``: exact quartiles computed across the cluster
+    (unbounded domains); ``False``: percentile_approx."""
+    if exact == "distributed":
+        from chainlens.operators.quantiles import describe_distributed
+        return describe_distributed(inventory, col)
     t = C.nan_to_null(col)
     q = (lambda p: F.percentile(t, p)) if exact else (lambda p: F.percentile_approx(t, p, 100_000))
     return inventory.agg(

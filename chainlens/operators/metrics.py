@@ -2,9 +2,13 @@
 
 Each family is ONE global (or per-category) aggregate over its input, so a
 family costs one scan and, for grouped forms, one shuffle of partial
-aggregates.  Exact ``percentile`` keeps a value -> count map per group,
-which is small for whole-day lead times; for continuous doubles on very
-large inputs pass ``exact=False`` to use ``percentile_approx``.
+aggregates.  Exact ``percentile`` keeps a value -> count map per group and
+merges it in one task.  Its size is the number of DISTINCT values, which is
+bounded here whatever the row count: lead times are whole days, and fill
+rate / turnover / days of inventory are ratios of small integers (stock
+level and daily demand).  For unbounded domains use ``exact=False``
+(``percentile_approx``) or ``operators.quantiles.exact_percentiles``, which
+computes exact percentiles with the work spread over the cluster.
 
 Counting conventions (they differ on purpose):
 * ``total_orders`` of the lead-time family is a count of valid ROWS;
