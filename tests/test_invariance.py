@@ -100,3 +100,29 @@ def test_hot_key_category_and_returns(spark):
     m = M.return_metrics(orders, returns).first()
     assert m["total_returned_orders"] == returns.select("order_id").distinct().count()
     assert isinstance(pd.DataFrame(), pd.DataFrame)
+
+
+def test_hot_key_other_operators_equal_brute_force(spark):
+    from chainlens.operators import dashboard as D2
+    orders, products, _ = _skewed(spark)
+    people = orders.select("customer_id").distinct().withColumn("customer_name", F.lit("n")) \
+        .withColumn("segment", F.lit("s")).withColumn("region", F.lit("r"))
+    pdf = orders.toPandas()
+    # dimension of customers: one address per customer (latest order line)
+    dc = {r["customer_id"]: r["country"] for r in W.dim_customers(people, orders).collect()}
+    assert set(dc) == set(pdf["customer_id"])
+    # fulfillment mart: distinct orders and customers per (month, category)
+    fo, dp = W.fact_orders(orders), W.dim_products(products)
+    got = {(str(r["month"]), r["category"]): r.asDict() for r in MT.mart_fulfillment_analytics(fo, dp).collect()}
+    j = fo.toPandas().merge(dp.select("product_id", "category").toPandas(), on="product_id", how="left")
+    j["month"] = pd.to_datetime(j["order_date"]).dt.to_period("M").dt.start_time.dt.date.astype(str)
+    for (m, cat), g in j.groupby(["month", "category"]):
+        assert got[(m, cat)]["total_orders"] == g["order_id"].nunique()
+        assert got[(m, cat)]["unique_customers"] == g["customer_id"].nunique()
+    # low-stock rule with one product holding a third of the snapshots
+    inv = spark.createDataFrame(
+        [(f"2024-01-{1 + i % 28:02d}", "HOT", "C1", 100 if i % 10 else 5) for i in range(300)]
+        + [(f"2024-01-{1 + i % 28:02d}", f"P{i % 7}", "C2", 50) for i in range(600)],
+        "d string, product_id string, category string, stock_level bigint").withColumn("date", F.to_date("d"))
+    low = D2.low_stock_vs_max(inv).collect()
+    assert len(low) == 30 and {r["product_id"] for r in low} == {"HOT"}
