@@ -276,3 +276,12 @@ def test_observe_required_nulls_during_write(spark, tmp_root):
     observed, obs = Q.observe_required_nulls(fo, "fact_orders")
     observed.write.mode("overwrite").parquet(tmp_root + "/obs")
     assert obs.get["order_id"] == 1 and obs.get["sales"] == 0
+
+
+def test_cluster_conf_sizes_partitions():
+    from chainlens.session import cluster_conf
+    small = cluster_conf(10e9, executors=10, cores_per_executor=4)
+    assert int(small["spark.sql.shuffle.partitions"]) == 80      # two waves of 40 slots
+    big = cluster_conf(100e12)
+    assert int(big["spark.sql.shuffle.partitions"]) == 100_000
+    assert int(big["spark.sql.autoBroadcastJoinThreshold"]) == 64 << 20
