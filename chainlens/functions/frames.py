@@ -56,11 +56,6 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def prefixed(df: DataFrame, prefix: str, keep: list[str] | None = None) -> DataFrame:
-    keep = keep or []
-    return df.select(*[F.col(c).alias(c if c in keep else f"{prefix}{c}") for c in df.columns])
-
-
 def count_if(cond: Column) -> Column:
     return F.count_if(cond).cast("bigint")
 
