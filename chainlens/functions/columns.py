@@ -43,6 +43,21 @@ def floor_day_diff(later_ts: str | Column, earlier_ts: str | Column) -> Column:
     return F.floor(micros / F.lit(86_400_000_000)).cast("bigint")
 
 
+def ntz_as_utc(c: str | Column) -> Column:
+    """TIMESTAMP_NTZ wall clock -> TIMESTAMP instant at that wall clock in UTC.
+
+    A plain cast reads the wall clock in the SESSION time zone, which would
+    move events across day windows on a non-UTC session; this form does not
+    depend on the session zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, col(c)))
+
+
+def utc_date(c: str | Column) -> Column:
+    """Calendar date (UTC) of a TIMESTAMP instant, independent of the session zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(col(c)) / F.lit(86_400_000_000)).cast("int"))
+
+
 def month_start(c: str | Column) -> Column:
     """First day of the month as a DATE (``trunc`` keeps the DATE type)."""
     return F.trunc(col(c), "MM")

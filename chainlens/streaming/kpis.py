@@ -29,12 +29,13 @@ EVENTS_SCHEMA = T.StructType([
 
 def event_stream(spark: SparkSession, source_dir: str, file_glob: str = "events.parquet",
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of events from Parquet files; ``ts`` becomes a zoned timestamp
-    (watermarks need TIMESTAMP, the files hold TIMESTAMP_NTZ)."""
+    """Stream of events from Parquet files; ``ts`` becomes a TIMESTAMP
+    instant (watermarks need TIMESTAMP, the files hold TIMESTAMP_NTZ), read
+    as UTC wall clock whatever the session time zone."""
     r = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", file_glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(source_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return r.parquet(source_dir).withColumn("ts", C.ntz_as_utc("ts"))
 
 
 def daily_kpis(events: DataFrame, watermark: str = "1 day", window: str = "1 day") -> DataFrame:
@@ -45,7 +46,7 @@ def daily_kpis(events: DataFrame, watermark: str = "1 day", window: str = "1 day
     g = events.groupBy(F.window("ts", window).alias("w"), "event_type").agg(
         F.count(F.lit(1)).alias("events"),
         C.money_sum("value").alias("total_value"))
-    return g.select(F.col("w.start").cast("date").alias("day"), "event_type", "events", "total_value")
+    return g.select(C.utc_date("w.start").alias("day"), "event_type", "events", "total_value")
 
 
 def run_to_table(df: DataFrame, out_path: str, checkpoint: str, mode: str = "complete",
@@ -93,7 +94,7 @@ def refresh_partitions(stream: DataFrame, table_path: str, partition_col: str, c
     partitions present in the batch (dynamic partition overwrite)."""
     def _sink(batch: DataFrame, _batch_id: int) -> None:
         out = transform(batch) if transform else batch
-        (out.repartition(partition_col).write.mode("overwrite")
+        (out.hint("rebalance", partition_col).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic")
          .partitionBy(partition_col).parquet(table_path))
     w = stream.writeStream.foreachBatch(_sink).option("checkpointLocation", checkpoint)

@@ -9,13 +9,14 @@ import time
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, inv_row, make_inventory, make_orders, order_row
+from chainlens.functions import columns as C
 from chainlens.streaming import kpis
 
 
 def test_stream_equals_batch(spark):
     streamed = kpis.stream_kpis_daily_batch_result(spark, SF_SMALL)
     batch_events = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet")).withColumn(
-        "ts", F.col("ts").cast("timestamp"))
+        "ts", C.ntz_as_utc("ts"))
     batch = kpis.daily_kpis(batch_events)
     assert sorted(tuple(r) for r in streamed.collect()) == sorted(tuple(r) for r in batch.collect())
 
@@ -29,7 +30,7 @@ def test_stream_in_several_micro_batches(spark, tmp_root):
                                                             max_files_per_trigger=1)), out, ck)
     q.awaitTermination()
     got = spark.read.parquet(out)
-    batch = kpis.daily_kpis(ev.withColumn("ts", F.col("ts").cast("timestamp")))
+    batch = kpis.daily_kpis(ev.withColumn("ts", C.ntz_as_utc("ts")))
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in batch.collect())
 
 
@@ -74,6 +75,16 @@ def test_append_mode_emits_only_closed_windows(spark, tmp_root):
     q.awaitTermination()
     got = {(r["day"], r["event_type"]): tuple(r) for r in spark.read.parquet(out).collect()}
     batch = {(r["day"], r["event_type"]): tuple(r) for r in
-             kpis.daily_kpis(ev.withColumn("ts", F.col("ts").cast("timestamp"))).collect()}
+             kpis.daily_kpis(ev.withColumn("ts", C.ntz_as_utc("ts"))).collect()}
     assert got and set(got) < set(batch)             # the last day's windows are still open
     assert all(got[k] == batch[k] for k in got)      # closed windows are final and exact
+
+
+def test_stream_days_do_not_depend_on_session_time_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        shifted = sorted(tuple(r) for r in kpis.stream_kpis_daily_batch_result(spark, SF_SMALL).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    utc = sorted(tuple(r) for r in kpis.stream_kpis_daily_batch_result(spark, SF_SMALL).collect())
+    assert shifted == utc
