@@ -22,10 +22,9 @@ def one_row_join(left: DataFrame, right: DataFrame) -> DataFrame:
     row: no join and no pair generation.  Spark fails the query if ``right``
     ever yields more than one row; with no row its columns are NULL.
     """
-    packed = right.select(F.struct(*[F.col(f"`{c}`") for c in right.columns]).alias("__row")).scalar()
-    return left.select("*", packed.alias("__row")).select(
-        *[F.col(f"`{c}`") for c in left.columns],
-        *[F.col("__row").getField(c).alias(c) for c in right.columns])
+    packed = right.selectExpr("struct(*) AS __row").scalar()
+    return left.select("*", packed.alias("__row")).selectExpr(
+        *[f"`{c}`" for c in left.columns], *[f"__row.`{c}` AS `{c}`" for c in right.columns])
 
 
 def unpivot_metrics(df: DataFrame, metric_type: str) -> DataFrame:

@@ -37,17 +37,18 @@ def enrich_orders(df: DataFrame, lenient: bool = False) -> DataFrame:
     """Dates coerced; lead time, order year / month / quarter, order value."""
     df = _coerce_dates(df, ["order_date", "ship_date"], lenient)
     cols = set(df.columns)
+    new: dict = {}
     if {"order_date", "ship_date"} <= cols:
-        df = df.withColumn("lead_time_days", C.day_diff("ship_date", "order_date"))
+        new["lead_time_days"] = C.day_diff("ship_date", "order_date")
     if "order_date" in cols:
-        df = (df.withColumn("order_year", F.year("order_date"))
-                .withColumn("order_month", F.month("order_date"))
-                .withColumn("order_quarter", F.quarter("order_date")))
+        new["order_year"] = F.year("order_date")
+        new["order_month"] = F.month("order_date")
+        new["order_quarter"] = F.quarter("order_date")
     if {"sales", "quantity"} <= cols:
-        df = df.withColumn("order_value", (F.col("sales") * F.col("quantity")).cast("double"))
+        new["order_value"] = (F.col("sales") * F.col("quantity")).cast("double")
     elif "sales" in cols:
-        df = df.withColumn("order_value", F.col("sales").cast("double"))
-    return df
+        new["order_value"] = F.col("sales").cast("double")
+    return df.withColumns(new) if new else df
 
 
 def enrich_returns(df: DataFrame, lenient: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainlens import settings
 from chainlens.functions import columns as C
 from chainlens.functions.frames import one_row_join
 from chainlens.operators import dashboard as D
@@ -68,41 +69,29 @@ def summary_report(orders: DataFrame, inventory: DataFrame, returns: DataFrame)
     r1 = rb.where(F.col("gid") == 3).select(F.col("returned").alias("rt__returned"), F.col("n").alias("rt__items"))
     wide = one_row_join(one_row_join(one_row_join(o1, i1), c1), r1)
 
-    def row(family: str, metric: str, value: Column | None, label: Column | None, gate: Column) -> Column:
-        v = value.cast("double") if value is not None else F.lit(None).cast("double")
-        lab = label if label is not None else F.lit(None).cast("string")
-        return F.when(gate, F.struct(F.lit(family).alias("metric_type"), F.lit(metric).alias("metric"),
-                                     v.alias("value"), lab.alias("label")))
-
-    rows: list[Column] = []
+    # (gate, family, metric, numeric value, text label) as SQL text: the
+    # whole unpivot is ONE stack() generator over the single wide row
+    rows: list[tuple[str, str, str, str, str]] = []
     layout = [("lead_time", "lt", o_fams), ("order_cycle", "ct", o_fams), ("inventory_turnover", "to", i_fams),
               ("inventory_turnover", "di", i_fams), ("fill_rate", "fr", i_fams), ("fill_rate", "so", i_fams)]
     for family, tag, fams in layout:
-        n_col = F.col(f"{tag}__{fams[tag][1]}")
-        for name in fams[tag][0]:
-            if not name.startswith("_"):
-                rows.append(row(family, name, F.col(f"{tag}__{name}"), None, n_col > 0))
-    has_cat, has_best = F.col("n_cat") > 0, F.col("n_best") > 0
-    rows += [
-        row("category_performance", "top_sales_category.total_sales", F.col("top.total_sales"), None, has_cat),
-        row("category_performance", "top_sales_category.order_count", F.col("top.unique_orders"), None, has_cat),
-        row("category_performance", "top_sales_category.category", None, F.col("top.category"), has_cat),
-        row("category_performance", "best_lead_time_category.avg_lead_time", F.col("best.avg_lead_time"), None,
-            has_best),
-        row("category_performance", "best_lead_time_category.order_count", F.col("best.order_count"), None,
-            has_best),
-        row("category_performance", "best_lead_time_category.category", None, F.col("best.category"), has_best),
-    ]
-    has_orders = F.col("rt__orders_rows") > 0
-    rows += [
-        row("returns", "return_rate", C.ratio_round(C.safe_ratio("rt__returned", "rt__orders_rows")), None,
-            has_orders),
-        row("returns", "total_orders", F.col("rt__orders_rows"), None, has_orders),
-        row("returns", "total_returned_orders", F.col("rt__returned"), None, has_orders),
-        row("returns", "total_return_items", F.col("rt__items"), None, has_orders),
-    ]
-    scalars = (wide.select(F.explode(F.array(*rows)).alias("m"))
-               .where(F.col("m").isNotNull()).select("m.*"))
+        gate = f"{tag}__{fams[tag][1]} > 0"
+        rows += [(gate, family, name, f"{tag}__{name}", "NULL") for name in fams[tag][0] if not name.startswith("_")]
+    cat_rows = [("n_cat > 0", "top_sales_category", "top", ["total_sales", "unique_orders"]),
+                ("n_best > 0", "best_lead_time_category", "best", ["avg_lead_time", "order_count"])]
+    for gate, prefix, struct, fields in cat_rows:
+        for f in fields:
+            metric = f"{prefix}.{'order_count' if f == 'unique_orders' else f}"
+            rows.append((gate, "category_performance", metric, f"{struct}.{f}", "NULL"))
+        rows.append((gate, "category_performance", f"{prefix}.category", "NULL", f"{struct}.category"))
+    rate = (f"ROUND(COALESCE(try_divide(CAST(rt__returned AS DOUBLE), CAST(rt__orders_rows AS DOUBLE)), "
+            f"CAST(0 AS DOUBLE)), {settings.RATIO_DECIMALS})")
+    for metric, value in [("return_rate", rate), ("total_orders", "rt__orders_rows"),
+                          ("total_returned_orders", "rt__returned"), ("total_return_items", "rt__items")]:
+        rows.append(("rt__orders_rows > 0", "returns", metric, value, "NULL"))
+    body = ", ".join(f"{g}, '{fam}', '{m}', CAST({v} AS DOUBLE), CAST({lab} AS STRING)" for g, fam, m, v, lab in rows)
+    scalars = (wide.selectExpr(f"stack({len(rows)}, {body}) AS (keep, metric_type, metric, value, label)")
+               .where("keep").drop("keep"))
     return scalars.unionByName(returns_breakdown(rb))
 
 

@@ -94,23 +94,22 @@ def _lines(r: Raw, returned_only: bool = False) -> DataFrame:
     heads = _order_heads(r)
     joined = (fact_join(li, heads, li.l_orderkey == heads.o_orderkey)
               .join(part, li.l_partkey == part.p_partkey))
-    return joined.select(
-        F.col("l_orderkey").cast("string").alias("order_id"),
-        F.col("o_orderdate").cast("date").alias("order_date"),
-        F.col("l_shipdate").cast("date").alias("ship_date"),
-        F.col("o_custkey").cast("string").alias("customer_id"),
-        F.col("l_partkey").cast("string").alias("product_id"),
-        F.col("l_suppkey").cast("string").alias("supplier_id"),
-        F.col("l_linenumber").cast("int").alias("line_number"),
-        F.col("p_type").alias("category"),
-        F.col("l_quantity").cast("bigint").alias("quantity"),
-        F.col("l_extendedprice").alias("sales"),
-        (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))
-         - F.col("l_quantity") * F.col("p_retailprice")).alias("profit"),
-        F.col("l_discount").alias("discount"),
-        F.col("n_name").alias("country"),
-        F.lit(None).cast("string").alias("state"),
-        F.col("r_name").alias("region"),
+    return joined.selectExpr(
+        "CAST(l_orderkey AS STRING) AS order_id",
+        "CAST(o_orderdate AS DATE) AS order_date",
+        "CAST(l_shipdate AS DATE) AS ship_date",
+        "CAST(o_custkey AS STRING) AS customer_id",
+        "CAST(l_partkey AS STRING) AS product_id",
+        "CAST(l_suppkey AS STRING) AS supplier_id",
+        "CAST(l_linenumber AS INT) AS line_number",
+        "p_type AS category",
+        "CAST(l_quantity AS BIGINT) AS quantity",
+        "l_extendedprice AS sales",
+        "l_extendedprice * (1 - l_discount) - l_quantity * p_retailprice AS profit",
+        "l_discount AS discount",
+        "n_name AS country",
+        "CAST(NULL AS STRING) AS state",
+        "r_name AS region",
     )
 
 
@@ -163,23 +162,23 @@ def inventory(r: Raw) -> DataFrame:
               .agg(F.sum("l_quantity").cast("bigint").alias("daily_demand")))
     part = r.table("part").select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
     j = demand.join(part, demand.l_partkey == part.p_partkey)
-    stock = (F.lit(2) * F.col("p_size")).cast("bigint")
-    return j.select(
+    stock = "CAST(2 * p_size AS BIGINT)"
+    return j.selectExpr(
         "date",
-        F.col("l_partkey").cast("string").alias("product_id"),
-        F.col("p_name").alias("product_name"),
-        F.col("p_type").alias("category"),
-        stock.alias("stock_level"),
+        "CAST(l_partkey AS STRING) AS product_id",
+        "p_name AS product_name",
+        "p_type AS category",
+        f"{stock} AS stock_level",
         "daily_demand",
-        F.lit(0).cast("bigint").alias("restock_amount"),
-        F.lit(False).alias("restocked"),
-        F.col("p_retailprice").alias("price"),
-        F.col("p_retailprice").alias("original_price"),
-        F.lit(0.0).alias("price_change_pct"),
-        F.try_divide(stock, F.col("daily_demand")).alias("days_of_inventory"),
-        (stock < F.col("daily_demand")).alias("stockout_risk"),
-        F.try_divide(F.col("daily_demand") * F.lit(365), stock).alias("annualized_turnover"),
-        F.least(F.lit(1.0), F.try_divide(stock, F.col("daily_demand"))).alias("fill_rate"),
+        "CAST(0 AS BIGINT) AS restock_amount",
+        "false AS restocked",
+        "p_retailprice AS price",
+        "p_retailprice AS original_price",
+        "CAST(0 AS DOUBLE) AS price_change_pct",
+        f"try_divide({stock}, daily_demand) AS days_of_inventory",
+        f"{stock} < daily_demand AS stockout_risk",
+        f"try_divide(daily_demand * 365, {stock}) AS annualized_turnover",
+        f"least(CAST(1 AS DOUBLE), try_divide({stock}, daily_demand)) AS fill_rate",
     )
 
 
