@@ -65,9 +65,12 @@ def summary_report(orders: DataFrame, inventory: DataFrame, returns: DataFrame)
                         F.struct(F.col("avg_lead_time"), F.col("category")))).alias("best"),
         F.count(F.lit(1)).alias("n_cat"),
         F.count("avg_lead_time").alias("n_best"))
+    # the returns aggregate is the main branch (its grouped rows also feed
+    # the breakdown, so Spark reuses that one shuffle); the three other
+    # single-row aggregates are attached as scalar subqueries
     rb = returns_grouped(returns)
     r1 = rb.where(F.col("gid") == 3).select(F.col("returned").alias("rt__returned"), F.col("n").alias("rt__items"))
-    wide = one_row_join(one_row_join(one_row_join(o1, i1), c1), r1)
+    wide = one_row_join(one_row_join(one_row_join(r1, o1), i1), c1)
 
     # (gate, family, metric, numeric value, text label) as SQL text: the
     # whole unpivot is ONE stack() generator over the single wide row

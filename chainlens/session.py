@@ -104,7 +104,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(local)
     except Exception:
         pass
-    spark.conf.set("spark.checkpoint.dir", local)
+    try:
+        spark.conf.set("spark.checkpoint.dir", local)
+    except Exception:  # a session may refuse runtime changes of core settings
+        pass
     return local
 
 
