@@ -137,3 +137,13 @@ def test_pipeline_run_writes_marts_equal_to_direct(spark, tmp_root):
     assert rep.count() > 40
     fams = P.all_metrics(*(lambda t: (t.orders, t.inventory, t.returns))(FX.tables(spark, SF_SMALL)))
     assert fams["lead_time"].count() == 1
+
+
+def test_month_grain_partitions(spark, tmp_root):
+    t = FX.tables(spark, SF_SMALL)
+    root = os.path.join(tmp_root, "wh_month")
+    W.load_warehouse({"orders": t.orders.drop("state")}, root=root, grain="month")
+    parts = [p for p in os.listdir(os.path.join(root, "fact_orders")) if p.startswith("order_date_month=")]
+    fo = spark.read.parquet(os.path.join(root, "fact_orders"))
+    assert 0 < len(parts) <= 12 * 8 and fo.count() == t.orders.count()
+    assert "order_date" in fo.columns
