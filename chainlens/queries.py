@@ -55,6 +55,11 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
     return kpis.stream_kpis_daily_batch_result(spark, sf)
 
 
+def _stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    from chainlens.streaming import kpis
+    return kpis.stream_high_lead_alerts_batch_result(spark, sf)
+
+
 QUERIES: dict[str, Query] = {
     # sources / adapter views
     "order_lines": _q(lambda t: t.orders),
@@ -140,4 +145,5 @@ QUERIES: dict[str, Query] = {
     "orders_json_records": _q(lambda t: R.json_records(t.orders)),
     # streaming
     "stream_kpis_daily": _stream,
+    "stream_high_lead_alerts": _stream_alerts,
 }

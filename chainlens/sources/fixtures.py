@@ -84,15 +84,20 @@ def _order_heads(r: Raw) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderdate", "n_name", "r_name")
 
 
-def _lines(r: Raw, returned_only: bool = False) -> DataFrame:
-    li = r.table("lineitem").select(
+def _lines(r: Raw, returned_only: bool = False, lineitem: DataFrame | None = None) -> DataFrame:
+    """Order lines; ``lineitem`` may be a STREAM of lineitem rows, which is
+    then joined to the static order / customer / part tables (stream-static
+    join, evaluated per micro-batch)."""
+    src = lineitem if lineitem is not None else r.table("lineitem")
+    li = src.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
     if returned_only:
         li = li.where(F.col("l_returnflag") == "R")
     part = r.table("part").select("p_partkey", "p_type", "p_retailprice")
     heads = _order_heads(r)
-    joined = (fact_join(li, heads, li.l_orderkey == heads.o_orderkey)
+    head_join = li.join if src.isStreaming else (lambda *a: fact_join(li, *a))
+    joined = (head_join(heads, li.l_orderkey == heads.o_orderkey)
               .join(part, li.l_partkey == part.p_partkey))
     return joined.selectExpr(
         "CAST(l_orderkey AS STRING) AS order_id",
@@ -113,9 +118,10 @@ def _lines(r: Raw, returned_only: bool = False) -> DataFrame:
     )
 
 
-def order_lines(r: Raw) -> DataFrame:
-    """Canonical order lines with the ingest-derived columns."""
-    return enrich_orders(_lines(r))
+def order_lines(r: Raw, lineitem: DataFrame | None = None) -> DataFrame:
+    """Canonical order lines with the ingest-derived columns (a stream when
+    ``lineitem`` is a stream)."""
+    return enrich_orders(_lines(r, lineitem=lineitem))
 
 
 def returns(r: Raw) -> DataFrame:

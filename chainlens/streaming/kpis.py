@@ -76,6 +76,31 @@ def stream_kpis_daily_batch_result(spark: SparkSession, source_dir: str) -> Data
     return spark.read.parquet(out)
 
 
+def lineitem_stream(spark: SparkSession, source_dir: str, file_glob: str = "lineitem.parquet",
+                    max_files_per_trigger: int | None = None) -> DataFrame:
+    from chainlens.sources.fixtures import TPCH_SCHEMAS
+    r = spark.readStream.schema(TPCH_SCHEMAS["lineitem"]).option("pathGlobFilter", file_glob)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(source_dir)
+
+
+def stream_high_lead_alerts_batch_result(spark: SparkSession, source_dir: str) -> DataFrame:
+    """ST-2 over the test tables: lineitem arrives as a stream, is joined to
+    the static order / customer / part tables, and lines with a lead time
+    above the limit are appended to the alert sink.  Stateless, so every
+    micro-batch's alerts are final; run to completion and read back."""
+    from chainlens.sources import fixtures as FX
+    lines = FX.order_lines(FX.raw(spark, source_dir), lineitem=lineitem_stream(spark, source_dir))
+    base = scratch_path(spark, "stream_high_lead_alerts")
+    q = (alert_stream(lines).writeStream.format("parquet").outputMode("append")
+         .option("path", os.path.join(base, "out"))
+         .option("checkpointLocation", os.path.join(base, "checkpoint"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(base, "out"))
+
+
 def alert_stream(orders_stream: DataFrame, lead_days: int = 14) -> DataFrame:
     """Stateless alert rows: order lines with lead time above the limit."""
     return orders_stream.where(F.col("lead_time_days") > lead_days).select(
