@@ -274,8 +274,7 @@ def expected_returns_by_category(orders: DataFrame, rates: Mapping[str, float] |
                  C.ratio_round(F.avg(p)).alias("expected_return_rate")))
 
 
-# FIXED VALUES: return reasons, in the order they are drawn from.
-RETURN_REASONS = ["Defective", "Wrong Size", "Not as Expected", "Changed Mind"]
+RETURN_REASONS = settings.RETURN_REASONS
 LINE_KEY = ["order_id", "product_id", "supplier_id", "line_number", "ship_date"]
 
 

@@ -23,6 +23,8 @@ INVENTORY_ALERT_THRESHOLD = 0.1  # share of the product's maximum stock level
 # Per-category return probabilities and the default for unlisted categories.
 RETURN_RATES = {"Furniture": 0.15, "Office Supplies": 0.05, "Technology": 0.10}
 DEFAULT_RETURN_RATE = 0.05
+# Return reasons, in the order a drawn reason index refers to.
+RETURN_REASONS = ["Defective", "Wrong Size", "Not as Expected", "Changed Mind"]
 # Required columns of the order sheet and of the order API feed.
 REQUIRED_ORDER_COLUMNS_SHEET = ["Order ID", "Order Date", "Ship Date", "Customer ID", "Product ID"]
 REQUIRED_ORDER_COLUMNS_API = ["Order ID", "Order Date", "Customer ID", "Product ID"]
