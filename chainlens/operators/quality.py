@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from chainlens import settings
 from chainlens.functions import columns as C
 from chainlens.functions.frames import count_if, union_all
-from chainlens.schemas import CANONICAL_TO_SHEET, REQUIRED_FIELDS
+from chainlens.schemas import CANONICAL_TO_SHEET, REQUIRED_FIELDS, SHEET_HEADERS
 
 
 def _is_missing(f: T.StructField) -> Column:
@@ -72,8 +72,8 @@ def required_columns(df: DataFrame, checks: Mapping[str, list[str]]) -> DataFram
             .select(F.explode(F.array(*rows)).alias("c")).select("c.*"))
 
 
-SHEET_REQUIRED = ["order_id", "order_date", "ship_date", "customer_id", "product_id"]
-API_REQUIRED = ["order_id", "order_date", "customer_id", "product_id"]
+SHEET_REQUIRED = [SHEET_HEADERS[c] for c in settings.REQUIRED_ORDER_COLUMNS_SHEET]
+API_REQUIRED = [SHEET_HEADERS[c] for c in settings.REQUIRED_ORDER_COLUMNS_API]
 
 
 def dq_required_columns(orders: DataFrame) -> DataFrame:
