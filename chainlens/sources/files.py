@@ -58,10 +58,14 @@ def load_people(spark: SparkSession, path: str, fmt: str = "csv", lenient: bool
     return enrich_people(read_landed(spark, path, schemas.PEOPLE, fmt), lenient=lenient)
 
 
-def load_all(spark: SparkSession, paths: dict[str, str], fmt: str = "csv") -> dict[str, DataFrame]:
-    """Lazy DataFrames for whichever of orders / returns / people are given."""
+def load_all(spark: SparkSession, paths: dict[str, str], fmt: str = "csv",
+             formats: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Lazy DataFrames for whichever of orders / returns / people are given
+    (``formats`` overrides ``fmt`` per table)."""
     loaders = {"orders": load_orders, "returns": load_returns, "people": load_people}
-    return {name: loaders[name](spark, p, fmt) for name, p in paths.items() if name in loaders}
+    formats = formats or {}
+    return {name: loaders[name](spark, p, formats.get(name, fmt))
+            for name, p in paths.items() if name in loaders}
 
 
 # --- JSON envelopes -----------------------------------------------------------

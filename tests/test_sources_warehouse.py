@@ -147,3 +147,41 @@ def test_month_grain_partitions(spark, tmp_root):
     fo = spark.read.parquet(os.path.join(root, "fact_orders"))
     assert 0 < len(parts) <= 12 * 8 and fo.count() == t.orders.count()
     assert "order_date" in fo.columns
+
+
+def test_landed_json_lines_parquet_and_load_all(spark, tmp_root):
+    rows = [{"Order ID": "A", "Order Date": "2024-03-01", "Ship Date": "2024-03-05", "Customer ID": "C1",
+             "Product ID": "P1", "Category": "Technology", "Quantity": 3, "Sales": 2.5},
+            {"Order ID": "B", "Order Date": "2024-03-02", "Ship Date": "2024-03-02", "Customer ID": "C2",
+             "Product ID": "P2", "Category": "Furniture", "Quantity": 1, "Sales": 4.0}]
+    jp = os.path.join(tmp_root, "orders_jsonl")
+    os.makedirs(jp)
+    with open(os.path.join(jp, "part-0.json"), "w") as f:
+        f.write("\n".join(json.dumps(r) for r in rows) + "\n")
+    o = SRC.load_orders(spark, jp, fmt="json")
+    got = {r["order_id"]: (r["lead_time_days"], r["order_value"]) for r in o.collect()}
+    assert got == {"A": (4, 7.5), "B": (0, 4.0)}
+    pq = os.path.join(tmp_root, "orders_parquet")
+    o.write.parquet(pq)
+    again = SRC.load_orders(spark, pq, fmt="parquet")
+    assert sorted(tuple(r) for r in again.collect()) == sorted(tuple(r) for r in o.collect())
+    people_p = os.path.join(tmp_root, "people_csv")
+    os.makedirs(people_p)
+    with open(os.path.join(people_p, "p.csv"), "w") as f:
+        f.write("Customer ID,Customer Name,Segment,Region,First Order Date,Last Order Date\n"
+                "C1,Ann,Consumer,West,2024-01-01,2024-03-01\n")
+    all_ = SRC.load_all(spark, {"orders": jp, "people": people_p}, fmt="json", formats={"people": "csv"})
+    assert set(all_) == {"orders", "people"}
+    p = all_["people"].first()
+    assert (p["customer_id"], str(p["first_order_date"]), str(p["last_order_date"])) == \
+        ("C1", "2024-01-01", "2024-03-01")
+    assert all_["orders"].count() == 2
+
+
+def test_envelope_in_text_column(spark):
+    from chainlens import schemas as S
+    doc = json.dumps({"status": "success", "count": 1, "data": [
+        {"return_date": "2024-01-01", "order_id": "A", "customer_id": "C1", "product_id": "P1"}]})
+    df = spark.createDataFrame([(doc,)], "body string")
+    rows = SRC.parse_envelope_column(df, "body", S.RETURNS).collect()
+    assert [(r["order_id"], str(r["return_date"])) for r in rows] == [("A", "2024-01-01")]
