@@ -13,8 +13,8 @@ of return rows of its order (1 when there are none), so the plan is:
 1. lines -> partial aggregate per (category, order_id)   [map-side combine]
 2. returns -> rows and distinct ids per order_id
 3. join (1) and (2) on order_id: both sides are already reduced, one row per
-   (category, order) and one per order, so a hot order or product cannot
-   blow up the join (AQE still splits skewed partitions)
+   (category, order) and one per order, so a hot order or product reaches
+   the join as a handful of rows, not as a third of all lines
 4. weighted sums per category.
 
 Money is summed exactly as DECIMAL; averages of ratios are rounded.
