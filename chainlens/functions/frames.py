@@ -69,3 +69,45 @@ def fact_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> Data
     dimension-sized inputs are left to Catalyst's size check instead.
     """
     return left.join(right.hint("merge"), on, how)
+
+
+def hot_keys(df: DataFrame, cols: list[str], min_share: float = 0.01) -> list[tuple]:
+    """Keys holding at least ``min_share`` of the rows.
+
+    One grouped count (partial aggregation) compared with the row total (a
+    scalar subquery); only the hot keys reach the driver, and there can be
+    at most ``1 / min_share`` of them.
+    """
+    total = df.select(F.count(F.lit(1)).alias("n")).scalar()
+    counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+    rows = counts.where(F.col("__n") >= total * F.lit(min_share)).select(*cols).collect()
+    return [tuple(r) for r in rows]
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], how: str = "inner",
+                hot: list[tuple] | None = None, buckets: int = 32) -> DataFrame:
+    """Equi-join that spreads hot keys over ``buckets`` tasks.
+
+    Rows of ``left`` whose key is hot get a salt in [0, buckets) from a hash
+    of the row (deterministic, so a recomputed task gets the same salt);
+    rows of ``right`` with a hot key are replicated once per salt; all other
+    rows get salt 0.  The join runs on (key, salt), so every left row still
+    meets each matching right row exactly once: the result equals the plain
+    join.  Only joins that keep ``left`` rows (inner, left, semi, anti) are
+    supported; ``right`` must be the side whose hot-key rows are few.
+    """
+    if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
+        raise ValueError(f"salted_join does not support how={how!r}")
+    lcols, rcols = [a for a, _ in on], [b for _, b in on]
+    if not hot:
+        return fact_join(left, right, [left[a] == right[b] for a, b in on], how)
+    hot_l = F.struct(*lcols).isin(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(k, lcols)]) for k in hot])
+    hot_r = F.struct(*[F.col(c).alias(a) for c, a in zip(rcols, lcols)]).isin(
+        *[F.struct(*[F.lit(v).alias(c) for v, c in zip(k, lcols)]) for k in hot])
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
+    l2 = left.withColumn("__salt_l", F.when(hot_l, F.pmod(row_hash, F.lit(buckets))).otherwise(F.lit(0)))
+    r2 = right.withColumn("__salt_r", F.explode(
+        F.when(hot_r, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))))
+    cond = [l2[a] == r2[b] for a, b in on] + [l2["__salt_l"] == r2["__salt_r"]]
+    out = fact_join(l2, r2, cond, how)
+    return out.drop("__salt_l", "__salt_r") if how not in ("left_semi", "left_anti") else out.drop("__salt_l")

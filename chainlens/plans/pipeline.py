@@ -74,14 +74,16 @@ def build_marts(wh: dict[str, DataFrame], root: str | None = None, database: str
     return written
 
 
-def run(spark: SparkSession, sf_dir: str, root: str | None = None, database: str | None = None) -> dict[str, str]:
+def run(spark: SparkSession, sf_dir: str, root: str | None = None, database: str | None = None,
+        skew_share: float | None = 0.01) -> dict[str, str]:
     """Full batch job over the test tables of ``sf_dir``.
 
     Returns the locations written.  Every step is a distributed write; the
-    driver only sequences the jobs.
+    driver only sequences the jobs (and receives at most 1 / skew_share hot
+    order keys, which are salted in the lineitem-orders join).
     """
     root = root or scratch_path(spark, "chainlens-run")
-    t = FX.tables(spark, sf_dir)
+    t = FX.tables(spark, sf_dir, skew_share=skew_share)
     orders = t.orders.drop("state")  # the fixture has no states: location_id = 'Unknown'
     wh_root = os.path.join(root, "warehouse")
     W.load_warehouse({"products": t.products, "orders": orders, "inventory": t.inventory,

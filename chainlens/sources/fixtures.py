@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlens.functions import columns as C
-from chainlens.functions.frames import fact_join
+from chainlens.functions.frames import fact_join, hot_keys, salted_join
 from chainlens.operators.transforms import enrich_orders
 
 TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -84,10 +84,14 @@ def _order_heads(r: Raw) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderdate", "n_name", "r_name")
 
 
-def _lines(r: Raw, returned_only: bool = False, lineitem: DataFrame | None = None) -> DataFrame:
+def _lines(r: Raw, returned_only: bool = False, lineitem: DataFrame | None = None,
+           skew_share: float | None = None) -> DataFrame:
     """Order lines; ``lineitem`` may be a STREAM of lineitem rows, which is
     then joined to the static order / customer / part tables (stream-static
-    join, evaluated per micro-batch)."""
+    join, evaluated per micro-batch).
+
+    ``skew_share``: order keys holding at least this share of all lines are
+    detected first and spread over several tasks by a salted join."""
     src = lineitem if lineitem is not None else r.table("lineitem")
     li = src.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -96,9 +100,14 @@ def _lines(r: Raw, returned_only: bool = False, lineitem: DataFrame | None = Non
         li = li.where(F.col("l_returnflag") == "R")
     part = r.table("part").select("p_partkey", "p_type", "p_retailprice")
     heads = _order_heads(r)
-    head_join = li.join if src.isStreaming else (lambda *a: fact_join(li, *a))
-    joined = (head_join(heads, li.l_orderkey == heads.o_orderkey)
-              .join(part, li.l_partkey == part.p_partkey))
+    if skew_share and not src.isStreaming:
+        hot = hot_keys(li, ["l_orderkey"], skew_share)
+        joined = salted_join(li, heads, [("l_orderkey", "o_orderkey")], "inner", hot=hot)
+    elif src.isStreaming:
+        joined = li.join(heads, li.l_orderkey == heads.o_orderkey)
+    else:
+        joined = fact_join(li, heads, li.l_orderkey == heads.o_orderkey)
+    joined = joined.join(part, F.col("l_partkey") == part.p_partkey)
     return joined.selectExpr(
         "CAST(l_orderkey AS STRING) AS order_id",
         "CAST(o_orderdate AS DATE) AS order_date",
@@ -118,16 +127,16 @@ def _lines(r: Raw, returned_only: bool = False, lineitem: DataFrame | None = Non
     )
 
 
-def order_lines(r: Raw, lineitem: DataFrame | None = None) -> DataFrame:
+def order_lines(r: Raw, lineitem: DataFrame | None = None, skew_share: float | None = None) -> DataFrame:
     """Canonical order lines with the ingest-derived columns (a stream when
-    ``lineitem`` is a stream)."""
-    return enrich_orders(_lines(r, lineitem=lineitem))
+    ``lineitem`` is a stream; hot order keys salted when ``skew_share``)."""
+    return enrich_orders(_lines(r, lineitem=lineitem, skew_share=skew_share))
 
 
-def returns(r: Raw) -> DataFrame:
+def returns(r: Raw, skew_share: float | None = None) -> DataFrame:
     """Returned lines; return date = order date; stable return id from the
     natural line key (order, part, supplier, line number, ship day)."""
-    lines = _lines(r, returned_only=True)
+    lines = _lines(r, returned_only=True, skew_share=skew_share)
     return lines.select(
         F.col("order_date").alias("return_date"),
         "order_id", "customer_id", "product_id", "category", "region",
@@ -193,18 +202,22 @@ def events(r: Raw) -> DataFrame:
 
 
 class Tables:
-    """The canonical tables of one input, each built on first use."""
+    """The canonical tables of one input, each built on first use.
+
+    ``skew_share``: salt order keys that hold at least this share of all
+    lines in the lineitem-orders join (off by default)."""
 
-    def __init__(self, r: Raw):
+    def __init__(self, r: Raw, skew_share: float | None = None):
         self.raw = r
+        self.skew_share = skew_share
 
     @cached_property
     def orders(self) -> DataFrame:
-        return order_lines(self.raw)
+        return order_lines(self.raw, skew_share=self.skew_share)
 
     @cached_property
     def returns(self) -> DataFrame:
-        return returns(self.raw)
+        return returns(self.raw, skew_share=self.skew_share)
 
     @cached_property
     def people(self) -> DataFrame:
@@ -219,5 +232,5 @@ class Tables:
         return inventory(self.raw)
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(raw(spark, sf_dir))
+def tables(spark: SparkSession, sf_dir: str, skew_share: float | None = None) -> Tables:
+    return Tables(raw(spark, sf_dir), skew_share)
