@@ -56,7 +56,13 @@ def summary_report(orders: DataFrame, inventory: DataFrame, returns: DataFrame)
               "fr": M.fill_rate_exprs(), "so": M.stockout_exprs()}
     o1 = _merged(orders, o_fams, [F.count(F.lit(1)).alias("rt__orders_rows")])
     i1 = _merged(inventory, i_fams)
-    cat = M.category_performance(orders)
+    # only what the top / best rows need (no median / std buffers per group)
+    lt = F.col("lead_time_days")
+    cat = (orders.where(F.col("category").isNotNull()).groupBy("category")
+           .agg(F.bround(C.money_sum("sales"), 2).alias("total_sales"),
+                F.count_distinct("order_id").alias("unique_orders"),
+                F.bround(F.avg(lt), 2).alias("avg_lead_time"),
+                F.count(lt).alias("order_count")))
     c1 = cat.agg(
         F.min_by(F.struct("category", "total_sales", "unique_orders"),
                  F.struct(-F.col("total_sales"), F.col("category"))).alias("top"),
