@@ -31,14 +31,20 @@ from pyspark.sql import functions as F
 
 from chainlens import settings
 from chainlens.functions import columns as C
-from chainlens.functions.frames import fact_join
+from chainlens.functions.frames import fact_join, hot_keys, salted_join
 
 P2, P4 = settings.MONEY_SCALE, settings.PROFIT_SCALE
 
 
-def _with_category(facts: DataFrame, dim_products: DataFrame) -> DataFrame:
-    dim = dim_products.select("product_id", "category")
-    return facts.join(dim, "product_id", "left")
+def _with_category(facts: DataFrame, dim_products: DataFrame, skew_share: float | None = None) -> DataFrame:
+    """Facts LEFT JOIN products.  A small product table is broadcast (size
+    check); a large one is sort-merge joined, and with ``skew_share`` the
+    products holding at least that share of the facts are salted."""
+    dim = dim_products.select(F.col("product_id").alias("_dim_pid"), "category")
+    if skew_share:
+        hot = hot_keys(facts, ["product_id"], skew_share)
+        return salted_join(facts, dim, [("product_id", "_dim_pid")], "left", hot=hot).drop("_dim_pid")
+    return facts.join(dim, facts.product_id == dim._dim_pid, "left").drop("_dim_pid")
 
 
 def _returns_per_order(fact_returns: DataFrame) -> DataFrame:
@@ -79,10 +85,10 @@ def _fanout(per_co: DataFrame, fact_returns: DataFrame) -> DataFrame:
 
 
 def mart_vendor_performance(fact_orders: DataFrame, dim_products: DataFrame,
-                            fact_returns: DataFrame) -> DataFrame:
+                            fact_returns: DataFrame, skew_share: float | None = None) -> DataFrame:
     """Per product category: distinct orders, avg lead time, avg order value,
     sales, profit, distinct returns, return rate - over the fan-out join."""
-    lines = _with_category(fact_orders, dim_products)
+    lines = _with_category(fact_orders, dim_products, skew_share)
     j = _fanout(_per_category_order(lines), fact_returns)
     m = F.col("mult")
     out = j.groupBy("category").agg(
@@ -99,8 +105,8 @@ def mart_vendor_performance(fact_orders: DataFrame, dim_products: DataFrame,
                              F.col("total_returns") / F.col("total_orders")).otherwise(F.lit(0.0))))
 
 
-def mart_inventory_analysis(fact_inventory: DataFrame, dim_products: DataFrame) -> DataFrame:
-    inv = _with_category(fact_inventory, dim_products)
+def mart_inventory_analysis(fact_inventory: DataFrame, dim_products: DataFrame, skew_share: float | None = None) -> DataFrame:
+    inv = _with_category(fact_inventory, dim_products, skew_share)
     return inv.groupBy("category").agg(
         C.ratio_round(F.avg("stock_level")).alias("avg_stock_level"),
         C.ratio_round(F.avg("daily_demand")).alias("avg_daily_demand"),
@@ -113,11 +119,11 @@ def mart_inventory_analysis(fact_inventory: DataFrame, dim_products: DataFrame)
 
 
 def mart_fulfillment_analytics(fact_orders: DataFrame, dim_products: DataFrame,
-                               cycle_time_from_lead: bool = False) -> DataFrame:
+                               cycle_time_from_lead: bool = False, skew_share: float | None = None) -> DataFrame:
     """Per (month, category).  ``avg_cycle_time`` is NULL because the cycle
     time column is never loaded; ``cycle_time_from_lead=True`` fills it with
     the lead time (cycle time has the same definition)."""
-    lines = _with_category(fact_orders, dim_products)
+    lines = _with_category(fact_orders, dim_products, skew_share)
     cyc = F.col("lead_time_days") if cycle_time_from_lead else F.col("order_cycle_time_days")
     return lines.groupBy(C.month_start("order_date").alias("month"), "category").agg(
         F.count_distinct("order_id").alias("total_orders"),
@@ -135,10 +141,10 @@ def _inventory_per_product(fact_inventory: DataFrame) -> DataFrame:
 
 
 def mart_category_performance(fact_orders: DataFrame, dim_products: DataFrame,
-                              fact_returns: DataFrame, fact_inventory: DataFrame) -> DataFrame:
+                              fact_returns: DataFrame, fact_inventory: DataFrame, skew_share: float | None = None) -> DataFrame:
     """Faithful category mart: orders x products x returns (fan-out) x
     per-product inventory averages; averages weighted by joined rows."""
-    lines = (_with_category(fact_orders, dim_products)
+    lines = (_with_category(fact_orders, dim_products, skew_share)
              .join(_inventory_per_product(fact_inventory), "product_id", "left"))
     extra = [F.sum("inv_fill_rate").alias("s_fill"), F.count("inv_fill_rate").alias("n_fill"),
              F.sum("inv_turnover").alias("s_turn"), F.count("inv_turnover").alias("n_turn")]
@@ -170,8 +176,8 @@ def _join_category(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def mart_vendor_performance_line_grain(fact_orders: DataFrame, dim_products: DataFrame,
-                                       fact_returns: DataFrame) -> DataFrame:
-    lines = _with_category(fact_orders, dim_products)
+                                       fact_returns: DataFrame, skew_share: float | None = None) -> DataFrame:
+    lines = _with_category(fact_orders, dim_products, skew_share)
     orders = lines.groupBy("category").agg(
         F.count_distinct("order_id").alias("total_orders"),
         C.ratio_round(F.avg("lead_time_days")).alias("avg_lead_time"),
@@ -188,8 +194,8 @@ def mart_vendor_performance_line_grain(fact_orders: DataFrame, dim_products: Dat
 
 
 def mart_category_performance_line_grain(fact_orders: DataFrame, dim_products: DataFrame,
-                                         fact_returns: DataFrame, fact_inventory: DataFrame) -> DataFrame:
-    lines = (_with_category(fact_orders, dim_products)
+                                         fact_returns: DataFrame, fact_inventory: DataFrame, skew_share: float | None = None) -> DataFrame:
+    lines = (_with_category(fact_orders, dim_products, skew_share)
              .join(_inventory_per_product(fact_inventory), "product_id", "left"))
     orders = lines.groupBy("category").agg(
         F.count_distinct("order_id").alias("total_orders"),

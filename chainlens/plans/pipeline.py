@@ -49,23 +49,25 @@ MARTS = ("mart_vendor_performance", "mart_inventory_analysis", "mart_fulfillment
          "mart_category_performance_line_grain")
 
 
-def mart_frames(wh: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def mart_frames(wh: dict[str, DataFrame], skew_share: float | None = None) -> dict[str, DataFrame]:
     fo, dp, fr, fi = wh["fact_orders"], wh["dim_products"], wh["fact_returns"], wh["fact_inventory"]
+    k = {"skew_share": skew_share}
     return {
-        "mart_vendor_performance": MT.mart_vendor_performance(fo, dp, fr),
-        "mart_inventory_analysis": MT.mart_inventory_analysis(fi, dp),
-        "mart_fulfillment_analytics": MT.mart_fulfillment_analytics(fo, dp),
-        "mart_category_performance": MT.mart_category_performance(fo, dp, fr, fi),
-        "mart_vendor_performance_line_grain": MT.mart_vendor_performance_line_grain(fo, dp, fr),
-        "mart_category_performance_line_grain": MT.mart_category_performance_line_grain(fo, dp, fr, fi),
+        "mart_vendor_performance": MT.mart_vendor_performance(fo, dp, fr, **k),
+        "mart_inventory_analysis": MT.mart_inventory_analysis(fi, dp, **k),
+        "mart_fulfillment_analytics": MT.mart_fulfillment_analytics(fo, dp, **k),
+        "mart_category_performance": MT.mart_category_performance(fo, dp, fr, fi, **k),
+        "mart_vendor_performance_line_grain": MT.mart_vendor_performance_line_grain(fo, dp, fr, **k),
+        "mart_category_performance_line_grain": MT.mart_category_performance_line_grain(fo, dp, fr, fi, **k),
     }
 
 
-def build_marts(wh: dict[str, DataFrame], root: str | None = None, database: str | None = None) -> list[str]:
+def build_marts(wh: dict[str, DataFrame], root: str | None = None, database: str | None = None,
+                skew_share: float | None = None) -> list[str]:
     """Create-or-replace every mart (overwrite); marts are small (one row
     per category or per month x category), so each is written as is."""
     written = []
-    for name, df in mart_frames(wh).items():
+    for name, df in mart_frames(wh, skew_share).items():
         if database:
             df.write.mode("overwrite").format("parquet").saveAsTable(f"{database}.{name}")
         else:
@@ -91,7 +93,7 @@ def run(spark: SparkSession, sf_dir: str, root: str | None = None, database: str
                      database=database, root=None if database else wh_root)
     wh = W.read_warehouse(spark, database=database, root=None if database else wh_root)
     marts_root = os.path.join(root, "marts")
-    build_marts(wh, root=marts_root, database=database)
+    build_marts(wh, root=marts_root, database=database, skew_share=skew_share)
     report = R.summary_report(t.orders, t.inventory, t.returns)
     R.write_summary_report(report, os.path.join(root, "summary_report"))
     Q.alerts(t.orders, t.inventory).write.mode("overwrite").parquet(os.path.join(root, "alerts"))

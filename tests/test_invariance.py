@@ -126,3 +126,15 @@ def test_hot_key_other_operators_equal_brute_force(spark):
         "d string, product_id string, category string, stock_level bigint").withColumn("date", F.to_date("d"))
     low = D2.low_stock_vs_max(inv).collect()
     assert len(low) == 30 and {r["product_id"] for r in low} == {"HOT"}
+
+
+def test_marts_with_salted_hot_product_equal_plain(spark):
+    orders, products, returns = _skewed(spark)
+    fo, dp, fr = W.fact_orders(orders), W.dim_products(products), W.fact_returns(returns)
+    for fn in (MT.mart_vendor_performance, MT.mart_vendor_performance_line_grain):
+        plain = sorted(map(tuple, fn(fo, dp, fr).collect()), key=str)
+        salted = sorted(map(tuple, fn(fo, dp, fr, skew_share=0.2).collect()), key=str)
+        assert plain == salted
+    plain = sorted(map(tuple, MT.mart_fulfillment_analytics(fo, dp).collect()), key=str)
+    salted = sorted(map(tuple, MT.mart_fulfillment_analytics(fo, dp, skew_share=0.2).collect()), key=str)
+    assert plain == salted
