@@ -67,11 +67,26 @@ def run_to_table(df: DataFrame, out_path: str, checkpoint: str, mode: str = "com
     return w.start()
 
 
-def stream_kpis_daily_batch_result(spark: SparkSession, source_dir: str) -> DataFrame:
+def stream_session(spark: SparkSession, state_partitions: int = 8) -> SparkSession:
+    """A session for a stateful stream whose state is small.
+
+    A streaming aggregate fixes its number of state partitions from
+    ``spark.sql.shuffle.partitions`` when it first starts; a batch-sized
+    value (tens of thousands on a large cluster) would spread a few thousand
+    (day, type) keys over that many state stores.  The clone shares the
+    cluster but not the caller's settings."""
+    s = spark.newSession()
+    s.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    s.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return s
+
+
+def stream_kpis_daily_batch_result(spark: SparkSession, source_dir: str, state_partitions: int = 8) -> DataFrame:
     """Run ST-1 to completion over the files present and read the result."""
     base = scratch_path(spark, "stream_kpis_daily")
     out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
-    q = run_to_table(daily_kpis(event_stream(spark, source_dir)), out, ckpt, mode="complete")
+    s = stream_session(spark, state_partitions)
+    q = run_to_table(daily_kpis(event_stream(s, source_dir)), out, ckpt, mode="complete")
     q.awaitTermination()
     return spark.read.parquet(out)
 

@@ -88,3 +88,19 @@ def test_stream_days_do_not_depend_on_session_time_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     utc = sorted(tuple(r) for r in kpis.stream_kpis_daily_batch_result(spark, SF_SMALL).collect())
     assert shifted == utc
+
+
+def test_kpi_stream_state_partitions_are_bounded(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = kpis.stream_kpis_daily_batch_result(spark, SF_SMALL, state_partitions=3)
+        assert out.count() == 150
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"  # caller's session untouched
+        import glob
+        from chainlens.session import checkpoint_root
+        runs = sorted(glob.glob(os.path.join(checkpoint_root(spark), "stream_kpis_daily-*")), key=os.path.getmtime)
+        state = os.path.join(runs[-1], "checkpoint", "state", "0")
+        assert sorted(os.listdir(state)) == ["0", "1", "2"] or len(
+            [d for d in os.listdir(state) if d.isdigit()]) == 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
