@@ -60,6 +60,11 @@ def _stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return kpis.stream_high_lead_alerts_batch_result(spark, sf)
 
 
+def _stream_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    from chainlens.streaming import kpis
+    return kpis.stream_fact_orders_refresh_batch_result(spark, sf)
+
+
 QUERIES: dict[str, Query] = {
     # sources / adapter views
     "order_lines": _q(lambda t: t.orders),
@@ -146,4 +151,5 @@ QUERIES: dict[str, Query] = {
     # streaming
     "stream_kpis_daily": _stream,
     "stream_high_lead_alerts": _stream_alerts,
+    "stream_fact_orders_refresh": _stream_refresh,
 }

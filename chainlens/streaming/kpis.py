@@ -116,6 +116,22 @@ def stream_high_lead_alerts_batch_result(spark: SparkSession, source_dir: str) -
     return spark.read.parquet(os.path.join(base, "out"))
 
 
+def stream_fact_orders_refresh_batch_result(spark: SparkSession, source_dir: str) -> DataFrame:
+    """ST-3 over the test tables: lineitem arrives as a stream, each
+    micro-batch is joined to the static order / customer / part tables,
+    shaped into fact_orders rows and written with dynamic partition
+    overwrite, so only the months present in the batch are replaced."""
+    from chainlens.plans import warehouse as W
+    from chainlens.sources import fixtures as FX
+    lines = FX.order_lines(FX.raw(spark, source_dir), lineitem=lineitem_stream(spark, source_dir))
+    facts = W.fact_orders(lines.drop("state")).withColumn("order_month", C.month_start("order_date"))
+    base = scratch_path(spark, "stream_fact_orders_refresh")
+    table = os.path.join(base, "fact_orders")
+    q = refresh_partitions(facts, table, "order_month", os.path.join(base, "checkpoint"))
+    q.awaitTermination()
+    return spark.read.parquet(table)
+
+
 def alert_stream(orders_stream: DataFrame, lead_days: int = 14) -> DataFrame:
     """Stateless alert rows: order lines with lead time above the limit."""
     return orders_stream.where(F.col("lead_time_days") > lead_days).select(
