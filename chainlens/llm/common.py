@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,5 +50,41 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def range_number(c: Column, cuts: list[int]) -> Column:
+    """Number of sorted ``cuts`` below ``c``, found in groups of about the square root of their count."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[i:i + step] for i in range(0, len(cuts), step)]
+
+    def below(edges: Column) -> Column:
+        return F.size(F.filter(edges, lambda x: x < c))
+
+    whole = below(F.array(*[F.lit(g[-1]) for g in groups]))
+    last = F.get(F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups]), whole)
+    return (whole * step + F.when(last.isNull(), 0).otherwise(below(last))).cast("int")
+
+
+def quantile_cuts(df: DataFrame, column: str, parts: int) -> list[int]:
+    """Up to ``parts - 1`` distinct values that deal the rows into even ranges."""
+    if parts < 2:
+        return []
+    found = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 100_000)).first()[0]
+    return sorted(set(found or []))
+
+
+def join_by_size(left: DataFrame, right: DataFrame, on: list[str], size: str, total: int,
+                 hot_share: int = 1000) -> DataFrame:
+    """Inner join with a side of one row a key whose count of left rows is ``size``.
+
+    Keys with over ``total / hot_share`` rows, of which there are at most
+    ``hot_share``, are broadcast, so their left rows stay where they are; the
+    others are shuffled."""
+    limit = max(1, total // hot_share)
+    hot = F.broadcast(right.where(F.col(size) > limit))
+    return left.join(hot, on).unionByName(
+        left.join(hot.select(*on), on, "left_anti").join(right.where(F.col(size) <= limit), on))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

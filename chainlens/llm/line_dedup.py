@@ -30,7 +30,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import WS, ascii_lower, doc_key, shuffle_width, written
+from chainlens.llm.common import WS, ascii_lower, doc_key, quantile_cuts, shuffle_width, written
 from chainlens.session import scratch_path
 
 MIN_CHARS = 20
@@ -139,9 +139,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     rows = line_rows(docs, id_col, text_col, min_chars)
     rows = written(rows, "line_rows")
-    bounds = rows.agg(F.percentile_approx("_d", [i / batches for i in range(1, batches)], 10000).alias("q"),
-                      F.count(F.lit(1)).alias("n")).first()
-    cuts = sorted(set(bounds["q"] or []), reverse=True)
+    total = rows.count()
+    cuts = quantile_cuts(rows, "_d", batches)[::-1]
     batch = sum((F.when(F.col("_d") <= c, 1).otherwise(0) for c in cuts), F.lit(0))
     rows = rows.withColumn("_b", batch)
 
@@ -158,7 +157,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     verdicts = written(runs.verdicts(min_docs), "line_verdicts")
     # A hot hash would put all its line rows into one task.  At most
     # 2 * HOT_SHARE hashes can be hot, so these are broadcast.
-    limit = max(1, bounds["n"] // HOT_SHARE)
+    limit = max(1, total // HOT_SHARE)
     hot_keys = F.broadcast(verdicts.groupBy(*HASH).agg(F.sum("_meets").alias("_m"))
                            .where(F.col("_m") > limit).select(*HASH))
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from chainlens.llm import line_dedup, quality
+from chainlens.llm import bpe, fingerprints, html_extract, lang_id, line_dedup, quality, token_store
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_outliers": quality.op2_quality_outliers,
+    "op4_language_id": lang_id.op4_language_id,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op8_token_store": token_store.op8_token_store,
+    "op9_bpe": bpe.op9_bpe,
+    "op10_html_extract": html_extract.op10_html_extract,
 }
 
 ORACLE = {
