@@ -3,21 +3,21 @@
 Encoding has three steps, none of which repeats the merges of a word:
 
 1. *Explode.*  Each text is split into pre-tokens with positions.  A block of
-   documents becomes one row per distinct pre-token (block, number in the
-   block, word), and one row per document with its sequence of numbers, so a
-   frequent word is one row a block and not one a use.
-2. *Encode each distinct word once.*  The rows are shuffled and sorted by
-   word; a word's merges are run where its rows meet, and every one of them
-   takes the ids back to its block.
-3. *Reassemble.*  A block's words and documents meet again by block; the ids
+   documents keeps each of its distinct pre-tokens once, dealt by hash to
+   buckets, and each document as the sequence of its pre-tokens' numbers.
+2. *Encode each distinct word once.*  The word lists are shuffled by bucket,
+   so all uses of a word come to one place, where its merges are run once;
+   the ids go back to every block that holds the word.
+3. *Reassemble.*  A block's ids and documents meet again by block; the ids
    are put at their positions.
 
 Decoding looks the ids up in the token-byte table (one row an id of the
 vocabulary) and joins the bytes in order.
 
-Positions are stored as numbers ranked by use in the block (few bytes for
-frequent words) and compressed.  Blocks are cut by characters, so their size
-does not grow with the data; a longer text is a block of its own.
+Lists move as rows of packed arrays (one row a block and bucket), positions
+as numbers ranked by use in the block.  A frequent word is thus one entry a
+block and not one a use.  Blocks are cut by characters, so their size does not
+grow with the data; a longer text is a block of its own.
 
 The words and the documents' sequences are two passes over the same table:
 writing them to disk between would cost more than splitting again.  The table
@@ -45,6 +45,9 @@ from chainlens.llm.common import shuffle_width
 
 RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_CHARS = 4 << 20
+KNOWN_WORDS = 1_000_000   # distinct words a task remembers
+ORDER_ERROR = "the documents were not read in the same order twice; write them to a table first"
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -99,22 +102,13 @@ def _merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    """Small numbers in one byte, others in three or five, then deflated."""
-    out = np.where(numbers < 255, numbers, 255).astype(np.uint8).tobytes()
-    rest = numbers[numbers >= 255]
-    low = (rest & 0xFFFF).astype("<u2").tobytes()
-    high = (rest >> 16).astype("<u2").tobytes()
-    return zlib.compress(out + low + high, 1)
+    """32-bit numbers by byte planes, deflated: the high planes are nearly free."""
+    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def _unpacked(data: bytes, size: int) -> np.ndarray:
-    raw = zlib.decompress(data)
-    out = np.frombuffer(raw, dtype=np.uint8, count=size).astype(np.int64)
-    at = np.flatnonzero(out == 255)
-    low = np.frombuffer(raw, dtype="<u2", count=len(at), offset=size)
-    high = np.frombuffer(raw, dtype="<u2", count=len(at), offset=size + 2 * len(at))
-    out[at] = low.astype(np.int64) + (high.astype(np.int64) << 16)
-    return out
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def _blocks(batches, block_chars: int):
@@ -156,77 +150,106 @@ def _finder():
     return regex.compile(public_tokenizers.PATTERN).findall
 
 
-def distinct_words(rows: DataFrame, block_chars: int) -> DataFrame:
-    """(block, number, word): the distinct pre-tokens of each block of ``rows`` (_id, _text)."""
+def _buckets(words: pa.Array, buckets: int) -> np.ndarray:
+    return np.array([zlib.crc32(w) % buckets for w in words.to_pylist()], dtype=np.int64)
+
+
+def distinct_words(rows: DataFrame, block_chars: int, buckets: int) -> DataFrame:
+    """(block, bucket, sizes, words): the distinct pre-tokens of each block of
+    ``rows`` (_id, _text), by bucket and in the order of their numbers."""
     def run(batches):
         find = _finder()
         for block, held in _blocks(batches, block_chars):
             _, _, words = _numbered(held, find)
-            for start in range(0, len(words), 50_000):
-                w = words.slice(start, 50_000)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(w), block)), pa.array(np.arange(start, start + len(w), dtype=np.int32)), w],
-                    names=["block", "number", "word"])
+            at = _buckets(words, buckets)
+            order = np.argsort(at, kind="stable")
+            used, starts = np.unique(at[order], return_index=True)
+            sizes, lists = [], []
+            for mine in np.split(order, starts[1:]) if len(used) else []:
+                w = words.take(pa.array(mine)).to_pylist()
+                sizes.append(_packed(np.array([len(x) for x in w])))
+                lists.append(zlib.compress(b"".join(w), 1))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(used), block)), pa.array(used.astype(np.int32)), pa.array(sizes, pa.binary()),
+                pa.array(lists, pa.binary())], names=["block", "bucket", "sizes", "words"])
 
-    return rows.mapInArrow(run, "block long, number int, word binary")
+    return rows.mapInArrow(run, "block long, bucket int, sizes binary, words binary")
 
 
-def sequences(rows: DataFrame, block_chars: int) -> DataFrame:
-    """(block, _id, words, size, numbers): each document's pre-tokens by their
-    numbers in the block, which has ``words`` of them."""
+def sequences(rows: DataFrame, block_chars: int, buckets: int) -> DataFrame:
+    """(block, _id, size, numbers): each document's pre-tokens by their numbers
+    in the block.  A row of size -1 has the bucket of each number instead."""
     def run(batches):
         find = _finder()
         for block, held in _blocks(batches, block_chars):
             sizes, at, words = _numbered(held, find)
-            d, ends = len(held), np.cumsum(sizes)
+            ends = np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(d, block)), pa.array([i for i, _ in held], pa.int64()),
-                pa.array(np.full(d, len(words), dtype=np.int32)), pa.array(sizes, pa.int32()),
-                pa.array([_packed(at[e - n:e]) for n, e in zip(sizes, ends)], pa.binary())],
-                names=["block", "_id", "words", "size", "numbers"])
+                pa.array(np.full(len(held) + 1, block)), pa.array([None] + [i for i, _ in held], pa.int64()),
+                pa.array([-1] + sizes, pa.int32()),
+                pa.array([_packed(_buckets(words, buckets))] + [_packed(at[e - n:e]) for n, e in zip(sizes, ends)],
+                         pa.binary())], names=["block", "_id", "size", "numbers"])
 
-    return rows.mapInArrow(run, "block long, _id long, words int, size int, numbers binary")
+    return rows.mapInArrow(run, "block long, _id long, size int, numbers binary")
 
 
-def encode_words(words: DataFrame, ranks_path: str) -> DataFrame:
-    """(block, number, ids) of (block, number, word): all rows of a word come
-    to one place, in sequence, and its merges are run once."""
+def encode_words(words: DataFrame, ranks_path: str, buckets: int) -> DataFrame:
+    """(block, bucket, counts, ids) for (block, bucket, sizes, words): a bucket's
+    lists come to one task, one by one, and each distinct word is encoded there once."""
     def run(batches):
         ranks = load_ranks(ranks_path)
-        last, last_ids = None, b""
+        known: dict[bytes, bytes] = {}
         for b in batches:
-            coded = b.column(2).dictionary_encode()
-            ids = []
-            for w in coded.dictionary.to_pylist():
-                if w != last:
-                    last, last_ids = w, np.array(merged(w, ranks), dtype="<u4").tobytes()
-                ids.append(last_ids)
+            counts, ids = [], []
+            for sizes, data in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                ends = np.cumsum(_unpacked(sizes)).tolist()
+                data = zlib.decompress(data)
+                if len(known) > KNOWN_WORDS:  # bounds the memory; at worst a word is encoded again
+                    known = {}
+                out = []
+                for start, end in zip([0] + ends, ends):
+                    w = data[start:end]
+                    if (x := known.get(w)) is None:
+                        x = known[w] = np.array(merged(w, ranks), dtype="<u4").tobytes()
+                    out.append(x)
+                counts.append(_packed(np.array([len(x) // 4 for x in out])))
+                ids.append(_packed(np.frombuffer(b"".join(out), dtype="<u4")))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(ids, pa.binary()).take(coded.indices)],
-                names=["block", "number", "ids"])
+                [b.column(0), b.column(1), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())],
+                names=["block", "bucket", "counts", "ids"])
 
-    dealt = words.repartition(shuffle_width(words.sparkSession), "word").sortWithinPartitions("word")
-    return dealt.mapInArrow(run, "block long, number int, ids binary")
+    return words.repartition(buckets, "bucket").mapInArrow(run, "block long, bucket int, counts binary, ids binary")
 
 
 def _reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
-    number = np.asarray(words.column("number").combine_chunks()) if len(words) else np.zeros(0, dtype=np.int64)
-    if len(texts) and set(texts.column("words").to_pylist()) != {len(np.unique(number))}:
-        raise ValueError("the documents were not read in the same order twice; write them to a table first")
-    parts = [np.frombuffer(x, dtype="<u4") for x in words.column("ids").to_pylist()]
-    lengths = np.zeros(len(parts), dtype=np.int64)
-    lengths[number] = [len(p) for p in parts]
-    flat = np.concatenate([parts[i] for i in np.argsort(number)]) if parts else np.zeros(0, dtype="<u4")
-    starts = np.cumsum(lengths) - lengths
-    out = []
-    for size, data in zip(texts.column("size").to_pylist(), texts.column("numbers").to_pylist()):
-        at = _unpacked(data, size)
-        n = lengths[at]
-        ends = np.cumsum(n)
+    size = texts.column("size").to_pylist()
+    numbers = texts.column("numbers").to_pylist()
+    ids = texts.column("_id").cast(pa.int64())
+    bucket = _unpacked(numbers[size.index(-1)]) if -1 in size else np.zeros(0, dtype=np.int64)
+    n = np.zeros(len(bucket), dtype=np.int64)
+    starts = np.zeros(len(bucket), dtype=np.int64)
+    flat, before, met = [], 0, 0
+    for k, counts, part in zip(*[words.column(c).to_pylist() for c in ("bucket", "counts", "ids")]):
+        mine, counts = np.flatnonzero(bucket == k), _unpacked(counts)
+        if len(mine) != len(counts):
+            raise ValueError(ORDER_ERROR)
+        n[mine], starts[mine] = counts, before + np.cumsum(counts) - counts
+        flat.append(_unpacked(part))
+        before, met = before + len(flat[-1]), met + len(mine)
+    if met != len(bucket):
+        raise ValueError(ORDER_ERROR)
+    flat = np.concatenate(flat).astype("<u4") if flat else np.zeros(0, dtype="<u4")
+    out, keep = [], []
+    for k, (s, data) in enumerate(zip(size, numbers)):
+        if s < 0:
+            continue
+        at = _unpacked(data)
+        ends = np.cumsum(n[at])
         # The pre-token at each position takes flat[its start : its start + n].
-        offset = np.repeat(starts[at] - (ends - n), n) + np.arange(int(ends[-1]) if size else 0)
-        out.append(flat[offset].astype("<u4").tobytes())
-    return pa.table({"_id": texts.column("_id").cast(pa.int64()), "ids": pa.array(out, pa.binary())})
+        offset = np.repeat(starts[at] - (ends - n[at]), n[at]) + np.arange(int(ends[-1]) if s else 0)
+        out.append(flat[offset].tobytes())
+        keep.append(k)
+    return pa.table({"_id": ids.take(pa.array(keep, pa.int64())), "ids": pa.array(out, pa.binary())})
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None,
@@ -234,8 +257,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     """(_id, ids) of every row: ids as little-endian uint32."""
     ranks_path = ranks_path or public_tokenizers.path(RANKS)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    back = encode_words(distinct_words(rows, block_chars), ranks_path)
-    return (sequences(rows, block_chars).groupBy("block").cogroup(back.groupBy("block"))
+    buckets = shuffle_width(docs.sparkSession)
+    back = encode_words(distinct_words(rows, block_chars, buckets), ranks_path, buckets)
+    return (sequences(rows, block_chars, buckets).groupBy("block").cogroup(back.groupBy("block"))
             .applyInArrow(_reassemble, "_id long, ids binary"))
 
 
