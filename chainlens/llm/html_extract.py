@@ -322,9 +322,9 @@ def train(pages: DataFrame, html_col: str = "html") -> TreeModel:
 
 
 def extracted(pages: DataFrame, model: TreeModel, html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """``pages`` with the main text in place of the html."""
+    """``pages`` with the main text in place of the html (and of a column of that name)."""
     shared = pages.sparkSession.sparkContext.broadcast(model.counts)
-    names = [c for c in pages.columns if c != html_col]
+    names = [c for c in pages.columns if c not in (html_col, out_col)]
     schema = T.StructType(pages.select(*names).schema.fields + [T.StructField(out_col, T.StringType())])
 
     def run(batches):

@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chainlens.llm.common import fresh
+
 UNKNOWN = "und"
 SAMPLE_PER_LANGUAGE = 3000   # labelled documents a language at most (on average)
 MIN_COUNT = 3                # sightings below which a trigram is not learned
@@ -190,7 +192,8 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def predict(docs: DataFrame, bloom: SlicedBloom, text_col: str = "text", lang_out: str = "lang_pred",
             score_out: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its score (share of the text's
-    trigrams that the language contains)."""
+    trigrams that the language contains); columns of these names are replaced."""
+    docs = docs.drop(lang_out, score_out)
     model = docs.sparkSession.sparkContext.broadcast((bloom.languages, bloom.bits, letter_table()))
     schema = T.StructType(docs.schema.fields + [T.StructField(lang_out, T.StringType()),
                                                T.StructField(score_out, T.DoubleType())])
@@ -229,5 +232,6 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without a recognised language go; ``lang`` stays as given."""
-    out = identified(docs, lang_out="_lang", score_out="_score")
-    return out.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs, "_lang"), fresh(docs, "_score")
+    out = identified(docs, lang_out=lang, score_out=score)
+    return out.where((F.col(lang) != UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*docs.columns)

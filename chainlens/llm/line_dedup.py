@@ -173,37 +173,33 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """``docs`` with ``_kept_text``, ``_n_lines`` and ``_n_dropped`` added."""
+    """(_doc, _kept_text, _n_lines, _n_dropped): the whole row as a struct,
+    its remaining text, its lines and how many of them went."""
     gone = dropped_lines(docs, id_col, text_col, **params).withColumnRenamed("_d", "_gone_d")
-    lines = _lines(F.col(text_col))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(gone, doc_key(F.col(id_col)) == F.col("_gone_d"), "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    text = F.coalesce(F.col("_doc")[text_col], F.lit(""))
+    joined = rows.join(gone, doc_key(F.col("_doc")[id_col]) == F.col("_gone_d"), "left")
     mine = F.array_distinct(F.transform(
         F.filter(F.col("_at"), lambda e: e["_t"] == F.xxhash64(text)), lambda e: e["_pos"]))
-    out = joined.withColumn("_out", F.when(F.col("_at").isNull(), F.array().cast("array<int>")).otherwise(mine))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_out"))
+    out = joined.withColumn("_lines", _lines(F.col("_doc")[text_col])).withColumn(
+        "_out", F.when(F.col("_at").isNull(), F.array().cast("array<int>")).otherwise(mine))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_out"))
     kept = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
-    return (out.withColumn("_lines", lines)
-            .withColumn("_kept_text", F.when(F.size("_out") == 0, text).otherwise(kept))
-            .withColumn("_n_lines", F.size("_lines").cast("long"))
-            .withColumn("_n_dropped", F.size("_out").cast("long"))
-            .drop("_gone_d", "_at", "_out", "_lines"))
+    return out.select("_doc", F.when(F.size("_out") == 0, text).otherwise(kept).alias("_kept_text"),
+                      F.size("_lines").cast("long").alias("_n_lines"), F.size("_out").cast("long").alias("_n_dropped"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(docs).select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+        "_doc.doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
         F.sha2(F.col("_kept_text"), 256).alias("kept_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the text loses its repeated lines; every row stays."""
-    names = docs.columns
-    out = dedup_lines(docs).withColumn("text", F.col("_kept_text"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*names)
+    new = {"text": F.col("_kept_text"), "n_chars": F.length("_kept_text").cast("long")}
+    return dedup_lines(docs).select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -186,6 +186,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each row as often as its rate says, rounded to the nearest number."""
     out = mixed(docs, table(spark, sf_dir, "labels")).select(
         "_id", "_text_hash", F.floor(F.col("_rate") + 0.5).cast("int").alias("_times")).dropDuplicates(["_id", "_text_hash"])
-    on = docs["doc_id"].eqNullSafe(out["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == out["_text_hash"])
-    return (docs.join(out, on).withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.col("_times"))))
-            .select(*docs.columns))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    on = (F.col("_doc.doc_id").eqNullSafe(F.col("_id"))
+          & (F.xxhash64(F.coalesce("_doc.text", F.lit(""))) == F.col("_text_hash")))
+    return (rows.join(out, on).select("_doc", F.explode(F.array_repeat(F.lit(1), F.col("_times"))))
+            .select("_doc.*"))

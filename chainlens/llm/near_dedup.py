@@ -319,7 +319,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays (its smallest id)."""
     found = groups(docs).where("kept").select(doc_key(F.col("_id")).alias("_keep")).distinct()
-    return docs.join(found, doc_key(docs["doc_id"]) == F.col("_keep"), "left_semi")
+    return docs.join(found, doc_key(docs["doc_id"]) == found["_keep"], "left_semi")
 
 
 ORACLE = r"""

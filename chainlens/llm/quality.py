@@ -187,16 +187,16 @@ def _level_key(*names: str) -> Column:
     return F.concat(F.lit(f"{len(names)}"), *[x for p in parts for x in (F.lit("\x01"), p)])
 
 
-def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
            min_group: int = MIN_GROUP, cutoff: float = CUTOFF, cover: float = COVER, steps: int = STEPS) -> DataFrame:
-    """``docs`` without the text, with ``_q_*`` statistics, ``_base_failed``,
-    ``_d2`` and ``_kept``."""
-    d = statistics(docs, text_col).drop(text_col)
+    """(_id, ``_q_*`` statistics, _base_failed, _d2, _kept) per row of ``docs``."""
+    d = statistics(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"),
+                               F.col(source_col).alias("_source")), "_text").drop("_text")
     n, rep = F.col("_q_n_words"), F.col("_q_n_repeat_words")
     d = d.withColumn("_base_failed", (n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n))
     for i, x in enumerate(transformed()):
         d = d.withColumn(f"_x{i}", x.cast("double"))
-    d = d.withColumn("_g2", _level_key(lang_col, source_col)).withColumn("_g1", _level_key(lang_col)).withColumn(
+    d = d.withColumn("_g2", _level_key("_lang", "_source")).withColumn("_g1", _level_key("_lang")).withColumn(
         "_g0", _level_key())
     d = written(d, "doc_statistics")
     xs = [f"_x{i}" for i in range(DIM)]
@@ -219,6 +219,6 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
 def op2_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged(docs).select("doc_id", *[F.col(f"_q_{c}").alias(c) for c in base],
+    return judged(docs).select(F.col("_id").alias("doc_id"), *[F.col(f"_q_{c}").alias(c) for c in base],
                                F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"),
                                F.col("_d2").alias("distance2"))
