@@ -38,18 +38,23 @@ def doc_key(c: Column) -> Column:
     return F.coalesce(c.cast("long"), F.lit(NO_ID))
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to a fresh folder on the shared scratch root and read it
     back: cuts the lineage, survives lost executors, is evaluated once."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    w = df.write
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    df.write.parquet(path, compression=compression, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with as many leading underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def range_number(c: Column, cuts: list[int]) -> Column:
     """Number of sorted ``cuts`` below ``c``, found in groups of about the square root of their count."""
     if not cuts:
