@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -57,13 +58,10 @@ def cluster_conf(input_bytes: float, executors: int = 1000, cores_per_executor:
     * file splits of 512 MB keep scan tasks few but parallel;
     * skewed partitions (> 5x the median and > 1 GB) are split by AQE;
     * broadcast only below 64 MB measured at runtime (never a fact table).
-    For 100 TB the input alone would give about 370,000 partitions; the cap
-    of 100,000 applies (about 1 GB of INPUT, far less shuffle, per partition).
+    For 100 TB the input gives about 370,000 partitions of 256 MB.
     """
     slots = executors * cores_per_executor
-    # shuffles carry projected, partially aggregated rows (a fraction of the
-    # input), so the count is capped to keep map-status metadata manageable
-    parts = max(2 * slots, min(int(input_bytes // target_partition_bytes) + 1, 100_000))
+    parts = max(2 * slots, int(input_bytes // target_partition_bytes) + 1)
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
@@ -83,31 +81,31 @@ def apply_conf(spark: SparkSession, conf: dict[str, str]) -> None:
         spark.conf.set(k, v)
 
 
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Bytes of the files below the paths, from the file system's own summary."""
+    conf = spark._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        total += path.getFileSystem(conf).getContentSummary(path).getLength()
+    return total
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints, stream state and written tables.
 
-    Taken from ``spark.checkpoint.dir`` (or the context's checkpoint dir)
-    when the cluster names one.  Only when neither is set (local tests) a
-    fresh folder is created and registered as the checkpoint dir.
+    Taken from ``spark.checkpoint.dir`` (or the context's checkpoint dir).
+    Where neither is set, a single-process session (``local[...]``, as in
+    tests) gets a fresh folder; on a cluster that is an error, since a folder
+    of one machine is not seen by the others.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    try:
-        current = spark.sparkContext.getCheckpointDir()
-    except Exception:  # sessions without a local SparkContext
-        current = None
-    if current:
-        return current.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="chainlens-ckpt-")
-    try:
-        spark.sparkContext.setCheckpointDir(local)
-    except Exception:
-        pass
-    try:
-        spark.conf.set("spark.checkpoint.dir", local)
-    except Exception:  # a session may refuse runtime changes of core settings
-        pass
+    spark.sparkContext.setCheckpointDir(local)
     return local
 
 

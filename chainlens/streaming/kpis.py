@@ -1,18 +1,21 @@
 """Structured Streaming forms of the live KPIs and alerts.
 
-ST-1  daily KPI counts / sums per event type: watermark + tumbling window.
+ST-1  daily KPI counts / sums per event type over tumbling windows;
+      each micro-batch upserts the days that changed.
 ST-2  stateless alert filter (append).
-ST-3  incremental refresh of a day-partitioned fact table: each micro-batch
-      overwrites only the partitions it touches (dynamic overwrite).
+ST-3  incremental refresh of a fact table: each micro-batch rebuilds the
+      partitions that it touches from their stored rows and its own.
 
-Sinks write to the shared checkpoint root, never to a machine-local folder.
+Sources are table paths, a file or a folder of files.  Sinks, state and
+checkpoints are written below the shared scratch root.
 """
 
 from __future__ import annotations
 
 import os
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -25,23 +28,37 @@ EVENTS_SCHEMA = T.StructType([
     T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
 ])
+KPI_KEY = ["day", "event_type"]
+LINE_KEY = ["order_id", "line_number", "product_id", "supplier_id", "ship_date"]
 
 
-def event_stream(spark: SparkSession, source_dir: str, file_glob: str = "events.parquet",
-                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of events from Parquet files; ``ts`` becomes a TIMESTAMP
-    instant (watermarks need TIMESTAMP, the files hold TIMESTAMP_NTZ), read
-    as UTC wall clock whatever the session time zone."""
-    r = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", file_glob)
+def _files(spark: SparkSession, schema, path: str, max_files_per_trigger: int | None) -> DataFrame:
+    """Stream of a Parquet table, one file or a folder of them.  A file
+    source watches folders, so a file is its folder filtered by its name."""
+    r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(source_dir).withColumn("ts", C.ntz_as_utc("ts"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return r.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    return r.parquet(path)
 
 
-def daily_kpis(events: DataFrame, watermark: str = "1 day", window: str = "1 day") -> DataFrame:
+def event_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Stream of events; ``ts`` becomes a TIMESTAMP instant (watermarks need
+    TIMESTAMP, the files hold TIMESTAMP_NTZ), read as UTC wall clock whatever
+    the session time zone."""
+    return _files(spark, EVENTS_SCHEMA, path, max_files_per_trigger).withColumn("ts", C.ntz_as_utc("ts"))
+
+
+def daily_kpis(events: DataFrame, watermark: str | None = None, window: str = "1 day") -> DataFrame:
     """Per (day window, event type): event count and exact value total.
-    Works on a stream (state bounded by the watermark) or on a batch."""
-    if events.isStreaming:
+
+    On a stream the state has one row a day and event type, so it grows with
+    the calendar only, and events count however late they come.  A
+    ``watermark`` frees the days that it has passed, at the price that later
+    events of these are not counted.  Works on a batch too."""
+    if events.isStreaming and watermark:
         events = events.withWatermark("ts", watermark)
     g = events.groupBy(F.window("ts", window).alias("w"), "event_type").agg(
         F.count(F.lit(1)).alias("events"),
@@ -49,64 +66,125 @@ def daily_kpis(events: DataFrame, watermark: str = "1 day", window: str = "1 day
     return g.select(C.utc_date("w.start").alias("day"), "event_type", "events", "total_value")
 
 
-def run_to_table(df: DataFrame, out_path: str, checkpoint: str, mode: str = "complete",
-                 available_now: bool = True) -> StreamingQuery:
-    """Run a streaming aggregate into a Parquet folder.
-
-    complete: every micro-batch rewrites the (small) result table;
-    append:   finished windows are appended.
-    """
-    if mode == "complete":
-        def _sink(batch: DataFrame, _batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(out_path)
-        w = df.writeStream.outputMode("complete").foreachBatch(_sink)
-    else:
-        w = df.writeStream.outputMode("append").format("parquet").option("path", out_path)
-    w = w.option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+# --- a table of merged batches --------------------------------------------------
+
+def read_merged(spark: SparkSession, table: str, partition_col: str, before: int | None = None) -> DataFrame:
+    """Current rows: of each partition, the files of the last batch that wrote it."""
+    rows = spark.read.option("basePath", table).parquet(table)
+    if before is not None:
+        rows = rows.where(F.col("_batch") < before)
+    last = rows.groupBy(F.col(partition_col).alias("_p")).agg(F.max("_batch").alias("_last"))  # one row a partition
+    return (rows.join(last, rows[partition_col].eqNullSafe(last["_p"]) & (rows["_batch"] == last["_last"]))
+            .drop("_p", "_last", "_batch"))
+
+
+def _merge_batch(batch: DataFrame, batch_id: int, table: str, partition_col: str, key: list[str]) -> None:
+    """Rebuild the partitions that ``batch`` touches: stored rows whose key it
+    doesn't hold, plus its own (of several with one key, any).  The result is
+    a fresh folder of this batch, written from earlier batches only, so doing
+    it again gives the same table."""
+    spark = batch.sparkSession
+    batch = batch.dropDuplicates(key)
+    out = batch
+    if _has_batches(spark, table, batch_id):
+        same_part = [partition_col]
+        stored = read_merged(spark, table, partition_col, before=batch_id)
+        touched = batch.select(*same_part).distinct()
+        kept = _null_safe(_null_safe(stored, touched, same_part, "left_semi"), batch.select(*key), key, "left_anti")
+        out = kept.unionByName(batch)
+    (out.hint("rebalance", partition_col).write.mode("overwrite").partitionBy(partition_col)
+     .parquet(f"{table}/_batch={batch_id}"))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    r = right.select(*[F.col(c).alias(f"__{c}") for c in on])
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & left[c].eqNullSafe(r[f"__{c}"])
+    return left.join(r, cond, how)
+
+
+def _has_batches(spark: SparkSession, table: str, before: int) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return False
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return any(int(n[len("_batch="):]) < before for n in names if n.startswith("_batch="))
+
+
+def merge_stream(stream: DataFrame, table: str, partition_col: str, key: list[str], checkpoint: str,
+                 mode: str = "append", available_now: bool = True) -> StreamingQuery:
+    """Keep ``table`` (read it with ``read_merged``) up to date with a stream
+    of rows, of which a later one replaces an earlier one with the same key."""
+    sink = partial(_merge_batch, table=table, partition_col=partition_col, key=key)
+    w = (stream.writeStream.outputMode(mode).foreachBatch(lambda batch, i: sink(batch, i))
+         .option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
-def stream_session(spark: SparkSession, state_partitions: int = 8) -> SparkSession:
-    """A session for a stateful stream whose state is small.
+# --- ST-1 -------------------------------------------------------------------------
 
-    A streaming aggregate fixes its number of state partitions from
-    ``spark.sql.shuffle.partitions`` when it first starts; a batch-sized
-    value (tens of thousands on a large cluster) would spread a few thousand
-    (day, type) keys over that many state stores.  The clone shares the
-    cluster but not the caller's settings."""
+def stream_session(spark: SparkSession, state_partitions: int) -> SparkSession:
+    """A session for a stateful stream: a streaming aggregate fixes its number
+    of state partitions when it first starts.  The clone shares the cluster
+    but not the caller's settings."""
     s = spark.newSession()
     s.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     s.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     return s
 
 
-def stream_kpis_daily_batch_result(spark: SparkSession, source_dir: str, state_partitions: int = 8) -> DataFrame:
-    """Run ST-1 to completion over the files present and read the result."""
+def kpi_upsert(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """ST-1: days that changed are replaced in a table partitioned by month."""
+    kpis = daily_kpis(events).withColumn("month", C.month_start("day"))
+    return merge_stream(kpis, table, "month", KPI_KEY, checkpoint, mode="update")
+
+
+def stream_kpis_daily_batch_result(spark: SparkSession, sf_dir: str, state_partitions: int | None = None,
+                                   max_files_per_trigger: int | None = None) -> DataFrame:
+    """Run ST-1 to completion over the files present and read the result.
+
+    ``state_partitions``: by default the session's shuffle partitions."""
     base = scratch_path(spark, "stream_kpis_daily")
-    out, ckpt = os.path.join(base, "out"), os.path.join(base, "checkpoint")
-    s = stream_session(spark, state_partitions)
-    q = run_to_table(daily_kpis(event_stream(s, source_dir)), out, ckpt, mode="complete")
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    table = os.path.join(base, "out")
+    s = stream_session(spark, state_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kpi_upsert(event_stream(s, f"{sf_dir}/events.parquet", max_files_per_trigger), table,
+               os.path.join(base, "checkpoint")).awaitTermination()
+    return read_merged(spark, table, "month").drop("month")
+
 
+def kpis_append(events: DataFrame, out: str, checkpoint: str, watermark: str = "1 day") -> StreamingQuery:
+    """Append form: a day is written once, when the watermark has passed it
+    (the days after that are still open when the stream ends)."""
+    return (daily_kpis(events, watermark).writeStream.outputMode("append").format("parquet").option("path", out)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
-def lineitem_stream(spark: SparkSession, source_dir: str, file_glob: str = "lineitem.parquet",
-                    max_files_per_trigger: int | None = None) -> DataFrame:
+
+# --- ST-2, ST-3 ---------------------------------------------------------------------
+
+def lineitem_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     from chainlens.sources.fixtures import TPCH_SCHEMAS
-    r = spark.readStream.schema(TPCH_SCHEMAS["lineitem"]).option("pathGlobFilter", file_glob)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(source_dir)
+    return _files(spark, TPCH_SCHEMAS["lineitem"], path, max_files_per_trigger)
+
+
+def alert_stream(orders_stream: DataFrame, lead_days: int = 14) -> DataFrame:
+    """Stateless alert rows: order lines with lead time above the limit."""
+    return orders_stream.where(F.col("lead_time_days") > lead_days).select(
+        "order_id", "order_date", "ship_date", "lead_time_days",
+        F.lit("high_lead_time").alias("alert"))
 
 
-def stream_high_lead_alerts_batch_result(spark: SparkSession, source_dir: str) -> DataFrame:
+def stream_high_lead_alerts_batch_result(spark: SparkSession, sf_dir: str,
+                                         max_files_per_trigger: int | None = None) -> DataFrame:
     """ST-2 over the test tables: lineitem arrives as a stream, is joined to
     the static order / customer / part tables, and lines with a lead time
     above the limit are appended to the alert sink.  Stateless, so every
     micro-batch's alerts are final; run to completion and read back."""
     from chainlens.sources import fixtures as FX
-    lines = FX.order_lines(FX.raw(spark, source_dir), lineitem=lineitem_stream(spark, source_dir))
+    stream = lineitem_stream(spark, f"{sf_dir}/lineitem.parquet", max_files_per_trigger)
+    lines = FX.order_lines(FX.raw(spark, sf_dir), lineitem=stream)
     base = scratch_path(spark, "stream_high_lead_alerts")
     q = (alert_stream(lines).writeStream.format("parquet").outputMode("append")
          .option("path", os.path.join(base, "out"))
@@ -116,43 +194,22 @@ def stream_high_lead_alerts_batch_result(spark: SparkSession, source_dir: str) -
     return spark.read.parquet(os.path.join(base, "out"))
 
 
-def stream_fact_orders_refresh_batch_result(spark: SparkSession, source_dir: str) -> DataFrame:
-    """ST-3 over the test tables: lineitem arrives as a stream, each
-    micro-batch is joined to the static order / customer / part tables,
-    shaped into fact_orders rows and written with dynamic partition
-    overwrite, so only the months present in the batch are replaced."""
+def fact_orders_refresh(lines: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """ST-3: order lines of a stream are shaped into fact rows and merged into
+    the months that they touch; a line that comes again replaces the stored one."""
     from chainlens.plans import warehouse as W
+    facts = (W.fact_orders(lines, keep=["supplier_id", "line_number"])
+             .withColumn("order_month", C.month_start("order_date")))
+    return merge_stream(facts, table, "order_month", LINE_KEY, checkpoint)
+
+
+def stream_fact_orders_refresh_batch_result(spark: SparkSession, sf_dir: str,
+                                            max_files_per_trigger: int | None = None) -> DataFrame:
+    """ST-3 over the test tables, run to completion and read back."""
     from chainlens.sources import fixtures as FX
-    lines = FX.order_lines(FX.raw(spark, source_dir), lineitem=lineitem_stream(spark, source_dir))
-    facts = W.fact_orders(lines.drop("state")).withColumn("order_month", C.month_start("order_date"))
+    stream = lineitem_stream(spark, f"{sf_dir}/lineitem.parquet", max_files_per_trigger)
+    lines = FX.order_lines(FX.raw(spark, sf_dir), lineitem=stream)
     base = scratch_path(spark, "stream_fact_orders_refresh")
     table = os.path.join(base, "fact_orders")
-    q = refresh_partitions(facts, table, "order_month", os.path.join(base, "checkpoint"))
-    q.awaitTermination()
-    return spark.read.parquet(table)
-
-
-def alert_stream(orders_stream: DataFrame, lead_days: int = 14) -> DataFrame:
-    """Stateless alert rows: order lines with lead time above the limit."""
-    return orders_stream.where(F.col("lead_time_days") > lead_days).select(
-        "order_id", "order_date", "ship_date", "lead_time_days",
-        F.lit("high_lead_time").alias("alert"))
-
-
-def inventory_alert_stream(inventory_stream: DataFrame) -> DataFrame:
-    return inventory_stream.where(F.col("stockout_risk")).select(
-        "date", "product_id", "stock_level", "daily_demand", F.lit("stockout").alias("alert"))
-
-
-def refresh_partitions(stream: DataFrame, table_path: str, partition_col: str, checkpoint: str,
-                       transform=None, available_now: bool = True) -> StreamingQuery:
-    """Incremental fact refresh: each micro-batch overwrites only the
-    partitions present in the batch (dynamic partition overwrite)."""
-    def _sink(batch: DataFrame, _batch_id: int) -> None:
-        out = transform(batch) if transform else batch
-        (out.hint("rebalance", partition_col).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic")
-         .partitionBy(partition_col).parquet(table_path))
-    w = stream.writeStream.foreachBatch(_sink).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    fact_orders_refresh(lines, table, os.path.join(base, "checkpoint")).awaitTermination()
+    return read_merged(spark, table, "order_month").drop("supplier_id", "line_number")

@@ -26,10 +26,10 @@ def test_stream_in_several_micro_batches(spark, tmp_root):
     ev = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet"))
     ev.repartition(4).write.parquet(src)
     out, ck = os.path.join(tmp_root, "k_out"), os.path.join(tmp_root, "k_ck")
-    q = kpis.run_to_table(kpis.daily_kpis(kpis.event_stream(spark, src, file_glob="*.parquet",
-                                                            max_files_per_trigger=1)), out, ck)
+    q = kpis.kpi_upsert(kpis.event_stream(spark, src, max_files_per_trigger=1), out, ck)
     q.awaitTermination()
-    got = spark.read.parquet(out)
+    assert len([x for x in os.listdir(out) if x.startswith("_batch=")]) >= 4
+    got = kpis.read_merged(spark, out, "month").drop("month")
     batch = kpis.daily_kpis(ev.withColumn("ts", C.ntz_as_utc("ts")))
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in batch.collect())
 
@@ -46,18 +46,67 @@ def test_alert_stream_append(spark, tmp_root):
     assert [r["order_id"] for r in spark.read.parquet(out).collect()] == ["A"]
 
 
-def test_refresh_only_touched_partitions(spark, tmp_root):
-    table = os.path.join(tmp_root, "fact_inv")
-    make_inventory(spark, [inv_row("2024-01-01", "P1", stock=1), inv_row("2024-01-02", "P1", stock=2)]) \
-        .write.partitionBy("date").parquet(table)
-    src = os.path.join(tmp_root, "inv_updates")
-    make_inventory(spark, [inv_row("2024-01-02", "P1", stock=99)]).write.parquet(src)
-    inv_schema = make_inventory(spark, []).schema
-    q = kpis.refresh_partitions(spark.readStream.schema(inv_schema).parquet(src), table, "date",
-                                os.path.join(tmp_root, "inv_ck"))
-    q.awaitTermination()
-    got = {str(r["date"]): r["stock_level"] for r in spark.read.parquet(table).collect()}
-    assert got == {"2024-01-01": 1, "2024-01-02": 99}
+def _folders(spark, root, parts=4):
+    """The test tables with events and lineitem as folders of several files."""
+    import shutil
+    os.makedirs(root, exist_ok=True)
+    for name in os.listdir(SF_SMALL):
+        if name not in ("events.parquet", "lineitem.parquet"):
+            shutil.copy(os.path.join(SF_SMALL, name), root)
+    for name in ("events", "lineitem"):
+        spark.read.parquet(os.path.join(SF_SMALL, f"{name}.parquet")).repartition(parts).write.parquet(
+            os.path.join(root, f"{name}.parquet"))
+    return root
+
+
+def _rows(df):
+    return sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=str)
+
+
+def test_folder_tables_one_file_a_trigger_equal_batch(spark, tmp_root):
+    from chainlens.plans import warehouse as W
+    from chainlens.sources import fixtures as FX
+    root = _folders(spark, os.path.join(tmp_root, "folders"))
+    orders = FX.tables(spark, SF_SMALL).orders
+    facts = W.fact_orders(orders).withColumn("order_month", C.month_start("order_date"))
+    got = kpis.stream_fact_orders_refresh_batch_result(spark, root, max_files_per_trigger=1)
+    assert got.count() == orders.count() and _rows(got) == _rows(facts)
+    alerts = kpis.stream_high_lead_alerts_batch_result(spark, root, max_files_per_trigger=1)
+    assert _rows(alerts) == _rows(kpis.alert_stream(orders))
+    days = kpis.stream_kpis_daily_batch_result(spark, root, max_files_per_trigger=1)
+    events = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet")).withColumn("ts", C.ntz_as_utc("ts"))
+    assert _rows(days) == _rows(kpis.daily_kpis(events))
+
+
+def test_merge_replaces_by_key_and_replay_changes_nothing(spark, tmp_root):
+    table = os.path.join(tmp_root, "merged")
+
+    def rows(*values):
+        return spark.createDataFrame(list(values), "month string, k int, v string")
+
+    args = dict(table=table, partition_col="month", key=["month", "k"])
+    kpis._merge_batch(rows(("m1", 1, "a"), ("m1", 2, "b"), ("m2", 1, "c"), (None, 9, "n")), 0, **args)
+    second = rows(("m1", 2, "B"), ("m1", 3, "d"), (None, 9, "N"))
+    kpis._merge_batch(second, 1, **args)
+    want = [("m1", 1, "a"), ("m1", 2, "B"), ("m1", 3, "d"), ("m2", 1, "c"), (None, 9, "N")]
+    read = lambda: sorted(((r["month"], r["k"], r["v"]) for r in
+                           kpis.read_merged(spark, table, "month").collect()), key=str)
+    assert read() == sorted(want, key=str)
+    kpis._merge_batch(second, 1, **args)  # the batch is run again after a failure
+    assert read() == sorted(want, key=str)
+    kpis._merge_batch(rows(("m2", 5, "e")), 2, **args)
+    assert read() == sorted(want + [("m2", 5, "e")], key=str)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+    import pytest
+    from chainlens.session import checkpoint_root
+    conf = SimpleNamespace(get=lambda k, d=None: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            checkpoint_root(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(
+                getCheckpointDir=lambda: None, master=master)))
 
 
 def test_append_mode_emits_only_closed_windows(spark, tmp_root):
@@ -69,10 +118,7 @@ def test_append_mode_emits_only_closed_windows(spark, tmp_root):
         ev.where(day.between(lo, hi)).coalesce(1).write.mode("append").parquet(src)
         time.sleep(1.1)
     out, ck = os.path.join(tmp_root, "a_out"), os.path.join(tmp_root, "a_ck")
-    q = kpis.run_to_table(kpis.daily_kpis(kpis.event_stream(spark, src, file_glob="*.parquet",
-                                                            max_files_per_trigger=1), watermark="1 hour"),
-                          out, ck, mode="append")
-    q.awaitTermination()
+    kpis.kpis_append(kpis.event_stream(spark, src, max_files_per_trigger=1), out, ck, "1 hour").awaitTermination()
     got = {(r["day"], r["event_type"]): tuple(r) for r in spark.read.parquet(out).collect()}
     batch = {(r["day"], r["event_type"]): tuple(r) for r in
              kpis.daily_kpis(ev.withColumn("ts", C.ntz_as_utc("ts"))).collect()}
@@ -90,7 +136,7 @@ def test_stream_days_do_not_depend_on_session_time_zone(spark):
     assert shifted == utc
 
 
-def test_kpi_stream_state_partitions_are_bounded(spark):
+def test_kpi_stream_state_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "64")
     try:
         out = kpis.stream_kpis_daily_batch_result(spark, SF_SMALL, state_partitions=3)
