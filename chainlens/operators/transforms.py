@@ -34,12 +34,22 @@ def normalise_doubles(df: DataFrame) -> DataFrame:
 
 
 def enrich_orders(df: DataFrame, lenient: bool = False) -> DataFrame:
-    """Dates coerced; lead time, order year / month / quarter, order value."""
-    df = _coerce_dates(df, ["order_date", "ship_date"], lenient)
+    """Dates coerced; lead time, order year / month / quarter, order value.
+
+    The lead time is the number of whole days elapsed, so where the inputs
+    carry a time of day it is taken before they become dates."""
     cols = set(df.columns)
     new: dict = {}
     if {"order_date", "ship_date"} <= cols:
-        new["lead_time_days"] = C.day_diff("ship_date", "order_date")
+        kinds = [df.schema[c].dataType for c in ("ship_date", "order_date")]
+        if all(isinstance(k, T.DateType) for k in kinds):
+            lead = C.day_diff("ship_date", "order_date")
+        else:
+            lead = C.floor_day_diff("ship_date", "order_date", lenient)
+        df = df.withColumn("lead_time_days", lead)
+    df = _coerce_dates(df, ["order_date", "ship_date"], lenient)
+    if "lead_time_days" in df.columns and {"order_date", "ship_date"} <= cols:
+        new["lead_time_days"] = F.col("lead_time_days")
     if "order_date" in cols:
         new["order_year"] = F.year("order_date")
         new["order_month"] = F.month("order_date")

@@ -1,13 +1,13 @@
-"""End-to-end batch job: extract -> warehouse -> marts -> metrics / report.
+"""End-to-end batch job: extract -> checks -> warehouse -> marts -> metrics / report.
 
 C-1  ``all_metrics``  every metric family as a lazy DataFrame
 C-4  ``build_marts``  compute and write the marts from warehouse tables
 C-3  ``run``          the full job
 
-The warehouse is written to the shared folder (``spark.checkpoint.dir`` or
-a catalog database) and read back before the marts are built: the written
-tables cut the lineage, so a lost executor during the mart stage recomputes
-from Parquet files, not from the source joins.
+Order lines, returns, inventory, people and products are written once to the
+shared folder as they are extracted; checks, warehouse, marts, KPIs, alerts
+and the report read those files.  Each source is thus read once, and a lost
+executor recomputes from Parquet files, not from the source joins.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from chainlens.operators import metrics as M
 from chainlens.operators import quality as Q
 from chainlens.plans import report as R
 from chainlens.plans import warehouse as W
-from chainlens.session import scratch_path
+from chainlens.session import apply_conf, cluster_conf, input_bytes, scratch_path
+from chainlens.sources import files as SRC
 from chainlens.sources import fixtures as FX
 
 
@@ -76,26 +77,63 @@ def build_marts(wh: dict[str, DataFrame], root: str | None = None, database: str
     return written
 
 
-def run(spark: SparkSession, sf_dir: str, root: str | None = None, database: str | None = None,
-        skew_share: float | None = 0.01) -> dict[str, str]:
-    """Full batch job over the test tables of ``sf_dir``.
-
-    Returns the locations written.  Every step is a distributed write; the
-    driver only sequences the jobs (and receives at most 1 / skew_share hot
-    order keys, which are salted in the lineitem-orders join).
-    """
+def extract(spark: SparkSession, root: str, sf_dir: str | None = None, landed: dict[str, str] | None = None,
+            fmt: str = "csv", formats: dict[str, str] | None = None, skew_share: float | None = None) -> dict[str, DataFrame]:
+    """The input tables, each written once below ``root``: those landed
+    (orders / returns / people) first, others from the test tables."""
+    tables: dict[str, DataFrame] = dict(SRC.load_all(spark, landed or {}, fmt, formats))
+    if sf_dir:
+        t = FX.tables(spark, sf_dir, skew_share=skew_share)
+        for name in ("orders", "returns", "people", "products", "inventory"):
+            if name not in tables:
+                tables[name] = getattr(t, name)
+    out = {}
+    for name, df in tables.items():
+        path = os.path.join(root, name)
+        df.write.mode("overwrite").parquet(path)
+        out[name] = spark.read.schema(df.schema).parquet(path)
+    return out
+
+
+def run(spark: SparkSession, sf_dir: str | None = None, root: str | None = None, database: str | None = None,
+        landed: dict[str, str] | None = None, fmt: str = "csv", formats: dict[str, str] | None = None,
+        skew_share: float | None = 0.01, executors: int | None = None) -> dict[str, str]:
+    """Full batch job over the test tables of ``sf_dir`` and / or landed files.
+
+    ``database``: load the declared tables of that database instead of
+    folders.  ``executors``: size shuffles for that cluster from the bytes
+    read.  Returns the locations written.  Every step is a distributed write;
+    the driver only sequences the jobs (and receives at most 1 / skew_share
+    hot keys a join).  Outputs whose inputs are absent are left out."""
     root = root or scratch_path(spark, "chainlens-run")
-    t = FX.tables(spark, sf_dir, skew_share=skew_share)
-    orders = t.orders.drop("state")  # the fixture has no states: location_id = 'Unknown'
+    if executors:
+        paths = list((landed or {}).values()) + ([sf_dir] if sf_dir else [])
+        apply_conf(spark, cluster_conf(input_bytes(spark, paths), executors))
+    t = extract(spark, os.path.join(root, "extracted"), sf_dir, landed, fmt, formats, skew_share)
+    out = {"root": root}
+
+    def save(name: str, df: DataFrame) -> None:
+        out[name] = os.path.join(root, name)
+        df.write.mode("overwrite").parquet(out[name])
+
+    save("dq_missing_cells", Q.dq_missing_cells(t))
+    save("table_profile", Q.table_profile(t))
+    if "orders" in t:
+        save("dq_required_columns", Q.dq_required_columns(t["orders"]))
+
     wh_root = os.path.join(root, "warehouse")
-    W.load_warehouse({"products": t.products, "orders": orders, "inventory": t.inventory,
-                      "returns": t.returns, "people": t.people},
-                     database=database, root=None if database else wh_root)
+    W.load_warehouse(t, database=database, root=None if database else wh_root)
     wh = W.read_warehouse(spark, database=database, root=None if database else wh_root)
-    marts_root = os.path.join(root, "marts")
-    build_marts(wh, root=marts_root, database=database, skew_share=skew_share)
-    report = R.summary_report(t.orders, t.inventory, t.returns)
-    R.write_summary_report(report, os.path.join(root, "summary_report"))
-    Q.alerts(t.orders, t.inventory).write.mode("overwrite").parquet(os.path.join(root, "alerts"))
-    D.kpi_cards(t.orders, t.inventory).write.mode("overwrite").parquet(os.path.join(root, "kpi_cards"))
-    return {"root": root, "warehouse": wh_root if not database else database, "marts": marts_root}
+    out["warehouse"] = database or wh_root
+    loaded = [n for n in W.dimension_and_fact_frames(t)]
+    save("dq_required_nulls", Q.dq_required_nulls({n: wh[n] for n in loaded}))
+    if {"orders", "products", "returns", "inventory"} <= set(t):
+        out["marts"] = database or os.path.join(root, "marts")
+        build_marts(wh, root=None if database else out["marts"], database=database, skew_share=skew_share)
+    if {"orders", "inventory"} <= set(t):
+        save("alerts", Q.alerts(t["orders"], t["inventory"]))
+        save("kpi_cards", D.kpi_cards(t["orders"], t["inventory"]))
+        if "returns" in t:
+            out["summary_report"] = os.path.join(root, "summary_report")
+            R.write_summary_report(R.summary_report(t["orders"], t["inventory"], t["returns"]), out["summary_report"])
+    return out

@@ -14,11 +14,12 @@ of all rows is still spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainlens.functions import columns as C
-from chainlens.schemas import REQUIRED_FIELDS, WAREHOUSE_DDL
+from chainlens.schemas import WAREHOUSE_DDL
 
 AUDIT = ["created_date", "updated_date"]
 
@@ -50,10 +51,11 @@ def dim_products(products: DataFrame) -> DataFrame:
         "description", F.col("image").alias("image_url"))
 
 
-def fact_orders(orders: DataFrame) -> DataFrame:
+def fact_orders(orders: DataFrame, keep: list[str] = ()) -> DataFrame:
     """location_id = country || '_' || state when both columns exist,
     'Unknown' otherwise.  delivery_date, shipping_cost and
-    order_cycle_time_days are declared but not loaded (typed NULL)."""
+    order_cycle_time_days are declared but not loaded (typed NULL).  ``keep``
+    names further input columns to carry."""
     cols = set(orders.columns)
     loc = C.location_id("country", "state") if {"country", "state"} <= cols else F.lit("Unknown")
     return orders.select(
@@ -65,7 +67,7 @@ def fact_orders(orders: DataFrame) -> DataFrame:
         F.lit(None).cast("double").alias("shipping_cost"),
         F.col("lead_time_days").cast("bigint").alias("lead_time_days"),
         F.lit(None).cast("bigint").alias("order_cycle_time_days"),
-        "order_value")
+        "order_value", *keep)
 
 
 def fact_inventory(inventory: DataFrame) -> DataFrame:
@@ -80,9 +82,15 @@ def fact_inventory(inventory: DataFrame) -> DataFrame:
 def fact_returns(returns: DataFrame) -> DataFrame:
     """return_id is kept when the input carries one; otherwise it is derived
     from the row's own values (a row index means nothing on a distributed
-    frame).  return_reason / return_amount are declared, not loaded."""
-    rid = (F.col("return_id") if "return_id" in returns.columns
-           else C.stable_id("RET_", *returns.columns))
+    frame), with an ordinal from the second of equal rows on.  return_reason
+    / return_amount are declared, not loaded."""
+    if "return_id" in returns.columns:
+        rid = F.col("return_id")
+    else:
+        values = [F.col(f"`{c}`") for c in returns.columns]
+        nth = F.row_number().over(Window.partitionBy(*values).orderBy(F.lit(1)))
+        returns = returns.withColumn("_nth", nth)
+        rid = F.concat(C.stable_id("RET_", *values), F.when(F.col("_nth") > 1, F.concat(F.lit("_"), "_nth")).otherwise(""))
     return returns.select(
         rid.alias("return_id"), "return_date", "order_id", "customer_id",
         F.col("product_id").cast("string").alias("product_id"),
@@ -90,19 +98,25 @@ def fact_returns(returns: DataFrame) -> DataFrame:
         F.lit(None).cast("double").alias("return_amount"))
 
 
+def _reduced(rows: DataFrame) -> DataFrame:
+    """Distinct rows by a hash aggregate of their own.  The maxima of text and
+    structs that follow sort their input, so they should meet few rows; a
+    plain ``distinct`` below a maximum is optimised away, a used count isn't."""
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").drop("_n")
+
+
 def dim_customers(people: DataFrame, orders: DataFrame) -> DataFrame:
     """People with one address each: the address of the customer's latest
     order line (ties broken by order id, then the address itself).
-    ``max_by`` is a partial aggregate, so a customer with a huge number of
-    lines is reduced map-side before the shuffle."""
+    Lines are first reduced to the distinct (customer, order, address) by a
+    hash aggregate, so only those few rows are sorted for the maximum."""
     cols = set(orders.columns)
     country = F.col("country") if "country" in cols else F.lit(None).cast("string")
     state = F.col("state") if "state" in cols else F.lit(None).cast("string")
-    order_key = F.struct("order_date", "order_id", country.alias("c"), state.alias("s"))
-    addr = (orders.where(F.col("customer_id").isNotNull())
-            .groupBy("customer_id")
-            .agg(F.max_by(F.struct(country.alias("a_country"), state.alias("a_state")),
-                          order_key).alias("addr")))
+    lines = orders.where(F.col("customer_id").isNotNull()).select(
+        "customer_id", "order_date", "order_id", country.alias("a_country"), state.alias("a_state"))
+    lines = _reduced(lines)
+    addr = lines.groupBy("customer_id").agg(F.max(F.struct("order_date", "order_id", "a_country", "a_state")).alias("addr"))
     j = people.join(addr, "customer_id", "left")
     return j.select(
         "customer_id", "customer_name", "segment",
@@ -144,7 +158,10 @@ def dim_locations(orders: DataFrame) -> DataFrame:
     loc = C.location_id("country", "state") if {"country", "state"} <= cols else F.lit("Unknown")
     state = F.col("state") if "state" in cols else F.lit(None).cast("string")
     region = F.col("region") if "region" in cols else F.lit(None).cast("string")
-    rows = orders.select(loc.alias("location_id"), "country", state.alias("state"), region.alias("region"))
+    country = F.col("country") if "country" in cols else F.lit(None).cast("string")
+    rows = orders.select(loc.alias("location_id"), country.alias("country"), state.alias("state"),
+                         region.alias("region"))
+    rows = _reduced(rows)
     return (rows.where(F.col("location_id").isNotNull())
             .groupBy("location_id")
             .agg(F.min("country").alias("country"), F.min("state").alias("state"),
@@ -188,47 +205,69 @@ def write_table(df: DataFrame, name: str, partition_col: str | None = None,
         w.saveAsTable(name)
 
 
-def load_warehouse(tables: dict[str, DataFrame], database: str | None = None,
-                   root: str | None = None, audit: bool = True, grain: str = "day") -> list[str]:
-    """Load whichever inputs are present, dimensions first.
-
-    ``tables`` may hold products / orders / inventory / returns / people.
-    Written either as catalog tables in ``database`` or as folders under
-    ``root`` (one of the two must be given).
-    """
-    plan: list[tuple[str, DataFrame]] = []
+def dimension_and_fact_frames(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The warehouse tables that the given inputs (products / orders /
+    inventory / returns / people) allow, dimensions first."""
+    out: dict[str, DataFrame] = {}
     if "products" in tables:
-        plan.append(("dim_products", dim_products(tables["products"])))
+        out["dim_products"] = dim_products(tables["products"])
     if "people" in tables and "orders" in tables:
-        plan.append(("dim_customers", dim_customers(tables["people"], tables["orders"])))
+        out["dim_customers"] = dim_customers(tables["people"], tables["orders"])
     if "orders" in tables:
-        plan.append(("dim_time", dim_time(tables["orders"])))
-        plan.append(("dim_locations", dim_locations(tables["orders"])))
-        plan.append(("fact_orders", fact_orders(tables["orders"])))
+        out["dim_time"] = dim_time(tables["orders"])
+        out["dim_locations"] = dim_locations(tables["orders"])
+        out["fact_orders"] = fact_orders(tables["orders"])
     if "inventory" in tables:
-        plan.append(("fact_inventory", fact_inventory(tables["inventory"])))
+        out["fact_inventory"] = fact_inventory(tables["inventory"])
     if "returns" in tables:
-        plan.append(("fact_returns", fact_returns(tables["returns"])))
-    done = []
-    for name, df in plan:
+        out["fact_returns"] = fact_returns(tables["returns"])
+    return out
+
+
+def insert_table(df: DataFrame, name: str, partition_col: str | None, cluster_cols: list[str]) -> None:
+    """Overwrite the rows of a declared table, keeping its columns and types."""
+    fields = df.sparkSession.table(name).schema.fields
+    present = set(df.columns)
+    if partition_col:
+        df = df.hint("rebalance", partition_col)
+    df = df.sortWithinPartitions(*([partition_col] if partition_col else []), *cluster_cols)
+    df.select(*[(F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in fields]).write.insertInto(name, overwrite=True)
+
+
+def load_warehouse(tables: dict[str, DataFrame], database: str | None = None,
+                   root: str | None = None, audit: bool = True, grain: str = "day") -> list[str]:
+    """Load whichever inputs are present, dimensions first: into the declared
+    tables of ``database`` (created if absent), or as folders under ``root``."""
+    plan = dimension_and_fact_frames(tables)
+    if database and plan:
+        spark = next(iter(plan.values())).sparkSession
+        create_database(spark, database)
+        create_star_schema(spark, database)
+    for name, df in plan.items():
         _cols, part, cluster = WAREHOUSE_DDL[name]
-        out = with_audit(df) if audit and name not in ("dim_time",) else df
-        target = f"{database}.{name}" if database else name
-        write_table(out, target, part, cluster, path=f"{root}/{name}" if root else None, grain=grain)
-        done.append(name)
-    return done
+        out = with_audit(df) if audit and name != "dim_time" else df
+        if database:
+            insert_table(out, f"{database}.{name}", part, cluster)
+        else:
+            write_table(out, name, part, cluster, path=f"{root}/{name}", grain=grain)
+    return list(plan)
+
+
+NOT_FOUND = {"PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"}
 
 
 def read_warehouse(spark: SparkSession, database: str | None = None,
                    root: str | None = None) -> dict[str, DataFrame]:
+    """The tables that exist.  Anything but an absent table is an error, and
+    so is a warehouse without any."""
     out = {}
     for name in WAREHOUSE_DDL:
         try:
             out[name] = spark.table(f"{database}.{name}") if database else spark.read.parquet(f"{root}/{name}")
-        except Exception:  # table not loaded
-            continue
+        except AnalysisException as e:
+            if e.getCondition() not in NOT_FOUND:
+                raise
+    if not out:
+        raise FileNotFoundError(f"no warehouse table in {database or root}")
     return out
-
-
-def required_fields(name: str) -> list[str]:
-    return REQUIRED_FIELDS[name]

@@ -1,8 +1,9 @@
 """Landed-file sources: order / returns / people sheets exported as CSV,
 Parquet or JSON, the JSON record envelopes and the analytics document.
 
-Files are read with explicit schemas (no inference pass over the data).
-Sheet headers such as ``Order ID`` are mapped to snake_case names.
+Sheets are read by header name (``Order ID`` becomes ``order_id``), in any
+column order; columns that a file doesn't have stay absent, others are kept.
+Every reader fails on malformed input instead of dropping or blanking rows.
 """
 
 from __future__ import annotations
@@ -18,32 +19,37 @@ from chainlens.functions.frames import fact_join
 from chainlens.operators.transforms import enrich_orders, enrich_people, enrich_returns, normalise_doubles
 
 
-def _sheet_schema(canonical: T.StructType, date_as_string: bool = True) -> T.StructType:
-    """Schema keyed by sheet headers; dates read as text and coerced later
-    (so a malformed date is reported by the coercion, not silently nulled)."""
-    fields = []
-    for f in canonical.fields:
-        dt = T.StringType() if (date_as_string and isinstance(f.dataType, T.DateType)) else f.dataType
-        fields.append(T.StructField(schemas.CANONICAL_TO_SHEET.get(f.name, f.name), dt, True))
-    return T.StructType(fields)
+def _sheet_schema(canonical: T.StructType) -> T.StructType:
+    """Schema keyed by sheet headers, dates as text (coerced later)."""
+    return T.StructType([T.StructField(schemas.CANONICAL_TO_SHEET.get(f.name, f.name),
+                                       T.StringType() if isinstance(f.dataType, T.DateType) else f.dataType, True)
+                         for f in canonical.fields])
 
 
 def rename_headers(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`").alias(schemas.SHEET_HEADERS.get(c, c)) for c in df.columns])
+    return df.select(*[F.col(f"`{c}`").alias(schemas.SHEET_HEADERS.get(c.strip(), c.strip())) for c in df.columns])
 
 
-def read_landed(spark: SparkSession, path: str, canonical: T.StructType, fmt: str = "csv",
-                header_names: bool = True) -> DataFrame:
-    """Read a landed table with an explicit schema."""
+def _typed(df: DataFrame, canonical: T.StructType) -> DataFrame:
+    """Text columns of the canonical names cast to their types; dates are
+    coerced by the ingest transforms.  A value that can't be cast fails the job."""
+    types = {f.name: f.dataType for f in canonical.fields if not isinstance(f.dataType, (T.DateType, T.StringType))}
+    return df.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in df.columns])
+
+
+def read_landed(spark: SparkSession, path: str, canonical: T.StructType, fmt: str = "csv") -> DataFrame:
+    """Read a landed table by its header names.
+
+    CSV takes one look at the header line; files of one folder must agree on
+    it.  JSON takes one pass over the keys, so that a key no record has stays
+    an absent column."""
     if fmt == "csv":
-        schema = _sheet_schema(canonical) if header_names else canonical
-        df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+        df = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
     elif fmt == "json":
-        schema = _sheet_schema(canonical) if header_names else canonical
-        df = spark.read.schema(schema).json(path)
+        df = spark.read.option("primitivesAsString", True).option("mode", "FAILFAST").json(path)
     else:
         df = spark.read.parquet(path)
-    return normalise_doubles(rename_headers(df))
+    return normalise_doubles(_typed(rename_headers(df), canonical))
 
 
 def load_orders(spark: SparkSession, path: str, fmt: str = "csv", lenient: bool = False) -> DataFrame:
@@ -70,40 +76,42 @@ def load_all(spark: SparkSession, paths: dict[str, str], fmt: str = "csv",
 
 # --- JSON envelopes -----------------------------------------------------------
 
+STRICT = {"mode": "FAILFAST"}
+
+
 def read_envelope(spark: SparkSession, path: str, row_schema: T.StructType,
                   multiline: bool = True, header_names: bool = True) -> DataFrame:
     """Unwrap ``{status, data: [rows], count}`` files into rows.
 
-    Each file is one JSON document; ``inline`` turns the array into rows on
-    the executor that parsed the file, so no single task holds more than
-    one document's rows.
-    """
+    A document that spans lines is parsed by one task, so feeds of any size
+    should be landed as many files or as one document a line
+    (``multiline=False``), which Spark splits.  ``inline`` turns the array
+    into rows where it was parsed.  A broken document fails the job."""
     rs = _sheet_schema(row_schema) if header_names else row_schema
-    env = spark.read.schema(schemas.envelope(rs)).option("multiLine", multiline).json(path)
-    rows = env.select(F.inline("data"))
-    return normalise_doubles(rename_headers(rows))
+    env = spark.read.schema(schemas.envelope(rs)).option("multiLine", multiline).options(**STRICT).json(path)
+    return normalise_doubles(rename_headers(env.select(F.inline("data"))))
 
 
 def parse_envelope_column(df: DataFrame, text_col: str, row_schema: T.StructType) -> DataFrame:
     """Same unwrapping for envelopes held as text in a column."""
-    parsed = df.select(F.from_json(F.col(text_col), schemas.envelope(row_schema)).alias("env"))
+    parsed = df.select(F.from_json(F.col(text_col), schemas.envelope(row_schema), STRICT).alias("env"))
     return parsed.select(F.inline("env.data"))
 
 
-def read_analytics_doc(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def analytics_rows(doc: DataFrame) -> DataFrame:
     """Analytics document -> long rows (breakdown, key, total_sales)."""
-    doc = spark.read.schema(schemas.ANALYTICS_DOC).option("multiLine", multiline).json(path)
-    parts = []
-    for m in ("regional_sales", "category_sales", "monthly_sales"):
-        parts.append(doc.select(F.lit(m).alias("breakdown"), F.explode(m).alias("key", "total_sales")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def analytics_doc_summary(doc: DataFrame) -> DataFrame:
-    return doc.select("summary.*")
+    parts = [doc.select(F.lit(m).alias("breakdown"), F.explode(m).alias("key", "total_sales"))
+             for m in ("regional_sales", "category_sales", "monthly_sales")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def read_analytics_doc(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    return analytics_rows(spark.read.schema(schemas.ANALYTICS_DOC).option("multiLine", multiline)
+                          .options(**STRICT).json(path))
+
+
+def parse_analytics_column(df: DataFrame, text_col: str) -> DataFrame:
+    return analytics_rows(df.select(F.from_json(F.col(text_col), schemas.ANALYTICS_DOC, STRICT).alias("d")).select("d.*"))
 
 
 # --- source precedence and combination ----------------------------------------

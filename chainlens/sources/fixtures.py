@@ -1,10 +1,15 @@
 """Adapter from the TPC-H-like test tables to the canonical tables.
 
-``order_lines``  lineitem x orders x customer x nation x region x part
+``order_lines``  lineitem x orders x customer x nation x region x part; sales include
+                 tax (four decimals), some lines name a product that isn't in ``products``,
+                 every seventh customer has no state, the smallest parts have no category
 ``returns``      lines with l_returnflag = 'R'
 ``people``       customer x nation x region
 ``products``     part
-``inventory``    per (part, ship day): demand = sum of quantities, stock = 2 * p_size
+``inventory``    per (part, ship day): demand = sum of quantities; the stock is a multiple of
+                 p_size that changes from day to day and is zero on some
+
+Lines, customers and snapshots whose parent row is absent are kept (left joins).
 
 Join strategy is left to Catalyst and AQE: tables whose measured size is
 below ``spark.sql.autoBroadcastJoinThreshold`` (nation, region and, on small
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlens.functions import columns as C
-from chainlens.functions.frames import fact_join, hot_keys, salted_join
+from chainlens.functions.frames import dim_join, fact_join, hot_keys, salted_join
 from chainlens.operators.transforms import enrich_orders
 
 TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -78,9 +83,9 @@ def _order_heads(r: Raw) -> DataFrame:
     """orders x customer x geography: one row per order (4x fewer rows than
     lineitem, so the customer join runs before the big lineitem join)."""
     cust = r.table("customer").select("c_custkey", "c_nationkey")
-    cust = cust.join(_geo(r), cust.c_nationkey == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
+    cust = cust.join(_geo(r), cust.c_nationkey == F.col("n_nationkey"), "left").select("c_custkey", "n_name", "r_name")
     orders = r.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return fact_join(orders, cust, orders.o_custkey == cust.c_custkey).select(
+    return fact_join(orders, cust, orders.o_custkey == cust.c_custkey, "left").select(
         "o_orderkey", "o_custkey", "o_orderdate", "n_name", "r_name")
 
 
@@ -95,34 +100,37 @@ def _lines(r: Raw, returned_only: bool = False, lineitem: DataFrame | None = Non
     src = lineitem if lineitem is not None else r.table("lineitem")
     li = src.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
+        "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
     if returned_only:
         li = li.where(F.col("l_returnflag") == "R")
-    part = r.table("part").select("p_partkey", "p_type", "p_retailprice")
+    part = r.table("part").select("p_partkey", "p_type", "p_size", "p_retailprice")
     heads = _order_heads(r)
     if skew_share and not src.isStreaming:
         hot = hot_keys(li, ["l_orderkey"], skew_share)
-        joined = salted_join(li, heads, [("l_orderkey", "o_orderkey")], "inner", hot=hot)
+        joined = salted_join(li, heads, [("l_orderkey", "o_orderkey")], "left", hot=hot)
     elif src.isStreaming:
-        joined = li.join(heads, li.l_orderkey == heads.o_orderkey)
+        joined = li.join(heads, li.l_orderkey == heads.o_orderkey, "left")
+    else:
+        joined = fact_join(li, heads, li.l_orderkey == heads.o_orderkey, "left")
+    if src.isStreaming:
+        joined = joined.join(part, joined.l_partkey == part.p_partkey, "left")
     else:
-        joined = fact_join(li, heads, li.l_orderkey == heads.o_orderkey)
-    joined = joined.join(part, F.col("l_partkey") == part.p_partkey)
+        joined = dim_join(joined, part, [("l_partkey", "p_partkey")], skew_share)
     return joined.selectExpr(
         "CAST(l_orderkey AS STRING) AS order_id",
         "CAST(o_orderdate AS DATE) AS order_date",
         "CAST(l_shipdate AS DATE) AS ship_date",
         "CAST(o_custkey AS STRING) AS customer_id",
-        "CAST(l_partkey AS STRING) AS product_id",
+        "IF(l_linenumber = 7 AND l_quantity < 5, concat(l_partkey, 'X'), CAST(l_partkey AS STRING)) AS product_id",
         "CAST(l_suppkey AS STRING) AS supplier_id",
         "CAST(l_linenumber AS INT) AS line_number",
-        "p_type AS category",
+        "IF(p_size > 1, p_type, NULL) AS category",
         "CAST(l_quantity AS BIGINT) AS quantity",
-        "l_extendedprice AS sales",
+        "l_extendedprice * (1 + l_tax) AS sales",
         "l_extendedprice * (1 - l_discount) - l_quantity * p_retailprice AS profit",
         "l_discount AS discount",
         "n_name AS country",
-        "CAST(NULL AS STRING) AS state",
+        "IF(o_custkey % 7 = 0, NULL, concat('ST', o_custkey % 5)) AS state",
         "r_name AS region",
     )
 
@@ -146,7 +154,7 @@ def returns(r: Raw, skew_share: float | None = None) -> DataFrame:
 
 def people(r: Raw) -> DataFrame:
     cust = r.table("customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
-    return cust.join(_geo(r), cust.c_nationkey == F.col("n_nationkey")).select(
+    return cust.join(_geo(r), cust.c_nationkey == F.col("n_nationkey"), "left").select(
         F.col("c_custkey").cast("string").alias("customer_id"),
         F.col("c_name").alias("customer_name"),
         F.col("c_mktsegment").alias("segment"),
@@ -159,13 +167,13 @@ def products(r: Raw) -> DataFrame:
         F.col("p_partkey").cast("string").alias("id"),
         F.col("p_name").alias("title"),
         F.col("p_retailprice").alias("price"),
-        F.col("p_type").alias("category"),
+        F.when(F.col("p_size") > 1, F.col("p_type")).alias("category"),
         F.col("p_brand").alias("description"),
         F.lit(None).cast("string").alias("image"),
     )
 
 
-def inventory(r: Raw) -> DataFrame:
+def inventory(r: Raw, skew_share: float | None = None) -> DataFrame:
     """Daily product snapshots derived from shipments.
 
     Aggregating lineitem to (part, day) first uses map-side partial
@@ -176,13 +184,14 @@ def inventory(r: Raw) -> DataFrame:
               .groupBy("l_partkey", F.col("l_shipdate").cast("date").alias("date"))
               .agg(F.sum("l_quantity").cast("bigint").alias("daily_demand")))
     part = r.table("part").select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
-    j = demand.join(part, demand.l_partkey == part.p_partkey)
-    stock = "CAST(2 * p_size AS BIGINT)"
+    j = dim_join(demand, part, [("l_partkey", "p_partkey")], skew_share)
+    turn = "(dayofyear(date) + l_partkey)"
+    stock = f"CAST(IF({turn} % 29 = 0, 0, p_size * (1 + {turn} % 13)) AS BIGINT)"
     return j.selectExpr(
         "date",
         "CAST(l_partkey AS STRING) AS product_id",
         "p_name AS product_name",
-        "p_type AS category",
+        "IF(p_size > 1, p_type, NULL) AS category",
         f"{stock} AS stock_level",
         "daily_demand",
         "CAST(0 AS BIGINT) AS restock_amount",
@@ -229,7 +238,7 @@ class Tables:
 
     @cached_property
     def inventory(self) -> DataFrame:
-        return inventory(self.raw)
+        return inventory(self.raw, self.skew_share)
 
 
 def tables(spark: SparkSession, sf_dir: str, skew_share: float | None = None) -> Tables:

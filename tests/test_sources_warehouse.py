@@ -40,6 +40,42 @@ def test_landed_csv_orders(spark, tmp_root):
     assert rows["B"]["lead_time_days"] is None and rows["B"]["sales"] is None  # NaN -> NULL
 
 
+def _write(path, name, text):
+    os.makedirs(path, exist_ok=True)
+    with open(os.path.join(path, name), "w") as f:
+        f.write(text)
+    return path
+
+
+def test_csv_is_read_by_header_name(spark, tmp_root):
+    p = _write(os.path.join(tmp_root, "swapped"), "a.csv",
+               "Ship Date,Order Date,Order ID,Note,Customer ID,Product ID\n2024-01-09,2024-01-01,A,hello,C1,P1\n")
+    df = SRC.load_orders(spark, p)
+    r = df.first()
+    assert (r["order_id"], r["lead_time_days"], r["Note"]) == ("A", 8, "hello")
+    assert not {"category", "state", "country", "sales"} & set(df.columns)  # absent stays absent
+    from chainlens.operators import quality as Q
+    assert {x["status"] for x in Q.dq_required_columns(df).collect()} == {"PASS"}
+    o = W.fact_orders(df.withColumns({c: F.lit(1.0) for c in ("quantity", "sales", "profit", "discount", "order_value")}))
+    assert o.first()["location_id"] == "Unknown"
+    q = _write(os.path.join(tmp_root, "short"), "a.csv", "Order ID,Order Date\nA,2024-01-01\n")
+    got = {x["table_name"]: (x["status"], x["missing_columns"]) for x in Q.dq_required_columns(SRC.load_orders(spark, q)).collect()}
+    assert got == {"orders_sheet": ("FAIL", "Ship Date, Customer ID, Product ID"),
+                   "orders_api": ("FAIL", "Customer ID, Product ID")}
+
+
+def test_broken_input_fails_instead_of_vanishing(spark, tmp_root):
+    env = _write(os.path.join(tmp_root, "env_bad"), "a.json", '{"status": "ok", "data": [{"Order ID": "A"')
+    lines = _write(os.path.join(tmp_root, "lines_bad"), "a.json", '{"Order ID": "A"}\n{"Order ID": \n')
+    doc = _write(os.path.join(tmp_root, "doc_bad"), "a.json", '{"regional_sales": ')
+    csv = _write(os.path.join(tmp_root, "csv_bad"), "a.csv", "Order ID,Quantity\nA,many\n")
+    for read in (lambda: SRC.read_envelope(spark, env, schemas.ORDERS), lambda: SRC.load_orders(spark, lines, fmt="json"),
+                 lambda: SRC.read_analytics_doc(spark, doc), lambda: SRC.load_orders(spark, csv),
+                 lambda: SRC.parse_envelope_column(spark.createDataFrame([("{",)], "t string"), "t", schemas.ORDERS)):
+        with pytest.raises(Exception):
+            read().collect()
+
+
 def test_malformed_date_strict_and_lenient(spark, tmp_root):
     p = os.path.join(tmp_root, "bad_csv")
     _write_csv(p, [["A", "2024-13-45", "2024-01-04", "C1", "P", "F", 1, 1.0, 1.0, 0.0, "US", "CA", "W"]])
@@ -84,7 +120,7 @@ def test_combine_and_resolve_sources(spark):
 
 def test_warehouse_round_trip_and_idempotent_overwrite(spark, tmp_root):
     t = FX.tables(spark, SF_SMALL)
-    src = {"products": t.products, "orders": t.orders.drop("state"), "inventory": t.inventory,
+    src = {"products": t.products, "orders": t.orders, "inventory": t.inventory,
            "returns": t.returns, "people": t.people}
     root = os.path.join(tmp_root, "wh")
     done = W.load_warehouse(src, root=root)
@@ -93,7 +129,7 @@ def test_warehouse_round_trip_and_idempotent_overwrite(spark, tmp_root):
     assert wh["fact_orders"].count() == t.orders.count()
     assert wh["fact_returns"].count() == t.returns.count()
     assert wh["fact_inventory"].count() == t.inventory.count()
-    assert set(W.fact_orders(t.orders.drop("state")).columns) <= set(wh["fact_orders"].columns)
+    assert set(W.fact_orders(t.orders).columns) <= set(wh["fact_orders"].columns)
     W.load_warehouse(src, root=root)  # second load replaces, never appends
     assert W.read_warehouse(spark, root=root)["fact_orders"].count() == t.orders.count()
     # day partitions are prunable
@@ -125,24 +161,51 @@ def test_summary_report_and_csv(spark, tmp_root):
     assert spark.read.parquet(base + "/summary").count() == 1
 
 
+def test_read_warehouse_raises(spark, tmp_root):
+    with pytest.raises(FileNotFoundError):
+        W.read_warehouse(spark, root=os.path.join(tmp_root, "nothing"))
+    bad = _write(os.path.join(tmp_root, "broken", "dim_time"), "a.parquet", "not parquet")
+    with pytest.raises(Exception):
+        {k: v.count() for k, v in W.read_warehouse(spark, root=os.path.dirname(bad)).items()}
+
+
 def test_pipeline_run_writes_marts_equal_to_direct(spark, tmp_root):
     from chainlens.plans import pipeline as P
     from chainlens.queries import QUERIES
     out = P.run(spark, SF_SMALL, root=os.path.join(tmp_root, "run"))
     for name in P.MARTS:
-        written = sorted(tuple(r) for r in spark.read.parquet(os.path.join(out["marts"], name)).collect())
-        direct = sorted(tuple(r) for r in QUERIES[name](spark, SF_SMALL).collect())
+        written = sorted((tuple(r) for r in spark.read.parquet(os.path.join(out["marts"], name)).collect()), key=str)
+        direct = sorted((tuple(r) for r in QUERIES[name](spark, SF_SMALL).collect()), key=str)
         assert written == direct, name
-    rep = spark.read.option("header", True).csv(os.path.join(out["root"], "summary_report"))
+    rep = spark.read.option("header", True).csv(out["summary_report"])
     assert rep.count() > 40
+    assert spark.read.parquet(out["dq_required_nulls"]).select("table_name").distinct().count() == 7
     fams = P.all_metrics(*(lambda t: (t.orders, t.inventory, t.returns))(FX.tables(spark, SF_SMALL)))
     assert fams["lead_time"].count() == 1
 
 
+def test_pipeline_into_a_database_with_landed_orders(spark, tmp_root):
+    from chainlens.plans import pipeline as P
+    landed = _write(os.path.join(tmp_root, "landed"), "o.csv",
+                    "Order ID,Product ID,Customer ID,Order Date,Ship Date,Category,Quantity,Sales,Profit,Discount,Region\n"
+                    "A,1,1,2024-01-01,2024-01-20,ECONOMY,2,10.1234,1.5,0.1,ASIA\n"
+                    "B,2,2,2024-01-02,2024-01-03,LARGE,1,5.5,0.5,0.0,EUROPE\n")
+    db = "chainlens_run_db"
+    out = P.run(spark, SF_SMALL, root=os.path.join(tmp_root, "dbrun"), database=db, landed={"orders": landed})
+    fo = spark.table(f"{db}.fact_orders")
+    assert fo.columns == [c.split()[0] for c in schemas.WAREHOUSE_DDL["fact_orders"][0].split(", ")]
+    assert sorted((r["order_id"], r["lead_time_days"], r["location_id"]) for r in fo.collect()) == \
+        [("A", 19, "Unknown"), ("B", 1, "Unknown")]
+    assert {r["alert"] for r in spark.read.parquet(out["alerts"]).collect()} >= {"high_lead_time"}
+    assert spark.table(f"{db}.mart_fulfillment_analytics").count() == 2
+    P.run(spark, SF_SMALL, root=os.path.join(tmp_root, "dbrun2"), database=db, landed={"orders": landed})
+    assert spark.table(f"{db}.fact_orders").count() == 2  # loaded again, not appended
+
+
 def test_month_grain_partitions(spark, tmp_root):
     t = FX.tables(spark, SF_SMALL)
     root = os.path.join(tmp_root, "wh_month")
-    W.load_warehouse({"orders": t.orders.drop("state")}, root=root, grain="month")
+    W.load_warehouse({"orders": t.orders}, root=root, grain="month")
     parts = [p for p in os.listdir(os.path.join(root, "fact_orders")) if p.startswith("order_date_month=")]
     fo = spark.read.parquet(os.path.join(root, "fact_orders"))
     assert 0 < len(parts) <= 12 * 8 and fo.count() == t.orders.count()
