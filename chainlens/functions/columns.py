@@ -36,10 +36,13 @@ def day_diff(later: str | Column, earlier: str | Column) -> Column:
     return F.datediff(col(later), col(earlier)).cast("bigint")
 
 
-def floor_day_diff(later_ts: str | Column, earlier_ts: str | Column) -> Column:
-    """Whole elapsed days between two timestamps, floored (a 23:00 -> 01:00
-    span is 0 days, the reverse is -1)."""
-    micros = F.unix_micros(col(later_ts).cast("timestamp")) - F.unix_micros(col(earlier_ts).cast("timestamp"))
+def floor_day_diff(later: str | Column, earlier: str | Column, lenient: bool = False) -> Column:
+    """Whole elapsed days between two points in time, floored (a 23:00 -> 01:00
+    span is 0 days, the reverse is -1).  Wall clocks are compared, so the
+    session time zone doesn't matter."""
+    def wall(c: str | Column) -> Column:
+        return col(c).try_cast("timestamp_ntz") if lenient else col(c).cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", wall(earlier), wall(later))
     return F.floor(micros / F.lit(86_400_000_000)).cast("bigint")
 
 
@@ -86,19 +89,28 @@ def ratio_round(c: str | Column) -> Column:
     return F.round(col(c), settings.RATIO_DECIMALS)
 
 
-def money(c: str | Column, scale: int = settings.MONEY_SCALE) -> Column:
-    """Exact decimal form of a money value for summation."""
-    return col(c).cast(T.DecimalType(18, scale))
+def money(c: str | Column) -> Column:
+    """Exact decimal form of a money value for summation (no rounding to cents)."""
+    return col(c).cast(T.DecimalType(28, settings.MONEY_SCALE))
 
 
-def money_sum(c: str | Column, scale: int = settings.MONEY_SCALE) -> Column:
-    """Exact sum of a money column, returned as DOUBLE."""
-    return F.sum(money(c, scale)).cast("double")
+def money_round(c: Column) -> Column:
+    return F.round(c.cast("double"), settings.MONEY_DECIMALS)
 
 
-def money_avg(c: str | Column, scale: int = settings.MONEY_SCALE) -> Column:
+def money_sum(c: str | Column) -> Column:
+    """Exact sum of a money column as DOUBLE; only the sum is rounded."""
+    return money_round(F.sum(money(c)))
+
+
+def money_avg(c: str | Column) -> Column:
     """Mean of a money column from an exact sum."""
-    return (F.sum(money(c, scale)).cast("double") / F.count(col(c))).cast("double")
+    return (F.sum(money(c)).cast("double") / F.count(col(c))).cast("double")
+
+
+def weighted(total: Column, times: Column) -> Column:
+    """An exact money sum times a row count, still exact."""
+    return total.cast(T.DecimalType(27, settings.WEIGHTED_SCALE)) * times.cast(T.DecimalType(10, 0))
 
 
 def bool_to_int(c: str | Column) -> Column:
@@ -120,14 +132,6 @@ def lead_time_band(c: str | Column) -> Column:
             .when(c.isNotNull(), F.lit("poor")))
 
 
-def fill_rate_band(c: str | Column) -> Column:
-    th = settings.FILL_RATE_THRESHOLDS
-    c = col(c)
-    return (F.when(c >= th["excellent"], F.lit("excellent"))
-            .when(c >= th["good"], F.lit("good"))
-            .when(c.isNotNull(), F.lit("poor")))
-
-
 def valid_lead_time(c: str | Column) -> Column:
     return col(c).between(settings.VALID_LEAD_TIME_MIN, settings.VALID_LEAD_TIME_MAX)
 
@@ -173,12 +177,11 @@ def rate_lookup(category: str | Column, rates: Mapping[str, float] | None = None
 
 # --- JSON cleaning ----------------------------------------------------------
 
-def json_clean(c: Column, data_type: T.DataType) -> Column:
+def json_value(c: Column, data_type: T.DataType) -> Column:
     """Value as it appears in a cleaned JSON record: dates as yyyy-MM-dd,
-    +-inf and NaN as missing, missing as the empty string."""
+    +-inf and NaN as missing; numbers and booleans keep their type."""
     if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit(""))
+        return F.date_format(c, "yyyy-MM-dd")
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        bad = F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
-        return F.coalesce(F.when(~bad, c.cast("string")), F.lit(""))
-    return F.coalesce(c.cast("string"), F.lit(""))
+        return F.when(~(F.isnan(c) | (F.abs(c) == F.lit(float("inf")))), c)
+    return c

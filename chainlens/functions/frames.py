@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def nonempty(df: DataFrame, count_col: str) -> DataFrame:
@@ -27,30 +26,6 @@ def one_row_join(left: DataFrame, right: DataFrame) -> DataFrame:
         *[f"`{c}`" for c in left.columns], *[f"__row.`{c}` AS `{c}`" for c in right.columns])
 
 
-def unpivot_metrics(df: DataFrame, metric_type: str) -> DataFrame:
-    """One-row metric family -> long rows (metric_type, metric, value, label).
-
-    Numeric columns land in ``value`` (double), string columns in ``label``.
-    """
-    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    parts = []
-    if numeric:
-        parts.append(
-            df.select(F.explode(F.array(*[
-                F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").cast("double").alias("value"),
-                         F.lit(None).cast("string").alias("label"))
-                for n in numeric])).alias("m")).select("m.*"))
-    if text:
-        parts.append(
-            df.select(F.explode(F.array(*[
-                F.struct(F.lit(n).alias("metric"), F.lit(None).cast("double").alias("value"),
-                         F.col(f"`{n}`").alias("label"))
-                for n in text])).alias("m")).select("m.*"))
-    out = reduce(DataFrame.unionByName, parts)
-    return out.select(F.lit(metric_type).alias("metric_type"), "metric", "value", "label")
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
@@ -111,3 +86,23 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], ho
     cond = [l2[a] == r2[b] for a, b in on] + [l2["__salt_l"] == r2["__salt_r"]]
     out = fact_join(l2, r2, cond, how)
     return out.drop("__salt_l", "__salt_r") if how not in ("left_semi", "left_anti") else out.drop("__salt_l")
+
+
+def size_in_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of a plan's size (file sizes, less what filters and columns leave out)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def dim_join(facts: DataFrame, dim: DataFrame, on: list[tuple[str, str]], skew_share: float | None = None) -> DataFrame:
+    """LEFT JOIN of facts to a dimension.
+
+    Below the session's broadcast size the dimension is left to Spark, which
+    broadcasts it; hot keys don't matter then.  Above it, keys with at least
+    ``skew_share`` of the facts are salted in a sort-merge join."""
+    cond = [facts[a] == dim[b] for a, b in on]
+    limit = facts.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    limit = int(facts.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)) \
+        if not limit.lstrip("-").isdigit() else int(limit)
+    if not skew_share or size_in_bytes(dim) <= limit:
+        return facts.join(dim, cond, "left")
+    return salted_join(facts, dim, on, "left", hot=hot_keys(facts, [a for a, _ in on], skew_share))

@@ -5,12 +5,13 @@ All aggregates skip NULL group keys, as a pandas group-by would.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlens import settings
 from chainlens.functions import columns as C
 from chainlens.functions.frames import count_if, one_row_join, union_all
+from chainlens.operators.quantiles import describe_distributed
 
 
 def _non_null(df: DataFrame, key: str) -> DataFrame:
@@ -89,21 +90,20 @@ def lead_time_histogram(orders: DataFrame, bins: int = settings.HISTOGRAM_BINS,
                         bin_width: float | None = None, lead_col: str = "lead_time_days") -> DataFrame:
     """Equal-width histogram: width = (max - min) / bins unless given.
 
-    One global min/max aggregate (a single row) is joined to the rows, then
-    a groupBy on the bin index; bins without rows are not emitted.
+    Rows are counted per lead time once; these few counts give the range and
+    are then added up by bin.  Bins without rows are not emitted.
     """
-    x = F.col(lead_col).cast("double")
-    rows = orders.where(F.col(lead_col).isNotNull()).select(x.alias("_x"))
-    b = rows.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    counts = orders.where(F.col(lead_col).isNotNull()).groupBy(F.col(lead_col).cast("double").alias("_x")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    everything = Window.partitionBy(F.lit(0))  # one row a lead time
+    counts = counts.withColumn("_lo", F.min("_x").over(everything)).withColumn("_hi", F.max("_x").over(everything))
     if bin_width is None:
         w = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))).otherwise(F.lit(1.0))
     else:
         w = F.lit(float(bin_width))
-    b = b.withColumn("_w", w)
-    n_bins = F.lit(bins - 1) if bin_width is None else F.lit(2 ** 31 - 1)
-    j = one_row_join(rows, b)
-    idx = F.least(F.floor((F.col("_x") - F.col("_lo")) / F.col("_w")).cast("int"), n_bins.cast("int"))
-    hist = j.groupBy(idx.alias("bin_index"), "_lo", "_w").agg(F.count(F.lit(1)).alias("orders"))
+    last = F.lit(bins - 1) if bin_width is None else F.lit(2 ** 31 - 1)
+    idx = F.least(F.floor((F.col("_x") - F.col("_lo")) / F.col("_w")).cast("int"), last.cast("int"))
+    hist = counts.withColumn("_w", w).groupBy(idx.alias("bin_index"), "_lo", "_w").agg(F.sum("_c").alias("orders"))
     return hist.select(
         "bin_index",
         (F.col("_lo") + F.col("bin_index") * F.col("_w")).alias("bin_start"),
@@ -130,27 +130,16 @@ def fill_rate_by_category(inventory: DataFrame) -> DataFrame:
             .agg(C.ratio_round(F.avg(C.nan_to_null("fill_rate"))).alias("avg_fill_rate")))
 
 
-def turnover_describe(inventory: DataFrame, col: str = "annualized_turnover",
-                      exact: bool | str = True) -> DataFrame:
-    """count, mean, std, min, quartiles, max.
-
-    ``exact=True``: Spark's exact percentile (value -> count map merged in
-    one task; right for bounded value domains such as these ratios of small
-    integers); ``"distributed"``: exact quartiles computed across the cluster
-    (unbounded domains); ``False``: percentile_approx."""
-    if exact == "distributed":
-        from chainlens.operators.quantiles import describe_distributed
+def turnover_describe(inventory: DataFrame, col: str = "annualized_turnover", exact: bool = True) -> DataFrame:
+    """count, mean, std, min, quartiles, max.  The quartiles are exact and
+    computed across the cluster; ``exact=False``: percentile_approx."""
+    if exact:
         return describe_distributed(inventory, col)
     t = C.nan_to_null(col)
-    q = (lambda p: F.percentile(t, p)) if exact else (lambda p: F.percentile_approx(t, p, 100_000))
     return inventory.agg(
-        F.count(t).alias("count"),
-        C.ratio_round(F.avg(t)).alias("mean"),
-        C.ratio_round(F.stddev_samp(t)).alias("std"),
+        F.count(t).alias("count"), C.ratio_round(F.avg(t)).alias("mean"), C.ratio_round(F.stddev_samp(t)).alias("std"),
         C.ratio_round(F.min(t)).alias("min"),
-        C.ratio_round(q(0.25)).alias("p25"),
-        C.ratio_round(q(0.5)).alias("p50"),
-        C.ratio_round(q(0.75)).alias("p75"),
+        *[C.ratio_round(F.percentile_approx(t, p, 100_000)).alias(n) for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))],
         C.ratio_round(F.max(t)).alias("max"))
 
 
@@ -198,12 +187,24 @@ def filter_orders(orders: DataFrame, start: str | None = None, end: str | None =
 
 def page(df: DataFrame, order_by: list[str], limit: int | None = None,
          offset: int | None = None) -> DataFrame:
-    """Offset / limit page over an explicit total order; 0 or None = unset.
+    """Offset / limit page over an explicit total order (``order_by`` names a
+    key: no two rows are equal in it); 0 or None = unset.
 
     With a limit Spark plans a per-partition top-(offset+limit) and merges
-    the small candidates; without one it is a distributed sort.  For deep
-    pages use ``page_after`` (keyset paging), which never scans past rows.
+    the small candidates.  An offset alone leaves unboundedly many rows, which
+    Spark would gather in one task; here the row at the offset is found first
+    (a top-offset plan) and the rest are the rows after it, sorted across the
+    cluster.  For deep pages use ``page_after``, which never scans past rows.
     """
+    if offset and not limit:
+        last = df.select(*order_by).orderBy(*order_by).limit(offset).orderBy(*[F.desc_nulls_last(c) for c in order_by]).take(1)
+        at = [] if not last else list(zip(order_by, last[0]))
+        after, same = F.lit(False), F.lit(True)
+        for name, value in at:  # NULLs come first
+            c = F.col(name)
+            after = after | (same & (c.isNotNull() if value is None else c > F.lit(value)))
+            same = same & c.eqNullSafe(F.lit(value))
+        return df.where(after).orderBy(*order_by) if at else df.limit(0)
     out = df.orderBy(*order_by)
     if offset:
         out = out.offset(offset)

@@ -29,22 +29,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainlens import settings
 from chainlens.functions import columns as C
-from chainlens.functions.frames import fact_join, hot_keys, salted_join
+from chainlens.functions.frames import dim_join, fact_join
 
-P2, P4 = settings.MONEY_SCALE, settings.PROFIT_SCALE
 
+def _with_category(facts: DataFrame, dim_products: DataFrame, skew_share: float | None = None,
+                   extra: DataFrame | None = None) -> DataFrame:
+    """Facts LEFT JOIN products: a product table below the broadcast size is
+    broadcast whatever ``skew_share`` says, a larger one is sort-merge joined
+    with the products above that share of the facts salted.
 
-def _with_category(facts: DataFrame, dim_products: DataFrame, skew_share: float | None = None) -> DataFrame:
-    """Facts LEFT JOIN products.  A small product table is broadcast (size
-    check); a large one is sort-merge joined, and with ``skew_share`` the
-    products holding at least that share of the facts are salted."""
+    ``extra`` (one row a product) is joined with the products first, so the
+    lines meet product_id once."""
     dim = dim_products.select(F.col("product_id").alias("_dim_pid"), "category")
-    if skew_share:
-        hot = hot_keys(facts, ["product_id"], skew_share)
-        return salted_join(facts, dim, [("product_id", "_dim_pid")], "left", hot=hot).drop("_dim_pid")
-    return facts.join(dim, facts.product_id == dim._dim_pid, "left").drop("_dim_pid")
+    if extra is not None:
+        # A product with extras but no dimension row still brings them.
+        dim = dim.join(extra.withColumnRenamed("product_id", "_dim_pid"), "_dim_pid", "full")
+    return dim_join(facts, dim, [("product_id", "_dim_pid")], skew_share).drop("_dim_pid")
 
 
 def _returns_per_order(fact_returns: DataFrame) -> DataFrame:
@@ -57,8 +58,8 @@ def _returns_per_order(fact_returns: DataFrame) -> DataFrame:
         F.sum("_rows").alias("ret_rows"), F.count("return_id").alias("ret_ids"))
 
 
-def _wsum(c: Column, mult: Column) -> Column:
-    return F.sum(c * mult)
+def _wmoney(sum_col: str, mult: Column) -> Column:
+    return C.money_round(F.sum(C.weighted(F.col(sum_col), mult)))
 
 
 def _wavg(sum_col: str, n_col: str, mult: Column) -> Column:
@@ -69,10 +70,10 @@ def _wavg(sum_col: str, n_col: str, mult: Column) -> Column:
 def _per_category_order(lines: DataFrame, extra: list[Column] | None = None) -> DataFrame:
     lead, ov = F.col("lead_time_days"), F.col("order_value")
     aggs = [
-        F.sum(C.money("sales", P2)).alias("s_sales"),
-        F.sum(C.money("profit", P4)).alias("s_profit"),
+        F.sum(C.money("sales")).alias("s_sales"),
+        F.sum(C.money("profit")).alias("s_profit"),
         F.sum(lead).alias("s_lead"), F.count(lead).alias("n_lead"),
-        F.sum(C.money("order_value", P2)).alias("s_ov"), F.count(ov).alias("n_ov"),
+        F.sum(C.money("order_value")).alias("s_ov"), F.count(ov).alias("n_ov"),
     ] + (extra or [])
     return lines.groupBy("category", "order_id").agg(*aggs)
 
@@ -94,9 +95,10 @@ def mart_vendor_performance(fact_orders: DataFrame, dim_products: DataFrame,
     out = j.groupBy("category").agg(
         F.count("order_id").alias("total_orders"),
         C.ratio_round(_wavg("s_lead", "n_lead", m)).alias("avg_lead_time"),
-        C.ratio_round(_wavg("s_ov", "n_ov", m)).alias("avg_order_value"),
-        _wsum(F.col("s_sales"), m).cast("double").alias("total_sales"),
-        _wsum(F.col("s_profit"), m).cast("double").alias("total_profit"),
+        C.money_round(F.try_divide(F.sum(C.weighted(F.col("s_ov"), m)).cast("double"),
+                                   F.sum(F.col("n_ov") * m).cast("double"))).alias("avg_order_value"),
+        _wmoney("s_sales", m).alias("total_sales"),
+        _wmoney("s_profit", m).alias("total_profit"),
         F.sum("ids").alias("total_returns"),
     )
     return out.withColumn(
@@ -125,11 +127,16 @@ def mart_fulfillment_analytics(fact_orders: DataFrame, dim_products: DataFrame,
     the lead time (cycle time has the same definition)."""
     lines = _with_category(fact_orders, dim_products, skew_share)
     cyc = F.col("lead_time_days") if cycle_time_from_lead else F.col("order_cycle_time_days")
-    return lines.groupBy(C.month_start("order_date").alias("month"), "category").agg(
+    # Lines are first reduced to one row an order and customer, so the two
+    # distinct counts expand the reduced rows and not every line.
+    per = (lines.groupBy(C.month_start("order_date").alias("month"), "category", "order_id", "customer_id")
+           .agg(F.sum("lead_time_days").alias("_sl"), F.count("lead_time_days").alias("_nl"),
+                F.sum(cyc).alias("_sc"), F.count(cyc).alias("_nc"), F.sum(C.money("sales")).alias("_sales")))
+    return per.groupBy("month", "category").agg(
         F.count_distinct("order_id").alias("total_orders"),
-        C.ratio_round(F.avg("lead_time_days")).alias("avg_lead_time"),
-        C.ratio_round(F.avg(cyc).cast("double")).alias("avg_cycle_time"),
-        C.money_sum("sales").alias("total_sales"),
+        C.ratio_round(F.try_divide(F.sum("_sl").cast("double"), F.sum("_nl"))).alias("avg_lead_time"),
+        C.ratio_round(F.try_divide(F.sum("_sc").cast("double"), F.sum("_nc"))).alias("avg_cycle_time"),
+        C.money_round(F.sum("_sales")).alias("total_sales"),
         F.count_distinct("customer_id").alias("unique_customers"),
     )
 
@@ -144,16 +151,15 @@ def mart_category_performance(fact_orders: DataFrame, dim_products: DataFrame,
                               fact_returns: DataFrame, fact_inventory: DataFrame, skew_share: float | None = None) -> DataFrame:
     """Faithful category mart: orders x products x returns (fan-out) x
     per-product inventory averages; averages weighted by joined rows."""
-    lines = (_with_category(fact_orders, dim_products, skew_share)
-             .join(_inventory_per_product(fact_inventory), "product_id", "left"))
+    lines = _with_category(fact_orders, dim_products, skew_share, _inventory_per_product(fact_inventory))
     extra = [F.sum("inv_fill_rate").alias("s_fill"), F.count("inv_fill_rate").alias("n_fill"),
              F.sum("inv_turnover").alias("s_turn"), F.count("inv_turnover").alias("n_turn")]
     j = _fanout(_per_category_order(lines, extra), fact_returns)
     m = F.col("mult")
     return j.groupBy("category").agg(
         F.count("order_id").alias("total_orders"),
-        _wsum(F.col("s_sales"), m).cast("double").alias("total_sales"),
-        _wsum(F.col("s_profit"), m).cast("double").alias("total_profit"),
+        _wmoney("s_sales", m).alias("total_sales"),
+        _wmoney("s_profit", m).alias("total_profit"),
         C.ratio_round(_wavg("s_lead", "n_lead", m)).alias("avg_lead_time"),
         C.ratio_round(_wavg("s_fill", "n_fill", m)).alias("avg_fill_rate"),
         C.ratio_round(_wavg("s_turn", "n_turn", m)).alias("avg_turnover"),
@@ -181,9 +187,9 @@ def mart_vendor_performance_line_grain(fact_orders: DataFrame, dim_products: Dat
     orders = lines.groupBy("category").agg(
         F.count_distinct("order_id").alias("total_orders"),
         C.ratio_round(F.avg("lead_time_days")).alias("avg_lead_time"),
-        C.ratio_round(C.money_avg("order_value")).alias("avg_order_value"),
+        C.money_round(C.money_avg("order_value")).alias("avg_order_value"),
         C.money_sum("sales").alias("total_sales"),
-        C.money_sum("profit", P4).alias("total_profit"),
+        C.money_sum("profit").alias("total_profit"),
     )
     out = _join_category(orders, _returns_per_category(fact_returns, dim_products))
     out = out.withColumn("total_returns", F.coalesce(F.col("total_returns"), F.lit(0)).cast("bigint"))
@@ -195,12 +201,11 @@ def mart_vendor_performance_line_grain(fact_orders: DataFrame, dim_products: Dat
 
 def mart_category_performance_line_grain(fact_orders: DataFrame, dim_products: DataFrame,
                                          fact_returns: DataFrame, fact_inventory: DataFrame, skew_share: float | None = None) -> DataFrame:
-    lines = (_with_category(fact_orders, dim_products, skew_share)
-             .join(_inventory_per_product(fact_inventory), "product_id", "left"))
+    lines = _with_category(fact_orders, dim_products, skew_share, _inventory_per_product(fact_inventory))
     orders = lines.groupBy("category").agg(
         F.count_distinct("order_id").alias("total_orders"),
         C.money_sum("sales").alias("total_sales"),
-        C.money_sum("profit", P4).alias("total_profit"),
+        C.money_sum("profit").alias("total_profit"),
         C.ratio_round(F.avg("lead_time_days")).alias("avg_lead_time"),
         C.ratio_round(F.avg("inv_fill_rate")).alias("avg_fill_rate"),
         C.ratio_round(F.avg("inv_turnover")).alias("avg_turnover"),

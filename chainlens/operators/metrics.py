@@ -2,13 +2,12 @@
 
 Each family is ONE global (or per-category) aggregate over its input, so a
 family costs one scan and, for grouped forms, one shuffle of partial
-aggregates.  Exact ``percentile`` keeps a value -> count map per group and
-merges it in one task.  Its size is the number of DISTINCT values, which is
-bounded here whatever the row count: lead times are whole days, and fill
-rate / turnover / days of inventory are ratios of small integers (stock
-level and daily demand).  For unbounded domains use ``exact=False``
-(``percentile_approx``) or ``operators.quantiles.exact_percentiles``, which
-computes exact percentiles with the work spread over the cluster.
+aggregates.  Spark's exact ``percentile`` merges a value -> count map in one
+task, so it is used for whole-day lead times only, whose number of distinct
+values is bounded by the calendar.  The medians of ratios (turnover, days of
+inventory, fill rate) come from ``operators.quantiles``, which is exact and
+spread over the cluster, and enter the aggregate as literals
+(``exact=False``: ``percentile_approx`` in the same pass).
 
 Counting conventions (they differ on purpose):
 * ``total_orders`` of the lead-time family is a count of valid ROWS;
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 from chainlens import settings
 from chainlens.functions import columns as C
 from chainlens.functions.frames import count_if, nonempty
+from chainlens.operators.quantiles import exact_median
 
 
 def _median(c: Column, exact: bool) -> Column:
@@ -80,11 +80,24 @@ def cycle_time_exprs(exact: bool = True) -> tuple[dict[str, Column], str]:
     }, "total_orders"
 
 
-def turnover_exprs(exact: bool = True) -> tuple[dict[str, Column], str]:
-    t = C.nan_to_null("annualized_turnover")
+TURNOVER, FILL_RATE = "annualized_turnover", "fill_rate"
+
+
+def days_of_inventory() -> Column:
+    """stock_level / daily_demand over rows with both > 0."""
+    ok = (F.col("stock_level") > 0) & (F.col("daily_demand") > 0)
+    return F.when(ok, C.nan_to_null(F.try_divide(F.col("stock_level").cast("double"), F.col("daily_demand").cast("double"))))
+
+
+def _own_median(inventory: DataFrame, col: str | Column, exact: bool) -> Column:
+    return exact_median(inventory, col) if exact else F.percentile_approx(C.nan_to_null(col), 0.5, 100_000)
+
+
+def turnover_exprs(median: Column) -> tuple[dict[str, Column], str]:
+    t = C.nan_to_null(TURNOVER)
     return {
         "mean_turnover": C.ratio_round(F.avg(t)),
-        "median_turnover": C.ratio_round(_median(t, exact)),
+        "median_turnover": C.ratio_round(median),
         "std_turnover": C.ratio_round(F.stddev_samp(t)),
         "min_turnover": C.ratio_round(F.min(t)),
         "max_turnover": C.ratio_round(F.max(t)),
@@ -92,26 +105,23 @@ def turnover_exprs(exact: bool = True) -> tuple[dict[str, Column], str]:
     }, "_n_turnover"
 
 
-def days_of_inventory_exprs(exact: bool = True) -> tuple[dict[str, Column], str]:
-    """days = stock_level / daily_demand over rows with both > 0."""
-    ok = (F.col("stock_level") > 0) & (F.col("daily_demand") > 0)
-    d = F.when(ok, C.nan_to_null(F.try_divide(F.col("stock_level").cast("double"),
-                                              F.col("daily_demand").cast("double"))))
+def days_of_inventory_exprs(median: Column) -> tuple[dict[str, Column], str]:
+    d = days_of_inventory()
     return {
         "mean_days_of_inventory": C.ratio_round(F.avg(d)),
-        "median_days_of_inventory": C.ratio_round(_median(d, exact)),
+        "median_days_of_inventory": C.ratio_round(median),
         "std_days_of_inventory": C.ratio_round(F.stddev_samp(d)),
         "_n_days": F.count(d),
     }, "_n_days"
 
 
-def fill_rate_exprs(exact: bool = True) -> tuple[dict[str, Column], str]:
+def fill_rate_exprs(median: Column) -> tuple[dict[str, Column], str]:
     """Bands: excellent >= 0.95, good 0.85 <= x < 0.95, poor < 0.85."""
-    fr = C.nan_to_null("fill_rate")
+    fr = C.nan_to_null(FILL_RATE)
     th = settings.FILL_RATE_THRESHOLDS
     return {
         "mean_fill_rate": C.ratio_round(F.avg(fr)),
-        "median_fill_rate": C.ratio_round(_median(fr, exact)),
+        "median_fill_rate": C.ratio_round(median),
         "std_fill_rate": C.ratio_round(F.stddev_samp(fr)),
         "excellent_fill_rate_pct": C.share(fr >= th["excellent"]),
         "good_fill_rate_pct": C.share((fr >= th["good"]) & (fr < th["excellent"])),
@@ -154,15 +164,15 @@ def lead_time_bands(orders: DataFrame, lead_col: str = "lead_time_days") -> Data
 
 
 def inventory_turnover_metrics(inventory: DataFrame, exact: bool = True) -> DataFrame:
-    return _family_frame(inventory, turnover_exprs(exact))
+    return _family_frame(inventory, turnover_exprs(_own_median(inventory, TURNOVER, exact)))
 
 
 def days_of_inventory_metrics(inventory: DataFrame, exact: bool = True) -> DataFrame:
-    return _family_frame(inventory, days_of_inventory_exprs(exact))
+    return _family_frame(inventory, days_of_inventory_exprs(_own_median(inventory, days_of_inventory(), exact)))
 
 
 def fill_rate_metrics(inventory: DataFrame, exact: bool = True) -> DataFrame:
-    return _family_frame(inventory, fill_rate_exprs(exact))
+    return _family_frame(inventory, fill_rate_exprs(_own_median(inventory, FILL_RATE, exact)))
 
 
 def stockout_risk_metrics(inventory: DataFrame) -> DataFrame:
@@ -274,7 +284,6 @@ def expected_returns_by_category(orders: DataFrame, rates: Mapping[str, float] |
                  C.ratio_round(F.avg(p)).alias("expected_return_rate")))
 
 
-RETURN_REASONS = settings.RETURN_REASONS
 LINE_KEY = ["order_id", "product_id", "supplier_id", "line_number", "ship_date"]
 
 
@@ -282,21 +291,12 @@ def stratified_return_sample(orders: DataFrame, seed: int = 42,
                              rates: Mapping[str, float] | None = None,
                              default: float | None = None,
                              key: list[str] | None = None) -> DataFrame:
-    """Deterministic stratified draw of returned lines.
+    """Deterministic stratified sample of order lines: each category at its rate.
 
-    A line is drawn when unit_hash(line key, seed) < rate(category); the
-    reason comes from a second hash.  The draw is a per-row expression, so
-    it needs no shuffle and gives the same rows on any partitioning.
+    A line is drawn when unit_hash(line key, seed) < rate(category).  The draw
+    is a per-row expression, so it needs no shuffle and gives the same rows on
+    any partitioning.
     """
     key = key or [k for k in LINE_KEY if k in orders.columns]
     p = C.rate_lookup(F.coalesce(F.col("category"), F.lit("")), rates, default)
-    u = C.unit_hash(*key, seed=seed)
-    idx = F.floor(C.unit_hash(*key, seed=seed + 1) * len(RETURN_REASONS)).cast("int")
-    reasons = F.array(*[F.lit(x) for x in RETURN_REASONS])
-    return orders.where(u < p).select(
-        *[F.col(k) for k in key if k != "order_id"],
-        "order_id", "category",
-        F.coalesce(F.col("region"), F.lit("Unknown")).alias("region"),
-        F.col("order_date").alias("return_date"),
-        F.element_at(reasons, idx + 1).alias("return_reason"),
-    )
+    return orders.where(C.unit_hash(*key, seed=seed) < p)

@@ -105,15 +105,14 @@ def table_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
 def alerts(orders: DataFrame, inventory: DataFrame,
            missing_threshold: float = settings.MISSING_DATA_ALERT_THRESHOLD,
            lead_days: int = settings.HIGH_LEAD_TIME_DAYS) -> DataFrame:
-    """Alert rows (alert, value, message); no rows = all normal.
+    """Alert rows (alert, value); no rows = all normal.
 
     stockout      number of snapshot rows at risk, if > 0
     missing_data  missing share of the order table, if > threshold
     high_lead     number of order rows with lead time > 14 days, if > 0
     """
     inv = inventory.agg(count_if(F.col("stockout_risk")).alias("v")).select(
-        F.lit("stockout").alias("alert"), F.col("v").cast("double").alias("value"),
-        F.format_string("%d products at risk of stockout", F.col("v")).alias("message"))
+        F.lit("stockout").alias("alert"), F.col("v").cast("double").alias("value"))
     # one pass over the order table for both order alerts
     ncols = len(orders.columns)
     has_lead = "lead_time_days" in orders.columns
@@ -123,12 +122,10 @@ def alerts(orders: DataFrame, inventory: DataFrame,
         (count_if(F.col("lead_time_days") > lead_days) if has_lead else F.lit(0).cast("bigint")).alias("_long"))
     share = C.ratio_round(F.try_divide(F.col("_nulls"), F.col("_cells")))
     order_alerts = [F.when(share > F.lit(missing_threshold), F.struct(
-        F.lit("missing_data").alias("alert"), share.alias("value"),
-        F.format_string("%.1f%% missing data detected", share * 100).alias("message")))]
+        F.lit("missing_data").alias("alert"), share.alias("value")))]
     if has_lead:
         order_alerts.append(F.when(F.col("_long") > 0, F.struct(
-            F.lit("high_lead_time").alias("alert"), F.col("_long").cast("double").alias("value"),
-            F.format_string(f"%d orders with lead time > {lead_days} days", F.col("_long")).alias("message"))))
+            F.lit("high_lead_time").alias("alert"), F.col("_long").cast("double").alias("value"))))
     o_rows = o.select(F.explode(F.array(*order_alerts)).alias("a")).where(F.col("a").isNotNull()).select("a.*")
     return inv.where(F.col("value") > 0).unionByName(o_rows)
 

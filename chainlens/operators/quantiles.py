@@ -8,66 +8,79 @@ interpolated result with bounded per-task state:
 
 1. count rows per distinct value (partial aggregation; a value holding a
    third of all rows collapses to one row);
-2. range-partition the distinct values and number each partition;
-3. per-partition totals -> running offsets (one row per partition);
-4. cumulative count inside each partition (window over that partition only);
-5. keep the few rows whose cumulative range contains a target rank and
-   interpolate.
+2. cut the values into equal-width buckets between the minimum and the
+   maximum, so a row's bucket depends on its value alone;
+3. per-bucket totals -> running offsets (one row per bucket);
+4. the few buckets that hold a wanted rank are cut again, until a bucket
+   that matters is small; a running count inside these gives the value.
+
+Each cut is one aggregate with a bounded result; no plan relies on two
+evaluations of a partitioning giving the same rows.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainlens.functions import columns as C
 from chainlens.functions.frames import one_row_join
+from chainlens.session import scratch_path
+
+BUCKETS = 4096      # buckets of one cut
+SMALL = 10_000      # distinct values that are brought back for a rank
 
 
-def exact_percentiles(df: DataFrame, col: str, qs: list[float], partitions: int | None = None,
+def exact_percentiles(df: DataFrame, col: str | Column, qs: list[float], buckets: int = BUCKETS, small: int = SMALL,
                       prefix: str = "p") -> DataFrame:
     """One row with a column per quantile (``p25`` for 0.25, ``p50`` for
     0.5, ``p95`` for 0.95 ...), equal to ``percentile(col, q)``; NULL / NaN
     values are ignored, and an empty input gives NULLs."""
     spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    x = C.nan_to_null(col)
-    counts = (df.select(x.alias("x")).where(F.col("x").isNotNull())
-              .groupBy("x").agg(F.count(F.lit(1)).alias("c")))
-    ranged = counts.repartitionByRange(n_parts, "x").withColumn("pid", F.spark_partition_id())
-    totals = ranged.groupBy("pid").agg(F.sum("c").alias("pc"))
-    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(  # one row per partition: a bounded, tiny window
-        "pid",
-        F.coalesce(F.sum("pc").over(before), F.lit(0)).alias("off"),
-        F.sum("pc").over(Window.partitionBy()).alias("n"))
-    within = Window.partitionBy("pid").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = (ranged.join(F.broadcast(offsets), "pid")
-           .withColumn("hi", F.col("off") + F.sum("c").over(within))   # ranks [hi - c, hi) hold x
-           .withColumn("lo", F.col("hi") - F.col("c")))
-    pos = {q: q * (F.col("n") - 1) for q in qs}
-    conds, aggs = [], []
-    for q in qs:
-        r_lo, r_hi = F.floor(pos[q]), F.ceil(pos[q])
-        at_lo = (F.col("lo") <= r_lo) & (r_lo < F.col("hi"))
-        at_hi = (F.col("lo") <= r_hi) & (r_hi < F.col("hi"))
-        conds += [at_lo, at_hi]
-        name = f"{prefix}{_label(q)}"
-        aggs += [F.max(F.when(at_lo, F.col("x"))).alias(f"{name}__lo"),
-                 F.max(F.when(at_hi, F.col("x"))).alias(f"{name}__hi"),
-                 F.max(pos[q] - r_lo).alias(f"{name}__frac")]
-    hit = conds[0]
-    for c in conds[1:]:
-        hit = hit | c
-    picked = cum.where(hit).agg(*aggs)
-    out = []
-    for q in qs:
-        name = f"{prefix}{_label(q)}"
-        lo, hi, frac = F.col(f"{name}__lo"), F.col(f"{name}__hi"), F.col(f"{name}__frac")
-        out.append((lo + (hi - lo) * frac).alias(name))
-    return picked.select(*out)
+    names = [f"{prefix}{_label(q)}" for q in qs]
+    schema = ", ".join(f"`{n}` double" for n in names)
+    # A value that holds a third of all rows is one row from here on.
+    path = scratch_path(spark, "value_counts")
+    (df.select(C.nan_to_null(col).cast("double").alias("x")).where(F.col("x").isNotNull())
+     .groupBy("x").agg(F.count(F.lit(1)).alias("c")).write.parquet(path))
+    counts = spark.read.schema("x double, c long").parquet(path)  # the input is read once, whatever the cuts
+    total = counts.agg(F.min("x"), F.max("x"), F.sum("c"), F.count(F.lit(1))).first()
+    if not total[2]:
+        return spark.createDataFrame([tuple([None] * len(qs))], schema)
+    at = [q * (total[2] - 1) for q in qs]
+    ranks = sorted({int(f(p)) for p in at for f in (math.floor, math.ceil)})
+    found = _values_at(counts, total[0], total[1], total[3], 0, ranks, buckets, small)
+    values = []
+    for p in at:
+        low, high = found[math.floor(p)], found[math.ceil(p)]
+        values.append(low + (high - low) * (p - math.floor(p)))
+    return spark.createDataFrame([tuple(values)], schema)
+
+
+def _values_at(counts: DataFrame, low: float, high: float, distinct: int, before: int, ranks: list[int], buckets: int,
+               small: int) -> dict[int, float]:
+    """The value at each rank among the rows of ``counts`` in [low, high], of
+    which ``before`` rows lie below ``low``."""
+    if low == high:
+        return {r: low for r in ranks}
+    inside = counts.where((F.col("x") >= F.lit(low)) & (F.col("x") <= F.lit(high)))
+    out: dict[int, float] = {}
+    if distinct <= small:
+        for x, c in sorted(map(tuple, inside.collect())):
+            out.update({r: x for r in ranks if before <= r < before + c})
+            before += c
+        return out
+    width = high / buckets - low / buckets  # each end alone, so that the widest range doesn't overflow
+    key = F.floor(F.col("x") / F.lit(width) - F.lit(low / width)).cast("long")
+    cut = inside.groupBy(key.alias("k")).agg(F.min("x"), F.max("x"), F.sum("c"), F.count(F.lit(1))).orderBy("k").collect()
+    for _, lo, hi, c, d in cut:
+        mine = [r for r in ranks if before <= r < before + c]
+        if mine:
+            out.update(_values_at(counts, lo, hi, d, before, mine, buckets, small))
+        before += c
+    return out
 
 
 def _label(q: float) -> str:
@@ -75,6 +88,11 @@ def _label(q: float) -> str:
     return str(int(v)) if math.isclose(v, round(v)) else str(v).replace(".", "_")
 
 
+def exact_median(df: DataFrame, col: str | Column) -> Column:
+    """The exact median of a column as a literal."""
+    return F.lit(exact_percentiles(df, col, [0.5]).first()[0]).cast("double")
+
+
 def describe_distributed(df: DataFrame, col: str) -> DataFrame:
     """count / mean / std / min / quartiles / max with distributed exact
     quartiles (for unbounded value domains)."""

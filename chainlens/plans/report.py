@@ -13,23 +13,7 @@ from chainlens.functions import columns as C
 from chainlens.functions.frames import one_row_join
 from chainlens.operators import dashboard as D
 from chainlens.operators import metrics as M
-
-
-def metric_families(orders: DataFrame, inventory: DataFrame, returns: DataFrame) -> dict[str, list[DataFrame]]:
-    """All six families as separate one-row DataFrames (plus the flattened
-    category and returns breakdowns), keyed by family name.  Convenient for
-    inspection; the report itself uses the merged form below."""
-    top = M.top_sales_category(orders)
-    best = M.best_lead_time_category(orders)
-    return {
-        "lead_time": [M.lead_time_metrics(orders)],
-        "order_cycle": [M.order_cycle_time_metrics(orders)],
-        "inventory_turnover": [M.inventory_turnover_metrics(inventory), M.days_of_inventory_metrics(inventory)],
-        "fill_rate": [M.fill_rate_metrics(inventory), M.stockout_risk_metrics(inventory)],
-        "category_performance": [top, best],
-        "returns": [M.return_metrics(orders, returns), M.returns_by(returns, "category"),
-                    M.returns_by(returns, "region")],
-    }
+from chainlens.operators.quantiles import exact_median
 
 
 def _merged(df: DataFrame, families: dict[str, tuple[dict[str, Column], str]],
@@ -52,17 +36,12 @@ def summary_report(orders: DataFrame, inventory: DataFrame, returns: DataFrame)
     a single projection; a family is emitted only when it saw input rows.
     """
     o_fams = {"lt": M.lead_time_exprs(F.col("lead_time_days")), "ct": M.cycle_time_exprs()}
-    i_fams = {"to": M.turnover_exprs(), "di": M.days_of_inventory_exprs(),
-              "fr": M.fill_rate_exprs(), "so": M.stockout_exprs()}
+    i_fams = {"to": M.turnover_exprs(exact_median(inventory, M.TURNOVER)),
+              "di": M.days_of_inventory_exprs(exact_median(inventory, M.days_of_inventory())),
+              "fr": M.fill_rate_exprs(exact_median(inventory, M.FILL_RATE)), "so": M.stockout_exprs()}
     o1 = _merged(orders, o_fams, [F.count(F.lit(1)).alias("rt__orders_rows")])
     i1 = _merged(inventory, i_fams)
-    # only what the top / best rows need (no median / std buffers per group)
-    lt = F.col("lead_time_days")
-    cat = (orders.where(F.col("category").isNotNull()).groupBy("category")
-           .agg(F.bround(C.money_sum("sales"), 2).alias("total_sales"),
-                F.count_distinct("order_id").alias("unique_orders"),
-                F.bround(F.avg(lt), 2).alias("avg_lead_time"),
-                F.count(lt).alias("order_count")))
+    cat = M.category_performance(orders)  # one row a category; feeds the breakdown and the top / best rows
     c1 = cat.agg(
         F.min_by(F.struct("category", "total_sales", "unique_orders"),
                  F.struct(-F.col("total_sales"), F.col("category"))).alias("top"),
@@ -101,7 +80,20 @@ def summary_report(orders: DataFrame, inventory: DataFrame, returns: DataFrame)
     body = ", ".join(f"{g}, '{fam}', '{m}', CAST({v} AS DOUBLE), CAST({lab} AS STRING)" for g, fam, m, v, lab in rows)
     scalars = (wide.selectExpr(f"stack({len(rows)}, {body}) AS (keep, metric_type, metric, value, label)")
                .where("keep").drop("keep"))
-    return scalars.unionByName(returns_breakdown(rb))
+    return scalars.unionByName(category_breakdown(cat)).unionByName(returns_breakdown(rb))
+
+
+BREAKDOWN = ("total_sales", "avg_sale", "total_items", "unique_orders", "avg_lead_time", "median_lead_time",
+             "std_lead_time", "order_count")
+
+
+def category_breakdown(cat: DataFrame) -> DataFrame:
+    """Report rows 'category_breakdown.<category>.<measure>'."""
+    rows = ", ".join(f"'{m}', CAST({m} AS DOUBLE)" for m in BREAKDOWN)
+    return cat.selectExpr("category", f"stack({len(BREAKDOWN)}, {rows}) AS (measure, value)").select(
+        F.lit("category_performance").alias("metric_type"),
+        F.concat(F.lit("category_breakdown."), "category", F.lit("."), "measure").alias("metric"), "value",
+        F.lit(None).cast("string").alias("label"))
 
 
 def returns_grouped(returns: DataFrame) -> DataFrame:
@@ -127,9 +119,16 @@ def returns_breakdown(grouped: DataFrame) -> DataFrame:
                     F.col("n").cast("double").alias("value"), F.lit(None).cast("string").alias("label")))
 
 
+HEADLINES = {"lead_time": "mean_lead_time", "fill_rate": "mean_fill_rate"}
+
+
 def metrics_profile(report: DataFrame) -> DataFrame:
-    """Number of metrics per family."""
-    return report.groupBy("metric_type").agg(F.count(F.lit(1)).alias("metric_count"))
+    """Entries per family, a breakdown counting as one, and the two headline values."""
+    head = F.lit(None).cast("double")
+    for family, metric in HEADLINES.items():
+        head = F.when((F.col("metric_type") == family) & (F.col("metric") == metric), F.col("value")).otherwise(head)
+    return report.groupBy("metric_type").agg(
+        F.count_distinct(F.substring_index("metric", ".", 1)).alias("metric_count"), F.max(head).alias("headline"))
 
 
 def write_summary_report(report: DataFrame, path: str) -> None:
@@ -138,12 +137,20 @@ def write_summary_report(report: DataFrame, path: str) -> None:
 
 
 def json_records(df: DataFrame) -> DataFrame:
-    """Cleaned record form: dates as yyyy-MM-dd, +-inf / NaN / NULL as ''."""
-    return df.select(*[C.json_clean(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+    """One JSON object a row (column ``record``): dates as yyyy-MM-dd, numbers
+    as numbers, +-inf / NaN / NULL as an empty string."""
+    values = [(f.name, C.json_value(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema.fields]
+    # to_json leaves NULL fields out; they are put in front as empty strings.
+    names = F.array_compact(F.array(*[F.when(v.isNull(), F.lit(f'"{n}":""')) for n, v in values]))
+    rows = df.select(F.to_json(F.struct(*[v.alias(n) for n, v in values])).alias("_present"),
+                     F.array_join(names, ",").alias("_missing"))
+    rest = F.when(F.col("_present") == "{}", F.lit("}")).otherwise(F.concat(F.lit(","), F.expr("substring(_present, 2)")))
+    return rows.select(F.when(F.col("_missing") == "", F.col("_present")).otherwise(
+        F.concat(F.lit("{"), F.col("_missing"), rest)).alias("record"))
 
 
 def write_json_records(df: DataFrame, path: str) -> None:
-    json_records(df).write.mode("overwrite").json(path)
+    json_records(df).write.mode("overwrite").text(path)
 
 
 def export_report(orders: DataFrame, inventory: DataFrame, root: str,

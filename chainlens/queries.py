@@ -9,13 +9,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from chainlens import schemas
+from chainlens.functions.frames import one_row_join
 from chainlens.operators import dashboard as D
 from chainlens.operators import marts as MT
 from chainlens.operators import metrics as M
 from chainlens.operators import quality as Q
 from chainlens.plans import report as R
 from chainlens.plans import warehouse as W
+from chainlens.session import scratch_path
 from chainlens.sources import fixtures as FX
 from chainlens.sources import files as SRC
 
@@ -26,6 +31,7 @@ FILTER_ARGS = dict(start="1997-01-01", end="1998-12-31", category="All", region=
 PAGE_ARGS = dict(limit=50, offset=100)
 ORDER_KEY = ["order_id", "line_number", "product_id", "supplier_id", "ship_date"]
 SAMPLE_SEED = 42
+SAMPLE_RATES = {"PROMO": 0.15, "LARGE": 0.02}  # other categories take the default rate
 
 
 def _t(spark: SparkSession, sf: str) -> FX.Tables:
@@ -35,7 +41,7 @@ def _t(spark: SparkSession, sf: str) -> FX.Tables:
 def _facts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     t = _t(spark, sf)
     return {
-        "fact_orders": W.fact_orders(t.orders.drop("state")),
+        "fact_orders": W.fact_orders(t.orders),
         "dim_products": W.dim_products(t.products),
         "fact_returns": W.fact_returns(t.returns),
         "fact_inventory": W.fact_inventory(t.inventory),
@@ -50,6 +56,60 @@ def _f(fn: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
     return lambda spark, sf: fn(_facts(spark, sf))
 
 
+def _staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared scratch folder, for queries that read it several times."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _report(spark: SparkSession, sf: str) -> DataFrame:
+    t = _t(spark, sf)
+    orders = t.orders.select("order_id", "category", "sales", "lead_time_days", "order_date", "ship_date")
+    return R.summary_report(_staged(spark, orders, "report_orders"), _staged(spark, t.inventory, "report_inventory"),
+                            t.returns)
+
+
+def _required_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    t = _t(spark, sf)
+    tables = {"products": t.products, "orders": _staged(spark, t.orders, "dq_orders"), "inventory": t.inventory,
+              "returns": t.returns, "people": t.people}
+    return Q.dq_required_nulls(W.dimension_and_fact_frames(tables))
+
+
+def _combined(t: FX.Tables) -> DataFrame:
+    """Primary: orders before 1998; fallback: those from 1997, with other quantities."""
+    fallback = t.orders.where("order_date >= date'1997-01-01'").withColumn("quantity", F.col("quantity") + 1000)
+    return SRC.combine_sources(t.orders.where("order_date < date'1998-01-01'"), fallback, ORDER_KEY)
+
+
+def _envelopes(t: FX.Tables) -> DataFrame:
+    """Each order as a JSON envelope of its lines, unwrapped again."""
+    row = F.struct(*[F.col(f.name) for f in schemas.ORDERS.fields])
+    docs = t.orders.groupBy("order_id").agg(F.collect_list(row).alias("data")).select(F.to_json(F.struct(
+        F.lit("ok").alias("status"), "data", F.size("data").alias("count"))).alias("doc"))
+    return SRC.parse_envelope_column(docs, "doc", schemas.ORDERS)
+
+
+def _analytics_rows(t: FX.Tables) -> DataFrame:
+    """The analytics document of all orders, written as JSON and read back into rows."""
+    def as_map(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.map_from_entries(F.collect_list(F.struct(*df.columns))).alias(name))
+    doc = one_row_join(one_row_join(as_map(D.regional_sales(t.orders), "regional_sales"),
+                                    as_map(D.category_sales_total(t.orders), "category_sales")),
+                       as_map(D.monthly_sales(t.orders), "monthly_sales"))
+    return SRC.parse_analytics_column(doc.select(F.to_json(F.struct(*doc.columns)).alias("doc")), "doc")
+
+
+def _json_read_back(t: FX.Tables) -> DataFrame:
+    """The JSON records, read back by the types that their values have."""
+    text = {T.DateType(), T.StringType()}
+    kind = {T.IntegerType(): T.LongType()}
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.dataType in text else kind.get(f.dataType, f.dataType))
+                           for f in t.orders.schema.fields])
+    return R.json_records(t.orders).select(F.from_json("record", schema).alias("r")).select("r.*")
+
+
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
     from chainlens.streaming import kpis
     return kpis.stream_kpis_daily_batch_result(spark, sf)
@@ -72,17 +132,17 @@ QUERIES: dict[str, Query] = {
     "people": _q(lambda t: t.people),
     "products": _q(lambda t: t.products),
     "inventory": _q(lambda t: t.inventory),
-    "combine_sources": _q(lambda t: SRC.combine_sources(
-        t.orders.where("order_date < date'1998-01-01'"),
-        t.orders.where("order_date >= date'1997-01-01'"), ORDER_KEY)),
+    "combine_sources": _q(_combined),
+    "orders_from_envelopes": _q(_envelopes),
+    "analytics_document_rows": _q(_analytics_rows),
     # warehouse builders
     "dim_products": _q(lambda t: W.dim_products(t.products)),
-    "fact_orders": _q(lambda t: W.fact_orders(t.orders.drop("state"))),
+    "fact_orders": _q(lambda t: W.fact_orders(t.orders)),
     "fact_inventory": _q(lambda t: W.fact_inventory(t.inventory)),
     "fact_returns": _q(lambda t: W.fact_returns(t.returns)),
     "dim_customers": _q(lambda t: W.dim_customers(t.people, t.orders)),
     "dim_time": _q(lambda t: W.dim_time(t.orders)),
-    "dim_locations": _q(lambda t: W.dim_locations(t.orders.drop("state"))),
+    "dim_locations": _q(lambda t: W.dim_locations(t.orders)),
     # metric families
     "lead_time_metrics": _q(lambda t: M.lead_time_metrics(t.orders)),
     "order_cycle_time_metrics": _q(lambda t: M.order_cycle_time_metrics(t.orders)),
@@ -90,6 +150,8 @@ QUERIES: dict[str, Query] = {
     "inventory_turnover_metrics": _q(lambda t: M.inventory_turnover_metrics(t.inventory)),
     "days_of_inventory_metrics": _q(lambda t: M.days_of_inventory_metrics(t.inventory)),
     "fill_rate_metrics": _q(lambda t: M.fill_rate_metrics(t.inventory)),
+    "fill_rate_metrics_with_nan": _q(lambda t: M.fill_rate_metrics(t.inventory.withColumn(
+        "fill_rate", F.when(F.col("stock_level") == 0, float("nan")).otherwise(F.col("fill_rate"))))),
     "stockout_risk_metrics": _q(lambda t: M.stockout_risk_metrics(t.inventory)),
     "category_sales": _q(lambda t: M.category_sales(t.orders)),
     "category_lead_time": _q(lambda t: M.category_lead_time(t.orders)),
@@ -99,8 +161,8 @@ QUERIES: dict[str, Query] = {
     "return_metrics": _q(lambda t: M.return_metrics(t.orders, t.returns)),
     "returns_by_category": _q(lambda t: M.returns_by(t.returns, "category")),
     "returns_by_region": _q(lambda t: M.returns_by(t.returns, "region")),
-    "expected_returns_by_category": _q(lambda t: M.expected_returns_by_category(t.orders)),
-    "stratified_return_sample": _q(lambda t: M.stratified_return_sample(t.orders, seed=SAMPLE_SEED)),
+    "expected_returns_by_category": _q(lambda t: M.expected_returns_by_category(t.orders, SAMPLE_RATES)),
+    "stratified_return_sample": _q(lambda t: M.stratified_return_sample(t.orders, seed=SAMPLE_SEED, rates=SAMPLE_RATES)),
     # summary / dashboard
     "analytics_summary": _q(lambda t: D.analytics_summary(t.orders, t.returns, t.people)),
     "regional_sales": _q(lambda t: D.regional_sales(t.orders)),
@@ -139,15 +201,17 @@ QUERIES: dict[str, Query] = {
     "dq_missing_cells": _q(lambda t: Q.dq_missing_cells(
         {"orders": t.orders, "returns": t.returns, "people": t.people})),
     "dq_required_columns": _q(lambda t: Q.dq_required_columns(t.orders)),
-    "dq_required_nulls": _f(lambda f: Q.dq_required_nulls(f)),
+    "dq_required_columns_missing": _q(lambda t: Q.dq_required_columns(t.orders.drop("ship_date", "product_id"))),
+    "dq_required_nulls": _required_nulls,
     "table_profile": _q(lambda t: Q.table_profile(
         {"orders": t.orders, "returns": t.returns, "people": t.people, "products": t.products,
          "inventory": t.inventory})),
     "alerts": _q(lambda t: Q.alerts(t.orders, t.inventory)),
+    "alerts_strict": _q(lambda t: Q.alerts(t.orders, t.inventory, missing_threshold=0.001)),
     # reports
-    "summary_report": _q(lambda t: R.summary_report(t.orders, t.inventory, t.returns)),
-    "metrics_profile": _q(lambda t: R.metrics_profile(R.summary_report(t.orders, t.inventory, t.returns))),
-    "orders_json_records": _q(lambda t: R.json_records(t.orders)),
+    "summary_report": _report,
+    "metrics_profile": lambda spark, sf: R.metrics_profile(_report(spark, sf)),
+    "orders_json_records": _q(_json_read_back),
     # streaming
     "stream_kpis_daily": _stream,
     "stream_high_lead_alerts": _stream_alerts,

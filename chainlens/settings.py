@@ -23,8 +23,6 @@ INVENTORY_ALERT_THRESHOLD = 0.1  # share of the product's maximum stock level
 # Per-category return probabilities and the default for unlisted categories.
 RETURN_RATES = {"Furniture": 0.15, "Office Supplies": 0.05, "Technology": 0.10}
 DEFAULT_RETURN_RATE = 0.05
-# Return reasons, in the order a drawn reason index refers to.
-RETURN_REASONS = ["Defective", "Wrong Size", "Not as Expected", "Changed Mind"]
 # Required columns of the order sheet and of the order API feed.
 REQUIRED_ORDER_COLUMNS_SHEET = ["Order ID", "Order Date", "Ship Date", "Customer ID", "Product ID"]
 REQUIRED_ORDER_COLUMNS_API = ["Order ID", "Order Date", "Customer ID", "Product ID"]
@@ -35,6 +33,9 @@ HISTOGRAM_BINS = 20
 # Rounding used for non-money doubles (means of ratios, standard deviations,
 # percentiles) so results do not depend on summation order.
 RATIO_DECIMALS = 6
-# Money is summed exactly as DECIMAL with these scales.
-MONEY_SCALE = 2       # sales, order value, prices
-PROFIT_SCALE = 4      # profit = sales * (1 - discount) - quantity * price
+# Money is summed exactly as DECIMAL(28, MONEY_SCALE): digits below a cent count.
+# Sums that are multiplied by row counts keep WEIGHTED_SCALE digits.  Only the
+# final value is rounded, to MONEY_DECIMALS.
+MONEY_SCALE = 8
+WEIGHTED_SCALE = 6
+MONEY_DECIMALS = 4

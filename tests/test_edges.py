@@ -144,6 +144,7 @@ def test_stratified_sample_is_partition_independent(spark):
     o = o.withColumn("supplier_id", F.lit("S")).withColumn("line_number", F.lit(1))
     a = {tuple(r) for r in M.stratified_return_sample(o.repartition(1), seed=7).collect()}
     b = {tuple(r) for r in M.stratified_return_sample(o.repartition(7), seed=7).collect()}
+    assert "return_reason" not in M.stratified_return_sample(o).columns
     assert a == b and 20 < len(a) < 110  # about 15 % of 400
 
 
@@ -215,7 +216,7 @@ def test_alerts(spark):
     inv = make_inventory(spark, [inv_row("2024-01-01", "P1", risk=True)])
     got = {r["alert"]: r.asDict() for r in Q.alerts(o, inv).collect()}
     assert got["stockout"]["value"] == 1.0
-    assert got["high_lead_time"]["message"] == "1 orders with lead time > 14 days"
+    assert got["high_lead_time"] == {"alert": "high_lead_time", "value": 1.0}
     assert "missing_data" not in got  # 1 of 36 cells missing
     normal = make_orders(spark, [order_row("B", "2024-01-01", "2024-01-02")])
     assert Q.alerts(normal, make_inventory(spark, [inv_row("2024-01-01", "P1")])).count() == 0
@@ -244,13 +245,65 @@ def test_histogram_covers_all_rows(spark):
     assert min(r["bin_start"] for r in h) == 0.0 and math.isclose(max(r["bin_end"] for r in h), 19.0)
 
 
-def test_json_records_cleaning(spark):
+def test_json_records_keep_types(spark):
+    import json
     from chainlens.plans.report import json_records
-    df = spark.createDataFrame([(d("2024-01-02"), float("inf"), None, 1.5), (None, float("nan"), "x", None)],
-                               "dt date, a double, s string, b double")
-    rows = [r.asDict() for r in json_records(df).orderBy("s").collect()]
-    assert rows[0] == {"dt": "2024-01-02", "a": "", "s": "", "b": "1.5"}
-    assert rows[1] == {"dt": "", "a": "", "s": "x", "b": ""}
+    df = spark.createDataFrame([(d("2024-01-02"), float("inf"), None, 12345678.5, 3, True),
+                                (None, float("nan"), 'x "y":null', None, None, None)],
+                               "dt date, a double, s string, b double, n bigint, t boolean")
+    rows = [json.loads(r["record"]) for r in json_records(df).collect()]
+    assert rows[0] == {"dt": "2024-01-02", "a": "", "s": "", "b": 12345678.5, "n": 3, "t": True}
+    assert rows[1] == {"dt": "", "a": "", "s": 'x "y":null', "b": "", "n": "", "t": ""}
+    none = spark.createDataFrame([(None,)], "x double")
+    assert json_records(none).first()["record"] == '{"x":""}'
+
+
+def test_money_keeps_all_digits(spark):
+    o = make_orders(spark, [order_row(f"O{i}", "2024-01-01", "2024-01-02", sales=0.004, profit=0.0001) for i in range(5000)])
+    assert D.category_sales_total(o).first()["total_sales"] == 20.0
+    fo = W.fact_orders(o)
+    products = spark.createDataFrame([("P1", "t", 1.0, "Furniture", "", None)],
+                                     "id string, title string, price double, category string, description string, image string")
+    returns = make_returns(spark, [(d("2024-01-05"), "O1", "C1", "P1", None, None)] * 3).withColumn("return_id", F.lit("R"))
+    r = MT.mart_vendor_performance(fo, W.dim_products(products), W.fact_returns(returns)).first()
+    assert (r["total_sales"], r["total_profit"]) == (20.008, 0.5002)  # one line counts three times
+    assert MT.mart_fulfillment_analytics(fo, W.dim_products(products)).first()["total_sales"] == 20.0
+
+
+def test_lead_time_of_timestamps_counts_elapsed_days(spark):
+    from chainlens.operators.transforms import enrich_orders
+    for kind in ("string", "timestamp", "timestamp_ntz"):
+        df = spark.createDataFrame([("2024-03-09 23:00:00", "2024-03-10 01:00:00"), ("2024-03-09 00:00:00", "2024-03-11 00:00:00"),
+                                    ("2024-03-10 01:00:00", "2024-03-09 23:00:00")], "order_date string, ship_date string")
+        df = df.select(*[F.col(c).cast(kind).alias(c) for c in df.columns])
+        assert [r["lead_time_days"] for r in enrich_orders(df).collect()] == [0, 2, -1], kind
+
+
+def test_equal_return_rows_get_ids_of_their_own(spark):
+    row = (d("2024-01-05"), "A", "C1", "P1", "Furniture", "West")
+    ids = [r["return_id"] for r in W.fact_returns(make_returns(spark, [row, row, row[:1] + ("B",) + row[2:]])).collect()]
+    assert len(set(ids)) == 3
+    again = [r["return_id"] for r in W.fact_returns(make_returns(spark, [row, row])).collect()]
+    assert set(again) < set(ids)
+
+
+def test_offset_without_limit_is_not_one_task(spark):
+    o = make_orders(spark, [order_row(f"O{i:02d}", "2024-01-01", "2024-01-02") for i in range(10)]
+                    + [order_row(None, "2024-01-01", "2024-01-02")])
+    page = D.page(o, ["order_id"], offset=4)
+    assert [r["order_id"] for r in page.collect()] == [f"O{i:02d}" for i in range(3, 10)]  # the NULL comes first
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "CollectLimit" not in plan and "SinglePartition" not in plan
+    assert D.page(o, ["order_id"], offset=50).count() == 0
+
+
+def test_dimensions_are_not_sorted_over_lines(spark):
+    o = make_orders(spark, [order_row("A", "2024-01-01", "2024-01-02")])
+    people = spark.createDataFrame([("C1", "n", "s", "r")], "customer_id string, customer_name string, segment string, region string")
+    for df in (W.dim_customers(people, o), W.dim_locations(o)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        first = [x for x in plan.split("\n") if "Aggregate" in x][-1]  # nearest to the scan
+        assert "HashAggregate" in first, plan
 
 
 def test_analytics_summary_safe_ratio(spark):
@@ -283,5 +336,5 @@ def test_cluster_conf_sizes_partitions():
     small = cluster_conf(10e9, executors=10, cores_per_executor=4)
     assert int(small["spark.sql.shuffle.partitions"]) == 80      # two waves of 40 slots
     big = cluster_conf(100e12)
-    assert int(big["spark.sql.shuffle.partitions"]) == 100_000
+    assert int(big["spark.sql.shuffle.partitions"]) == int(100e12 // (256 << 20)) + 1
     assert int(big["spark.sql.autoBroadcastJoinThreshold"]) == 64 << 20

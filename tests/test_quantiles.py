@@ -19,12 +19,17 @@ def _reference(df, col):
     return df.agg(*[F.percentile(col, q).alias(f"q{i}") for i, q in enumerate(QS)]).first()
 
 
-@pytest.mark.parametrize("parts", [1, 3, 8])
-def test_matches_spark_percentile_with_hot_value(spark, parts):
+@pytest.mark.parametrize("buckets,small", [(4096, 10_000), (4, 3), (16, 50)])
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_matches_spark_percentile_with_hot_value(spark, buckets, small, reuse):
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
     rnd = random.Random(5)
     vals = [rnd.random() * 100 for _ in range(600)] + [42.5] * 300 + [float("nan"), None] + [1.0, 1.0]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
-    got = exact_percentiles(df, "v", QS, partitions=parts).first()
+    try:
+        got = exact_percentiles(df, "v", QS, buckets=buckets, small=small).first()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
     ref = _reference(df.where(~F.isnan("v")), "v")
     for i, q in enumerate(QS):
         assert got[i] == pytest.approx(ref[i], rel=1e-12, abs=1e-12), q
@@ -37,10 +42,26 @@ def test_single_value_and_empty(spark):
     assert list(exact_percentiles(empty, "v", [0.5]).first()) == [None]
 
 
-def test_describe_distributed_equals_describe(spark):
+def test_extreme_values(spark):
+    vals = [-1.7e308, 1.7e308, 0.0, 5e-324, -5e-324, 1.0, 1e300, -1e-300] + [float(i) for i in range(50)]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = exact_percentiles(df, "v", [0.0, 0.5, 1.0], buckets=8, small=2).first()
+    vals.sort()
+    assert list(got) == [vals[0], (vals[28] + vals[29]) / 2, vals[-1]]
+
+
+def test_describe_equals_percentile(spark):
     inv = FX.tables(spark, SF_SMALL).inventory
-    a = D.turnover_describe(inv).first().asDict()
+    assert D.turnover_describe(inv).columns == D.turnover_describe(inv, exact=False).columns
     b = describe_distributed(inv, "annualized_turnover").first().asDict()
-    assert a.keys() == b.keys()
-    for k in a:
-        assert b[k] == pytest.approx(a[k], abs=2e-6), k
+    ref = inv.agg(*[F.percentile("annualized_turnover", q) for q in (0.25, 0.5, 0.75)]).first()
+    for k, v in zip(("p25", "p50", "p75"), ref):
+        assert b[k] == pytest.approx(v, abs=2e-6), k
+
+
+def test_no_value_map_in_one_task(spark):
+    from chainlens.operators import metrics as M
+    inv = FX.tables(spark, SF_SMALL).inventory
+    for df in (M.inventory_turnover_metrics(inv), M.days_of_inventory_metrics(inv), M.fill_rate_metrics(inv)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile(" not in plan and "median(" not in plan.replace("median_", "")
