@@ -52,6 +52,7 @@ BITS = 512
 SIGMAS = 5.2
 CELLS = 1 << 18        # counters for the order of shingles
 CHUNK = 512            # shingles hashed at once
+FILTER_BITS = 1 << 23  # of the filter that picks the texts to read again
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -135,21 +136,55 @@ def signatures(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "_id long, _d long, n long, node binary, bands array<long>, odd array<long>")
 
 
-def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
-    """(node, n, hashes): the full sets, packed."""
+def _filter_bits(ids: np.ndarray) -> list[np.ndarray]:
+    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return [h >> np.uint64(64 - FILTER_BITS.bit_length() + 1), (h ^ (h >> np.uint64(23))) & np.uint64(FILTER_BITS - 1)]
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bloom filter of a column of ids: FILTER_BITS bits whatever their number."""
+    def run(batches):
+        bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+        for b in batches:
+            for at in _filter_bits(np.asarray(b.column(0))):
+                np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], names=["at", "bits"])
+
+    found = ids.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    bits[np.asarray(found.column(0))] = np.asarray(found.column(1)).view(np.uint64)
+    return bits
+
+
+def shingle_sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, n, hashes): the full sets of ``nodes`` (node, rid), packed.
+
+    The texts are read again where they lie; a filter of the ids, of fixed
+    size, leaves out nearly all that aren't needed, and the join with the
+    nodes the rest."""
+    shared = rows.sparkSession.sparkContext.broadcast(id_filter(nodes.select("rid")))
+
     def run(batches):
         from xxhash import xxh3_128_digest
+        bits = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                sets = [shingles(t, width) for t in batch.column(0).slice(start, 256).to_pylist()]
+            hit = np.ones(batch.num_rows, dtype=bool)
+            for at in _filter_bits(np.asarray(batch.column(0))):
+                hit &= ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+            texts = batch.column(1).filter(pa.array(hit))
+            for start in range(0, len(texts), 256):
+                sets = [shingles(t, width) for t in texts.slice(start, 256).to_pylist()]
                 sets = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())],
+                    pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                     names=["node", "n", "hashes"])
 
-    return rows.select("_text").mapInArrow(run, "node binary, n long, hashes binary").dropDuplicates(["node"])
+    found = rows.select("_d", "_text").mapInArrow(run, "node binary, n long, hashes binary")
+    return found.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -286,8 +321,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     members = written(shared.select("key", "node").join(classes.select("node", "rid", "odd").join(pop, "node"), "node"),
                       "near_members")
     nodes = written(members.groupBy("node").agg(F.min("rid").alias("rid"), F.first("odd").alias("odd")), "near_nodes")
-    sets = written(shingle_sets(rows.join(nodes.select(F.col("rid").alias("_d")), "_d", "left_semi"), width)
-                   .join(nodes.select("node"), "node", "left_semi"), "near_sets")
+    sets = written(shingle_sets(rows, nodes, width), "near_sets")
 
     first = written(confirmed(_star_pairs(members, total, limit), sets, percent), "near_first")
     labels = components(nodes, first)
