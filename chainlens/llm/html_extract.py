@@ -213,6 +213,9 @@ def _kind(x: Node) -> str:
     return "inline" if x.tag == "#text" or x.tag in INLINE else "block"
 
 
+PLAIN_BOUND, MARKED_BOUND, CONTENT_BOUND = 0.8, 8.0, 14.0
+
+
 class TreeModel:
     """Log potentials from counts; sum-product over the tree."""
 
@@ -235,19 +238,27 @@ class TreeModel:
                 n[int(rest[0])] += c
             else:
                 edge[rest[0]][int(rest[1])][int(rest[2])] += c
-        # Weight of a feature: log ratio of its rates, shrunk for rare ones.
-        self.weight = {f: math.log((c[1] + 1) / (n[1] + 2)) - math.log((c[0] + 1) / (n[0] + 2))
-                       for f, c in feature.items() if sum(c) >= 5}
+        # Weight of a feature: log ratio of its rates.  What a marker word or
+        # tag says outright may weigh much, a plain tag or size only a little:
+        # that pages of a site keep lists in menus says little of a list elsewhere.
+        self.weight = {}
+        for f, c in feature.items():
+            if sum(c) >= 5:
+                w = math.log((c[1] + 1) / (n[1] + 2)) - math.log((c[0] + 1) / (n[0] + 2))
+                bound = PLAIN_BOUND if f not in self.PRIOR else MARKED_BOUND if w < 0 else CONTENT_BOUND
+                self.weight[f] = max(-bound, min(bound, w))
         self.edge = {k: np.log(np.array([[x / sum(r) for x in r] for r in rows])) for k, rows in edge.items()}
 
+    def unary(self, names: list[str]) -> float:
+        """Log potential of content: plain features overlap (tag, size, links),
+        so their weights are averaged; marker features count in full."""
+        plain = [self.weight[f] for f in names if f in self.weight and f not in self.PRIOR]
+        return sum(plain) / max(1, len(plain)) + sum(self.weight.get(f, 0.0) for f in names if f in self.PRIOR)
+
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Probability that each node is content."""
         size = len(nodes)
-        # A node's features overlap (tag, marker, size), so their weights are averaged.
-        unary = []
-        for k in range(size):
-            w = [self.weight[f] for f in features(nodes, k) if f in self.weight]
-            unary.append((0.0, sum(w) / len(w) if w else 0.0))
+        unary = [(0.0, self.unary(features(nodes, k))) for k in range(size)]
         edges = [self.edge[_kind(x)] for x in nodes]
         up = [[0.0, 0.0] for _ in range(size)]      # product of the children's messages
         sent = [(0.0, 0.0)] * size                   # message to the parent

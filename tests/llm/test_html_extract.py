@@ -51,10 +51,7 @@ def brute_marginals(model, nodes):
     import itertools
     import math
     n = len(nodes)
-    unary = []
-    for k in range(n):
-        w = [model.weight[f] for f in H.features(nodes, k) if f in model.weight]
-        unary.append(sum(w) / len(w) if w else 0.0)
+    unary = [model.unary(H.features(nodes, k)) for k in range(n)]
     total, on = 0.0, [0.0] * n
     for s in itertools.product((0, 1), repeat=n):
         e = -6.0 * s[0] + sum(unary[k] * s[k] + model.edge[H._kind(nodes[k])][s[nodes[k].parent]][s[k]] for k in range(1, n))
