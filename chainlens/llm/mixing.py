@@ -46,7 +46,8 @@ TARGET = {"high": 0.93, "low": 0.05, "toxic": 0.02}
 BUCKETS = 1 << 16
 SAMPLE_DOCS = 20_000     # labelled documents to learn from, at most
 SOFT_WORDS = 64
-SMOOTHING = 20_000.0     # weight of the overall word rates in each domain's
+SMOOTHING = 200.0        # words by which each domain's rates are drawn to the overall ones
+RARE = 20.0              # a bucket seen this often counts half
 STEPS = 25
 TOLERANCE = 1e-7
 
@@ -80,9 +81,11 @@ def train(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAINS
     priors = [(n.get(d, 0) + 1) / (sum(n.values()) + len(domains)) for d in domains]
     every = sum(totals)
     rate = sum((F.col(f"_c{k}") for k in range(len(domains))), F.lit(0.0)) / max(every, 1.0)
+    seen = sum((F.col(f"_c{k}") for k in range(len(domains))), F.lit(0.0))
     # Log of the domain's word rate over the overall rate, drawn towards 0 for rare words.
-    weights = counts.select("_b", *[F.log((F.col(f"_c{k}") / rate + SMOOTHING) / (totals[k] + SMOOTHING)).alias(f"_w{k}")
-                                    for k in range(len(domains))])
+    weights = counts.select("_b", *[
+        (F.log((F.col(f"_c{k}") / rate + SMOOTHING) / (totals[k] + SMOOTHING)) * seen / (seen + RARE)).alias(f"_w{k}")
+        for k in range(len(domains))])
     return weights, priors
 
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from chainlens.llm import lang_id as G
 from llm_util import AWKWARD, prose, table
@@ -28,7 +29,7 @@ def brute_shares(bloom, text):
 
 def test_held_out_accuracy_and_defined_cases(spark):
     docs = table(spark, rows_of())
-    out = G.identified(docs).withColumn("held", G.is_held_out(docs["doc_id"])).collect()
+    out = G.identified(docs).withColumn("held", G.is_held_out(F.col("doc_id"))).collect()
     assert len(out) == docs.count()
     for r in out:
         if r["doc_id"] is not None:
