@@ -253,14 +253,26 @@ def _reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None,
-           block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(_id, ids) of every row: ids as little-endian uint32."""
+           block_chars: int = BLOCK_CHARS, decoded: bool = False) -> DataFrame:
+    """(_id, ids) of every row: ids as little-endian uint32; with ``decoded``
+    also their bytes again, looked up by the task that put the ids together."""
     ranks_path = ranks_path or public_tokenizers.path(RANKS)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     buckets = shuffle_width(docs.sparkSession)
     back = encode_words(distinct_words(rows, block_chars, buckets), ranks_path, buckets)
+    held: list[TokenBytes] = []
+
+    def reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
+        out = _reassemble(texts, words)
+        if decoded:
+            if not held:
+                held.append(TokenBytes(load_ranks(ranks_path)))
+            out = out.append_column("decoded", pa.array([held[0].join(np.frombuffer(x, dtype="<u4"))
+                                                         for x in out.column("ids").to_pylist()], pa.binary()))
+        return out
+
     return (sequences(rows, block_chars, buckets).groupBy("block").cogroup(back.groupBy("block"))
-            .applyInArrow(_reassemble, "_id long, ids binary"))
+            .applyInArrow(reassemble, "_id long, ids binary" + ", decoded binary" * decoded))
 
 
 class TokenBytes:
@@ -302,7 +314,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "decoded", rank
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    out = decode(encode(docs))
+    out = encode(docs, decoded=True)
     return out.select(F.col("_id").alias("doc_id"), (F.length("ids") / 4).cast("long").alias("n_tokens"),
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -55,6 +55,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def sliced(batches, rows: int = 256):
+    """Arrow batches in slices of a few rows, so that a task holds few texts as Python objects at once."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
 def range_number(c: Column, cuts: list[int]) -> Column:
     """Number of sorted ``cuts`` below ``c``, found in groups of about the square root of their count."""
     if not cuts:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainlens.llm.common import fresh
+from chainlens.llm.common import fresh, sliced
 
 UNKNOWN = "und"
 SAMPLE_PER_LANGUAGE = 3000   # labelled documents a language at most (on average)
@@ -39,7 +39,7 @@ MIN_COUNT = 3                # sightings below which a trigram is not learned
 LEAST_SHARE = 0.3            # of the trigram's frequency where it is most frequent
 HASHES = 3
 POSITIONS_PER_GRAM = 16
-CHUNK = 1 << 20              # characters handled at once
+CHUNK = 1 << 18              # characters handled at once
 MIN_SCORE = 0.2              # below it the pipeline stage rejects a text
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -160,7 +160,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def count(batches):
         letters = table.value
-        for b in batches:
+        for b in sliced(batches):
             ks = np.array(b.column(0).to_pylist(), dtype=np.int64)
             texts = b.column(1).to_pylist()
             for k in np.unique(ks):
@@ -202,7 +202,7 @@ def predict(docs: DataFrame, bloom: SlicedBloom, text_col: str = "text", lang_ou
     def run(batches):
         languages, bits, letters = model.value
         bloom = SlicedBloom(languages, bits=bits)
-        for b in batches:
+        for b in sliced(batches):
             texts = [t or "" for t in b.column(at).to_pylist()]
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             if bloom.languages:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import NO_ID, doc_key, join_by_size, written
+from chainlens.llm.common import NO_ID, doc_key, join_by_size, sliced, written
 
 WORDS = 5
 PERCENT = 80
@@ -119,7 +119,7 @@ def signatures(rows: DataFrame, width: int) -> DataFrame:
     def run(batches):
         from xxhash import xxh3_128_digest
         a, b = hash_parameters()
-        for batch in batches:
+        for batch in sliced(batches):
             node, size, bands, odd = [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingles(text, width)
@@ -190,7 +190,7 @@ def shingle_sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
