@@ -47,12 +47,14 @@ from chainlens.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-CACHED_WORDS = 400_000       # words a task keeps with their ids
-BLOCK_TOKENS = 1 << 18
+BLOCK_BYTES = 32 << 20       # text that a task encodes at once
+WORD_END = "</w>"
+TAIL = "!#$%&()*+,-./:;<=>?@[]^_`{|}~\"\\"  # ASCII punctuation but for the apostrophe
+BLOCK_TOKENS = 1 << 20
 PART_TOKENS = 1 << 23
 MAX_PARTS = 10_000           # then parts grow
 SCALE_BITS = 20
-LANES = 512
+LANES = 2048
 STEP = 128                   # steps of all lanes between checkpoints
 MAGIC = 0x524B4F54
 LOW = np.uint64(1 << 31)
@@ -62,58 +64,148 @@ _HEAD_SIZE = struct.calcsize(_HEAD)
 
 class WordEncoder:
     """Ids of texts.  The tokenizer drops white space and never joins across
-    it, so each distinct blank-separated word is encoded once and remembered."""
+    it, nor across the end of a run of letters before ASCII punctuation.  So
+    the words of a block of texts are cut there, each distinct piece is
+    encoded once, and the ids are put together by array lookups."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, dtype: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.known) if split else set()
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {}
-            new = set().union(*split)
-        words = list(new)
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        known = self.known
-        return [b"".join([known[w] for w in s]) for s in split]
+        self.tokenizer, self.dtype = load_tokenizer(path), dtype
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces in a row, and their number for each."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], dtype=self.dtype), np.array([len(x) for x in ids], dtype=np.int64)
+
+    def _runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for runs of letters: as one text, cut at the ids that end
+        a word; if these are not as many, one by one."""
+        flat, sizes = [np.zeros(0, dtype=self.dtype)], [np.zeros(0, dtype=np.int64)]
+        for k in range(0, len(runs), 20_000):
+            part = runs[k:k + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids,
+                           dtype=self.dtype)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            size = np.diff(cuts, prepend=0)
+            if len(cuts) != len(part):
+                ids, size = self._pieces(part)
+            flat.append(ids)
+            sizes.append(size)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        import pyarrow.compute as pc
+        split = pc.ascii_split_whitespace(texts)
+        edges = np.asarray(split.offsets).astype(np.int64)
+        coded = split.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
+        edges -= edges[0]
+        at, words = np.array(coded.indices), coded.dictionary
+        del split, coded
+        runs = pc.utf8_rtrim(words, characters=TAIL)
+        runs = pc.if_else(pc.utf8_is_alpha(runs), runs, "")
+        rest = pa.array([w[n:] for w, n in zip(words.to_pylist(), pc.utf8_length(runs).to_pylist())], pa.string())
+        # The tokenizer lower-cases; doing so here first leaves fewer runs.
+        runs = pc.if_else(pc.string_is_ascii(runs), pc.ascii_lower(runs), runs).dictionary_encode()
+        rest = rest.dictionary_encode()
+        letters = runs.dictionary.to_pylist()
+        blank = letters.index("") if "" in letters else None
+        if blank is not None:  # words that don't begin with a run of letters
+            letters[blank] = "a"
+        flat, size = self._runs(letters)
+        more, more_size = self._pieces(rest.dictionary.to_pylist())
+        flat, size = np.concatenate([flat, more]), np.concatenate([size, more_size])
+        start = np.cumsum(size) - size
+        if blank is not None:
+            size[blank] = 0
+        pieces = np.stack([np.asarray(runs.indices), np.asarray(rest.indices) + len(letters)], axis=1)
+        del words, runs, rest, letters
+        pa.default_memory_pool().release_unused()
+        # First the ids of each distinct word, then those of the texts.
+        flat, ends = _gathered(flat, start, size, pieces.ravel())
+        word_start = ends[:-1:2]
+        word_size = ends[2::2] - word_start
+        out = []
+        for k in range(0, len(texts), 512):  # bounds the arrays
+            part = edges[k:min(k + 512, len(texts)) + 1]
+            ids, ends = _gathered(flat, word_start, word_size, at[part[0]:part[-1]])
+            cuts = (ends[part - part[0]] * flat.itemsize).tolist()
+            ids = ids.tobytes()
+            out.extend(ids[i:j] for i, j in zip(cuts, cuts[1:]))
+        return out
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``flat[start : start + size]`` that ``pick`` names, in a row, and where each ends."""
+    n = size[pick]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat(start[pick] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
+def load_tokenizer(path: str):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    return tokenizer
+
+
+def id_type(path: str) -> str:
+    """Two bytes an id where the vocabulary allows it (while ids are on their way; readers get four)."""
+    return "<u2" if load_tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def _blocks(batches):
+    """Batches put together to tables of about BLOCK_BYTES."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= BLOCK_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
             end_id: int = END_ID) -> DataFrame:
-    """(_id, _ids, _n): the ids of each row, end id included, as little-endian uint32."""
+    """(_kind, _id, _ids, _n): kind 0 has the packed ids of each row, end id
+    included; kind 1 has each task's number of uses of every id."""
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    end = struct.pack("<I", end_id)
+    dtype = id_type(path)
+    end = np.array([end_id], dtype=dtype).tobytes()
 
     def run(batches):
-        encoder = WordEncoder(path)
-        for b in batches:
-            for start in range(0, b.num_rows, 256):
-                part = b.slice(start, 256)
-                ids = [x + end for x in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
+        encoder = WordEncoder(path, dtype)
+        total = np.zeros(max(len(encoder.ends), end_id + 1), dtype=np.int64)
+        for b in _blocks(batches):
+            coded = encoder.encode(b.column(1).fill_null("").combine_chunks())
+            for start in range(0, len(coded), 512):
+                ids = [x + end for x in coded[start:start + 512]]
+                np.add(total, np.bincount(np.frombuffer(b"".join(ids), dtype=dtype), minlength=len(total)), out=total)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())],
-                    names=["_id", "_ids", "_n"])
+                    [pa.array(np.zeros(len(ids), dtype=np.int32)),
+                     b.column(0).slice(start, len(ids)).combine_chunks(), pa.array(ids, pa.binary()),
+                     pa.array([len(x) // len(end) for x in ids], pa.int64())], names=["_kind", "_id", "_ids", "_n"])
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()),
+                                          pa.array([total.tobytes()], pa.binary()), pa.array([0], pa.int64())],
+                                         names=["_kind", "_id", "_ids", "_n"])
 
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
-        run, "_id long, _ids binary, _n long")
+        run, "_kind int, _id long, _ids binary, _n long")
 
 
 def id_counts(rows: DataFrame) -> DataFrame:
-    """(id, n) over all rows, counted per task first."""
+    """(id, n) over the tasks' counts."""
     def run(batches):
         total = np.zeros(0, dtype=np.int64)
         for b in batches:
             for x in b.column(0):
-                n = np.bincount(np.frombuffer(x.as_buffer(), dtype="<u4"), minlength=len(total))
-                n[:len(total)] += total
-                total = n
+                n = np.frombuffer(x.as_buffer(), dtype=np.int64)
+                total = n + total if len(total) else n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
@@ -223,8 +315,10 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                  block_tokens: int = BLOCK_TOKENS) -> str:
     """Encode all rows and write the two tables under ``path``."""
     spark = docs.sparkSession
-    rows = written(encoded(docs, id_col, text_col, tokenizer, end_id), "token_ids")
-    counts = written(id_counts(rows), "id_counts").orderBy("id").toArrow()  # one row an id of the vocabulary
+    dtype = id_type(tokenizer or public_tokenizers.path(TOKENIZER))
+    every = written(encoded(docs, id_col, text_col, tokenizer, end_id), "token_ids", "zstd", ["_kind"])
+    rows = every.where("_kind = 0").select("_id", "_ids", "_n")
+    counts = id_counts(every.where("_kind = 1")).orderBy("id").toArrow()  # one row an id of the vocabulary
     ids, n = (np.asarray(counts.column(c)) for c in ("id", "n"))
     freqs = scaled(n) if len(n) else n
     spark.createDataFrame([(int(a), int(b), int(c)) for a, b, c in zip(ids, n, freqs)],
@@ -237,13 +331,13 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
              .sortWithinPartitions("_part", F.asc_nulls_first("_id"), "_ids"))
 
     def encode(batches):
-        coder = Coder(*shared.value)
+        coder, width = Coder(*shared.value), int(dtype[-1])
         held, size, now, block, before = [], 0, None, 0, 0
 
         def flush():
             buffers = [x for _, x in held]
-            tokens = np.frombuffer(b"".join(buffers), dtype="<u4")
-            starts = np.cumsum([0] + [len(x) // 4 for x in buffers])[:-1]
+            tokens = np.frombuffer(b"".join(buffers), dtype=dtype)
+            starts = np.cumsum([0] + [len(x) // width for x in buffers])[:-1]
             payload = coder.encode(tokens)
             return pa.RecordBatch.from_arrays([
                 pa.array([now], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()),
@@ -254,13 +348,13 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         for b in batches:
             for p, i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if held and (p != now or size + len(x) // 4 > block_tokens):
+                if held and (p != now or size + len(x) // width > block_tokens):
                     yield flush()
                     held, size, block, before = [], 0, block + 1, before + size
                 if p != now:
                     now, block, before = p, 0, 0
                 held.append((i, x))
-                size += len(x) // 4
+                size += len(x) // width
         if held:
             yield flush()
 
