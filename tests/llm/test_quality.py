@@ -90,5 +90,22 @@ def test_junk_goes_and_prose_stays(spark):
     assert not any(got[i] for i in rows if i % 25 == 0 and len(rows[i].split()) > 15)
 
 
+def test_menus_and_sparse_symbols_go_and_a_stray_symbol_stays(spark):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, lines=rng.randint(1, 6), words=rng.randint(12, 30)), "en", "hot") for i in range(500)]
+    for i in range(0, 500, 10):
+        rows[i] = (i, " | ".join(rows[i][1].split()[:rng.randint(12, 60)]), "en", "hot")
+    for i in range(1, 500, 50):
+        rows[i] = (i, " ".join(w + "#" * (k % 6 == 0) for k, w in enumerate(rows[i][1].split() * 3)), "en", "hot")
+        rows[i] = (i, " ".join(dict.fromkeys(rows[i][1].split())), "en", "hot")
+    for i in range(2, 500, 50):
+        rows[i] = (i, rows[i][1] + " R&D", "en", "hot")
+    got = {r["_id"]: r["_kept"] for r in Q.judged(table(spark, rows)).collect()}
+    assert not any(got[i] for i in range(0, 500, 10))
+    heavy = [i for i in range(1, 500, 50) if rows[i][1].count("#") > 0.1 * len(rows[i][1].split()) and len(rows[i][1]) > 200]
+    assert heavy and not any(got[i] for i in heavy)
+    assert all(got[i] for i in range(2, 500, 50))
+
+
 def test_empty(spark):
     assert Q.judged(table(spark, rows_of()).where("false")).count() == 0
