@@ -7,6 +7,12 @@ with the digests of known licence texts and notices, canonical by the same
 steps.  Besides the whole text, each line is looked up as a text of its own,
 since notices stand on lines of their own.
 
+A copyright line is a statement with a mark, a year or a placeholder; prose
+that a wrapped line happens to begin with "copyright" stays, and every spelling
+is one word, so the form does not depend on where lines break.  A statement
+that shares its line with the licence's own words is cut up to those words, in
+a further form of the whole text that is looked up too (``unwrapped``).
+
 Everything is built from DataFrame functions.  The rows of a document are
 counted inside the task before the shuffle.  The known texts are a small
 fixed table here; any larger table can be passed, and Spark then chooses the
@@ -25,14 +31,15 @@ from pyspark.sql import functions as F
 from chainlens.llm.common import table
 
 # Spellings that licence matching takes as equal (left becomes right).
+# The left side is within one word, so that a line break never hides it.
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("artefact", "artifact"),
     ("authorisation", "authorization"), ("authorised", "authorized"), ("cancelled", "canceled"),
-    ("catalogue", "catalog"), ("centre", "center"), ("copyright holder", "copyright owner"), ("favour", "favor"),
-    ("fulfil ", "fulfill "), ("initialise", "initialize"), ("judgement", "judgment"), ("labelled", "labeled"),
+    ("catalogue", "catalog"), ("centre", "center"), ("holder", "owner"), ("favour", "favor"),
+    ("fulfill", "fulfil"), ("initialise", "initialize"), ("judgement", "judgment"), ("labelled", "labeled"),
     ("licence", "license"), ("modelled", "modeled"),
-    ("non-commercial", "noncommercial"), ("organisation", "organization"), ("per cent", "percent"),
-    ("practise", "practice"), ("programme", "program"), ("recognise", "recognize"), ("sub-license", "sublicense"),
+    ("noncommercial", "non commercial"), ("organisation", "organization"), ("percent", "per cent"),
+    ("practise", "practice"), ("programme", "program"), ("recognise", "recognize"), ("sublicense", "sub license"),
     ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("http:", "https:"), ("&", " and "),
 ]
 
@@ -53,8 +60,8 @@ The above copyright notice and this permission notice shall be included in all c
 Software.
 
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
-WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
-COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
 OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
     ("ISC", """ISC License
 
@@ -89,16 +96,37 @@ language governing permissions and limitations under the License."""),
     ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
 ]
 
-COPYRIGHT_LINE = r"^[^\p{L}\p{N}]*(\(c\)|©|copyright|all rights reserved)"
+_MARK = r"(\(c\)|©|[0-9]{4}|[<\[{])"
+COPYRIGHT_LINE = (rf"^[^\p{{L}}\p{{N}}]*((copyright[^\p{{L}}\p{{N}}]*{_MARK}|\(c\)[^\p{{L}}\p{{N}}]*(copyright|{_MARK})|©)[^\n]{{0,200}}"
+                  r"|all rights reserved[^\p{L}\p{N}]*)$")
+# Words that a licence goes on with after its copyright statement.
+BEGINNINGS = [
+    "permission is hereby granted", "permission to use", "redistribution and use", "licensed under", "released under",
+    "everyone is permitted to copy", "this program is free software", "this library is free software",
+    "this program comes with", "this software is provided", "this work is licensed",
+]
+# In a text of canonical words: the statement up to such a beginning.
+STATEMENT = (r"\bcopyright (?:c )?(?:[0-9]{4}|year|yyyy)\b.{0,400}?(?=\b(?:" + "|".join(BEGINNINGS) + r")\b)")
+
+
+def _normal(x: Column) -> Column:
+    """Canonical words of a lower-case text."""
+    for a, b in SPELLINGS:
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))
 
 
 def canonical_line(line: Column) -> Column:
     """Canonical form of one line; empty for a copyright line."""
     x = F.lower(line)
-    copyright_ = x.rlike(COPYRIGHT_LINE)
-    for a, b in SPELLINGS:
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return F.when(copyright_, "").otherwise(F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " ")))
+    return F.when(x.rlike(COPYRIGHT_LINE), "").otherwise(_normal(x))
+
+
+def unwrapped(text: Column) -> Column:
+    """Canonical whole text without the copyright statements before a licence's
+    own words, whatever lines they stand on; null for a text without the word."""
+    x = F.lower(text)
+    return F.when(x.contains("copyright"), F.regexp_replace(_normal(x), STATEMENT, ""))
 
 
 def canonical(text: Column) -> tuple[Column, Column]:
@@ -111,23 +139,33 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame
     """(_digest, _license) of a list or table (license, text)."""
     df = known if isinstance(known, DataFrame) else spark.createDataFrame(known, "license string, text string")
     _, whole = canonical(F.col("text"))
-    return (df.select("license", whole.alias("_w")).where("_w <> ''")
+    forms = df.select("license", F.explode(F.array(whole, unwrapped(F.col("text")))).alias("_w"))
+    return (forms.where("_w <> ''")
             .groupBy(F.sha2("_w", 256).alias("_digest")).agg(F.min("license").alias("_license")))
 
 
 def scanned(docs: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _n_lines, _whole, _licenses, _n_hits, _digest) per row of ``docs``."""
-    lines, whole = canonical(F.col(text_col))
-    d = (docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), lines.alias("_lines"))
+    lines, _ = canonical(F.col(text_col))
+    d = (docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), lines.alias("_lines"),
+                     F.sha2(unwrapped(F.col(text_col)), 256).alias("_other"))
          .withColumn("_whole_digest", F.sha2(F.array_join("_lines", " "), 256)))
-    units = F.when(F.size("_lines") > 1, F.concat(F.array("_whole_digest"), F.transform("_lines", lambda x: F.sha2(x, 256)))
-                   ).otherwise(F.array("_whole_digest"))
-    rows = d.select("_row", "_id", F.size("_lines").alias("_n"), "_whole_digest", F.posexplode(units).alias("_k", "_digest"))
+
+    def unit(kind: str, digest: Column) -> Column:
+        return F.struct(F.lit(kind).alias("_kind"), digest.alias("_digest"))
+
+    none = F.array().cast("array<struct<_kind:string,_digest:string>>")
+    units = F.concat(F.array(unit("whole", F.col("_whole_digest"))),
+                     F.when(F.size("_lines") > 1, F.transform("_lines", lambda x: unit("line", F.sha2(x, 256)))).otherwise(none),
+                     F.when(F.col("_other") != F.col("_whole_digest"), F.array(unit("other", F.col("_other")))).otherwise(none))
+    rows = d.select("_row", "_id", F.size("_lines").alias("_n"), "_whole_digest", F.inline(units))
     hits = rows.join(digests, "_digest", "left")
+    of = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("_license")))
     return hits.groupBy("_row", "_id", "_n", "_whole_digest").agg(
-        F.max(F.when(F.col("_k") == 0, F.col("_license"))).alias("_whole"),
+        F.coalesce(of("whole"), of("other")).alias("_whole"),
         F.array_join(F.array_sort(F.collect_set("_license")), ",").alias("_licenses"),
-        F.count(F.when((F.col("_k") > 0) | (F.col("_n") == 1), F.col("_license"))).alias("_hits"))
+        F.count(F.when((F.col("_kind") == "line") | ((F.col("_kind") == "whole") & (F.col("_n") == 1)), F.col("_license")))
+        .alias("_hits"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

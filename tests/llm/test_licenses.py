@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import duckdb
 import regex
@@ -73,6 +74,75 @@ def test_oracle_and_empty(spark):
     assert L.scanned(table(spark, rows).where("false"), L.known_digests(spark)).count() == 0
 
 
+STANDARD = {
+    "MIT": """MIT License
+
+Copyright (c) 2019 Ann Other
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+""",
+    "ISC": """ISC License
+
+Copyright (c) 2019, Ann Other
+All rights reserved.
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+""",
+}
+
+
+def wrappings(text):
+    """The text as it stands, in other widths, with a break after every word, and on one line."""
+    parts = [" ".join(x.split()) for x in text.split("\n\n")]
+    yield text
+    for width in (30, 55, 72, 100):
+        yield "\n\n".join(textwrap.fill(x, width) for x in parts)
+    yield "\n".join(x if "Other" in x else x.replace(" ", "\n") for x in parts)
+    yield "\n".join(parts)
+    yield " ".join(parts)
+    yield " ".join(x for x in parts if "Other" not in x)
+    yield " ".join(parts[1:2]).join(["MIT License ", " "] if text.startswith("MIT") else ["ISC License ", " "]) + "\n".join(parts[2:])
+
+
+def test_whole_texts_in_any_wrapping(spark):
+    rows = [(f"{name}", t) for name, text in STANDARD.items() for t in wrappings(text)]
+    out = L.scanned(table(spark, [(i, t, "en", "s") for i, (_, t) in enumerate(rows)]), L.known_digests(spark))
+    assert {r["_id"]: r["_whole"] for r in out.collect()} == {i: name for i, (name, _) in enumerate(rows)}
+
+
+def test_prose_that_begins_with_copyright_stays(spark):
+    rows = ["copyright notice and this", "Copyright holders be liable", "(c) You must retain", "All rights reserved by law are kept",
+            "// Copyright (C) 2020 A", "Copyright 2020 A", "(c) 2020 A", "© A", "Copyright <year> <owner>", "All rights reserved."]
+    out = L.scanned(table(spark, [(i, t, "en", "s") for i, t in enumerate(rows)]), L.known_digests(spark))
+    assert sorted(r["_id"] for r in out.collect() if r["_n"]) == [0, 1, 2, 3]
+
+
 def test_own_table_of_texts(spark):
     known = spark.createDataFrame([("own", "My terms: you MAY use it."), ("none", None)], "license string, text string")
     out = L.scanned(table(spark, [(1, "my terms\n you may; use it", "en", "s")]), L.known_digests(spark, known))
