@@ -11,10 +11,15 @@ with a probability equal to their generalised Jaccard similarity (sum of
 least weights over sum of greatest weights), so the share of equal places of
 two fingerprints estimates it.
 
-Terms are hashed to ``BUCKETS`` buckets.  Most terms have weight 1, for which
-a and t do not depend on the text: their values come from one broadcast table
-of fixed size, made from the same hash, as (value bits, bucket, t) packed in 64
-bits, so the least one is a plain minimum.  Other terms are computed as above.
+Terms are 64-bit hashes.  The variables come from three Exp(1) values X, Y and Z
+of (term, sample)::
+
+    c = X + Y,   r = D + Z,   b = Z / r   with D = ln(c / X)
+
+X / c is uniform and independent of c, so D is Exp(1) too; c and r are then
+Gamma(2, 1) and b is uniform, all independent.  With t = 0, which is every
+term of weight 1, a = c exp(-D) = X: the least a of these terms is that of the
+least hash, without a logarithm.  Terms of other weights are computed as above.
 
 A text's edited form takes the place of its tail with the head of the next
 document.  To meet the next document without a global sort, ids are cut into
@@ -38,57 +43,72 @@ from pyspark.sql import functions as F
 from chainlens.llm.common import doc_key, quantile_cuts, range_number
 
 SAMPLES = 64
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16   # range of the plain numbers that stand for terms in tests
+CHUNK = 512         # terms hashed at once
 SEED = 0x5EED
 RANGE_DOCS = 4000   # documents a range
 MAX_RANGES = 10_000 # then ranges grow
 EMPTY = 0xFFFF
 
-def _uniform(x: np.ndarray) -> np.ndarray:
-    """Hash of 64-bit keys as uniforms in (0, 1)."""
-    x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """One-to-one hash of 64-bit numbers, in place."""
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(31)
     x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
+    return x
 
 
-def variables(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, c and b of each bucket (rows) and sample (columns)."""
-    key = (bucket.astype(np.uint64)[:, None] * np.uint64(SAMPLES) + np.arange(SAMPLES, dtype=np.uint64)) * np.uint64(8)
-    u = [_uniform(key + np.uint64(SEED + i)) for i in range(5)]
-    return -np.log(u[0] * u[1]), -np.log(u[2] * u[3]), u[4]
+def sample_table() -> np.ndarray:
+    """The keys of the samples (columns) for X, Y and Z (rows)."""
+    return _mixed(np.arange(SEED, SEED + 3 * SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(3, SAMPLES)
 
 
-def packed_samples(bucket: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """(a, bucket, t) of each term and sample as sortable 64-bit numbers."""
-    r, c, b = variables(bucket)
-    t = np.floor(np.log(weight)[:, None] / r + b)
-    a = c * np.exp(-r * (t - b) - r)
+KEYS = sample_table()
+
+
+def hashes(term: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Hash of each term (rows) and key (columns)."""
+    return _mixed(term.astype(np.uint64)[:, None] ^ keys)
+
+
+def _exponential(h: np.ndarray) -> np.ndarray:
+    """Exp(1) value of a hash, growing with it."""
+    return -np.log1p(-((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53)
+
+
+def _packed(h: np.ndarray, a: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """(a, 32 bits of term and t) as sortable 64-bit numbers."""
     bits = a.astype(np.float32).view(np.uint32).astype(np.uint64)  # positive floats sort like their bits
-    low = (bucket.astype(np.uint64)[:, None] << np.uint64(16)) | (t.astype(np.int64) & 0xFFFF).astype(np.uint64)
+    low = _mixed(h + t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF)
     return (bits << np.uint64(32)) | low
 
 
-def sample_table() -> np.ndarray:
-    """The samples of every bucket at weight 1."""
-    return np.concatenate([packed_samples(np.arange(i, i + 4096), np.ones(4096)) for i in range(0, BUCKETS, 4096)])
+def packed_samples(term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """(a, term, t) of each term and sample as sortable 64-bit numbers."""
+    h = hashes(term, KEYS[0])
+    x, y, z = _exponential(h), _exponential(hashes(term, KEYS[1])), _exponential(hashes(term, KEYS[2]))
+    c = x + y
+    d = np.log(c / x)
+    r = d + z
+    b = np.minimum(z / r, 1 - 2.0 ** -53)
+    t = np.floor(np.log(weight)[:, None] / r + b)
+    a = np.where(t == 0, x, c * np.exp(-r * (t - b) - r))
+    return _packed(h, a, t)
 
 
 def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and weights of the word pairs (a lone word is a pair with nothing)."""
+    """Terms and weights of the word pairs (a lone word is a pair with nothing)."""
     words = text.split()
     if not words:
-        return np.zeros(0, dtype=np.int64), np.zeros(0)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0)
     h = np.array([_word(w) for w in words], dtype=np.uint64)
     if len(h) > 1:
         h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    found, n = np.unique((h >> np.uint64(48)).astype(np.int64) & (BUCKETS - 1), return_counts=True)
-    return found, n
+    return np.unique(h, return_counts=True)
 
 
 def _word(w: str) -> int:
@@ -96,18 +116,24 @@ def _word(w: str) -> int:
     return xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
 
 
-def signature(text: str, table: np.ndarray) -> np.ndarray:
+def _chunks(x: np.ndarray):
+    return (x[i:i + CHUNK] for i in range(0, len(x), CHUNK))
+
+
+def signature(text: str, keys: np.ndarray) -> np.ndarray:
     """One 16-bit code a sample."""
-    bucket, weight = terms(text)
-    if not len(bucket):
+    term, weight = terms(text)
+    if not len(term):
         return np.full(SAMPLES, EMPTY, dtype=np.uint16)
     one = weight == 1
     least = np.full(SAMPLES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for part in np.array_split(bucket[one], max(1, one.sum() // 4096)):
-        if len(part):
-            least = np.minimum(least, table[part].min(axis=0))
-    if not one.all():
-        least = np.minimum(least, packed_samples(bucket[~one], weight[~one]).min(axis=0))
+    if one.any():
+        h = least
+        for part in _chunks(term[one]):
+            h = np.minimum(h, hashes(part, keys[0]).min(axis=0))
+        least = _packed(h, _exponential(h), np.zeros(SAMPLES))
+    for part, w in zip(_chunks(term[~one]), _chunks(weight[~one])):
+        least = np.minimum(least, packed_samples(part, w).min(axis=0))
     code = (least & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
     return ((code >> np.uint64(40)) % np.uint64(EMPTY)).astype(np.uint16)
 
@@ -143,11 +169,7 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = ("_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
               "near_edited double, near_next double")
 
-    # A table of fixed size: BUCKETS * SAMPLES numbers (32 MB).
-    shared = docs.sparkSession.sparkContext.broadcast(sample_table())
-
     def run(batches):
-        table = shared.value
         out: list[tuple] = []
         before = None  # (part, id, text, fingerprint) that waits for its next
 
@@ -155,7 +177,7 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             _, i, own, print_ = now
             cut = len(own) // 4
             edited = own[:len(own) - cut] + text[:cut]
-            other = signature(edited, table)
+            other = signature(edited, KEYS)
             out.append((i, len(own), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
                         print_.tobytes().hex(), other.tobytes().hex(), likeness(print_, other), likeness(print_, mine)))
 
@@ -164,7 +186,7 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 # Only the first guard row of a range is its next document.
                 if before is None and not own:
                     continue
-                mine = signature(text, table)
+                mine = signature(text, KEYS)
                 if before is not None and before[0] == part:
                     emit(before, text, mine)
                 before = (part, i, text, mine) if own else None

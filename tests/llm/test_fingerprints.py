@@ -66,3 +66,24 @@ def test_weight_one_table_is_the_general_formula():
     least = P.packed_samples(bucket, weight).min(axis=0)
     code = (least & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
     assert (P.signature(text, P.sample_table()) == ((code >> np.uint64(40)) % np.uint64(P.EMPTY)).astype(np.uint16)).all()
+
+
+def test_long_texts_follow_their_true_term_sets():
+    def text(lo, hi):
+        return " ".join(f"w{i}" for i in range(lo, hi))
+    n = 100_000
+    whole = P.signature(text(0, n), P.sample_table())
+    assert P.likeness(whole, P.signature(text(n, 2 * n), P.sample_table())) <= 2 / P.SAMPLES
+    for shared in (0.5, 0.75, 0.95):
+        start = int(n * (1 - shared))
+        want_ = (n - start) / (n + start)
+        got = P.likeness(whole, P.signature(text(start, n + start), P.sample_table()))
+        assert abs(got - want_) <= 4 * np.sqrt(want_ * (1 - want_) / P.SAMPLES)
+
+
+def test_variables_have_their_distributions():
+    """A term of weight w is the least of n terms of weight 1 with probability w / (w + n)."""
+    term = np.arange(40_000, dtype=np.uint64)
+    a = P.packed_samples(term, np.where(term % 4 == 0, 3, 1)) >> np.uint64(32)
+    wins = (a.reshape(-1, 4, P.SAMPLES).argmin(axis=1) == 0).mean()
+    assert abs(wins - 0.5) < 0.005
