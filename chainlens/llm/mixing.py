@@ -20,9 +20,12 @@ nothing is written between steps.
 *Target.*  Weights are shares.  The domain of greatest weight keeps its own
 expected total, the others are raised or lowered to go with it.
 
-``copies`` is the rate rounded at random by a hash of the id: its expected
-value is the rate.  The pipeline stage rounds to the nearest number instead,
-so a document with a rate near one always stays.
+``copies`` is the rate rounded at random by a hash of the id and the text: its
+expected value is the rate.  The pipeline stage rounds with the same expected
+values, but one document after the other: within a hashed part of about
+PART_DOCS documents, ordered by likeliest domain, a row gets the whole numbers
+that its rate adds to the running sum from a hashed start.  So each domain's
+copies in a part differ from the sum of its rates by less than one.
 
 All steps are DataFrame operations.  The table of word weights has at most
 BUCKETS rows and is broadcast.  Words are summed per document inside a task
@@ -36,7 +39,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainlens.llm.common import ascii_lower, table, words, written
@@ -50,6 +53,7 @@ SMOOTHING = 200.0        # words by which each domain's rates are drawn to the o
 RARE = 20.0              # a bucket seen this often counts half
 STEPS = 25
 TOLERANCE = 1e-7
+PART_DOCS = 4096         # documents of a part that are rounded one after the other
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -185,10 +189,28 @@ def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
 
 
+def _uniform(*key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / float(1 << 30)
+
+
+def rounded(members: DataFrame, part_docs: int = PART_DOCS) -> DataFrame:
+    """(_id, _text_hash, _times) per distinct document, with the rate as expected value of ``_times``."""
+    parts = max(1, members.count() // part_docs)
+    p = [c for c in members.columns if c.startswith("_p")]
+    top = F.array_position(F.array(*p), F.greatest(*p))
+    d = members.dropDuplicates(["_id", "_text_hash"]).select(
+        "_id", "_text_hash", "_rate", top.alias("_top"),
+        F.pmod(F.xxhash64(F.lit("part"), "_id", "_text_hash"), F.lit(parts)).alias("_part"))
+    order = Window.partitionBy("_part").orderBy("_top", F.xxhash64(F.lit("order"), "_id", "_text_hash"), "_id", "_text_hash")
+    d = d.withColumn("_sum", F.sum("_rate").over(order.rowsBetween(Window.unboundedPreceding, 0))
+                     + _uniform(F.lit("start"), "_part"))
+    before = F.coalesce(F.lag("_sum").over(order), _uniform(F.lit("start"), "_part"))
+    return d.withColumn("_times", (F.floor("_sum") - F.floor(before)).cast("int")).select("_id", "_text_hash", "_times")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each row as often as its rate says, rounded to the nearest number."""
-    out = mixed(docs, table(spark, sf_dir, "labels")).select(
-        "_id", "_text_hash", F.floor(F.col("_rate") + 0.5).cast("int").alias("_times")).dropDuplicates(["_id", "_text_hash"])
+    """Pipeline stage: each row as often as its rounded rate says."""
+    out = rounded(mixed(docs, table(spark, sf_dir, "labels")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     on = (F.col("_doc.doc_id").eqNullSafe(F.col("_id"))
           & (F.xxhash64(F.coalesce("_doc.text", F.lit(""))) == F.col("_text_hash")))

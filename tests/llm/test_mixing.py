@@ -104,3 +104,25 @@ def test_stage_keeps_good_rows_and_columns(spark, monkeypatch):
     good = [i for i in range(0, 300, 3)]
     assert sum(i in ids for i in good) >= 0.97 * len(good)
     assert sum(i in ids for i in range(2, 300, 3)) < 10
+
+
+def test_stage_meets_the_target_totals(spark, monkeypatch):
+    rng = random.Random(23)
+    marks = ("therefore evidence however", "### ### menu", "stupid clown loser")
+    rows = [(i, prose(rng, lines=2, words=12) + " " + marks[i % 3], "en", "s") for i in range(3000)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 1), int(i % 3 == 2)) for i in range(0, 3000, 2)],
+                                   "doc_id long, quality long, toxic long")
+    docs = table(spark, rows)
+    monkeypatch.setattr(M, "table", lambda s, d, n: labels)
+    members = M.mixed(docs, labels).toPandas().set_index("_id")
+    p, t = members[["_p0", "_p1", "_p2"]], members["_t"]
+    have = p.mul(t, axis=0).sum().to_numpy()
+    want = np.array(list(M.TARGET.values())) * have[0] / M.TARGET["high"]
+    ids = [r["doc_id"] for r in M.stage(spark, docs, "").select("doc_id").collect()]
+    reached = p.loc[ids].mul(t.loc[ids], axis=0).sum().to_numpy()
+    # Spread of the totals that rounding at random makes.
+    frac = members["_rate"] % 1
+    spread = np.sqrt((p.mul(t, axis=0) ** 2).mul(frac * (1 - frac), axis=0).sum().to_numpy())
+    assert (np.abs(reached - want) <= 4 * spread + 1e-4 * want.sum()).all()
+    assert (spread < want / 4).all()
+    assert (reached[1:] > want[1:] / 2).all()
