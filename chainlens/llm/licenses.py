@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainlens.llm import license_table
 from chainlens.llm.common import table
 
 # Spellings that licence matching takes as equal (left becomes right).
@@ -95,6 +96,7 @@ language governing permissions and limitations under the License."""),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
 ]
+KNOWN = (license_table.texts() + license_table.titled(KNOWN) + license_table.headers() + license_table.notices() + KNOWN)
 
 _MARK = r"(\(c\)|©|[0-9]{4}|[<\[{])"
 COPYRIGHT_LINE = (rf"^[^\p{{L}}\p{{N}}]*((copyright[^\p{{L}}\p{{N}}]*{_MARK}|\(c\)[^\p{{L}}\p{{N}}]*(copyright|{_MARK})|©)[^\n]{{0,200}}"

@@ -136,6 +136,22 @@ def test_whole_texts_in_any_wrapping(spark):
     assert {r["_id"]: r["_whole"] for r in out.collect()} == {i: name for i, (name, _) in enumerate(rows)}
 
 
+def test_neighbouring_notices_and_whole_texts(spark):
+    gpl3 = (L.license_table.FOLDER / "GPL-3.0.txt").read_text()
+    bsd3 = (L.license_table.FOLDER / "BSD-3-Clause.txt").read_text()
+    rows = [("Apache", "Released under the Apache License."), ("Apache-2.0", "Released under the Apache License, Version 2.0."),
+            ("GPL-2.0", "Licensed under the GNU General Public License, version 2."), ("MPL-2.0", "Released under MPL 2.0."),
+            ("GPL-3.0-or-later", "This program is licensed under the GNU GPL v3 or later."),
+            ("AGPL-3.0", "Licensed under the GNU Affero General Public License v3.0."), ("EPL-2.0", "Licensed under EPL-2.0."),
+            ("BSD-2-Clause", "Licensed under the Simplified BSD License."), ("Unlicense", "Released under the Unlicense."),
+            ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+                                "International License."), ("CC-BY-SA-3.0", "Licensed under CC-BY-SA-3.0"),
+            ("GPL-3.0", gpl3), ("GPL-3.0", " ".join(gpl3.split())), ("GPL-3.0", textwrap.fill(gpl3, 60)),
+            ("BSD-3-Clause", "Copyright (c) 2001, Somebody\n\n" + bsd3), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + bsd3)]
+    out = L.scanned(table(spark, [(i, t, "en", "s") for i, (_, t) in enumerate(rows)]), L.known_digests(spark))
+    assert {r["_id"]: r["_whole"] for r in out.collect()} == {i: name for i, (name, _) in enumerate(rows)}
+
+
 def test_prose_that_begins_with_copyright_stays(spark):
     rows = ["copyright notice and this", "Copyright holders be liable", "(c) You must retain", "All rights reserved by law are kept",
             "// Copyright (C) 2020 A", "Copyright 2020 A", "(c) 2020 A", "© A", "Copyright <year> <owner>", "All rights reserved."]
