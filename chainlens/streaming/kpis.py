@@ -32,7 +32,7 @@ KPI_KEY = ["day", "event_type"]
 LINE_KEY = ["order_id", "line_number", "product_id", "supplier_id", "ship_date"]
 
 
-def _files(spark: SparkSession, schema, path: str, max_files_per_trigger: int | None) -> DataFrame:
+def file_stream(spark: SparkSession, schema, path: str, max_files_per_trigger: int | None) -> DataFrame:
     """Stream of a Parquet table, one file or a folder of them.  A file
     source watches folders, so a file is its folder filtered by its name."""
     r = spark.readStream.schema(schema)
@@ -48,7 +48,7 @@ def event_stream(spark: SparkSession, path: str, max_files_per_trigger: int | No
     """Stream of events; ``ts`` becomes a TIMESTAMP instant (watermarks need
     TIMESTAMP, the files hold TIMESTAMP_NTZ), read as UTC wall clock whatever
     the session time zone."""
-    return _files(spark, EVENTS_SCHEMA, path, max_files_per_trigger).withColumn("ts", C.ntz_as_utc("ts"))
+    return file_stream(spark, EVENTS_SCHEMA, path, max_files_per_trigger).withColumn("ts", C.ntz_as_utc("ts"))
 
 
 def daily_kpis(events: DataFrame, watermark: str | None = None, window: str = "1 day") -> DataFrame:
@@ -166,7 +166,7 @@ def kpis_append(events: DataFrame, out: str, checkpoint: str, watermark: str = "
 
 def lineitem_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     from chainlens.sources.fixtures import TPCH_SCHEMAS
-    return _files(spark, TPCH_SCHEMAS["lineitem"], path, max_files_per_trigger)
+    return file_stream(spark, TPCH_SCHEMAS["lineitem"], path, max_files_per_trigger)
 
 
 def alert_stream(orders_stream: DataFrame, lead_days: int = 14) -> DataFrame:
