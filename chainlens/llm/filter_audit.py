@@ -8,16 +8,19 @@ a counter a (part, mask, labels) is all that the audit keeps.
 *Stream.*  The files of the table are processed as available-now
 micro-batches.  A batch's rows get the bits that their own text decides (and
 their labels, from the static table); equal rows of a task are added up; then
-state keyed by the text's SHA-256 holds the smallest id met so far and the
-counters that its rows went to.  When a smaller id arrives, these rows are
-retracted from the mask without E and counted with E instead.  Rows with a
-larger id are counted with E at once.  So each batch emits signed changes of
-counters, and their sums are right after every batch, in whatever order the
-files come.
+state keyed by the text (128 bits of its SHA-256) holds the smallest id met so
+far and the counters that its rows went to.  When a smaller id arrives, these
+rows are retracted from the mask without E and counted with E instead.  Rows
+with a larger id are counted with E at once.  Texts share state in hashed
+buckets of about BUCKET_DOCS documents, so that one call updates many of them.
+So each batch emits signed changes of counters, and their sums are right after
+every batch, in whatever order the files come.
 
 *Recovery.*  State, offsets and commits lie in the checkpoint folder; a
 batch's changes are written to a folder of its own number, which a batch that
-is done again replaces.
+is done again replaces.  The state store is the session's: the default one
+keeps about 50 bytes a distinct text in the executors' memory, RocksDB
+(``spark.sql.streaming.stateStore.providerClass``) on their disks.
 
 *Skew.*  A task adds up the copies of a text before they are shuffled, so a
 text that fills a third of the table arrives as a few rows a task.
@@ -37,7 +40,6 @@ gives an empty result.
 from __future__ import annotations
 
 import itertools
-import json
 import os
 from collections.abc import Iterator
 
@@ -60,7 +62,7 @@ MARKS = "[#$%&*|]"
 
 BATCHES = 4              # micro-batches of a run, about
 HELD_ROWS = 100_000      # distinct rows that a task adds up before it passes them on
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKET_DOCS = 4096       # documents of a state bucket, about
 
 
 def own_mask(text: Column) -> Column:
@@ -82,8 +84,9 @@ def label_flags(labels: DataFrame) -> DataFrame:
         F.max((F.coalesce("toxic", F.lit(0)) == 1).cast("int")).alias("_toxic"))
 
 
-# Rows of equal text, part, mask and labels: the smallest id, how many rows have it, a larger one, none.
+# Rows of equal text, part, mask and labels: the smallest id, how many rows have it (0: none has an id), a larger one, none.
 PARTIAL = "digest binary, part string, mask int, good int, toxic int, smallest long, at_smallest long, larger long, no_id long"
+CELL = ["part", "mask", "good", "toxic"]
 
 
 def partials(rows: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame:
@@ -92,7 +95,7 @@ def partials(rows: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame:
         sums: dict = {}
 
         def out():
-            cols = list(zip(*[(*k, *v) for k, v in sums.items()])) or [()] * 9
+            cols = list(zip(*[(*k, *v) for k, v in sums.items()]))
             kinds = [pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
                                               names=[c.split()[0] for c in PARTIAL.split(", ")])
@@ -100,10 +103,10 @@ def partials(rows: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame:
         for b in batches:
             *key, ids = [c.to_pylist() for c in b.columns]
             for k, i in zip(zip(*key), ids):
-                smallest, n, larger, none = sums.get(k, (None, 0, 0, 0))
+                smallest, n, larger, none = sums.get(k, (0, 0, 0, 0))
                 if i is None:
                     none += 1
-                elif smallest is None or i < smallest:
+                elif not n or i < smallest:
                     smallest, n, larger = i, 1, larger + n
                 elif i == smallest:
                     n += 1
@@ -119,73 +122,65 @@ def partials(rows: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame:
     return rows.mapInArrow(add_up, PARTIAL)
 
 
-def changes(held: tuple | None, rows: list[tuple]) -> tuple[tuple | None, dict]:
-    """One text's state after ``rows`` of PARTIAL (without the digest) and the changes of the counters.
-
-    State: (smallest id, [[part, mask, good, toxic, rows with that id], ...])."""
-    delta: dict = {}
-
-    def count(part, mask, good, toxic, n, copy):
-        if n:
-            cell = (part, mask | (COPY if copy else 0), good, toxic)
-            delta[cell] = delta.get(cell, 0) + n
-
-    ids = [r[4] for r in rows if r[4] is not None]
-    before = held[0] if held else None
-    smallest = min(ids + ([] if before is None else [before]), default=None)
-    cells = {tuple(c[:4]): c[4] for c in held[1]} if held else {}
-    if before is not None and smallest < before:
-        for cell, n in cells.items():
-            count(*cell, -n, False)
-            count(*cell, n, True)
-        cells = {}
-    for *cell, i, n, larger, none in rows:
-        count(*cell, none, False)
-        count(*cell, larger, True)
-        count(*cell, n, i != smallest)
-        if i is not None and i == smallest:
-            cells[tuple(cell)] = cells.get(tuple(cell), 0) + n
-    state = None if smallest is None else (smallest, [[*c, n] for c, n in cells.items()])
-    return state, {c: n for c, n in delta.items() if n}
-
-
-def counter_changes(rows: DataFrame) -> DataFrame:
+def changes(state: pd.DataFrame | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The state of some texts after the PARTIAL ``rows``, and the changes (CELL, n) of the counters.
+
+    State: per text and cell the smallest id and the number of rows that have it."""
+    met = rows[rows.at_smallest > 0]
+    new = met[["digest", *CELL]].assign(id=met.smallest, n=met.at_smallest, known=False)
+    every = new if state is None else pd.concat([state.assign(known=True), new], ignore_index=True)
+    first = every.id == every.groupby("digest").id.transform("min")
+    gone, late, fresh = every[every.known & ~first], every[~every.known & ~first], every[~every.known & first]
+
+    def copies(of: pd.DataFrame) -> pd.DataFrame:
+        return of.assign(mask=of["mask"] | COPY)
+
+    moves = [fresh, copies(late), gone.assign(n=-gone.n), copies(gone),
+             copies(rows.assign(n=rows.larger)), rows.assign(n=rows.no_id)]
+    delta = pd.concat([m[[*CELL, "n"]] for m in moves]).groupby(CELL, as_index=False).n.sum()
+    held = every[first].groupby(["digest", *CELL, "id"], as_index=False).n.sum()
+    return held, delta[delta.n != 0]
+
+
+def packed(state: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    held = pa.Table.from_pandas(state, preserve_index=False)
+    with pa.ipc.new_stream(sink, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(held)
+    return sink.getvalue().to_pybytes()
+
+
+def counter_changes(rows: DataFrame, buckets: int) -> DataFrame:
     """Signed changes (part, mask, good, toxic, n) of the counters, from a stream of PARTIAL rows."""
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        met = []
-        for f in frames:
-            cols = [f[c].tolist() for c in ("part", "mask", "good", "toxic", "smallest", "at_smallest", "larger", "no_id")]
-            cols[4] = [None if i == "" else int(i) for i in cols[4]]
-            met += zip(*cols)
-        old = json.loads(state.get[0]) if state.exists else None
-        new, delta = changes(old, met)
-        if new is not None:
-            state.update((json.dumps(new),))
-        yield pd.DataFrame([(*c, n) for c, n in delta.items()], columns=["part", "mask", "good", "toxic", "n"])
-
-    # Ids travel as text: pandas would turn a column with a missing number into floats.
-    as_text = rows.withColumn("smallest", F.coalesce(F.col("smallest").cast("string"), F.lit("")))
-    return as_text.groupBy("digest").applyInPandasWithState(
-        update, "part string, mask int, good int, toxic int, n long", "held string", "append", GroupStateTimeout.NoTimeout)
+        held = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else None
+        held, delta = changes(held, pd.concat(frames))
+        if len(held):
+            state.update((packed(held),))
+        yield delta
 
-
-CELL = ["part", "mask", "good", "toxic"]
+    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int"))
+    return keyed.groupBy("bucket").applyInPandasWithState(
+        update, "part string, mask int, good int, toxic int, n long", "held binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def counters(spark: SparkSession, docs_path: str, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             part_col: str = "lang", batches: int = BATCHES, state_store: str = STATE_STORE) -> DataFrame:
+             part_col: str = "lang", batches: int = BATCHES,
+             bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """(part, mask, good, toxic, n): documents of the table at ``docs_path`` with each mask,
     after all its files went through the stream."""
     files = spark.read.parquet(docs_path)
     base = scratch_path(spark, "filter_audit")
     s = stream_session(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", state_store)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    s.conf.set(provider, spark.conf.get(provider))
     per_batch = max(1, -(-len(files.inputFiles()) // batches))
+    buckets = files.count() // bucket_docs + 1  # from the files' footers
     flags = os.path.join(base, "flags")
     label_flags(labels).write.parquet(flags)
     docs = file_stream(s, files.schema, docs_path, per_batch)
     rows = docs.select(
-        F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256)).alias("digest"), F.coalesce(part_col, F.lit("")).alias("part"),
+        F.substring(F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256)), 1, 16).alias("digest"), F.coalesce(part_col, F.lit("")).alias("part"),
         own_mask(F.col(text_col)).alias("mask"), F.col(id_col).cast("long").alias("_id"))
     rows = rows.join(s.read.parquet(flags), F.col("_id") == F.col("_label_id"), "left").select(
         "digest", "part", "mask", F.coalesce("_good", F.lit(0)).alias("good"), F.coalesce("_toxic", F.lit(0)).alias("toxic"), "_id")
@@ -194,7 +189,7 @@ def counters(spark: SparkSession, docs_path: str, labels: DataFrame, id_col: str
     def keep(batch: DataFrame, number: int) -> None:
         batch.groupBy(*CELL).agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{out}/_batch={number}")
 
-    (counter_changes(partials(rows)).writeStream.outputMode("append").foreachBatch(keep)
+    (counter_changes(partials(rows), buckets).writeStream.outputMode("append").foreachBatch(keep)
      .option("checkpointLocation", os.path.join(base, "checkpoint")).trigger(availableNow=True).start().awaitTermination())
     schema = "part string, mask int, good int, toxic int, n long"
     # Without a file there was no batch, and without a batch there is no folder.
