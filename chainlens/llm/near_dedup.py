@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import NO_ID, doc_key, join_by_size, sliced, written
+from chainlens.llm.common import NO_ID, doc_key, fresh, join_by_size, sliced, written
 
 WORDS = 5
 PERCENT = 80
@@ -351,9 +351,22 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays (its smallest id)."""
-    found = groups(docs).where("kept").select(doc_key(F.col("_id")).alias("_keep")).distinct()
-    return docs.join(found, doc_key(docs["doc_id"]) == found["_keep"], "left_semi")
+    """Pipeline stage: one row of each group stays, its smallest id.
+
+    Rows that share an id, or have none, are told apart by a number of their
+    own, given once and written: of a group's rows with the smallest id (of
+    its rows without an id, if it has no other) the first number stays."""
+    ids = docs.groupBy("doc_id").count().agg(F.max("count").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    if (ids["n"] or 0) <= 1 and not ids["none"]:
+        found = groups(docs).where("kept").select(doc_key(F.col("_id")).alias("_keep"))
+        return docs.join(found, doc_key(docs["doc_id"]) == found["_keep"], "left_semi")
+    number = fresh(docs, "_number")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "near_rows")
+    found = groups(rows, id_col=number).select(F.col("_id").alias("_n"), "component")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_n"))
+    keep = (rows.select(F.col(number).alias("_n"), "doc_id").join(found, "_n").groupBy("component")
+            .agg(F.min(order)["_n"].alias("_keep")))
+    return rows.join(keep, rows[number] == keep["_keep"], "left_semi").drop(number)
 
 
 ORACLE = r"""

@@ -94,3 +94,15 @@ def test_empty_and_stage(spark):
     assert out.columns == docs.columns
     want = {r[0] for r in brute(rows_of(), 5, 80) if r[3]}
     assert {r["doc_id"] for r in out.select("doc_id").collect()} == want
+
+
+def test_stage_keeps_one_row_of_repeated_ids_and_of_rows_without_one(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, lines=3, words=30) for _ in range(4))
+    near = a + " tail"
+    rows = [(5, a, "en", "s"), (5, a, "en", "s"), (9, near, "en", "s"),        # one group: a repeated row and a near copy
+            (9, b, "en", "s"), (7, b, "en", "s"),                               # id 9 is in two groups
+            (None, c, "en", "s"), (None, c, "en", "s"),                         # copies without an id
+            (None, d, "en", "s"), (11, d, "en", "s")]
+    got = sorted(((r["doc_id"], r["text"]) for r in N.stage(spark, table(spark, rows), "").collect()), key=str)
+    assert got == sorted([(5, a), (7, b), (None, c), (11, d)], key=str)
