@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,6 +91,19 @@ def _envelopes(t: FX.Tables) -> DataFrame:
     return SRC.parse_envelope_column(docs, "doc", schemas.ORDERS)
 
 
+def _large_envelopes(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines landed as a few single-line envelopes, each cut into its records by many tasks."""
+    t, docs = _t(spark, sf), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = Window.partitionBy("doc").orderBy("order_id", "line_number")
+    rows = t.orders.withColumn("doc", F.pmod(F.xxhash64("order_id"), F.lit(docs)))
+    record = F.to_json(F.struct(*[F.col(f.name) for f in schemas.ORDERS.fields]))
+    before = F.when(F.lag("doc").over(order).isNull(), '{"status": "success", "note": "}{", "data": [').otherwise(",")
+    after = F.when(F.lead("doc").over(order).isNull(), '], "count": null}').otherwise("")
+    path = scratch_path(spark, "landed_envelopes")
+    rows.select("doc", F.concat(before, record, after)).write.partitionBy("doc").option("lineSep", " ").text(path)
+    return SRC.load_orders(spark, path, fmt="envelope")
+
+
 def _analytics_rows(t: FX.Tables) -> DataFrame:
     """The analytics document of all orders, written as JSON and read back into rows."""
     def as_map(df: DataFrame, name: str) -> DataFrame:
@@ -134,6 +147,7 @@ QUERIES: dict[str, Query] = {
     "inventory": _q(lambda t: t.inventory),
     "combine_sources": _q(_combined),
     "orders_from_envelopes": _q(_envelopes),
+    "orders_from_large_envelopes": _large_envelopes,
     "analytics_document_rows": _q(_analytics_rows),
     # warehouse builders
     "dim_products": _q(lambda t: W.dim_products(t.products)),

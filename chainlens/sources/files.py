@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from chainlens import schemas
 from chainlens.functions.frames import fact_join
 from chainlens.operators.transforms import enrich_orders, enrich_people, enrich_returns, normalise_doubles
+from chainlens.sources.envelopes import record_lines
 
 
 def _sheet_schema(canonical: T.StructType) -> T.StructType:
@@ -42,7 +43,10 @@ def read_landed(spark: SparkSession, path: str, canonical: T.StructType, fmt: st
 
     CSV takes one look at the header line; files of one folder must agree on
     it.  JSON takes one pass over the keys, so that a key no record has stays
-    an absent column."""
+    an absent column.  Envelopes (``fmt="envelope"``) of any size are cut into
+    their records first."""
+    if fmt == "envelope":
+        path, fmt = record_lines(spark, path), "json"
     if fmt == "csv":
         df = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
     elif fmt == "json":
@@ -122,11 +126,13 @@ def resolve_source(primary: DataFrame | None, fallback: DataFrame | None) -> Dat
 
 
 def combine_sources(primary: DataFrame, fallback: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Primary rows plus fallback rows whose key the primary lacks.
+    """Primary rows plus fallback rows whose key the primary lacks (NULL in
+    a key equals NULL).
 
     The anti-join and the union are both distributed; column sets may
     differ (missing columns become NULL).
     """
-    key = list(key)
-    extra = fact_join(fallback, primary.select(*key), key, "left_anti")
+    known = primary.select(*[F.col(k).alias(f"__{k}") for k in key])
+    same = [fallback[k].eqNullSafe(known[f"__{k}"]) for k in key]
+    extra = fact_join(fallback, known, same, "left_anti")
     return primary.unionByName(extra, allowMissingColumns=True)

@@ -1,0 +1,147 @@
+"""Large envelopes cut into records by many tasks."""
+
+from __future__ import annotations
+
+import json
+import os
+import random
+
+import pytest
+
+from chainlens import schemas
+from chainlens.plans import pipeline as P
+from chainlens.session import scratch_path
+from chainlens.sources import files as SRC
+from chainlens.sources.envelopes import envelope_records
+
+NASTY = ['}', '{', '"', '\\', '\\"', '}{', '"data": [{', '],"data":[', "é日", "\n", "\t", ": [", "a", " ", "{\"x\":1}", "\\\\\"}"]
+
+
+def value(rng, depth=0):
+    kind = rng.randrange(7 if depth < 3 else 4)
+    if kind == 0:
+        return "".join(rng.choice(NASTY) for _ in range(rng.randrange(8)))
+    if kind == 1:
+        return rng.choice([1, -2.5, 1e30, True, None])
+    if kind in (2, 3):
+        return rng.choice(["", "plain", "}", "x" * 50])
+    if kind == 4:
+        return {rng.choice(["k", "{", "data", 'q"']) + str(i): value(rng, depth + 1) for i in range(rng.randrange(4))}
+    return [value(rng, depth + 1) for _ in range(rng.randrange(4))]
+
+
+def document(rng, rows):
+    head = {"status": "".join(rng.choice(NASTY) for _ in range(5)), "meta": {"a": {"b": value(rng)}, "data": [{"not": "mine"}]},
+            "errors": [{"e": value(rng)} for _ in range(rng.randrange(3))]}
+    tail = {"more": [{"z": "}"}], "count": len(rows), "note": '], "data": [{'}
+    return {**head, "data": rows, **tail}
+
+
+def write(path, name, text):
+    os.makedirs(path, exist_ok=True)
+    with open(os.path.join(path, name), "w", newline="") as f:
+        f.write(text)
+
+
+@pytest.fixture()
+def small_chunks(spark):
+    def chunk(n):
+        s = spark.newSession()
+        s.conf.set("spark.sql.files.maxPartitionBytes", str(n))
+        s.conf.set("spark.sql.files.openCostInBytes", "0")
+        s.conf.set("spark.sql.shuffle.partitions", "4")
+        return s
+    return chunk
+
+
+def records(df):
+    return sorted(json.dumps(json.loads(r["record"]), sort_keys=True) for r in df.collect())
+
+
+def test_records_equal_a_whole_parse(spark, small_chunks, tmp_root):
+    rng = random.Random(1)
+    want = []
+    for k in range(10):
+        rows = [{f"c{i}": value(rng) for i in range(rng.randrange(5))} for _ in range(rng.choice([0, 1, 40, 150]))]
+        rows = rows + [7, "text", None, [{"in": "a list"}]] if k % 3 == 0 else rows
+        rng.shuffle(rows)
+        want += [r for r in rows if isinstance(r, dict)]
+        doc = document(rng, rows)
+        style = [dict(indent=2), dict(separators=(",", ":")), dict(ensure_ascii=False), {}][k % 4]
+        end = ["", "\n", "  \r\n"][k % 3]
+        write(tmp_root, f"d{k}.json", json.dumps(doc, **style) + end)
+    write(tmp_root, "two.json", json.dumps({"data": [{"a": 1}]}) + "\n" + json.dumps({"data": [{"a": 2}], "x": [{"n": 0}]}) + "\n")
+    write(tmp_root, "none.json", json.dumps({"status": "ok", "data": None}))
+    want = sorted(json.dumps(r, sort_keys=True) for r in want + [{"a": 1}, {"a": 2}])
+    for n in (97, 4096):
+        assert records(envelope_records(small_chunks(n), tmp_root)) == want
+
+
+def test_array_without_an_envelope(small_chunks, tmp_root):
+    rows = [{"a": {"b": [{"c": "}]"}]}}, {}, {"a": 1}] * 20
+    write(tmp_root, "a.json", json.dumps(rows, indent=1))
+    assert records(envelope_records(small_chunks(64), tmp_root, None)) == sorted(json.dumps(r, sort_keys=True) for r in rows)
+
+
+@pytest.mark.parametrize("text", ['{"data": [{"a": 1', '{"data": [{"a": 1}', '{"data": [{"a": 1}]', '{"data": [{"a": "}]}', '{"status": "ok"', '{"data": ['])
+def test_broken_documents_fail(small_chunks, tmp_root, text):
+    write(tmp_root, "a.json", text)
+    with pytest.raises(ValueError, match="ends inside"):
+        envelope_records(small_chunks(8), tmp_root).collect()
+
+
+def test_work_of_a_task_is_bounded_by_the_chunk(small_chunks, tmp_root):
+    rows = [{"id": i, "text": "some } words { " * 5} for i in range(3000)]
+    write(tmp_root, "big.json", json.dumps({"data": rows}))
+    size = os.path.getsize(os.path.join(tmp_root, "big.json"))
+    s = small_chunks(size // 20)
+    from chainlens.sources.envelopes import _pieces
+    sizes = [r["n"] for r in _pieces(s, tmp_root).groupBy("_b").agg({"value": "count"}).withColumnRenamed("count(value)", "n").collect()]
+    assert len(sizes) >= 20 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    assert len(records(envelope_records(s, tmp_root))) == 3000
+
+
+ORDERS = [{"Order ID": f"O{i}", "Order Date": f"2024-0{1 + i % 8}-03", "Ship Date": f"2024-0{1 + i % 8}-0{4 + i % 5}", "Customer ID": f"C{i % 7}",
+           "Product ID": f"P{i % 5}", "Category": ["A}", 'B"{'][i % 2], "Quantity": i % 4 + 1, "Sales": i / 2, "Profit": 1.5, "Discount": 0.0,
+           "Country": "US", "State": "CA", "Region": "West", "Note": "kept"} for i in range(60)]
+
+
+def test_envelope_feed_equals_the_sheet(spark, tmp_root):
+    write(os.path.join(tmp_root, "env"), "o.json", json.dumps({"status": "success", "data": ORDERS, "count": len(ORDERS)}))
+    write(os.path.join(tmp_root, "lines"), "o.json", "\n".join(map(json.dumps, ORDERS)))
+    a = SRC.load_orders(spark, os.path.join(tmp_root, "env"), fmt="envelope")
+    b = SRC.load_orders(spark, os.path.join(tmp_root, "lines"), fmt="json")
+    assert a.schema == b.schema and "Note" in a.columns
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    from chainlens.operators import quality as Q
+    write(os.path.join(tmp_root, "short"), "o.json", json.dumps({"data": [{"Order ID": "A", "Order Date": "2024-01-01"}]}))
+    short = SRC.load_orders(spark, os.path.join(tmp_root, "short"), fmt="envelope")
+    assert not {"ship_date", "country"} & set(short.columns)
+    assert {x["status"] for x in Q.dq_required_columns(short).collect()} == {"FAIL"}
+
+
+def test_batch_job_from_envelopes_equals_the_job_from_files(spark, tmp_root):
+    returns = [{"Order ID": f"O{i}", "Order Date": "2024-05-01", "Customer ID": f"C{i % 7}", "Product ID": f"P{i % 5}",
+                "Category": "A}", "Region": "West"} for i in range(0, 60, 7)]
+    people = [{"Customer ID": f"C{i}", "Customer Name": f"N {i}", "Segment": "S", "Region": "West"} for i in range(7)]
+    got = {}
+    for fmt in ("envelope", "json"):
+        landed = {}
+        for name, rows in (("orders", ORDERS), ("returns", returns), ("people", people)):
+            landed[name] = os.path.join(tmp_root, fmt, name)
+            text = json.dumps({"status": "success", "data": rows}) if fmt == "envelope" else "\n".join(map(json.dumps, rows))
+            write(landed[name], "a.json", text)
+        out = P.run(spark, root=scratch_path(spark, "envelope_job"), landed=landed, fmt=fmt)
+        got[fmt] = {t: sorted(map(str, spark.read.parquet(os.path.join(out["warehouse"], t)).drop("created_date", "updated_date").collect()))
+                    for t in ("fact_orders", "fact_returns", "dim_customers", "dim_locations", "dim_time")}
+        got[fmt]["dq"] = sorted(map(tuple, spark.read.parquet(out["dq_required_columns"]).collect()), key=str)
+    assert got["envelope"] == got["json"] and len(got["json"]["fact_orders"]) == 60
+
+
+def test_null_keys_meet_when_sources_are_combined(spark):
+    ddl = "k string, j int, v string"
+    a = spark.createDataFrame([("x", None, "a"), ("y", 1, "a")], ddl)
+    b = spark.createDataFrame([("x", None, "b"), ("x", 1, "b"), (None, None, "b")], ddl)
+    assert sorted(map(str, (tuple(r) for r in SRC.combine_sources(a, b, ["k", "j"]).collect()))) == sorted(
+        map(str, [("x", None, "a"), ("y", 1, "a"), ("x", 1, "b"), (None, None, "b")]))
+    assert schemas.ORDERS
