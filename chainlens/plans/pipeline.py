@@ -25,6 +25,7 @@ from chainlens.plans import warehouse as W
 from chainlens.session import apply_conf, cluster_conf, input_bytes, scratch_path
 from chainlens.sources import files as SRC
 from chainlens.sources import fixtures as FX
+from chainlens.sources import snapshots as SNAP
 
 
 def all_metrics(orders: DataFrame, inventory: DataFrame, returns: DataFrame) -> dict[str, DataFrame]:
@@ -65,18 +66,24 @@ def mart_frames(wh: dict[str, DataFrame], skew_share: float | None = None) -> di
 
 def build_marts(wh: dict[str, DataFrame], root: str | None = None, database: str | None = None,
                 skew_share: float | None = None) -> list[str]:
-    """Create-or-replace every mart (overwrite); marts are small (one row
-    per category or per month x category), so each is written as is."""
+    """Create or replace every mart.  A mart is published as a whole when it
+    is written: below ``root`` as a version (``read_mart``), in a database by
+    pointing its view at a new table; a job that fails leaves the old one."""
     written = []
     for name, df in mart_frames(wh, skew_share).items():
         if database:
-            df.write.mode("overwrite").format("parquet").saveAsTable(f"{database}.{name}")
+            SNAP.replace_view(df, database, name)
         else:
-            df.write.mode("overwrite").parquet(os.path.join(root, name))
+            SNAP.replace(df, os.path.join(root, name))
         written.append(name)
     return written
 
 
+def read_mart(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """One version of a mart, the last one by default."""
+    return SNAP.read(spark, os.path.join(root, name), version)
+
+
 def extract(spark: SparkSession, root: str, sf_dir: str | None = None, landed: dict[str, str] | None = None,
             fmt: str = "csv", formats: dict[str, str] | None = None, skew_share: float | None = None) -> dict[str, DataFrame]:
     """The input tables, each written once below ``root``: those landed

@@ -4,7 +4,8 @@ ST-1  daily KPI counts / sums per event type over tumbling windows;
       each micro-batch upserts the days that changed.
 ST-2  stateless alert filter (append).
 ST-3  incremental refresh of a fact table: each micro-batch rebuilds the
-      partitions that it touches from their stored rows and its own.
+      partitions that it touches, those that its keys move out of included,
+      from their stored rows and its own.
 
 Sources are table paths, a file or a folder of files.  Sinks, state and
 checkpoints are written below the shared scratch root.
@@ -12,16 +13,18 @@ checkpoints are written below the shared scratch root.
 
 from __future__ import annotations
 
+import json
 import os
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from chainlens.functions import columns as C
 from chainlens.session import scratch_path
+from chainlens.sources.snapshots import MIN_AGE_S, Snapshots
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -67,33 +70,100 @@ def daily_kpis(events: DataFrame, watermark: str | None = None, window: str = "1
 
 
 # --- a table of merged batches --------------------------------------------------
-
-def read_merged(spark: SparkSession, table: str, partition_col: str, before: int | None = None) -> DataFrame:
-    """Current rows: of each partition, the files of the last batch that wrote it."""
-    rows = spark.read.option("basePath", table).parquet(table)
-    if before is not None:
-        rows = rows.where(F.col("_batch") < before)
-    last = rows.groupBy(F.col(partition_col).alias("_p")).agg(F.max("_batch").alias("_last"))  # one row a partition
-    return (rows.join(last, rows[partition_col].eqNullSafe(last["_p"]) & (rows["_batch"] == last["_last"]))
-            .drop("_p", "_last", "_batch"))
-
-
-def _merge_batch(batch: DataFrame, batch_id: int, table: str, partition_col: str, key: list[str]) -> None:
-    """Rebuild the partitions that ``batch`` touches: stored rows whose key it
-    doesn't hold, plus its own (of several with one key, any).  The result is
-    a fresh folder of this batch, written from earlier batches only, so doing
-    it again gives the same table."""
+#
+# A version of the table names its runs.  A run holds whole partitions (``data``) and the list of
+# partitions that it replaces (``parts``), which may have become empty; of each partition the last
+# run that lists it counts.  A batch adds a run; FANOUT runs of one level are merged into one of the
+# next, so a table of n batches has at most about FANOUT * log(n) runs.
+
+FANOUT = 8
+
+
+def _runs(spark: SparkSession, table: str, content: dict, runs: list[dict]) -> tuple[DataFrame, DataFrame]:
+    """Rows and partitions of ``runs``, with the run's number as ``_run``."""
+    schema, part = T.StructType.fromJson(json.loads(content["schema"])), content["partition"]
+    rows = parts = None
+    for k, r in enumerate(runs):
+        d = spark.read.schema(schema).parquet(f"{table}/{r['folder']}/data").withColumn("_run", F.lit(k))
+        p = spark.read.schema(T.StructType([T.StructField("_p", schema[part].dataType)])).parquet(
+            f"{table}/{r['folder']}/parts").withColumn("_run", F.lit(k))
+        rows, parts = (d, p) if rows is None else (rows.unionByName(d), parts.unionByName(p))
+    return rows, parts
+
+
+def _live(spark: SparkSession, table: str, content: dict, runs: list[dict] | None = None) -> DataFrame:
+    """Of each partition the rows of the last of ``runs`` (all by default) that lists it."""
+    runs = content["runs"] if runs is None else runs
+    rows, parts = _runs(spark, table, content, runs)
+    if len(runs) == 1:
+        return rows.drop("_run")
+    last = parts.groupBy("_p").agg(F.max("_run").alias("_last"))  # one row a partition
+    return (rows.join(last, rows[content["partition"]].eqNullSafe(last["_p"]) & (rows["_run"] == last["_last"]))
+            .drop("_p", "_last", "_run"))
+
+
+def read_merged(spark: SparkSession, table: str, partition_col: str, version: int | None = None) -> DataFrame:
+    """Rows of one version of the table, the last one by default."""
+    _, content = Snapshots(spark, table).read(version)
+    if content is None:
+        raise FileNotFoundError(f"no version of {table}")
+    assert content["partition"] == partition_col
+    return _live(spark, table, content)
+
+
+def _merge_batch(batch: DataFrame, batch_id: int, table: str, partition_col: str, key: list[str],
+                 order_by: list[str] | None = None, fanout: int = FANOUT, min_age_s: float = MIN_AGE_S) -> None:
+    """Bring the rows of ``batch`` into the table: a row replaces the stored row
+    with its key, in whatever partition that one lies.
+
+    The partitions of the batch's rows and those where its keys are stored are
+    rebuilt in a new run.  Of several rows with one key in a batch the greatest
+    by ``order_by``, then by all columns, counts.  The run is published with the
+    batch's number, so a batch that is done again changes nothing."""
     spark = batch.sparkSession
-    batch = batch.dropDuplicates(key)
-    out = batch
-    if _has_batches(spark, table, batch_id):
-        same_part = [partition_col]
-        stored = read_merged(spark, table, partition_col, before=batch_id)
-        touched = batch.select(*same_part).distinct()
-        kept = _null_safe(_null_safe(stored, touched, same_part, "left_semi"), batch.select(*key), key, "left_anti")
-        out = kept.unionByName(batch)
-    (out.hint("rebalance", partition_col).write.mode("overwrite").partitionBy(partition_col)
-     .parquet(f"{table}/_batch={batch_id}"))
+    log = Snapshots(spark, table)
+    version, content = log.read()
+    if content is None:
+        content = {"batch": -1, "runs": [], "partition": partition_col}
+    if batch_id <= content["batch"]:
+        return
+    content["schema"] = batch.schema.json()
+    folder = log.folder("run")
+    latest = F.max(F.struct(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(order_by or [])], *batch.columns))
+    rows = batch.groupBy(*[F.col(c).alias(f"_key_{c}") for c in key]).agg(latest.alias("_r")).select(
+        *[F.col(f"_r.`{c}`").alias(c) for c in batch.columns])
+    if not content["runs"]:
+        (rows.hint("rebalance", partition_col).write.partitionBy(partition_col).parquet(f"{folder}/data"))
+        own = spark.read.schema(batch.schema).parquet(f"{folder}/data")
+        own.select(F.col(partition_col).alias("_p")).distinct().coalesce(1).write.parquet(f"{folder}/parts")
+    else:
+        rows.write.parquet(f"{folder}/incoming")  # read several times below
+        rows = spark.read.schema(batch.schema).parquet(f"{folder}/incoming")
+        stored = _live(spark, table, content)
+        where = _null_safe(stored.select(*dict.fromkeys([*key, partition_col])), rows.select(*key), key, "left_semi")
+        touched = rows.select(partition_col).unionByName(where.select(partition_col)).distinct()
+        touched.select(F.col(partition_col).alias("_p")).coalesce(1).write.parquet(f"{folder}/parts")
+        touched = spark.read.parquet(f"{folder}/parts").select(F.col("_p").cast(batch.schema[partition_col].dataType).alias(partition_col))
+        kept = _null_safe(_null_safe(stored, touched, [partition_col], "left_semi"), rows.select(*key), key, "left_anti")
+        (kept.unionByName(rows).hint("rebalance", partition_col).write.partitionBy(partition_col).parquet(f"{folder}/data"))
+    content["batch"] = batch_id
+    content["runs"] = content["runs"] + [{"folder": folder.rsplit("/", 1)[1], "level": 0}]
+    version = log.publish(content, version)
+    _compact(log, version, content, fanout)
+    log.expire(min_age_s=min_age_s)
+
+
+def _compact(log: Snapshots, version: int, content: dict, fanout: int) -> None:
+    """While the last ``fanout`` runs are of one level, make one run of the next level of them."""
+    while len(content["runs"]) >= fanout and len({r["level"] for r in content["runs"][-fanout:]}) == 1:
+        before, last = content["runs"][:-fanout], content["runs"][-fanout:]
+        folder = log.folder("run")
+        _, parts = _runs(log.spark, log.path, content, last)
+        parts.select("_p").distinct().coalesce(1).write.parquet(f"{folder}/parts")
+        part = content["partition"]
+        (_live(log.spark, log.path, content, last).hint("rebalance", part).write.partitionBy(part).parquet(f"{folder}/data"))
+        content["runs"] = before + [{"folder": folder.rsplit("/", 1)[1], "level": last[0]["level"] + 1}]
+        version = log.publish(content, version)
 
 
 def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -104,20 +174,12 @@ def _null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> Da
     return left.join(r, cond, how)
 
 
-def _has_batches(spark: SparkSession, table: str, before: int) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return False
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    return any(int(n[len("_batch="):]) < before for n in names if n.startswith("_batch="))
-
-
 def merge_stream(stream: DataFrame, table: str, partition_col: str, key: list[str], checkpoint: str,
-                 mode: str = "append", available_now: bool = True) -> StreamingQuery:
+                 mode: str = "append", available_now: bool = True, order_by: list[str] | None = None) -> StreamingQuery:
     """Keep ``table`` (read it with ``read_merged``) up to date with a stream
-    of rows, of which a later one replaces an earlier one with the same key."""
-    sink = partial(_merge_batch, table=table, partition_col=partition_col, key=key)
+    of rows, of which a later one replaces an earlier one with the same key
+    (within a batch: the greater one by ``order_by``)."""
+    sink = partial(_merge_batch, table=table, partition_col=partition_col, key=key, order_by=order_by)
     w = (stream.writeStream.outputMode(mode).foreachBatch(lambda batch, i: sink(batch, i))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -174,7 +174,7 @@ def test_pipeline_run_writes_marts_equal_to_direct(spark, tmp_root):
     from chainlens.queries import QUERIES
     out = P.run(spark, SF_SMALL, root=os.path.join(tmp_root, "run"))
     for name in P.MARTS:
-        written = sorted((tuple(r) for r in spark.read.parquet(os.path.join(out["marts"], name)).collect()), key=str)
+        written = sorted((tuple(r) for r in P.read_mart(spark, out["marts"], name).collect()), key=str)
         direct = sorted((tuple(r) for r in QUERIES[name](spark, SF_SMALL).collect()), key=str)
         assert written == direct, name
     rep = spark.read.option("header", True).csv(out["summary_report"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, inv_row, make_inventory, make_orders, order_row
 from chainlens.functions import columns as C
+from chainlens.sources.snapshots import Snapshots
 from chainlens.streaming import kpis
 
 
@@ -28,7 +29,7 @@ def test_stream_in_several_micro_batches(spark, tmp_root):
     out, ck = os.path.join(tmp_root, "k_out"), os.path.join(tmp_root, "k_ck")
     q = kpis.kpi_upsert(kpis.event_stream(spark, src, max_files_per_trigger=1), out, ck)
     q.awaitTermination()
-    assert len([x for x in os.listdir(out) if x.startswith("_batch=")]) >= 4
+    assert len(Snapshots(spark, out).versions()) >= 4
     got = kpis.read_merged(spark, out, "month").drop("month")
     batch = kpis.daily_kpis(ev.withColumn("ts", C.ntz_as_utc("ts")))
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in batch.collect())
@@ -98,6 +99,49 @@ def test_merge_replaces_by_key_and_replay_changes_nothing(spark, tmp_root):
     assert read() == sorted(want + [("m2", 5, "e")], key=str)
 
 
+def _state(spark, table):
+    return sorted((tuple(r) for r in kpis.read_merged(spark, table, "month").select("k", "month", "v").collect()), key=str)
+
+
+def test_a_key_that_changes_its_partition_leaves_no_old_row(spark, tmp_root):
+    table = os.path.join(tmp_root, "moved")
+    put = lambda i, *rows: kpis._merge_batch(
+        spark.createDataFrame(list(rows), "k int, month string, v string"), i, table, "month", ["k"])
+    put(0, (1, "jan", "a"), (2, "feb", "b"))
+    put(1, (1, "feb", "A"))
+    assert _state(spark, table) == [(1, "feb", "A"), (2, "feb", "b")]  # jan is empty now
+    put(2, (2, None, "B"), (3, "jan", "c"))
+    put(3, (2, "1999", "C"))
+    assert _state(spark, table) == [(1, "feb", "A"), (2, "1999", "C"), (3, "jan", "c")]
+    assert kpis.read_merged(spark, table, "month", version=1).count() == 2
+
+
+def test_the_later_event_of_a_batch_counts(spark, tmp_root):
+    table = os.path.join(tmp_root, "ordered")
+    rows = [(1, "jan", "z", 1), (1, "feb", "a", 2), (2, "jan", "x", 1), (2, "jan", "y", 1)]
+    for seed, name in ((1, "a"), (2, "b")):
+        df = spark.createDataFrame(rows, "k int, month string, v string, t int").orderBy(F.rand(seed))
+        kpis._merge_batch(df, 0, table + name, "month", ["k"], order_by=["t"])
+        assert _state(spark, table + name) == [(1, "feb", "a"), (2, "jan", "y")]
+
+
+def test_many_batches_leave_few_folders_and_equal_a_replay(spark, tmp_root):
+    import random
+    rng, table, want = random.Random(3), os.path.join(tmp_root, "levels"), {}
+    n = 18
+    for i in range(n):
+        rows = [(rng.randrange(12), rng.choice(["a", "b", "c", None]), f"{i}-{j}") for j in range(3)]
+        rows = list({r[0]: r for r in rows}.values())
+        want.update({r[0]: r for r in rows})
+        df = spark.createDataFrame(rows, "k int, month string, v string").coalesce(1)
+        for _ in range(1 + (i % 7 == 0)):  # some batches are done twice
+            kpis._merge_batch(df, i, table, "month", ["k"], fanout=3, min_age_s=0)
+    assert _state(spark, table) == sorted(want.values(), key=str)
+    runs = Snapshots(spark, table).read()[1]["runs"]
+    assert len(runs) <= 2 * 3 and max(r["level"] for r in runs) == 2
+    assert len([x for x in os.listdir(table) if x.startswith("run-")]) <= 2 * len(runs) + 3
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster():
     from types import SimpleNamespace
     import pytest
