@@ -14,6 +14,9 @@ interpolated result with bounded per-task state:
 4. the few buckets that hold a wanted rank are cut again, until a bucket
    that matters is small; a running count inside these gives the value.
 
+Several columns and groups share the passes.  Infinite values are counted
+apart, so cuts are always between finite ends.
+
 Each cut is one aggregate with a bounded result; no plan relies on two
 evaluations of a partitioning giving the same rows.
 """
@@ -38,51 +41,119 @@ def exact_percentiles(df: DataFrame, col: str | Column, qs: list[float], buckets
     """One row with a column per quantile (``p25`` for 0.25, ``p50`` for
     0.5, ``p95`` for 0.95 ...), equal to ``percentile(col, q)``; NULL / NaN
     values are ignored, and an empty input gives NULLs."""
-    spark = df.sparkSession
-    names = [f"{prefix}{_label(q)}" for q in qs]
-    schema = ", ".join(f"`{n}` double" for n in names)
+    found = series_percentiles(df, {"x": col}, qs, buckets=buckets, small=small)
+    schema = ", ".join(f"`{prefix}{_label(q)}` double" for q in qs)
+    return df.sparkSession.createDataFrame([tuple(found.get((None, "x"), [None] * len(qs)))], schema)
+
+
+def grouped_percentiles(df: DataFrame, columns: dict[str, str | Column], qs: list[float], by: str) -> DataFrame:
+    """(``by``, column name, quantiles) for every group of ``by`` and column that has a value.
+
+    The groups must be few (categories, regions): one row a group and column comes to the driver."""
+    found = series_percentiles(df, columns, qs, by)
+    kind = df.select(by).schema[0].dataType.simpleString()
+    schema = f"`{by}` {kind}, name string, " + ", ".join(f"p{_label(q)} double" for q in qs)
+    return df.sparkSession.createDataFrame([(g, n, *v) for (g, n), v in found.items()], schema)
+
+
+def exact_medians(df: DataFrame, columns: dict[str, str | Column]) -> dict[str, Column]:
+    """The exact median of each column as a literal, from one read of ``df``.
+
+    This runs jobs when it is called: a median of unbounded values is no single aggregate."""
+    found = series_percentiles(df, columns, [0.5])
+    return {n: F.lit(found.get((None, n), [None])[0]).cast("double") for n in columns}
+
+
+def series_percentiles(df: DataFrame, columns: dict[str, str | Column], qs: list[float], by: str | None = None,
+                       buckets: int = BUCKETS, small: int = SMALL) -> dict[tuple, list[float]]:
+    """(group, column name) -> exact quantiles, for all columns and groups in the same passes.
+
+    ``df`` is read once; each pass cuts the ranges that still hold a wanted
+    rank, of all columns and groups, in one job.  A pass brings back at most
+    about ``buckets`` rows, or ``small`` rows a range that ends the search."""
+    spark, names = df.sparkSession, list(columns)
+    group = F.col(by) if by else F.lit(None).cast("string")
+    values = F.inline(F.array(*[F.struct(F.lit(i).alias("s"), C.nan_to_null(c).cast("double").alias("x"))
+                                for i, c in enumerate(columns.values())]))
     # A value that holds a third of all rows is one row from here on.
+    rows = df.select(group.alias("g"), values).where(F.col("x").isNotNull()).groupBy("s", "g", "x").agg(
+        F.count(F.lit(1)).alias("c"))
     path = scratch_path(spark, "value_counts")
-    (df.select(C.nan_to_null(col).cast("double").alias("x")).where(F.col("x").isNotNull())
-     .groupBy("x").agg(F.count(F.lit(1)).alias("c")).write.parquet(path))
-    counts = spark.read.schema("x double, c long").parquet(path)  # the input is read once, whatever the cuts
-    total = counts.agg(F.min("x"), F.max("x"), F.sum("c"), F.count(F.lit(1))).first()
-    if not total[2]:
-        return spark.createDataFrame([tuple([None] * len(qs))], schema)
-    at = [q * (total[2] - 1) for q in qs]
-    ranks = sorted({int(f(p)) for p in at for f in (math.floor, math.ceil)})
-    found = _values_at(counts, total[0], total[1], total[3], 0, ranks, buckets, small)
-    values = []
-    for p in at:
-        low, high = found[math.floor(p)], found[math.ceil(p)]
-        values.append(low + (high - low) * (p - math.floor(p)))
-    return spark.createDataFrame([tuple(values)], schema)
-
-
-def _values_at(counts: DataFrame, low: float, high: float, distinct: int, before: int, ranks: list[int], buckets: int,
-               small: int) -> dict[int, float]:
-    """The value at each rank among the rows of ``counts`` in [low, high], of
-    which ``before`` rows lie below ``low``."""
-    if low == high:
-        return {r: low for r in ranks}
-    inside = counts.where((F.col("x") >= F.lit(low)) & (F.col("x") <= F.lit(high)))
-    out: dict[int, float] = {}
-    if distinct <= small:
-        for x, c in sorted(map(tuple, inside.collect())):
-            out.update({r: x for r in ranks if before <= r < before + c})
-            before += c
-        return out
-    width = high / buckets - low / buckets  # each end alone, so that the widest range doesn't overflow
-    key = F.floor(F.col("x") / F.lit(width) - F.lit(low / width)).cast("long")
-    cut = inside.groupBy(key.alias("k")).agg(F.min("x"), F.max("x"), F.sum("c"), F.count(F.lit(1))).orderBy("k").collect()
-    for _, lo, hi, c, d in cut:
-        mine = [r for r in ranks if before <= r < before + c]
-        if mine:
-            out.update(_values_at(counts, lo, hi, d, before, mine, buckets, small))
-        before += c
+    rows.write.parquet(path)
+    counts = spark.read.schema(rows.schema).parquet(path)  # the input is read once, whatever the cuts
+    finite = F.abs("x") != float("inf")
+    finite_x = F.when(finite, F.col("x"))
+    totals = counts.groupBy("s", "g").agg(
+        F.min(finite_x).alias("low"), F.max(finite_x).alias("high"), F.sum("c").alias("n"),
+        F.count(finite_x).alias("distinct"), F.coalesce(F.sum(F.when(F.col("x") == -float("inf"), F.col("c"))), F.lit(0)).alias("below"),
+        F.coalesce(F.sum(F.when(finite, F.col("c"))), F.lit(0)).alias("inside")).collect()
+    found: dict[tuple, dict[int, float]] = {}
+    ranges = []
+    for t in totals:
+        at = found[(t["s"], t["g"])] = {}
+        for r in sorted({int(f(q * (t["n"] - 1))) for q in qs for f in (math.floor, math.ceil)}):
+            if r < t["below"]:
+                at[r] = -math.inf
+            elif r >= t["below"] + t["inside"]:
+                at[r] = math.inf
+            else:
+                at[r] = None
+        ranks = [r for r, v in at.items() if v is None]
+        if ranks:
+            ranges.append((t["s"], t["g"], t["low"], t["high"], t["distinct"], t["below"], ranks))
+    kind = counts.schema["g"].dataType.simpleString()
+    while ranges:
+        for s, g, low, high, _, _, ranks in ranges:
+            if low == high:
+                found[(s, g)].update({r: low for r in ranks})
+        ranges = [r for r in ranges if r[2] != r[3]]
+        ending = [r for r in ranges if r[4] <= small]
+        wide = [r for r in ranges if r[4] > small]
+        ranges = []
+        for i, x, c in _inside(counts, ending, kind, None):
+            s, g, _, _, _, before, ranks = ending[i]
+            found[(s, g)].update({r: x for r in ranks if before <= r < before + c})
+            ending[i] = (*ending[i][:5], before + c, ranks)
+        for i, low, high, c, distinct in _inside(counts, wide, kind, max(2, buckets // max(1, len(wide)))):
+            s, g, _, _, _, before, ranks = wide[i]
+            mine = [r for r in ranks if before <= r < before + c]
+            if mine:
+                ranges.append((s, g, low, high, distinct, before, mine))
+            wide[i] = (*wide[i][:5], before + c, ranks)
+    out = {}
+    for t in totals:
+        at, values = found[(t["s"], t["g"])], []
+        for q in qs:
+            p = q * (t["n"] - 1)
+            low, high = at[math.floor(p)], at[math.ceil(p)]
+            part = p - math.floor(p)
+            if low == high or math.isfinite(low) and math.isfinite(high):
+                values.append(low if low == high else low + (high - low) * part)
+            else:
+                values.append((1 - part) * low + part * high)
+        out[(t["g"], names[t["s"]])] = values
     return out
 
 
+def _inside(counts: DataFrame, ranges: list[tuple], kind: str, buckets: int | None) -> list[tuple]:
+    """For each range, in order: its values with their counts, or (``buckets``) its cuts
+    with their least and greatest value, count and number of values."""
+    if not ranges:
+        return []
+    # Each end alone is divided, so that the widest range doesn't overflow.
+    rows = [(i, s, g, low, high, (high / buckets - low / buckets) if buckets else 0.0)
+            for i, (s, g, low, high, *_) in enumerate(ranges)]
+    found = F.broadcast(counts.sparkSession.createDataFrame(rows, f"i int, _s int, _g {kind}, low double, high double, width double"))
+    inside = counts.join(found, (F.col("s") == F.col("_s")) & F.col("g").eqNullSafe(F.col("_g"))
+                         & F.col("x").between(F.col("low"), F.col("high")))
+    if not buckets:
+        return sorted((r["i"], r["x"], r["c"]) for r in inside.select("i", "x", "c").collect())
+    key = F.floor(F.col("x") / F.col("width") - F.col("low") / F.col("width")).cast("long")
+    cut = inside.groupBy("i", key.alias("k")).agg(F.min("x").alias("a"), F.max("x").alias("b"), F.sum("c").alias("c"),
+                                                  F.count(F.lit(1)).alias("d")).collect()
+    return [(r["i"], r["a"], r["b"], r["c"], r["d"]) for r in sorted(cut, key=lambda r: (r["i"], r["k"]))]
+
+
 def _label(q: float) -> str:
     v = q * 100
     return str(int(v)) if math.isclose(v, round(v)) else str(v).replace(".", "_")
@@ -90,7 +161,7 @@ def _label(q: float) -> str:
 
 def exact_median(df: DataFrame, col: str | Column) -> Column:
     """The exact median of a column as a literal."""
-    return F.lit(exact_percentiles(df, col, [0.5]).first()[0]).cast("double")
+    return exact_medians(df, {"x": col})["x"]
 
 
 def describe_distributed(df: DataFrame, col: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """End-to-end batch job: extract -> checks -> warehouse -> marts -> metrics / report.
 
-C-1  ``all_metrics``  every metric family as a lazy DataFrame
+C-1  ``all_metrics``  every metric family as a DataFrame
 C-4  ``build_marts``  compute and write the marts from warehouse tables
 C-3  ``run``          the full job
 
@@ -29,7 +29,8 @@ from chainlens.sources import snapshots as SNAP
 
 
 def all_metrics(orders: DataFrame, inventory: DataFrame, returns: DataFrame) -> dict[str, DataFrame]:
-    """The six families (plus breakdowns), all lazy."""
+    """The six families (plus breakdowns).  All are lazy but for the medians of
+    turnover, days of inventory and fill rate, which are found when this is called."""
     return {
         "lead_time": M.lead_time_metrics(orders),
         "order_cycle": M.order_cycle_time_metrics(orders),

@@ -13,7 +13,7 @@ from chainlens.functions import columns as C
 from chainlens.functions.frames import one_row_join
 from chainlens.operators import dashboard as D
 from chainlens.operators import metrics as M
-from chainlens.operators.quantiles import exact_median
+from chainlens.operators.quantiles import exact_medians
 
 
 def _merged(df: DataFrame, families: dict[str, tuple[dict[str, Column], str]],
@@ -36,9 +36,9 @@ def summary_report(orders: DataFrame, inventory: DataFrame, returns: DataFrame)
     a single projection; a family is emitted only when it saw input rows.
     """
     o_fams = {"lt": M.lead_time_exprs(F.col("lead_time_days")), "ct": M.cycle_time_exprs()}
-    i_fams = {"to": M.turnover_exprs(exact_median(inventory, M.TURNOVER)),
-              "di": M.days_of_inventory_exprs(exact_median(inventory, M.days_of_inventory())),
-              "fr": M.fill_rate_exprs(exact_median(inventory, M.FILL_RATE)), "so": M.stockout_exprs()}
+    medians = exact_medians(inventory, {"to": M.TURNOVER, "di": M.days_of_inventory(), "fr": M.FILL_RATE})
+    i_fams = {"to": M.turnover_exprs(medians["to"]), "di": M.days_of_inventory_exprs(medians["di"]),
+              "fr": M.fill_rate_exprs(medians["fr"]), "so": M.stockout_exprs()}
     o1 = _merged(orders, o_fams, [F.count(F.lit(1)).alias("rt__orders_rows")])
     i1 = _merged(inventory, i_fams)
     cat = M.category_performance(orders)  # one row a category; feeds the breakdown and the top / best rows

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from chainlens.operators import dashboard as D
-from chainlens.operators.quantiles import describe_distributed, exact_percentiles
+from chainlens.operators.quantiles import describe_distributed, exact_percentiles, grouped_percentiles, series_percentiles
 from chainlens.sources import fixtures as FX
 
 QS = [0.0, 0.25, 0.5, 0.95, 1.0]
@@ -65,3 +65,29 @@ def test_no_value_map_in_one_task(spark):
     for df in (M.inventory_turnover_metrics(inv), M.days_of_inventory_metrics(inv), M.fill_rate_metrics(inv)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "percentile(" not in plan and "median(" not in plan.replace("median_", "")
+
+
+def test_columns_and_groups_share_the_passes(spark):
+    rnd = random.Random(9)
+    inf = float("inf")
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([rnd.gauss(0, 1e6), 7.0, rnd.random()]),
+             rnd.choice([inf, -inf, 1.5, rnd.random(), None, float("nan")])) for _ in range(900)] + [("one", 2.0, inf), ("none", None, None)]
+    df = spark.createDataFrame(rows, "g string, v double, w double")
+    for buckets, small in ((4096, 10_000), (8, 3), (40, 20)):
+        got = series_percentiles(df, {"v": "v", "w": F.col("w")}, QS, "g", buckets, small)
+        assert {g for g, _ in got} == {"a", "b", None, "one"}
+        for g in ("a", "b", None, "one"):
+            for col in ("v", "w"):
+                ref = _reference(df.where(F.col("g").eqNullSafe(F.lit(g)) & ~F.isnan(col)), col)
+                for have, want in zip(got[(g, col)], ref):
+                    assert have == pytest.approx(want, rel=1e-12, abs=1e-12), (g, col, buckets)
+    table = grouped_percentiles(df, {"v": "v"}, [0.5], "g")
+    assert table.columns == ["g", "name", "p50"] and table.count() == 4
+
+
+def test_infinite_values(spark):
+    inf = float("inf")
+    for vals in ([inf, 1.0, 2.0], [-inf, inf], [inf], [-inf, -inf, 3.0, 4.0, inf]):
+        df = spark.createDataFrame([(v,) for v in vals], "v double")
+        got, ref = exact_percentiles(df, "v", QS).first(), _reference(df, "v")
+        assert [str(x) for x in got] == [str(x) for x in ref], vals
