@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from chainlens import settings
 from chainlens.functions import columns as C
 from chainlens.functions.frames import count_if, nonempty
-from chainlens.operators.quantiles import exact_median
+from chainlens.operators.quantiles import exact_median, grouped_percentiles
 
 
 def _median(c: Column, exact: bool) -> Column:
@@ -93,6 +93,14 @@ def _own_median(inventory: DataFrame, col: str | Column, exact: bool) -> Column:
     return exact_median(inventory, col) if exact else F.percentile_approx(C.nan_to_null(col), 0.5, 100_000)
 
 
+def ratio_percentiles_by(inventory: DataFrame, by: str, qs: tuple[float, ...] = (0.25, 0.5, 0.95)) -> DataFrame:
+    """Exact quantiles of turnover, days of inventory and fill rate per value of ``by``, all from one
+    read: (``by``, metric, p25, p50, p95).  The values of ``by`` must be few."""
+    out = grouped_percentiles(inventory, {"turnover": TURNOVER, "days_of_inventory": days_of_inventory(),
+                                          "fill_rate": FILL_RATE}, list(qs), by)
+    return out.select(by, F.col("name").alias("metric"), *[C.ratio_round(F.col(c)).alias(c) for c in out.columns[2:]])
+
+
 def turnover_exprs(median: Column) -> tuple[dict[str, Column], str]:
     t = C.nan_to_null(TURNOVER)
     return {

@@ -18,6 +18,7 @@ from chainlens.operators import dashboard as D
 from chainlens.operators import marts as MT
 from chainlens.operators import metrics as M
 from chainlens.operators import quality as Q
+from chainlens.plans import incremental as IN
 from chainlens.plans import report as R
 from chainlens.plans import warehouse as W
 from chainlens.session import scratch_path
@@ -104,6 +105,22 @@ def _large_envelopes(spark: SparkSession, sf: str) -> DataFrame:
     return SRC.load_orders(spark, path, fmt="envelope")
 
 
+def _incremental_mart(spark: SparkSession, sf: str) -> DataFrame:
+    """The vendor mart after three batches: old lines and all returns; the other lines and wrong
+    copies of the old ones; and the deletion of these copies."""
+    t = _t(spark, sf)
+    lines, returns, products = W.fact_orders(t.orders), W.fact_returns(t.returns), W.dim_products(t.products)
+    sign = lambda df, n: df.withColumn(IN.SIGN, F.lit(n))
+    old = F.col("order_date") < F.lit("1996-01-01").cast("date")
+    wrong = lines.where(old).withColumn("sales", F.col("sales") + 1)
+    late = F.crc32(F.col("return_id").cast("binary")) % 2 == 0
+    path = scratch_path(spark, "mart_state")
+    IN.apply_batch(spark, path, 0, sign(lines.where(old), 1), sign(returns, 1), products)
+    IN.apply_batch(spark, path, 1, sign(lines.where(~old), 1).unionByName(sign(wrong, 1)), sign(returns.where(late), -1), products)
+    IN.apply_batch(spark, path, 2, sign(wrong, -1), sign(returns.where(late), 1), products)
+    return IN.read_mart(spark, path)
+
+
 def _analytics_rows(t: FX.Tables) -> DataFrame:
     """The analytics document of all orders, written as JSON and read back into rows."""
     def as_map(df: DataFrame, name: str) -> DataFrame:
@@ -211,6 +228,8 @@ QUERIES: dict[str, Query] = {
         f["fact_orders"], f["dim_products"], f["fact_returns"])),
     "mart_category_performance_line_grain": _f(lambda f: MT.mart_category_performance_line_grain(
         f["fact_orders"], f["dim_products"], f["fact_returns"], f["fact_inventory"])),
+    "mart_vendor_performance_incremental": _incremental_mart,
+    "inventory_percentiles_by_category": _q(lambda t: M.ratio_percentiles_by(t.inventory, "category")),
     # data quality
     "dq_missing_cells": _q(lambda t: Q.dq_missing_cells(
         {"orders": t.orders, "returns": t.returns, "people": t.people})),
