@@ -66,12 +66,16 @@ class WordEncoder:
     """Ids of texts.  The tokenizer drops white space and never joins across
     it, nor across the end of a run of letters before ASCII punctuation.  So
     the words of a block of texts are cut there, each distinct piece is
-    encoded once, and the ids are put together by array lookups."""
+    encoded once, and the ids are put together by array lookups.  A run is cut
+    off only if the tokenizer's own normaliser and pre-tokenizer keep each of
+    its letters whole: some fall apart into a base and a mark, which goes with
+    the punctuation."""
 
     def __init__(self, path: str, dtype: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.dtype = load_tokenizer(path), dtype
+        self.apart: dict[str, bool] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
@@ -97,6 +101,15 @@ class WordEncoder:
             sizes.append(size)
         return np.concatenate(flat), np.concatenate(sizes)
 
+    def _falls_apart(self, letter: str) -> bool:
+        """Whether a letter's normal form is no word of its own before punctuation."""
+        if letter.isascii():
+            return False
+        if letter not in self.apart:
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(letter + "!"))
+            self.apart[letter] = len(pieces) != 2 or not pieces[1][0].startswith("!")
+        return self.apart[letter]
+
     def encode(self, texts: pa.Array) -> list[bytes]:
         import pyarrow.compute as pc
         split = pc.ascii_split_whitespace(texts)
@@ -107,6 +120,10 @@ class WordEncoder:
         del split, coded
         runs = pc.utf8_rtrim(words, characters=TAIL)
         runs = pc.if_else(pc.utf8_is_alpha(runs), runs, "")
+        odd = [x for x in sorted(set("".join(runs.to_pylist()))) if self._falls_apart(x)]
+        if odd:
+            torn = pc.match_substring_regex(runs, "[" + "".join(f"\\x{{{ord(x):X}}}" for x in odd) + "]")
+            runs = pc.if_else(torn, "", runs)
         rest = pa.array([w[n:] for w, n in zip(words.to_pylist(), pc.utf8_length(runs).to_pylist())], pa.string())
         # The tokenizer lower-cases; doing so here first leaves fewer runs.
         runs = pc.if_else(pc.string_is_ascii(runs), pc.ascii_lower(runs), runs).dictionary_encode()
@@ -147,9 +164,7 @@ def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, pick: np.nd
 
 def load_tokenizer(path: str):
     from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def id_type(path: str) -> str:
@@ -327,7 +342,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     keyed = rows.withColumn("_d", doc_key(F.col("_id")))
     cuts = quantile_cuts(keyed, "_d", min(MAX_PARTS, max(1, int(n.sum()) // part_tokens)))
-    dealt = (keyed.withColumn("_part", range_number(F.col("_d"), cuts)).repartition(len(cuts) + 1, "_part")
+    dealt = (keyed.withColumn("_part", range_number(F.col("_d"), cuts)).repartitionById(len(cuts) + 1, "_part")
              .sortWithinPartitions("_part", F.asc_nulls_first("_id"), "_ids"))
 
     def encode(batches):
