@@ -38,7 +38,7 @@ def test_stages_over_the_test_tables(spark):
 def test_queries_are_registered():
     import __spark_entry__ as E
     names = E.queries()
-    assert {f"op{n}_" for n in range(1, 11)} <= {k[:k.index("_") + 1] for k in names if k.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} <= {k[:k.index("_") + 1] for k in names if k.startswith("op")}
     assert "pipeline" in names and len(C.STAGES) == 5
     assert set(E.oracle_sql()) <= set(names)
 
