@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainlens import schemas
-from chainlens.functions.frames import one_row_join
+from chainlens.functions.columns import month_start
+from chainlens.functions.frames import one_row_join, union_all
 from chainlens.operators import dashboard as D
+from chainlens.operators import distinct as DI
 from chainlens.operators import marts as MT
 from chainlens.operators import metrics as M
 from chainlens.operators import quality as Q
@@ -105,6 +107,23 @@ def _large_envelopes(spark: SparkSession, sf: str) -> DataFrame:
     return SRC.load_orders(spark, path, fmt="envelope")
 
 
+def _monthly_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct orders and customers a month and category, rolled up from daily bitmaps; the sketch
+    form's estimate is within five standard errors."""
+    t = _t(spark, sf)
+    lines = _staged(spark, t.orders.select("order_date", "category", "order_id", "customer_id"), "distinct_lines")
+    daily, monthly = ["order_date", "category"], ["month", "category"]
+    counts = []
+    for col, name in (("order_id", "total_orders"), ("customer_id", "unique_customers")):
+        exact = DI.bitmap_state(lines, daily, col, DI.number_values(lines, col)).withColumn("month", month_start("order_date"))
+        sketch = DI.sketch_state(lines, daily, col).withColumn("month", month_start("order_date"))
+        counts += [DI.bitmap_rollup(exact, monthly, name), DI.sketch_rollup(sketch, monthly, f"{name}_about")]
+    both = union_all(counts).groupBy(*monthly).agg(*[F.max(c).alias(c) for n in ("total_orders", "unique_customers") for c in (n, f"{n}_about")])
+    near = [(F.abs(F.col(f"{n}_about") - F.col(n)) <= 5 * DI.relative_error() * F.col(n) + 1).alias(f"{n}_near")
+            for n in ("total_orders", "unique_customers")]
+    return both.select(*monthly, "total_orders", "unique_customers", *near)
+
+
 def _incremental_mart(spark: SparkSession, sf: str) -> DataFrame:
     """The vendor mart after three batches: old lines and all returns; the other lines and wrong
     copies of the old ones; and the deletion of these copies."""
@@ -229,6 +248,7 @@ QUERIES: dict[str, Query] = {
     "mart_category_performance_line_grain": _f(lambda f: MT.mart_category_performance_line_grain(
         f["fact_orders"], f["dim_products"], f["fact_returns"], f["fact_inventory"])),
     "mart_vendor_performance_incremental": _incremental_mart,
+    "monthly_distinct_counts": _monthly_distinct,
     "inventory_percentiles_by_category": _q(lambda t: M.ratio_percentiles_by(t.inventory, "category")),
     # data quality
     "dq_missing_cells": _q(lambda t: Q.dq_missing_cells(
