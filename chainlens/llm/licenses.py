@@ -99,7 +99,7 @@ language governing permissions and limitations under the License."""),
 KNOWN = (license_table.texts() + license_table.titled(KNOWN) + license_table.headers() + license_table.notices() + KNOWN)
 
 _MARK = r"(\(c\)|©|[0-9]{4}|[<\[{])"
-COPYRIGHT_LINE = (rf"^[^\p{{L}}\p{{N}}]*((copyright[^\p{{L}}\p{{N}}]*{_MARK}|\(c\)[^\p{{L}}\p{{N}}]*(copyright|{_MARK})|©)[^\n]{{0,200}}"
+COPYRIGHT_LINE = (rf"^[^\p{{L}}\p{{N}}]*((copyright[^\p{{L}}\p{{N}}]*{_MARK}|\(c\)[^\p{{L}}\p{{N}}]*(copyright|{_MARK})|©)[^\n]*"
                   r"|all rights reserved[^\p{L}\p{N}]*)$")
 # Words that a licence goes on with after its copyright statement.
 BEGINNINGS = [

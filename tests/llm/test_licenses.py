@@ -163,3 +163,11 @@ def test_own_table_of_texts(spark):
     known = spark.createDataFrame([("own", "My terms: you MAY use it."), ("none", None)], "license string, text string")
     out = L.scanned(table(spark, [(1, "my terms\n you may; use it", "en", "s")]), L.known_digests(spark, known))
     assert out.first()["_whole"] == "own"
+
+
+def test_copyright_lines_of_any_length(spark):
+    mit = next(t for i, t in L.KNOWN if t.startswith("MIT License"))
+    holders = ", ".join(f"2{i:03d} Holder Number {i}" for i in range(20, 400))
+    rows = [(1, mit.replace("Copyright (c) <year> <copyright holders>", f"Copyright (c) {holders}"), "en", "s")]
+    out = L.scanned(table(spark, rows), L.known_digests(spark)).collect()
+    assert len(rows[0][1]) > 5000 and [r["_whole"] for r in out] == ["MIT"]
