@@ -12,8 +12,14 @@ The potentials are counts learned from labelled pages.  Labels come from
 pages whose markup says what is what: inside ``article`` or ``main`` is
 content, except for the parts that the marker words below name.  The counts
 add up over pages, so each task counts its own pages and only counts are
-shuffled.  The features include everything the label was read from, but a
-page without such markup is judged by the rest through its neighbours.
+shuffled.
+
+Pages with such markup are judged by ``TreeModel``, whose features include
+what the labels are read from.  Pages without it are judged by ``PlainModel``.
+Its potentials are learned from the same labelled pages after the markup that
+gave the labels was taken away (``unmarked``): link share, length, end of
+sentence, headings and like neighbours of each block of text, and how states
+change from parent to child.
 
 Text: character references are decoded, white space inside a block becomes
 one space, blocks are joined by a line feed in page order.  Scripts, styles,
@@ -21,22 +27,26 @@ templates, forms and the document head are never text.
 
 Defined results: null or empty html, or a page without content, gives empty
 text.  Unclosed and stray tags are tolerated; a cut-off tag ends the page.
-Repeated rows each get a row, extra columns are not read.
+A quote opens an attribute value only after ``=``; a value that is never
+closed ends at the next ``>``.  Repeated rows each get a row, extra columns
+are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from binascii import crc32
 from collections import Counter
 from html import unescape
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chainlens.llm.common import sliced
+
 # HTML's elements without content, without text, and that break lines.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -62,10 +72,15 @@ MARKERS = ("ad ads advert advertisement advertising banner breadcrumb breadcrumb
            "toolbar warning widget").split()
 MARKED_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 CONTENT_TAGS = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+KNOWN_TAGS = VOID | RAW | NEVER_TEXT | INLINE | P_CLOSERS | set(SAME_LEVEL) | HOLDERS | MARKED_TAGS | CONTENT_TAGS
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-                    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+                    r"<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)|[^>=]+|=)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_NAMING = {"class", "id", "role"}
+_BARE_END = re.compile(r"=\s*[^\s\"'>][^\s>]*\Z")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MARKED = set(MARKERS)
 _END = re.compile(r"[.!?…;:]['\"”»)]*\s*$")
@@ -131,13 +146,13 @@ def parse(html: str) -> list[Node]:
             close({"p"}, HOLDERS)
         if tag in SAME_LEVEL:
             close(SAME_LEVEL[tag], {"table", "ul", "ol", "dl"} if tag not in ("thead", "tbody") else {"table"})
-        names = tuple(x.lower() for a in _ATTRIBUTE.finditer(m.group(3) or "")
+        names = tuple(x.lower() for a in _ATTRIBUTE.finditer(m.group(3)) if a.group(1).lower() in _NAMING
                       for x in _PARTS.findall(a.group(2) or a.group(3) or a.group(4) or ""))
         k = add(Node(tag, open_[-1], names))
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>|\Z", re.I).search(html, at)
             at = end.end()
-        elif tag not in VOID and not (m.group(3) or "").endswith("/"):
+        elif tag not in VOID and not (m.group(3).endswith("/") and not _BARE_END.search(m.group(3))):
             open_.append(k)
     return nodes
 
@@ -158,16 +173,23 @@ def measure(nodes: list[Node]) -> None:
         p.linked += x.linked
 
 
+NAMES = 1 << 15  # other class and id words are told apart by hash, so the model has a fixed size
+
+
 def _bucket(n: int) -> int:
     return min(9, n.bit_length())
 
 
+def _ends(text: str) -> bool:
+    return bool(_END.search(text.rstrip()[-16:]))
+
+
 def features(nodes: list[Node], k: int) -> list[str]:
     x = nodes[k]
     if x.tag == "#text":
-        return ["text", f"len {_bucket(x.chars)}", f"end {bool(_END.search(x.text))}"]
-    out = ["tag " + x.tag]
-    out += [("marker" if n in _MARKED else "name " + n) for n in dict.fromkeys(x.names) if len(n) < 20]
+        return ["text", f"len {_bucket(x.chars)}", f"end {_ends(x.text)}"]
+    out = ["tag " + (x.tag if x.tag in KNOWN_TAGS else str(crc32(x.tag.encode()) % 64))]
+    out += [("marker" if n in _MARKED else f"name {crc32(n.encode()) % NAMES}") for n in dict.fromkeys(x.names) if len(n) < 20]
     if x.chars:
         out.append(f"links {round(4 * x.linked / x.chars)}")
         if x.tag not in INLINE:
@@ -202,6 +224,56 @@ def count_page(html: str, counts: Counter) -> None:
             counts[f"f\t{f}\t{state[k]}"] += 1
         counts[f"s\t{state[k]}"] += 1
         counts[f"e\t{_kind(nodes[k])}\t{state[nodes[k].parent]}\t{state[k]}"] += 1
+    nodes, state = unmarked(nodes, state, wrapped=len(nodes) % 2 == 0)
+    for k, names in block_features(nodes).items():
+        counts[f"S\t{state[k]}"] += 1
+        for f in names:
+            counts[f"F\t{f}\t{state[k]}"] += 1
+    for k in range(1, len(nodes)):
+        counts[f"E\t{_kind(nodes[k])}\t{state[nodes[k].parent]}\t{state[k]}"] += 1
+
+
+def unmarked(nodes: list[Node], state: list[int], wrapped: bool) -> tuple[list[Node], list[int]]:
+    """A labelled page without the markup that its labels were read from: the article's element becomes
+    a ``div`` (``wrapped``) or goes, marked tags become ``div``, class and id words go."""
+    out: list[Node] = []
+    states: list[int] = []
+    place = [0] * len(nodes)
+    for k, x in enumerate(nodes):
+        if x.tag in CONTENT_TAGS and not wrapped:
+            place[k] = place[x.parent]
+            continue
+        place[k] = len(out)
+        tag = "div" if x.tag in CONTENT_TAGS or x.tag in MARKED_TAGS and x.tag not in NEVER_TEXT else x.tag
+        out.append(Node(tag, place[x.parent] if k else -1, text=x.text))
+        states.append(state[k])
+    measure(out)
+    return out, states
+
+
+def block_features(nodes: list[Node]) -> dict[int, list[str]]:
+    """Features of the blocks that hold text of their own: link share, length, end of sentence,
+    headings, and how many of the blocks beside it are running text under the same tag."""
+    size = len(nodes)
+    link, hidden = [False] * size, [False] * size
+    own: dict[int, list] = {}
+    for k, x in enumerate(nodes):
+        if k:
+            link[k] = link[x.parent] or x.tag == "a"
+            hidden[k] = hidden[x.parent] or x.tag in NEVER_TEXT
+        if x.tag == "#text" and x.chars and not hidden[k]:
+            o = own.setdefault(x.block, [0, 0, ""])
+            o[0] += x.chars
+            o[1] += x.chars if link[k] else 0
+            o[2] = x.text
+    running = {b: 2 * o[1] < o[0] for b, o in own.items()}
+    beside = Counter((nodes[b].parent, nodes[b].tag) for b, r in running.items() if r)
+    out = {}
+    for b, (chars, linked, last) in own.items():
+        like = beside[nodes[b].parent, nodes[b].tag] - running[b]
+        out[b] = [f"links {round(4 * linked / chars)}", f"size {_bucket(chars)}", f"end {_ends(last)}",
+                  f"beside {min(3, like.bit_length())}"] + (["heading"] if nodes[b].tag in HEADINGS else [])
+    return out
 
 
 def _kind(x: Node) -> str:
@@ -236,7 +308,7 @@ class TreeModel:
                 feature.setdefault(rest[0], [0.0, 0.0])[int(rest[1])] += c
             elif kind == "s":
                 n[int(rest[0])] += c
-            else:
+            elif kind == "e":
                 edge[rest[0]][int(rest[1])][int(rest[2])] += c
         # Weight of a feature: log ratio of its rates.  What a marker word or
         # tag says outright may weigh much, a plain tag or size only a little:
@@ -247,7 +319,7 @@ class TreeModel:
                 w = math.log((c[1] + 1) / (n[1] + 2)) - math.log((c[0] + 1) / (n[0] + 2))
                 bound = PLAIN_BOUND if f not in self.PRIOR else MARKED_BOUND if w < 0 else CONTENT_BOUND
                 self.weight[f] = max(-bound, min(bound, w))
-        self.edge = {k: np.log(np.array([[x / sum(r) for x in r] for r in rows])) for k, rows in edge.items()}
+        self.edge = {k: [[math.log(x / sum(r)) for x in r] for r in rows] for k, rows in edge.items()}
 
     def unary(self, names: list[str]) -> float:
         """Log potential of content: plain features overlap (tag, size, links),
@@ -255,10 +327,14 @@ class TreeModel:
         plain = [self.weight[f] for f in names if f in self.weight and f not in self.PRIOR]
         return sum(plain) / max(1, len(plain)) + sum(self.weight.get(f, 0.0) for f in names if f in self.PRIOR)
 
+    def potentials(self, nodes: list[Node]) -> list[float]:
+        """Log potential of content of every node; the page as a whole is not content."""
+        return [-6.0] + [self.unary(features(nodes, k)) for k in range(1, len(nodes))]
+
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Probability that each node is content."""
         size = len(nodes)
-        unary = [(0.0, self.unary(features(nodes, k))) for k in range(size)]
+        unary = [(0.0, u) for u in self.potentials(nodes)]
         edges = [self.edge[_kind(x)] for x in nodes]
         up = [[0.0, 0.0] for _ in range(size)]      # product of the children's messages
         sent = [(0.0, 0.0)] * size                   # message to the parent
@@ -271,7 +347,7 @@ class TreeModel:
             p[0] += m0
             p[1] += m1
         belief = [(0.0, 0.0)] * size
-        belief[0] = (up[0][0], up[0][1] - 6.0)       # the page as a whole is not content
+        belief[0] = (up[0][0], up[0][1] + unary[0][1])
         out = [0.0] * size
         for k in range(1, size):
             p, e = nodes[k].parent, edges[k]
@@ -283,12 +359,60 @@ class TreeModel:
             out[k] = 1 / (1 + math.exp(min(700.0, x0 - x1)))
         return out
 
+
+class PlainModel(TreeModel):
+    """Potentials for pages that don't mark their article, learned from pages whose marks were taken away."""
+
+    BOUND = 3.0      # of a feature's weight: rates of the pages at hand are no certainty for others
+    FLOOR = 0.02     # of an edge's probability, for the same reason
+    MARKER = -8.0    # where a page does name a part by a marker word or tag
+    EDGE_PRIOR = {**TreeModel.EDGE_PRIOR, "block": ((2.0, 2.0), (0.5, 20.0))}
+
+    def __init__(self, counts: dict[str, int], markers: bool = True):
+        self.markers = markers
+        n = [2.0, 2.0]
+        feature: dict[str, list[float]] = {}
+        edge = {k: [list(r) for r in rows] for k, rows in self.EDGE_PRIOR.items()}
+        for key, c in counts.items():
+            kind, *rest = key.split("\t")
+            if kind == "F":
+                feature.setdefault(rest[0], [0.0, 0.0])[int(rest[1])] += c
+            elif kind == "S":
+                n[int(rest[0])] += c
+            elif kind == "E":
+                edge[rest[0]][int(rest[1])][int(rest[2])] += c
+        self.weight = {f: max(-self.BOUND, min(self.BOUND, math.log((c[1] + 1) / n[1]) - math.log((c[0] + 1) / n[0])))
+                       for f, c in feature.items()}
+        self.edge = {}
+        for k, rows in edge.items():
+            floor = 0.0 if k == "marked" else self.FLOOR
+            p = [[max(floor, x / sum(r)) for x in r] for r in rows]
+            self.edge[k] = [[math.log(x / sum(r)) for x in r] for r in p]
+
+    def potentials(self, nodes: list[Node]) -> list[float]:
+        out = [0.0] * len(nodes)
+        for k, names in block_features(nodes).items():
+            out[k] = sum(self.weight.get(f, 0.0) for f in names)
+        if self.markers:
+            for k, x in enumerate(nodes):
+                if x.tag in MARKED_TAGS or any(n in _MARKED for n in x.names):
+                    out[k] += self.MARKER
+        return out
+
+
+class Extractor:
+    """Main text of a page by the model that its markup calls for."""
+
+    def __init__(self, counts: dict[str, int]):
+        self.counts = counts
+        self.marked, self.plain = TreeModel(counts), PlainModel(counts)
+
     def extract(self, html: str | None) -> str:
         if not html:
             return ""
         nodes = parse(html)
         measure(nodes)
-        p = self.marginals(nodes)
+        p = (self.marked if any(x.tag in CONTENT_TAGS for x in nodes) else self.plain).marginals(nodes)
         hidden = [False] * len(nodes)
         blocks: list[str] = []
         held: list[str] = []
@@ -311,36 +435,32 @@ def _lse(a: float, b: float) -> float:
     return top + math.log(math.exp(a - top) + math.exp(b - top))
 
 
-MIN_SEEN = 5  # a statistic seen in fewer nodes of all pages is noise
-
-
-def train(pages: DataFrame, html_col: str = "html") -> TreeModel:
-    """Counts over all labelled pages, summed per task first.  Distinct
-    features grow with the vocabulary of class names, so only those seen at
-    least ``MIN_SEEN`` times and the ``100000`` most frequent come back."""
+def train(pages: DataFrame, html_col: str = "html") -> Extractor:
+    """Counts over all labelled pages, summed per task first.  Class and id
+    words are hashed to ``NAMES`` numbers, so the statistics that come back
+    are of a fixed number whatever the pages hold."""
     def count(batches):
         counts: Counter = Counter()
-        for b in batches:
+        for b in sliced(batches, 32):
             for html in b.column(0).to_pylist():
                 if html:
                     count_page(html, counts)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
                                          names=["k", "n"])
 
-    rows = (pages.select(html_col).mapInArrow(count, "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= MIN_SEEN).orderBy(F.desc("n"), "k").limit(100_000).collect())
-    return TreeModel({r[0]: r[1] for r in rows})
+    rows = pages.select(html_col).mapInArrow(count, "k string, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    return Extractor({r[0]: r[1] for r in rows})
 
 
-def extracted(pages: DataFrame, model: TreeModel, html_col: str = "html", out_col: str = "text") -> DataFrame:
+def extracted(pages: DataFrame, model: Extractor, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """``pages`` with the main text in place of the html (and of a column of that name)."""
     shared = pages.sparkSession.sparkContext.broadcast(model.counts)
     names = [c for c in pages.columns if c not in (html_col, out_col)]
     schema = T.StructType(pages.select(*names).schema.fields + [T.StructField(out_col, T.StringType())])
 
     def run(batches):
-        model = TreeModel(shared.value)
-        for b in batches:
+        model = Extractor(shared.value)
+        for b in sliced(batches, 32):
             text = [model.extract(h) for h in b.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(text, pa.string())],
                                              names=[f.name for f in schema.fields])
