@@ -24,8 +24,10 @@ from chainlens.plans import incremental as IN
 from chainlens.plans import report as R
 from chainlens.plans import warehouse as W
 from chainlens.session import scratch_path
-from chainlens.sources import fixtures as FX
+from chainlens.sources import clustered as CL
 from chainlens.sources import files as SRC
+from chainlens.sources import fixtures as FX
+from chainlens.sources import ranks as RK
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +35,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 FILTER_ARGS = dict(start="1997-01-01", end="1998-12-31", category="All", region="EUROPE")
 PAGE_ARGS = dict(limit=50, offset=100)
 ORDER_KEY = ["order_id", "line_number", "product_id", "supplier_id", "ship_date"]
+CLUSTER_COLS = ["order_date", "customer_id", "product_id"]
+CLUSTER_BOUNDS = dict(product_id=("20", "25"), customer_id=("1", "5"))
+FILE_ROWS = 10_000  # rows a file of the tables that the queries build; small, so that test tables have several
 SAMPLE_SEED = 42
 SAMPLE_RATES = {"PROMO": 0.15, "LARGE": 0.02}  # other categories take the default rate
 
@@ -140,6 +145,21 @@ def _incremental_mart(spark: SparkSession, sf: str) -> DataFrame:
     return IN.read_mart(spark, path)
 
 
+def _deep_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The page at nine tenths of all order lines, through the rank table."""
+    path = scratch_path(spark, "paged_orders")
+    RK.build(_staged(spark, _t(spark, sf).orders, "orders_to_page"), path, ORDER_KEY, FILE_ROWS)
+    pages = RK.Pages(spark, path)
+    return pages.page(9 * pages.total() // 10, PAGE_ARGS["limit"], with_rank=True)
+
+
+def _clustered_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines of a range of products and of customers, from the files whose zones meet both."""
+    path = scratch_path(spark, "clustered_orders")
+    CL.build(_staged(spark, _t(spark, sf).orders, "orders_to_cluster"), path, CLUSTER_COLS, rows_per_file=FILE_ROWS)
+    return CL.Clustered(spark, path).where(**CLUSTER_BOUNDS)
+
+
 def _analytics_rows(t: FX.Tables) -> DataFrame:
     """The analytics document of all orders, written as JSON and read back into rows."""
     def as_map(df: DataFrame, name: str) -> DataFrame:
@@ -233,6 +253,8 @@ QUERIES: dict[str, Query] = {
     "orders_page": _q(lambda t: D.page(t.orders, ORDER_KEY, **PAGE_ARGS)),
     "returns_page": _q(lambda t: D.page(t.returns, ["return_id"], **PAGE_ARGS)),
     "people_page": _q(lambda t: D.page(t.people, ["customer_id"], **PAGE_ARGS)),
+    "orders_deep_page": _deep_page,
+    "clustered_orders_filter": _clustered_filter,
     "filter_bounds": _q(lambda t: D.filter_bounds(t.orders)),
     "filter_options": _q(lambda t: D.filter_options(t.orders)),
     "low_stock_vs_max": _q(lambda t: D.low_stock_vs_max(t.inventory)),
