@@ -6,14 +6,20 @@ covariance that junk cannot pull; a document whose Mahalanobis distance from
 its group's centre is above a chi-square quantile is rejected, after the two
 fixed base rules.
 
-The estimate is found by concentration steps: start from medians and median
-deviations, keep the ``COVER`` share of rows nearest to the centre, take
-their mean and covariance, repeat; a last step reweights with all rows
-within the 97.5 % quantile.  Each step is two grouped aggregates over the
-small table of statistics (partial sums first, so a group with a third of
-all rows does not matter) and one join with the table of estimates.  The
-linear algebra is written out as column expressions (Cholesky factor and
-forward substitution), so everything stays in DataFrame operations.
+The estimate is the ``COVER`` share of rows whose covariance has the least
+determinant.  It is looked for by concentration steps (keep that share of rows
+nearest to the centre, take their mean and covariance, repeat), which never
+raise the determinant.  There are three starts a group: medians and median
+deviations; mean and covariance of all rows; and those of the half nearest to
+the first.  All take ``FIRST_STEPS``; the one of least determinant goes on
+until its determinant falls by less than ``TOLERANCE`` (of its logarithm) or
+``STEPS`` are done.  The least one seen is kept, and a last step reweights with all
+rows within the 97.5 % quantile.  Each step is two grouped aggregates over the
+small table of statistics and joins with the written tables of estimates and
+limits, which are broadcast while they are small: rows stay where they are, so a
+group with a third of all rows does not meet in one task.  The linear algebra is
+written out as column expressions (Cholesky factor and forward substitution),
+so everything stays in DataFrame operations.
 
 Groups of fewer than ``MIN_GROUP`` rows take their language's estimate, and
 languages of fewer rows the estimate of the whole table.  A fixed ridge on
@@ -39,7 +45,9 @@ WINDOW = 5
 SYMBOLS = "[#*$%&|<>]"
 
 COVER = 0.75
-STEPS = 4
+FIRST_STEPS = 2
+STEPS = 20
+TOLERANCE = 1e-6
 MIN_GROUP = 200
 CUTOFF = 0.999
 # Least standard deviation of each transformed statistic.  Clean texts hold no
@@ -128,14 +136,17 @@ def consistency(share: float) -> float:
 PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
 
 
-def _moments(rows: DataFrame, by: str) -> DataFrame:
-    return rows.groupBy(by).agg(
+def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), *[F.avg(f"_x{i}").alias(f"_m{i}") for i in range(DIM)],
         *[F.avg(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"_p{i}{j}") for i, j in PAIRS])
 
 
-def _factor(moments: DataFrame, by: str, scale: float) -> DataFrame:
-    """Mean and Cholesky factor of (scale * covariance + ridge) per group."""
+FIT = ["_n", *[f"_m{i}" for i in range(DIM)], *[f"_l{i}{j}" for i, j in PAIRS]]
+
+
+def _factor(moments: DataFrame, by: list[str], scale: float) -> DataFrame:
+    """Mean and Cholesky factor of (scale * covariance + ridge) per group, and the logarithm of its determinant."""
     d = moments
     for i, j in PAIRS:
         c = F.col(f"_p{i}{j}") - F.col(f"_m{i}") * F.col(f"_m{j}")
@@ -147,7 +158,11 @@ def _factor(moments: DataFrame, by: str, scale: float) -> DataFrame:
             s = s - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
         d = d.withColumn(f"_l{i}{j}", F.sqrt(F.greatest(s, F.lit(FLOORS[i] ** 2 / 4))) if i == j
                          else s / F.col(f"_l{j}{j}"))
-    return d.select(by, "_n", *[f"_m{i}" for i in range(DIM)], *[f"_l{i}{j}" for i, j in PAIRS])
+    return d.select(*by, *FIT, _log_det().alias("_det"))
+
+
+def _log_det() -> Column:
+    return F.round(2 * sum((F.log(f"_l{i}{i}") for i in range(1, DIM)), F.log("_l00")), 9)
 
 
 def _distance(rows: DataFrame, fits: DataFrame, by: str, how: str = "inner") -> DataFrame:
@@ -160,28 +175,53 @@ def _distance(rows: DataFrame, fits: DataFrame, by: str, how: str = "inner") ->
             s = s - F.col(f"_l{i}{j}") * F.col(f"_y{j}")
         d = d.withColumn(f"_y{i}", s / F.col(f"_l{i}{i}"))
         total = total + F.col(f"_y{i}") * F.col(f"_y{i}")
-    return d.withColumn("_d2", total).drop(*[f"_y{i}" for i in range(DIM)], "_n", *[f"_m{i}" for i in range(DIM)],
-                                           *[f"_l{i}{j}" for i, j in PAIRS])
+    return d.withColumn("_d2", total).drop(*[f"_y{i}" for i in range(DIM)], *FIT, "_det")
 
 
-def robust_fits(rows: DataFrame, by: str = "_g", cover: float = COVER, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant estimate per group of ``by`` over ``_x0.._x3``."""
-    middle = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), *[
-        F.percentile_approx(f"_x{i}", 0.5, 10000).alias(f"_m{i}") for i in range(DIM)])
+def _concentrated(rows: DataFrame, fits: DataFrame, by: str, cover: float) -> DataFrame:
+    """One step for each start of each group: the fit of the ``cover`` share of rows nearest to it."""
+    near = _distance(rows, fits, by)
+    limit = written(near.groupBy(by, "_start").agg(F.percentile_approx("_d2", cover, 10000).alias("_limit")), "mcd_limit")
+    inner = near.join(limit, [by, "_start"]).where(F.col("_d2") <= F.col("_limit"))
+    return written(_factor(_moments(inner, [by, "_start"]), [by, "_start"], consistency(cover)), "mcd_step")
+
+
+def _least(fits: DataFrame, by: str) -> DataFrame:
+    """Each group's fit of least determinant, the first start among equals."""
+    return fits.groupBy(by).agg(F.min_by(F.struct("_start", *FIT, "_det"), F.struct("_det", "_start")).alias("_f")).select(by, "_f.*")
+
+
+def raw_fits(rows: DataFrame, by: str = "_g", cover: float = COVER, steps: int = STEPS) -> DataFrame:
+    """Minimum-covariance-determinant estimate per group of ``by`` over ``_x0.._x3``, with ``_det``."""
+    middle = written(rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), *[
+        F.percentile_approx(f"_x{i}", 0.5, 10000).alias(f"_m{i}") for i in range(DIM)]), "mcd_middle")
     spread = rows.join(middle, by).groupBy(by).agg(F.first("_n").alias("_n"), *[
         F.first(f"_m{i}").alias(f"_m{i}") for i in range(DIM)], *[
         F.percentile_approx(F.abs(F.col(f"_x{i}") - F.col(f"_m{i}")), 0.5, 10000).alias(f"_s{i}") for i in range(DIM)])
-    fits = spread.select(by, "_n", *[f"_m{i}" for i in range(DIM)], *[
+    diagonal = spread.select(by, F.lit(0).alias("_start"), "_n", *[f"_m{i}" for i in range(DIM)], *[
         (F.sqrt(F.pow(1.4826 * F.col(f"_s{i}"), 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"_l{i}{j}")
-        for i, j in PAIRS])
-    fits = written(fits, "mcd_start")
-    for step in range(steps):
-        near = _distance(rows, fits, by)
-        limit = written(near.groupBy(by).agg(F.percentile_approx("_d2", cover, 10000).alias("_limit")), "mcd_limit")
-        inner = near.join(limit, by).where(F.col("_d2") <= F.col("_limit"))
-        fits = written(_factor(_moments(inner, by), by, consistency(cover)), f"mcd_step{step}")
-    inner = _distance(rows, fits, by).where(F.col("_d2") <= chi2_quantile(0.975, DIM))
-    return written(_factor(_moments(inner, by), by, consistency(0.975)), "mcd_fit")
+        for i, j in PAIRS]).withColumn("_det", _log_det())
+    diagonal = written(diagonal, "mcd_start")
+    whole = _factor(_moments(rows, [by]), [by], 1.0).withColumn("_start", F.lit(1))
+    half = _concentrated(rows, diagonal, by, 0.5).withColumn("_start", F.lit(2))
+    fits = written(diagonal.unionByName(whole).unionByName(half), "mcd_starts")
+    for _ in range(min(FIRST_STEPS, steps)):
+        fits = _concentrated(rows, fits, by, cover)
+    fits = least = written(_least(fits, by), "mcd_least")
+    for _ in range(steps - FIRST_STEPS):
+        after = _concentrated(rows, fits, by, cover)
+        falls = after.select(by, F.col("_det").alias("_after")).join(fits, by).where(F.col("_det") - F.col("_after") > TOLERANCE)
+        least = written(_least(least.unionByName(after), by), "mcd_least")
+        if falls.isEmpty():
+            break
+        fits = after
+    return least
+
+
+def robust_fits(rows: DataFrame, by: str = "_g", cover: float = COVER, steps: int = STEPS) -> DataFrame:
+    """The minimum-covariance-determinant estimate, reweighted."""
+    inner = _distance(rows, raw_fits(rows, by, cover, steps), by).where(F.col("_d2") <= chi2_quantile(0.975, DIM))
+    return written(_factor(_moments(inner, [by]), [by], consistency(0.975)), "mcd_fit")
 
 
 def _level_key(*names: str) -> Column:

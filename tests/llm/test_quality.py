@@ -23,20 +23,51 @@ def vector(stats, n_lines):
     return [np.log((chars + 150) / (n + 30)), np.sqrt(sym / (chars + 200)), np.sqrt(dup / (n_lines + 10)), np.sqrt(rep / (n + 100))]
 
 
-def mcd(x, cover=Q.COVER, steps=Q.STEPS):
-    """Concentration steps in numpy."""
-    floors = np.array(Q.FLOORS)
-    low = lambda v, p: np.sort(v)[max(0, int(np.ceil(p * len(v))) - 1)]
+FLOORS = np.array(Q.FLOORS)
+
+
+def low(v, p):
+    return np.sort(v)[max(0, int(np.ceil(p * len(v))) - 1)]
+
+
+def dist(x, mid, cov):
+    return np.einsum("ij,jk,ik->i", x - mid, np.linalg.inv(cov), x - mid)
+
+
+def fit(x, scale):
+    return x.mean(0), np.cov(x.T, bias=True) * scale + np.diag(FLOORS ** 2)
+
+
+def log_det(f):
+    return np.linalg.slogdet(f[1])[1]
+
+
+def concentrate(x, f, cover=Q.COVER):
+    d = dist(x, *f)
+    return fit(x[d <= low(d, cover)], Q.consistency(cover))
+
+
+def raw_mcd(x):
+    """Three starts, and steps until the determinant stops falling, in numpy."""
     mid = np.array([low(c, 0.5) for c in x.T])
     mad = np.array([low(abs(c - m), 0.5) for c, m in zip(x.T, mid)])
-    cov = np.diag((1.4826 * mad) ** 2 + floors ** 2)
-    dist = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-    for _ in range(steps):
-        d = dist(mid, cov)
-        near = x[d <= low(d, cover)]
-        mid, cov = near.mean(0), np.cov(near.T, bias=True) * Q.consistency(cover) + np.diag(floors ** 2)
-    near = x[dist(mid, cov) <= Q.chi2_quantile(0.975, 4)]
-    return near.mean(0), np.cov(near.T, bias=True) * Q.consistency(0.975) + np.diag(floors ** 2)
+    diagonal = mid, np.diag((1.4826 * mad) ** 2 + FLOORS ** 2)
+    fits = []
+    for f in (diagonal, fit(x, 1.0), concentrate(x, diagonal, 0.5)):
+        for _ in range(Q.FIRST_STEPS):
+            f = concentrate(x, f)
+        fits.append(f)
+    f = min(fits, key=lambda f: round(log_det(f), 9))
+    while True:
+        after = concentrate(x, f)
+        if log_det(f) - log_det(after) <= Q.TOLERANCE:
+            return min(f, after, key=lambda f: round(log_det(f), 9))
+        f = after
+
+
+def mcd(x):
+    near = x[dist(x, *raw_mcd(x)) <= Q.chi2_quantile(0.975, 4)]
+    return fit(near, Q.consistency(0.975))
 
 
 def rows_of():
@@ -82,6 +113,35 @@ def test_distances_equal_brute_force_mcd(spark):
             assert got[i]["_kept"] == (want <= Q.chi2_quantile(Q.CUTOFF, 4))
 
 
+def test_no_random_start_finds_a_smaller_determinant(spark):
+    rng = np.random.default_rng(11)
+    groups = {"plain": rng.normal(size=(300, 4)) * 0.3,
+              "spoilt": np.vstack([rng.normal(size=(240, 4)) * 0.1, 3 + rng.normal(size=(60, 4)) * 0.02]),
+              "two clouds": np.vstack([rng.normal(size=(180, 4)) * [0.1, 0.5, 0.1, 0.1], 1 + rng.normal(size=(120, 4)) * 0.3]),
+              "correlated": rng.normal(size=(250, 1)) @ np.array([[1.0, 0.8, -0.5, 0.2]]) + rng.normal(size=(250, 4)) * 0.05,
+              "constant": np.zeros((50, 4))}
+    rows = spark.createDataFrame([(g, *map(float, x)) for g, xs in groups.items() for x in xs],
+                                 "_g string, _x0 double, _x1 double, _x2 double, _x3 double")
+    got = {r["_g"]: r["_det"] for r in Q.raw_fits(rows).collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        assert abs(got[g] - log_det(raw_mcd(x))) < 1e-5, g
+        for _ in range(100):
+            f = fit(x[rng.choice(len(x), 5, replace=False)], 1.0)
+            for _ in range(30):
+                f = concentrate(x, f)
+            assert got[g] <= log_det(f) + 0.01, g  # near-equal subsets of an even cloud differ by less
+
+
+def test_a_groups_rows_do_not_meet_in_one_task(spark):
+    """Joins with the tables of estimates move no rows of the statistics."""
+    from chainlens.llm.common import written
+    rows = written(spark.range(1000).selectExpr("'a' as _g", *[f"rand({i}) as _x{i}" for i in range(4)]), "mcd_test_rows")
+    fits = Q.raw_fits(rows)
+    plan = Q._distance(rows, fits, "_g")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_junk_goes_and_prose_stays(spark):
     got = {r["_id"]: r["_kept"] for r in Q.judged(table(spark, rows_of())).collect()}
     rows = {i: t for i, t, *_ in rows_of() if i is not None and i < 500}
