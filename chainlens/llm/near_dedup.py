@@ -251,10 +251,12 @@ def _unresolved(members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
             .agg(F.max(F.col("label") != F.col("_top.label")).alias("stray")))
 
 
-def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): strays and nodes of other components that share a prefix shingle with enough room behind it."""
+def _prefix_pairs(open_: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int, limit: int) -> DataFrame:
+    """(a, b): strays and nodes of other components that share a prefix shingle
+    with enough room behind it and have sketches near enough.  The sketch
+    travels with the prefix, so the join itself leaves out what is too far."""
     spark = open_.sparkSession
-    sets = sets.join(open_, "node").select("node", "label", "stray", "hashes")
+    sets = sets.join(open_, "node").join(sketches, "node").select("node", "label", "stray", "hashes", "odd")
 
     def count(batches):
         total = np.zeros(CELLS, dtype=np.int64)
@@ -290,15 +292,16 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 k = pa.array(np.concatenate(owner)) if owner else pa.array([], pa.int64())
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(found)), pa.array(np.concatenate(at)), pa.array(np.concatenate(size)),
-                    part.column(0).take(k), part.column(1).take(k), part.column(2).take(k)],
-                    names=["s", "at", "n", "node", "label", "stray"])
+                    part.column(0).take(k), part.column(1).take(k), part.column(2).take(k), part.column(4).take(k)],
+                    names=["s", "at", "n", "node", "label", "stray", "odd"])
 
-    rows = written(sets.mapInArrow(prefixes, "s long, at int, n int, node binary, label long, stray boolean"),
+    rows = written(sets.mapInArrow(prefixes, "s long, at int, n int, node binary, label long, stray boolean, odd array<long>"),
                    "near_prefixes")
     x, y = rows.where("stray").alias("x"), rows.alias("y")
     room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     on = ((F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label"))
-          & ((100 + percent) * room >= percent * (F.col("x.n") + F.col("y.n"))))
+          & ((100 + percent) * room >= percent * (F.col("x.n") + F.col("y.n")))
+          & (flipped(F.col("x.odd"), F.col("y.odd")) <= limit))
     return x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -326,11 +329,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     first = written(confirmed(_star_pairs(members, total, limit), sets, percent), "near_first")
     labels = components(nodes, first)
     open_ = written(_unresolved(members, labels, total), "near_unresolved")
-    pairs = _prefix_pairs(open_, sets, percent)
-    sketch = nodes.select("node", "odd")
-    pairs = (pairs.join(sketch.select(F.col("node").alias("a"), F.col("odd").alias("_o")), "a")
-             .join(sketch.select(F.col("node").alias("b"), F.col("odd").alias("_p")), "b")
-             .where(flipped(F.col("_o"), F.col("_p")) <= limit).select("a", "b"))
+    pairs = _prefix_pairs(open_, sets, nodes.select("node", "odd"), percent, limit)
     second = written(confirmed(pairs, sets, percent), "near_second")
     if not second.isEmpty():
         labels = components(nodes, first.unionByName(second))
