@@ -194,6 +194,11 @@ def _stream_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return kpis.stream_fact_orders_refresh_batch_result(spark, sf)
 
 
+def _stream_returns(spark: SparkSession, sf: str) -> DataFrame:
+    from chainlens.streaming import order_returns
+    return order_returns.batch_result(spark, sf)
+
+
 QUERIES: dict[str, Query] = {
     # sources / adapter views
     "order_lines": _q(lambda t: t.orders),
@@ -291,4 +296,5 @@ QUERIES: dict[str, Query] = {
     "stream_kpis_daily": _stream,
     "stream_high_lead_alerts": _stream_alerts,
     "stream_fact_orders_refresh": _stream_refresh,
+    "stream_orders_with_returns": _stream_returns,
 }

@@ -141,10 +141,11 @@ def order_lines(r: Raw, lineitem: DataFrame | None = None, skew_share: float | N
     return enrich_orders(_lines(r, lineitem=lineitem, skew_share=skew_share))
 
 
-def returns(r: Raw, skew_share: float | None = None) -> DataFrame:
+def returns(r: Raw, skew_share: float | None = None, lineitem: DataFrame | None = None) -> DataFrame:
     """Returned lines; return date = order date; stable return id from the
-    natural line key (order, part, supplier, line number, ship day)."""
-    lines = _lines(r, returned_only=True, skew_share=skew_share)
+    natural line key (order, part, supplier, line number, ship day).  A stream
+    when ``lineitem`` is one."""
+    lines = _lines(r, returned_only=True, lineitem=lineitem, skew_share=skew_share)
     return lines.select(
         F.col("order_date").alias("return_date"),
         "order_id", "customer_id", "product_id", "category", "region",
