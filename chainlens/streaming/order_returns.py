@@ -12,6 +12,10 @@ long the stream runs.  ``delay_days`` is how far a row's date may lie behind the
 newest date of its own side that came in an earlier micro-batch; what is later
 than that is left out.
 
+A backlog (``land``) is first written in the order of its days and then taken in
+micro-batches of several weeks.  In one micro-batch all its rows would be state
+at once, since the watermarks move between micro-batches only.
+
 Defined results: a line or return without an id or date has no window and is
 left out; equal rows each count; an order's lines are paired with each of its
 returns, like the batch join.
@@ -20,6 +24,7 @@ returns, like the batch join.
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +33,12 @@ from pyspark.sql.streaming import StreamingQuery
 from chainlens.functions import columns as C
 from chainlens.functions.frames import one_row_join
 from chainlens.session import scratch_path
-from chainlens.streaming.kpis import lineitem_stream, stream_session
+from chainlens.streaming.kpis import stream_session
 
 WINDOW_DAYS = 30
 DELAY_DAYS = 2
+BATCH_ROWS = 2_000_000  # lines of a backlog that a micro-batch takes, or more where the state's days hold more
+BATCH_FILES = 8         # files of a side that a micro-batch takes
 
 
 def _at(day: str):
@@ -69,6 +76,45 @@ def closed_lines(rows: DataFrame, orders: DataFrame, returns: DataFrame, window_
     return one_row_join(rows, bound).where(F.col("order_date") < F.col("_closed")).drop("_closed")
 
 
+def backlog_batches(rows: int, days: int, window_days: int = WINDOW_DAYS, delay_days: int = DELAY_DAYS) -> int:
+    """Micro-batches for a backlog.  None is shorter than the days that the state keeps, so the state is
+    about two of them at most and the work on it, batch by batch, grows no faster than the rows."""
+    return max(1, min(-(-rows // BATCH_ROWS), days // (window_days + delay_days + 1)))
+
+
+def land(rows: DataFrame, day: str, path: str, files: int) -> None:
+    """Write a backlog to ``files`` files in the order of ``day``, for a file stream to take in that order.
+
+    A file stream goes by modification times, so the files get times in the order of their names.  Where the
+    file system keeps no times that are set, the files are written one after the other instead.  A side never
+    goes back in its days by that, so no row of a backlog is late, however far one side is ahead."""
+    spark = rows.sparkSession
+    rows.repartitionByRange(files, day, "order_id").write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def listed(at) -> list:
+        return sorted((f for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")),
+                      key=lambda f: f.getPath().getName())
+
+    found = listed(folder)
+    first = max((f.getModificationTime() for f in found), default=0) // 1000 - len(found)
+    for k, f in enumerate(found):
+        fs.setTimes(f.getPath(), 1000 * (first + k), -1)
+    times = [f.getModificationTime() for f in listed(folder)]
+    if any(a >= b for a, b in zip(times, times[1:])):
+        whole = folder.suffix("-unordered")
+        fs.rename(folder, whole)
+        for f in listed(whole):
+            spark.read.schema(rows.schema).parquet(f.getPath().toString()).coalesce(1).write.mode("append").parquet(path)
+            time.sleep(1)  # the next file's time is another one
+
+
+def backlog_stream(spark: SparkSession, schema, path: str, files: int = BATCH_FILES) -> DataFrame:
+    """Stream of a backlog that was landed at ``path``, ``files`` files a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def write_stream(joined: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append the joined rows to Parquet files, each exactly once."""
     return (joined.writeStream.format("parquet").outputMode("append").option("path", out)
@@ -80,14 +126,21 @@ def batch_result(spark: SparkSession, sf_dir: str, state_partitions: int | None
     """Both streams over the test tables, run to completion and read back:
     lines whose window is closed, with their returns."""
     from chainlens.sources import fixtures as FX
-    path = f"{sf_dir}/lineitem.parquet"
-    s = stream_session(spark, state_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    lines = FX.order_lines(FX.raw(s, sf_dir), lineitem=lineitem_stream(s, path, max_files_per_trigger)).select(
-        "order_id", "line_number", "product_id", "supplier_id", "order_date", "ship_date", "sales")
-    back = FX.returns(FX.raw(s, sf_dir), lineitem=lineitem_stream(s, path, max_files_per_trigger))
+    t, files = FX.tables(spark, sf_dir), max_files_per_trigger or BATCH_FILES
+    days = t.raw.table("orders").agg(F.datediff(F.max("o_orderdate"), F.min("o_orderdate"))).first()[0]
+    batches = backlog_batches(t.raw.table("lineitem").count(), days or 0)
     base = scratch_path(spark, "stream_orders_with_returns")
+    sides = {"orders": (t.orders.select("order_id", "line_number", "product_id", "supplier_id", "order_date", "ship_date", "sales"),
+                        "order_date"),
+             "returns": (t.returns.select("order_id", "return_id", "return_date"), "return_date")}
+    s = stream_session(spark, state_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    streams, tables = {}, {}
+    for name, (rows, day) in sides.items():
+        path = os.path.join(base, name)
+        land(rows, day, path, batches * files)
+        streams[name] = backlog_stream(s, rows.schema, path, files)
+        tables[name] = spark.read.schema(rows.schema).parquet(path)
     out = os.path.join(base, "out")
-    joined = orders_with_returns(lines, back)
+    joined = orders_with_returns(streams["orders"], streams["returns"])
     write_stream(joined, out, os.path.join(base, "checkpoint")).awaitTermination()
-    t = FX.tables(spark, sf_dir)
-    return closed_lines(spark.read.schema(joined.schema).parquet(out), t.orders, t.returns)
+    return closed_lines(spark.read.schema(joined.schema).parquet(out), tables["orders"], tables["returns"])

@@ -93,3 +93,30 @@ def test_left_column_names_survive(spark):
     o = spark.createDataFrame([("A", 1, _day(0))], ORDERS).withColumn("note", F.lit("x"))
     r = spark.createDataFrame([("A", "R1", _day(1))], RETURNS).withColumn("note", F.lit("y"))
     assert R.orders_with_returns(o, r).columns == ["order_id", "line_number", "order_date", "note", "return_id", "return_date"]
+
+
+def test_a_backlog_in_any_order_is_taken_by_its_days(spark, tmp_root):
+    o = spark.range(6000).selectExpr("cast(id as string) as order_id", "1 as line_number", "date_add(date'2024-01-01', cast(id * 7919 % 600 as int)) as order_date")
+    r = o.where("order_id % 3 = 0").selectExpr("order_id", "concat('R', order_id) as return_id", "date_add(order_date, cast(order_id % 8 as int)) as return_date")
+    assert R.backlog_batches(10 * R.BATCH_ROWS, 600, 12, 5) == 10 and R.backlog_batches(10 * R.BATCH_ROWS, 40, 12, 5) == 2
+    assert R.backlog_batches(0, 0) == 1
+    streams = []
+    for name, rows, day in (("o", o, "order_date"), ("r", r, "return_date")):
+        R.land(rows, day, os.path.join(tmp_root, name), files=20)
+        streams.append(R.backlog_stream(spark, rows.schema, os.path.join(tmp_root, name), files=2))
+    joined = R.orders_with_returns(*streams, 12, 5)
+    q = R.write_stream(joined, os.path.join(tmp_root, "out"), os.path.join(tmp_root, "ck"))
+    q.awaitTermination()
+    rows = lambda df: sorted((tuple(x) for x in R.closed_lines(df, o, r, 12, 5).collect()), key=str)
+    got = rows(spark.read.schema(joined.schema).parquet(os.path.join(tmp_root, "out")))
+    assert got == rows(R.orders_with_returns(o, r, 12, 5)) and len(got) > 5000
+    assert max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]) < 3000  # 8000 in one batch
+
+
+def test_the_registered_backlog_goes_in_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(R, "BATCH_ROWS", 1000)
+    seen = []
+    monkeypatch.setattr(R, "write_stream", lambda *a, _w=R.write_stream: seen.append(_w(*a)) or seen[-1])
+    got = R.batch_result(spark, "/root/testdata/sf0.001", state_partitions=2).count()
+    peak = max(s["numRowsTotal"] for p in seen[0].recentProgress for s in p["stateOperators"])
+    assert got > 6000 and peak < 4000  # all 8,000 rows of both sides when they came in one batch
