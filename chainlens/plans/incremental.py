@@ -62,33 +62,44 @@ def _signed_returns(returns: DataFrame) -> DataFrame:
             .agg(F.sum(F.col(SIGN).cast("long")).alias("rows")))
 
 
-def _summed(rows: DataFrame, key: list[str], sums: list[str]) -> DataFrame:
-    """The state that runs add up to: keys with a row left."""
-    kinds = {f.name: f.dataType for f in rows.schema.fields}
-    d = rows.groupBy(*key).agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in sums])
-    return d.where(F.col("rows") != 0)
+def _by_key(rows: DataFrame) -> DataFrame:
+    """Rows with ``_k`` instead of order_id: one text that is never NULL (a NULL order is an order too)."""
+    return rows.withColumn("_k", F.coalesce(F.concat(F.lit("="), "order_id"), F.lit(""))).drop("order_id")
 
 
-def _of(rows: DataFrame, orders: DataFrame) -> DataFrame:
-    """Rows of the given orders (NULL is an order too)."""
-    return fact_join(rows, orders, rows["order_id"].eqNullSafe(orders["_order"]), "left_semi")
+def _two_states(rows: DataFrame, key: list[str], sums: list[str]) -> DataFrame:
+    """Per key the state after the batch (a_) and before it (b_), the sums of all runs and of the
+    ``_old`` ones; a state without a row left is NULL."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    total = lambda c, only: F.sum(only(F.col(c))).cast(kinds[c])
+    d = rows.groupBy(*key).agg(*[total(c, lambda v: v).alias(f"a_{c}") for c in sums],
+                               *[total(c, lambda v: F.when(F.col("_old"), v)).alias(f"b_{c}") for c in sums])
+    return d.select(*key, *[F.when(F.col(f"{x}_rows") != 0, F.col(f"{x}_{c}")).alias(f"{x}_{c}") for x in "ab" for c in sums])
 
 
 def _mart_sums(lines: DataFrame, returns: DataFrame) -> DataFrame:
-    """MART_SUMS per category of the orders in both states."""
-    per_order = returns.groupBy(F.col("order_id").alias("_o")).agg(
-        F.sum("rows").alias("m"), F.count("return_id").alias("ids"))
-    j = fact_join(lines, per_order, lines["order_id"] == per_order["_o"], "left")
-    m, ids = F.coalesce(F.col("m"), F.lit(1)), F.coalesce(F.col("ids"), F.lit(0))
-
-    def weighted(c: str) -> Column:
-        return F.sum(C.weighted(F.col(c), m)).cast(EXACT)
-
-    return j.groupBy("category").agg(
-        F.sum("rows").alias("lines"), F.count("order_id").alias("orders"), F.sum(F.col("s_lead") * m).alias("lead"),
-        F.sum(F.col("n_lead") * m).alias("n_lead"), weighted("s_ov").alias("ov"), F.sum(F.col("n_ov") * m).alias("n_ov"),
-        weighted("s_sales").alias("sales"), F.sum("n_sales").alias("n_sales"), weighted("s_profit").alias("profit"),
-        F.sum("n_profit").alias("n_profit"), F.sum(ids).alias("ids"))
+    """MART_SUMS per category, a row for the state after the batch and one with the negated sums before
+    it.  Both inputs are dealt out by ``_k``, and so are all steps up to the sums a category."""
+    lines = _two_states(lines, ["_k", "category"], LINE_SUMS)
+    per_order = _two_states(returns, ["_k", "return_id"], RETURN_SUMS).groupBy(F.col("_k").alias("_o")).agg(
+        *[e for x in "ab" for e in (F.sum(f"{x}_rows").alias(f"{x}_m"),
+                                    F.count(F.when(F.col(f"{x}_rows").isNotNull(), F.col("return_id"))).alias(f"{x}_ids"))])
+    j = fact_join(lines, per_order, lines["_k"] == per_order["_o"], "left")
+
+    def sums(x: str) -> list[Column]:
+        c = lambda name: F.col(f"{x}_{name}")
+        here, m = c("rows").isNotNull(), F.coalesce(c("m"), F.lit(1))
+        values = {"lines": c("rows"), "orders": (here & (F.col("_k") != "")).cast("long"), "lead": c("s_lead") * m,
+                  "n_lead": c("n_lead") * m, "ov": C.weighted(c("s_ov"), m), "n_ov": c("n_ov") * m,
+                  "sales": C.weighted(c("s_sales"), m), "n_sales": c("n_sales"), "profit": C.weighted(c("s_profit"), m),
+                  "n_profit": c("n_profit"), "ids": F.when(here, c("ids"))}
+        return [F.coalesce(F.sum(values[n]), F.lit(0)).cast(EXACT if n in _MONEY else "long").alias(f"{x}_{n}") for n in MART_SUMS]
+
+    def row(x: str) -> Column:
+        sign = (lambda c: c) if x == "a" else (lambda c: -c)
+        return F.struct(*[sign(F.col(f"{x}_{n}")).cast(EXACT if n in _MONEY else "long").alias(n) for n in MART_SUMS])
+
+    return j.groupBy("category").agg(*sums("a"), *sums("b")).select("category", F.inline(F.array(row("a"), row("b"))))
 
 
 def _mart(sums: DataFrame) -> DataFrame:
@@ -114,26 +125,31 @@ def apply_batch(spark: SparkSession, path: str, batch_id: int, lines: DataFrame,
     if batch_id <= content["batch"]:
         return
     run = log.folder("run")
-    _signed_lines(lines, dim_products, skew_share).write.parquet(f"{run}/lines")
-    _signed_returns(returns).write.parquet(f"{run}/returns")
+    _signed_lines(lines, dim_products, skew_share).write.parquet(f"{run}/lines", compression="zstd")
+    _signed_returns(returns).write.parquet(f"{run}/returns", compression="zstd")
     new = {"folder": run.rsplit("/", 1)[1], "level": 0}
     names = [r["folder"] for r in content["runs"]]
-    own_lines, own_returns = (_read(spark, path, [new["folder"]], of) for of in ("lines", "returns"))
-    own_lines.select(F.col("order_id").alias("_order")).unionByName(
-        own_returns.select(F.col("order_id").alias("_order"))).distinct().write.parquet(f"{run}/orders")
-    orders = spark.read.schema(own_lines.select(F.col("order_id").alias("_order")).schema).parquet(f"{run}/orders")
 
-    def share(folders: list[str]) -> DataFrame:
-        return _mart_sums(_summed(_of(_read(spark, path, folders, "lines"), orders), LINE_KEY, LINE_SUMS),
-                          _summed(_of(_read(spark, path, folders, "returns"), orders), RETURN_KEY, RETURN_SUMS))
+    def rows(of: str) -> DataFrame:
+        return _by_key(_read(spark, path, [new["folder"]], of)).withColumn("_old", F.lit(False))
 
-    after = share([*names, new["folder"]])
-    changes = after
+    lines_of, returns_of = rows("lines"), rows("returns")
+    if names:
+        lines_of.select("_k").unionByName(returns_of.select("_k")).distinct().write.parquet(f"{run}/orders", compression="zstd")
+        orders = spark.read.schema("_k string").parquet(f"{run}/orders")
+
+        def touched(of: str, own: DataFrame) -> DataFrame:
+            """Rows of the touched orders.  This join deals them out for all steps that follow."""
+            before = _by_key(_read(spark, path, names, of)).withColumn("_old", F.lit(True))
+            return fact_join(before.unionByName(own), orders, "_k", "left_semi")
+
+        lines_of, returns_of = touched("lines", lines_of), touched("returns", returns_of)
+    else:
+        lines_of, returns_of = lines_of.repartition("_k"), returns_of.repartition("_k")
+    changes = _mart_sums(lines_of, returns_of)
     if names:
-        before = share(names)
-        changes = after.unionByName(before.select("category", *[(-F.col(c)).cast(after.schema[c].dataType).alias(c) for c in MART_SUMS]))
         changes = changes.unionByName(_read(spark, path, [content["sums"]], "sums"))
-    kinds = {f.name: f.dataType for f in after.schema.fields}
+    kinds = {c: EXACT if c in _MONEY else "long" for c in MART_SUMS}
     (changes.groupBy("category").agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in MART_SUMS]).write.parquet(f"{run}/sums"))
     content = {"batch": batch_id, "runs": content["runs"] + [new], "sums": new["folder"]}
     version = log.publish(content, version)

@@ -46,3 +46,19 @@ def test_any_inserts_and_deletes(spark, tmp_root):
         assert got.columns == full.columns or set(got.columns) == set(full.columns)
         assert rows(got) == rows(full), batch
     assert len(Snapshots(spark, path).read()[1]["runs"]) <= 4
+
+
+def test_a_batch_deals_lines_and_returns_out_once(spark):
+    """One exchange by order a side, and the one of the category sums; the states before and after come from one pass."""
+    from pyspark.sql import functions as F
+    lines = spark.range(100).selectExpr("concat('=', id % 30) as _k", "'c' || id % 3 as category", "id % 2 = 0 as _old",
+                                        *[f"cast(1 as {I.EXACT if c in I._MONEY else 'long'}) as {c}" for c in I.LINE_SUMS])
+    returns = spark.range(50).selectExpr("concat('=', id % 40) as _k", "'r' || id as return_id", "1L as rows", "id % 2 = 0 as _old")
+    plan = I._mart_sums(lines.repartition("_k"), returns.repartition("_k"))
+    got = {c: sum(r[c] for r in plan.collect()) for c in I.MART_SUMS}
+    old = F.col("_old")
+    before = I._mart_sums(lines.where(old), returns.where(old)).groupBy().sum("lines", "ids")
+    assert got["lines"] == 50 and before.first()[0] == 0  # all rows old: nothing changes
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    text = text.split("+- == Initial Plan ==")[-1]
+    assert text.count("Exchange hashpartitioning") == 3
