@@ -45,13 +45,21 @@ def z_number(cuts_of: dict[str, list], bits: int = BITS) -> Column:
     n = len(cuts_of)
     if n * bits > 62:
         raise ValueError(f"{n} columns of {bits} bits don't fit a long")
+
+    def spread(part: int, k: int) -> Column:
+        return F.lit(sum((part >> b & 1) << (b * n + n - 1 - k) for b in range(bits))).cast("long")
+
+    def search(c: str, values: list, low: int, high: int, k: int) -> Column:
+        """The part's spread bits, found by halving: ``low`` to ``high`` cuts may be at or below the value."""
+        if low == high:
+            return spread(low, k)
+        mid = (low + high) // 2
+        return F.when(F.col(c) < F.lit(values[mid]), search(c, values, low, mid, k)).otherwise(
+            search(c, values, mid + 1, high, k))
+
     for k, (c, values) in enumerate(cuts_of.items()):
-        if not values:
-            continue
-        part = F.size(F.filter(F.array(*[F.lit(v) for v in values]), lambda v: v <= F.col(c)))  # NULL: part 0
-        for b in range(bits):
-            bit = F.shiftright(part, b).bitwiseAND(F.lit(1)).cast("long")
-            z = z.bitwiseOR(F.shiftleft(bit, b * n + n - 1 - k))
+        if values:
+            z = z.bitwiseOR(F.when(F.col(c).isNull(), spread(0, k)).otherwise(search(c, values, 0, len(values), k)))
     return z
 
 

@@ -124,3 +124,13 @@ def test_leading_column_and_odd_tables(spark, tmp_root):
     assert table.rows().count() == 3000 and table.where(a=(None, "z")).count() == 0
     with pytest.raises(ValueError):
         clustered.z_number({str(i): [1] for i in range(11)}, 6)
+
+
+def test_the_part_of_a_value_is_found_by_halving(spark):
+    values = {"a": [2, 5, 9, 14, 20], "b": [0.5, 1.5]}
+    df = spark.createDataFrame([(a, b) for a in [None, *range(23)] for b in (None, -1.0, 0.5, 1.0, 7.0, float("nan"))], "a long, b double")
+    got = df.withColumn("z", clustered.z_number(values, 3))
+    for r in got.collect():
+        parts = [0 if r[c] is None else sum(v <= r[c] or r[c] != r[c] for v in values[c]) for c in ("a", "b")]
+        assert r["z"] == sum((p >> b & 1) << (2 * b + 1 - k) for k, p in enumerate(parts) for b in range(3))
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()  # was a pass over all cuts for each bit
