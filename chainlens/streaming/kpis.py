@@ -111,6 +111,15 @@ def read_merged(spark: SparkSession, table: str, partition_col: str, version: in
     return _live(spark, table, content)
 
 
+def _latest(batch: DataFrame, key: list[str], order_by: list[str] | None = None) -> DataFrame:
+    """Of the rows with one key the greatest by ``order_by``, then by all columns."""
+    rest = [c for c in batch.columns if c not in key]  # the key goes through the shuffle once
+    by = [F.col(c).alias(f"_by{i}") for i, c in enumerate(order_by or [])]
+    latest = F.max(F.struct(*by, *(rest or [F.lit(True).alias("_any")])))
+    return batch.groupBy(*[F.col(c).alias(f"_key_{c}") for c in key]).agg(latest.alias("_r")).select(
+        *[(F.col(f"`_key_{c}`") if c in key else F.col(f"_r.`{c}`")).alias(c) for c in batch.columns])
+
+
 def _merge_batch(batch: DataFrame, batch_id: int, table: str, partition_col: str, key: list[str],
                  order_by: list[str] | None = None, fanout: int = FANOUT, min_age_s: float = MIN_AGE_S) -> None:
     """Bring the rows of ``batch`` into the table: a row replaces the stored row
@@ -129,9 +138,7 @@ def _merge_batch(batch: DataFrame, batch_id: int, table: str, partition_col: str
         return
     content["schema"] = batch.schema.json()
     folder = log.folder("run")
-    latest = F.max(F.struct(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(order_by or [])], *batch.columns))
-    rows = batch.groupBy(*[F.col(c).alias(f"_key_{c}") for c in key]).agg(latest.alias("_r")).select(
-        *[F.col(f"_r.`{c}`").alias(c) for c in batch.columns])
+    rows = _latest(batch, key, order_by)
     if not content["runs"]:
         (rows.hint("rebalance", partition_col).write.partitionBy(partition_col).parquet(f"{folder}/data"))
         own = spark.read.schema(batch.schema).parquet(f"{folder}/data")

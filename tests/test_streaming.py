@@ -194,3 +194,15 @@ def test_kpi_stream_state_partitions(spark):
             [d for d in os.listdir(state) if d.isdigit()]) == 3
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_the_key_is_shuffled_once_for_the_latest_row(spark):
+    import re
+    df = spark.createDataFrame([("a", 1, 5, "x"), ("a", 1, 7, "w"), (None, 1, 2, "y"), (None, 1, 2, "z"), ("b", None, None, None)],
+                               "k string, n int, v int, note string")
+    got = kpis._latest(df, ["k", "n"], ["v"])
+    assert got.columns == df.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [("a", 1, 7, "w"), (None, 1, 2, "z"), ("b", None, None, None)]))
+    assert sorted(map(tuple, kpis._latest(df.select("n").where("n = 1"), ["n"]).collect())) == [(1,)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"struct\([^)]*\b[kn]#", plan), plan
