@@ -33,6 +33,7 @@ gives empty files.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
@@ -50,6 +51,7 @@ END_ID = 1
 BLOCK_BYTES = 32 << 20       # text that a task encodes at once
 WORD_END = "</w>"
 TAIL = "!#$%&()*+,-./:;<=>?@[]^_`{|}~\"\\"  # ASCII punctuation but for the apostrophe
+HEAD = "^[^" + "".join(f"\\x{ord(c):02X}" for c in TAIL) + "]+"
 BLOCK_TOKENS = 1 << 20
 PART_TOKENS = 1 << 23
 MAX_PARTS = 10_000           # then parts grow
@@ -74,7 +76,7 @@ class WordEncoder:
     def __init__(self, path: str, dtype: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.dtype = load_tokenizer(path), dtype
+        self.tokenizer, self.dtype = without_cache(load_tokenizer(path)), dtype
         self.apart: dict[str, bool] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -85,18 +87,19 @@ class WordEncoder:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         return np.array([i for x in ids for i in x], dtype=self.dtype), np.array([len(x) for x in ids], dtype=np.int64)
 
-    def _runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for runs of letters: as one text, cut at the ids that end
-        a word; if these are not as many, one by one."""
+    def _runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for runs of letters: as texts of many runs, cut at the ids
+        that end a word; if these are not as many, one by one."""
         flat, sizes = [np.zeros(0, dtype=self.dtype)], [np.zeros(0, dtype=np.int64)]
-        for k in range(0, len(runs), 20_000):
-            part = runs[k:k + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids,
+        edges = list(range(0, len(runs), 20_000)) + [len(runs)]
+        for i, j in zip(edges, edges[1:]):
+            part = runs.slice(i, j - i)
+            ids = np.array(self.tokenizer.encode_batch_fast([_joined(part, " ")], add_special_tokens=False)[0].ids,
                            dtype=self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             size = np.diff(cuts, prepend=0)
             if len(cuts) != len(part):
-                ids, size = self._pieces(part)
+                ids, size = self._pieces(part.to_pylist())
             flat.append(ids)
             sizes.append(size)
         return np.concatenate(flat), np.concatenate(sizes)
@@ -120,26 +123,26 @@ class WordEncoder:
         del split, coded
         runs = pc.utf8_rtrim(words, characters=TAIL)
         runs = pc.if_else(pc.utf8_is_alpha(runs), runs, "")
-        odd = [x for x in sorted(set("".join(runs.to_pylist()))) if self._falls_apart(x)]
+        plain = pc.string_is_ascii(runs)
+        odd = [x for x in sorted(set(_joined(runs.filter(pc.invert(plain)), ""))) if self._falls_apart(x)]
         if odd:
             torn = pc.match_substring_regex(runs, "[" + "".join(f"\\x{{{ord(x):X}}}" for x in odd) + "]")
             runs = pc.if_else(torn, "", runs)
-        rest = pa.array([w[n:] for w, n in zip(words.to_pylist(), pc.utf8_length(runs).to_pylist())], pa.string())
+        # After a run there is nothing but characters of TAIL.
+        rest = pc.if_else(pc.equal(runs, ""), words, pc.replace_substring_regex(words, HEAD, "", max_replacements=1))
         # The tokenizer lower-cases; doing so here first leaves fewer runs.
-        runs = pc.if_else(pc.string_is_ascii(runs), pc.ascii_lower(runs), runs).dictionary_encode()
+        runs = pc.if_else(plain, pc.ascii_lower(runs), runs).dictionary_encode()
         rest = rest.dictionary_encode()
-        letters = runs.dictionary.to_pylist()
-        blank = letters.index("") if "" in letters else None
-        if blank is not None:  # words that don't begin with a run of letters
-            letters[blank] = "a"
-        flat, size = self._runs(letters)
+        letters = runs.dictionary
+        blank = pc.index(letters, "").as_py()  # stands for words that don't begin with a run of letters; -1: none
+        flat, size = self._runs(pc.if_else(pc.equal(letters, ""), "a", letters))
         more, more_size = self._pieces(rest.dictionary.to_pylist())
         flat, size = np.concatenate([flat, more]), np.concatenate([size, more_size])
         start = np.cumsum(size) - size
-        if blank is not None:
+        if blank >= 0:
             size[blank] = 0
         pieces = np.stack([np.asarray(runs.indices), np.asarray(rest.indices) + len(letters)], axis=1)
-        del words, runs, rest, letters
+        del words, runs, rest, letters, plain
         pa.default_memory_pool().release_unused()
         # First the ids of each distinct word, then those of the texts.
         flat, ends = _gathered(flat, start, size, pieces.ravel())
@@ -155,6 +158,11 @@ class WordEncoder:
         return out
 
 
+def _joined(strings: pa.Array, separator: str) -> str:
+    import pyarrow.compute as pc
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(strings)], strings), separator)[0].as_py()
+
+
 def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches ``flat[start : start + size]`` that ``pick`` names, in a row, and where each ends."""
     n = size[pick]
@@ -167,6 +175,17 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def without_cache(tokenizer):
+    """The same tokenizer with a model that keeps no memory of words: where
+    each word comes once, that is only filled and missed."""
+    from tokenizers.models import BPE
+    model = {k: v for k, v in json.loads(tokenizer.to_str())["model"].items() if v is not None}
+    if model.pop("type") == "BPE":
+        model["merges"] = [tuple(m) for m in model["merges"]]
+        tokenizer.model = BPE(cache_capacity=0, **model)
+    return tokenizer
+
+
 def id_type(path: str) -> str:
     """Two bytes an id where the vocabulary allows it (while ids are on their way; readers get four)."""
     return "<u2" if load_tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"

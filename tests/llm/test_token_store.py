@@ -1,5 +1,6 @@
 import random
 import struct
+import sys
 import unicodedata
 import zlib
 
@@ -61,6 +62,52 @@ def test_ids_equal_the_plain_library_call():
         assert np.frombuffer(x, "<u2").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+class Watched:
+    """A tokenizer that notes how many Python objects there are when it is called."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.objects = tokenizer, []
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode_batch_fast(self, texts, **options):
+        self.objects.append(sys.getallocatedblocks())
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_distinct_words_are_no_python_objects():
+    """The words of a block stay in Arrow up to the library call, and its ids are those of the plain call."""
+    path = public_tokenizers.path(S.TOKENIZER)
+    rng = random.Random(8)
+    words = list({"".join(rng.choice("abcdeéüA") for _ in range(rng.randint(6, 9))) + rng.choice(("", ",", ".", "!?"))
+                  for _ in range(60_000)})
+    texts = pa.array([" ".join(words[k:k + 1000]) for k in range(0, len(words), 1000)])
+    encoder, plain = S.WordEncoder(path, "<u2"), Tokenizer.from_file(path)
+    encoder.encode(texts.slice(0, 1))  # tables that are made once
+    encoder.tokenizer = Watched(encoder.tokenizer)
+    before = sys.getallocatedblocks()
+    got = encoder.encode(texts)
+    assert max(encoder.tokenizer.objects) - before < len(words) // 10
+    for t, x in zip(texts.to_pylist()[::10], got[::10]):
+        assert np.frombuffer(x, "<u2").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_tokenizer_without_its_cache_is_the_same():
+    path = public_tokenizers.path(S.TOKENIZER)
+    plain, ours = Tokenizer.from_file(path), S.without_cache(S.load_tokenizer(path))
+    assert ours.to_str() == plain.to_str()
+    for t in ("it's <|endoftext|> 2nd", "\u0130) \u00c9T\u00c9", "H\u0331!", ""):
+        assert ours.encode(t, add_special_tokens=False).ids == plain.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("texts", [[], [""], [" ", ""], ["."], ["a"], ["!a"], ["'s", "A.", "\u0130)"]])
+def test_blocks_without_runs_or_tails(texts):
+    path = public_tokenizers.path(S.TOKENIZER)
+    plain, got = Tokenizer.from_file(path), S.WordEncoder(path, "<u2").encode(pa.array(texts, pa.string()))
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_coder_checkpoints_and_checksums():
     rng = np.random.default_rng(3)
     ids = np.sort(rng.choice(50_000, 3000, replace=False))
