@@ -43,7 +43,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chainlens.llm.common import doc_key, quantile_cuts, range_number, written
+from chainlens.llm.common import LOWER, doc_key, quantile_cuts, range_number, written
 from chainlens.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -77,24 +77,40 @@ class WordEncoder:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.dtype = without_cache(load_tokenizer(path)), dtype
+        self.bare = self._bare()
         self.apart: dict[str, bool] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
 
+    def _bare(self):
+        """The tokenizer for runs of a to z.  Where its normaliser and
+        pre-tokenizer leave these letters as they are, in one piece, and no
+        added token is made of letters, they are left out: the same model gets
+        the same words."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+        t = self.tokenizer
+        kept = [x for x, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(LOWER))] == [LOWER]
+        if not kept or any(x.content.isalpha() for x in t.get_added_tokens_decoder().values()):
+            return t
+        bare = Tokenizer(t.model)
+        bare.pre_tokenizer = WhitespaceSplit()
+        return bare
+
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces in a row, and their number for each."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         return np.array([i for x in ids for i in x], dtype=self.dtype), np.array([len(x) for x in ids], dtype=np.int64)
 
-    def _runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _runs(self, runs: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
         """The same for runs of letters: as texts of many runs, cut at the ids
         that end a word; if these are not as many, one by one."""
         flat, sizes = [np.zeros(0, dtype=self.dtype)], [np.zeros(0, dtype=np.int64)]
         edges = list(range(0, len(runs), 20_000)) + [len(runs)]
         for i, j in zip(edges, edges[1:]):
             part = runs.slice(i, j - i)
-            ids = np.array(self.tokenizer.encode_batch_fast([_joined(part, " ")], add_special_tokens=False)[0].ids,
+            ids = np.array(tokenizer.encode_batch_fast([_joined(part, " ")], add_special_tokens=False)[0].ids,
                            dtype=self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             size = np.diff(cuts, prepend=0)
@@ -133,15 +149,19 @@ class WordEncoder:
         # The tokenizer lower-cases; doing so here first leaves fewer runs.
         runs = pc.if_else(plain, pc.ascii_lower(runs), runs).dictionary_encode()
         rest = rest.dictionary_encode()
-        letters = runs.dictionary
+        # Those of ASCII letters first.
+        other = pc.invert(pc.string_is_ascii(runs.dictionary)).to_numpy(zero_copy_only=False)
+        order = np.argsort(other, kind="stable")
+        letters, place, n_ascii = runs.dictionary.take(pa.array(order)), np.argsort(order), len(order) - int(other.sum())
         blank = pc.index(letters, "").as_py()  # stands for words that don't begin with a run of letters; -1: none
-        flat, size = self._runs(pc.if_else(pc.equal(letters, ""), "a", letters))
-        more, more_size = self._pieces(rest.dictionary.to_pylist())
-        flat, size = np.concatenate([flat, more]), np.concatenate([size, more_size])
+        letters = pc.if_else(pc.equal(letters, ""), "a", letters)
+        flat, size = (np.concatenate(x) for x in zip(
+            self._runs(letters.slice(0, n_ascii), self.bare), self._runs(letters.slice(n_ascii), self.tokenizer),
+            self._pieces(rest.dictionary.to_pylist())))
         start = np.cumsum(size) - size
         if blank >= 0:
             size[blank] = 0
-        pieces = np.stack([np.asarray(runs.indices), np.asarray(rest.indices) + len(letters)], axis=1)
+        pieces = np.stack([place[np.asarray(runs.indices)], np.asarray(rest.indices) + len(letters)], axis=1)
         del words, runs, rest, letters, plain
         pa.default_memory_pool().release_unused()
         # First the ids of each distinct word, then those of the texts.
@@ -288,14 +308,14 @@ class Coder:
         for s in range(steps - 1, -1, -1):
             r = ranks[s * lanes:(s + 1) * lanes]
             x = state[:len(r)]
-            f = self.freq[r]
+            f = self.freq.take(r)
             full = x >= f << (np.uint64(63) - bits)
             if full.any():
                 words.append((x[full] & np.uint64(0xFFFFFFFF)).astype("<u4"))
                 size += len(words[-1])
                 x = np.where(full, x >> np.uint64(32), x)
             q = x // f
-            state[:len(r)] = (q << bits) + (x - q * f) + self.start[r]
+            state[:len(r)] = (q << bits) + (x - q * f) + self.start.take(r)
             if s % self.step == 0:
                 marks.append((size, state.copy()))
         span = self.step * lanes
@@ -324,16 +344,16 @@ class Coder:
             for j in range(0, len(part), lanes):
                 x = state[:len(part) - j]
                 slot = x & low
-                r = self.slots[slot]
+                r = self.slots.take(slot.view(np.int64)).astype(np.int64)
                 part[j:j + lanes] = r
-                x = self.freq[r] * (x >> bits) + slot - self.start[r]
-                short = x < LOW
-                k = int(np.count_nonzero(short))
+                x = self.freq.take(r) * (x >> bits) + slot - self.start.take(r)
+                short = np.flatnonzero(x < LOW)
+                k = len(short)
                 if k:
                     x[short] = (x[short] << np.uint64(32)) | words[before - k:before]
                     before -= k
                 state[:len(x)] = x
-            ids = self.ids[part]
+            ids = self.ids.take(part)
             if zlib.crc32(ids.astype("<u4").tobytes()) != check:
                 raise ValueError(f"checksum of ids differs at checkpoint {c}")
             out.append(ids)

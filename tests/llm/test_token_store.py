@@ -101,6 +101,34 @@ def test_tokenizer_without_its_cache_is_the_same():
         assert ours.encode(t, add_special_tokens=False).ids == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_ascii_runs_skip_steps_that_keep_them():
+    """Runs of ASCII letters go to a tokenizer of the same model alone, all others to the whole one."""
+    path = public_tokenizers.path(S.TOKENIZER)
+    encoder, plain = S.WordEncoder(path, "<u2"), Tokenizer.from_file(path)
+    assert encoder.bare.normalizer is None and encoder.bare is not encoder.tokenizer
+    rng = random.Random(12)
+    letters = "esthrondlmvIKS" * 9 + "éÉßİΣ한"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) + rng.choice(("", ",", "'s")) for _ in range(300))
+             for _ in range(100)]
+    for t, x in zip(texts, encoder.encode(pa.array(texts))):
+        assert np.frombuffer(x, "<u2").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_ascii_runs_keep_the_steps_of_a_tokenizer_that_changes_them(tmp_path):
+    from tokenizers import Regex, normalizers, pre_tokenizers
+    own = Tokenizer.from_file(public_tokenizers.path(S.TOKENIZER))
+    own.normalizer = normalizers.Sequence([own.normalizer, normalizers.Replace(Regex("q"), "k")])
+    own.save(str(tmp_path / "own.json"))
+    encoder = S.WordEncoder(str(tmp_path / "own.json"), "<u2")
+    assert encoder.bare is encoder.tokenizer
+    added = Tokenizer.from_file(public_tokenizers.path(S.TOKENIZER))
+    added.add_tokens(["uick"])
+    added.save(str(tmp_path / "added.json"))
+    whole = S.WordEncoder(str(tmp_path / "added.json"), "<u2")
+    assert whole.bare is whole.tokenizer
+    assert np.frombuffer(encoder.encode(pa.array(["quick quiet"]))[0], "<u2").tolist() == own.encode("quick quiet").ids
+
+
 @pytest.mark.parametrize("texts", [[], [""], [" ", ""], ["."], ["a"], ["!a"], ["'s", "A.", "\u0130)"]])
 def test_blocks_without_runs_or_tails(texts):
     path = public_tokenizers.path(S.TOKENIZER)
