@@ -5,19 +5,23 @@ any size, on one line or many.  Spark's own JSON reader gives such a document
 to one task.  Here it is cut into its records without parsing it as a whole:
 
 1. The file is read as text whose lines end with ``}``, so Spark splits it at
-   any byte like a file of short lines.  A piece is what lies between two
-   closing braces.
+   any byte like a file of short lines.  A block is the part of a file that one
+   task reads, in its order.  A document that was landed in parts (``parts``,
+   compressed or not) has a part a block instead.
 2. Whether a brace counts depends on whether it stands inside a string, which
-   depends on everything before it.  So each piece gets its transition for
-   both cases: the quotes in it flip the case, and the braces and brackets
-   outside strings change the depth.  Running sums inside a block (the part of
-   a file that one task reads) give each piece its place relative to the
-   block's start, for both cases.
-3. The blocks' totals, one row a block, are composed in file order; that says
-   in which case and at which depth each block starts.
-4. An object that opens at the depth of the envelope's array elements is a
-   record.  A record that is one piece is whole already; the pieces of a
-   longer one are brought together by its number.
+   depends on everything before it.  So a first pass gives for each block what
+   it does to the state if it starts outside a string, inside one, or behind a
+   backslash: the state at its end and the change of depth.
+3. The blocks' totals, one row a block, are composed in their order; that says
+   in which state and at which depth each block starts.
+4. A second pass starts each block from there.  An object that opens at the
+   depth of the envelope's array elements is a record.  A record that lies in
+   one block is whole already; the parts of one over several blocks, at most
+   two a block besides whole ones, are brought together by its number.
+
+Both passes read the text where it lies: only the totals are shuffled, and of
+the text only the records are written.  The blocks' starts (a kilobyte each at
+most) go to every task that reads.
 
 Records come out as JSON lines, which the landed-file reader takes from there,
 so keys that no record has stay absent and unknown keys are kept.
@@ -29,154 +33,71 @@ are no records.  Documents that follow each other in one file are all read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainlens.session import scratch_path
 
-# JSON grammar: the rest of a string, a string, and text without a brace that opens.
-_REST = r'(?:[^"\\]++|\\.)*+"'
-_STRING = '"' + _REST
-_GAP = r'(?:[^"{]++|' + _STRING + ")*+"
 
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(_f, _p, _b, _size, value): the text between closing braces, in the order of the blocks (_f, _b)."""
+    return spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("_f"), F.lit("").alias("_p"), F.col("_metadata.file_block_start").alias("_b"),
+        F.col("_metadata.file_size").alias("_size"), "value")
 
-def _count(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
+def _parts(spark: SparkSession, path: str) -> DataFrame:
+    """(_f, _p, _b, _size, value): the files, each a part of its folder's document."""
+    return spark.read.option("wholetext", True).text(path).select(
+        F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_f"), F.col("_metadata.file_name").alias("_p"),
+        F.lit(0).cast("long").alias("_b"), F.lit(-1).cast("long").alias("_size"), "value")
 
-def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """(_f, _b, _i, _size, value): the text between closing braces; the order is (_f, _b, _i)."""
-    return spark.read.option("lineSep", "}").text(path).select(
-        F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
-        F.monotonically_increasing_id().alias("_i"), F.col("_metadata.file_size").alias("_size"), "value")
-
-
-def _transitions(pieces: DataFrame) -> DataFrame:
-    """Pieces with what they do to the state: _q (1 if they flip "inside a string"), and for a start
-    outside (0) and inside (1) a string the braces opened, the change of depth and of brackets."""
-    bare = F.when(F.col("value").contains("\\"), F.regexp_replace("value", r"(?s)\\.", "")).otherwise(F.col("value"))
-    d = pieces.withColumn("_seg", F.split(bare, '"')).withColumn("_q", (F.size("_seg") - 1) % 2)
-    out = {}
-    for start in (0, 1):
-        text = F.array_join(F.filter("_seg", lambda x, i: i % 2 == start), "")
-        opened = _count(text, "{")
-        out[f"_o{start}"] = opened
-        out[f"_d{start}"] = opened - F.when((F.col("_q") + start) % 2 == 0, 1).otherwise(0)
-        out[f"_k{start}"] = _count(text, "[") - _count(text, "]")
-    return d.withColumns(out).drop("_seg")
-
-
-def _placed(pieces: DataFrame) -> DataFrame:
-    """Pieces with their state relative to the start of their block, if that lies outside (0) or inside (1) a string."""
-    before = Window.partitionBy("_f", "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    d = pieces.withColumn("_p", F.coalesce(F.sum("_q").over(before), F.lit(0)) % 2)
-    for of in ("d", "k"):
-        for start in (0, 1):
-            own = F.when(F.col("_p") == start, F.col(f"_{of}0")).otherwise(F.col(f"_{of}1"))
-            d = d.withColumn(f"_own_{of}{start}", own)
-    return d.withColumns({f"_at_{of}{s}": F.coalesce(F.sum(f"_own_{of}{s}").over(before), F.lit(0))
-                          for of in ("d", "k") for s in (0, 1)})
-
-
-def _block_starts(placed: DataFrame) -> DataFrame:
-    """One row a block: _s (starts inside a string), _depth, _brackets there, and the file's state at its end."""
-    totals = placed.groupBy("_f", "_b").agg(
-        (F.sum("_q") % 2).alias("_flip"), F.max("_size").alias("_size"),
-        F.sum(F.octet_length("value") + 1).alias("_bytes"),
-        *[F.sum(f"_own_{of}{s}").alias(f"_t{of}{s}") for of in ("d", "k") for s in (0, 1)])
-    before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("_f")
-    d = totals.withColumn("_s", F.coalesce(F.sum("_flip").over(before), F.lit(0)) % 2)
-    for of, name in (("d", "_depth"), ("k", "_brackets")):
-        change = F.when(F.col("_s") == 0, F.col(f"_t{of}0")).otherwise(F.col(f"_t{of}1"))
-        d = d.withColumn(f"_c{of}", change)
-        d = d.withColumn(name, F.coalesce(F.sum(f"_c{of}").over(before), F.lit(0)))
-    # The last piece of a file has no brace behind it, unless the file ends with one.
-    tail = F.sum("_bytes").over(whole) - F.col("_size")
-    return d.select("_f", "_b", "_s", "_depth", "_brackets",
-                    ((F.sum("_flip").over(whole) % 2 == 0) & (F.sum("_cd").over(whole) + tail == 0)
-                     & (F.sum("_ck").over(whole) == 0)).alias("_sound"))
-
-
-def _elements(placed: DataFrame, starts: DataFrame, member: str | None) -> DataFrame:
-    """Pieces of elements (objects that open inside an array of the document or of its envelope):
-    _n (running number of the element within its block), _opens, _mine, _whole and their text."""
-    base = 1 if member else 0  # depth of the array that holds the records
-    d = placed.join(starts.drop("_sound"), ["_f", "_b"])
-
-    def at(of: str) -> Column:
-        return F.when(F.col("_s") == 0, F.col(f"_at_{of}0")).otherwise(F.col(f"_at_{of}1"))
-
-    d = d.select("_f", "_b", "_i", "value", "_q", ((F.col("_s") + F.col("_p")) % 2).alias("_in"),
-                 (F.col("_depth") + at("d")).alias("_d"), (F.col("_brackets") + at("k")).alias("_k"), "_o0", "_o1")
-    d = d.withColumn("_o", F.when(F.col("_in") == 0, F.col("_o0")).otherwise(F.col("_o1")))
-    d = d.withColumn("_after", F.col("_d") + F.col("_o") - F.when((F.col("_in") + F.col("_q")) % 2 == 0, 1).otherwise(0))
-    d = d.withColumn("_opens", (F.col("_d") <= base) & (F.col("_d") + F.col("_o") > base))
-    # What stands before the element's brace: at most the envelope's own brace is passed.
-    head = F.lit("")
-    for inside in (0, 1):
-        for passed in range(base + 1):
-            pattern = "(?s)^" + (_REST if inside else "") + _GAP + (r"\{" + _GAP) * passed
-            head = F.when((F.col("_in") == inside) & (base - F.col("_d") == passed),
-                          F.regexp_extract("value", pattern, 0)).otherwise(head)
-    d = d.withColumn("_head", F.when(F.col("_opens"), head))
-    code = F.when(F.col("_in") == 1, F.regexp_replace("_head", "(?s)^" + _REST, "")).otherwise(F.col("_head"))
-    tokens = F.regexp_extract_all(code, F.lit("(?s)" + _STRING + r"|[\[\]:]"), F.lit(0))
-    d = d.withColumn("_t", tokens)
-    change = F.size(F.filter("_t", lambda x: x == "[")) - F.size(F.filter("_t", lambda x: x == "]"))
-    named = F.filter(F.transform("_t", lambda x, i: F.when(
-        (x == "[") & (F.get(F.col("_t"), i - 1) == ":"), F.get(F.col("_t"), i - 2))), lambda x: x.isNotNull())
-    return d.withColumn("_direct", F.col("_opens") & (F.col("_k") + change == 1)).withColumn(
-        "_array", F.when(F.col("_opens"), F.get(named, F.size(named) - 1))).withColumn(
-        "_text", F.when(F.col("_opens"), F.expr("substring(value, length(_head) + 1)")).otherwise(F.col("value"))).withColumn(
-        "_whole", F.col("_opens") & (F.col("_after") == base)).where(F.col("_opens") | (F.col("_d") > base)).select(
-        "_f", "_b", "_i", "_opens", "_direct", "_array", "_whole", "_text")
-
-
-def _numbered(elements: DataFrame) -> DataFrame:
-    """Elements with _n, a number that all pieces of one have in common, and the array's name _in_array."""
-    so_far = Window.partitionBy("_f", "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    d = elements.withColumn("_n", F.sum(F.col("_opens").cast("long")).over(so_far)).withColumn(
-        "_name", F.last("_array", ignorenulls=True).over(so_far))
-    totals = d.groupBy("_f", "_b").agg(F.max("_n").alias("_count"), F.max_by("_name", "_i").alias("_last"))
-    before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select("_f", "_b", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_from"),
-                            F.last("_last", ignorenulls=True).over(before).alias("_carried"))
-    d = d.join(carried, ["_f", "_b"])
-    return d.select("_f", "_b", "_i", "_opens", "_direct", "_whole", "_text", (F.col("_n") + F.col("_from")).alias("_n"),
-                    F.coalesce("_name", "_carried").alias("_in_array"))
-
-
-def _staged(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def envelope_records(spark: SparkSession, path: str, member: str | None = "data") -> DataFrame:
+
+def _reading_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` in which a file is cut into the same blocks each time, though executors come and go."""
+    s = spark.newSession()
+    for key, value in spark.sql("SET").collect():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            s.conf.set(key, value)
+    s.conf.set("spark.sql.files.minPartitionNum", spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.sparkContext.defaultParallelism)
+    return s
+
+
+def _staged(spark: SparkSession, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    path = scratch_path(spark, name)
+    df.write.parquet(path, compression=compression)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def envelope_records(spark: SparkSession, path: str, member: str | None = "data", parts: bool = False) -> DataFrame:
     """(record): the JSON text of each object in the array ``member`` of the documents at ``path``
     (``None``: of an array that is the document itself), on one line.
 
-    A task reads ``spark.sql.files.maxPartitionBytes`` of a file at most and holds the pieces of one
-    record.  The blocks of a file are composed in one place, one row a block."""
-    placed = _staged(_placed(_transitions(_pieces(spark, path))), "envelope_pieces")
-    starts = _staged(_block_starts(placed), "envelope_blocks")
+    ``parts``: the files of a folder are the parts of one document (or of several, one behind the other), cut
+    at any byte, shorter names first and names of one length in their order.  A part may be compressed (by its
+    name's ending); a task holds it whole, so it should be some tens of megabytes, 2 GB at most.  Otherwise a
+    document is a file, not compressed, of which a task reads ``spark.sql.files.maxPartitionBytes`` at most, and
+    holds one record.  The blocks of a document are composed in one place, one row a block."""
+    from chainlens.sources import envelope_scan as E
+    s = _reading_session(spark)
+    pieces = _parts(s, path) if parts else _pieces(s, path).withColumn("value", F.concat("value", F.lit("}")))
+    blocks = pieces.select("_f", "_p", "_b", "_size", F.col("value").cast("binary").alias("_text"))
+    totals = blocks.mapInArrow(E.block_totals, E.TOTALS)
+    starts = _staged(s, totals.groupBy("_f").applyInArrow(E.composer(member), E.STARTS), "envelope_blocks")
     broken = starts.where(~F.col("_sound")).select("_f").first()
     if broken:
         raise ValueError(f"{broken['_f']} ends inside a string, an object or an array")
-    rows = _staged(_numbered(_elements(placed, starts, member)), "envelope_elements")
-    mine = F.col("_direct") if member is None else F.col("_direct") & (F.col("_in_array") == f'"{member}"')
-    single = rows.where(F.col("_whole") & mine).select(F.concat("_text", F.lit("}")).alias("record"))
-    parts = rows.where(~F.col("_whole")).groupBy("_f", "_n").agg(
-        F.max(F.when(F.col("_opens"), mine)).alias("_mine"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_i", "_text"))),
-                                 lambda x: F.concat(x["_text"], F.lit("}"))), "").alias("record"))
-    return single.unionByName(parts.where("_mine").select("record")).select(
-        F.translate("record", "\n\r", "  ").alias("record"))
-
-
-def record_lines(spark: SparkSession, path: str, member: str | None = "data") -> str:
-    """The records of the envelopes at ``path``, written as JSON lines; returns the folder."""
-    out = scratch_path(spark, "envelope_records")
-    envelope_records(spark, path, member).write.text(out)
-    return out
+    # Broadcast, so that the rows of a block stay in their order where they are read.
+    placed = blocks.join(F.broadcast(starts.drop("_sound")), ["_f", "_p", "_b"], "left")
+    rows = _staged(spark, placed.mapInArrow(E.elements(member), E.ELEMENTS), "envelope_elements", "zstd")
+    single = rows.where(F.col("_n").isNull()).select(F.col("_text").cast("string").alias("record"))
+    place = F.struct(F.length("_p").alias("_l"), "_p", "_b", "_n")
+    so_far = Window.partitionBy("_f").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    several = rows.where(F.col("_n").isNotNull()).withColumn("_of", F.sum(F.col("_opens").cast("long")).over(so_far))
+    joined = several.groupBy("_f", "_of").agg(
+        F.max(F.when(F.col("_opens"), F.col("_mine"))).alias("_mine"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("_at"), F.col("_text").cast("string").alias("_t")))),
+                                 lambda x: x["_t"]), "").alias("record"))
+    record = F.col("record")
+    return single.unionByName(joined.where("_mine").select("record")).select(
+        F.when(record.contains("\n") | record.contains("\r"), F.translate(record, "\n\r", "  ")).otherwise(record).alias("record"))

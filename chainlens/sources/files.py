@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from chainlens import schemas
 from chainlens.functions.frames import fact_join
 from chainlens.operators.transforms import enrich_orders, enrich_people, enrich_returns, normalise_doubles
-from chainlens.sources.envelopes import record_lines
+from chainlens.sources.envelopes import envelope_records
 
 
 def _sheet_schema(canonical: T.StructType) -> T.StructType:
@@ -44,13 +44,18 @@ def read_landed(spark: SparkSession, path: str, canonical: T.StructType, fmt: st
     CSV takes one look at the header line; files of one folder must agree on
     it.  JSON takes one pass over the keys, so that a key no record has stays
     an absent column.  Envelopes (``fmt="envelope"``) of any size are cut into
-    their records first."""
-    if fmt == "envelope":
-        path, fmt = record_lines(spark, path), "json"
+    their records first, also if a folder holds the parts of one
+    (``fmt="envelope_parts"``)."""
     if fmt == "csv":
         df = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
-    elif fmt == "json":
-        df = spark.read.option("primitivesAsString", True).option("mode", "FAILFAST").json(path)
+    elif fmt in ("json", "envelope", "envelope_parts"):
+        reader = spark.read.option("primitivesAsString", True).option("mode", "FAILFAST")
+        if fmt == "json":
+            df = reader.json(path)
+        else:
+            lines = envelope_records(spark, path, parts=fmt == "envelope_parts")
+            text = getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+            df = DataFrame(reader._jreader.json(text), spark)
     else:
         df = spark.read.parquet(path)
     return normalise_doubles(_typed(rename_headers(df), canonical))

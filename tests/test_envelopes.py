@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import os
 import random
@@ -145,3 +146,74 @@ def test_null_keys_meet_when_sources_are_combined(spark):
     assert sorted(map(str, (tuple(r) for r in SRC.combine_sources(a, b, ["k", "j"]).collect()))) == sorted(
         map(str, [("x", None, "a"), ("y", 1, "a"), ("x", 1, "b"), (None, None, "b")]))
     assert schemas.ORDERS
+
+
+def cut(rng, path, text, cuts):
+    """The bytes of ``text`` in gzip parts that end anywhere, also within a character, a key or an escape."""
+    data = text.encode()
+    at = [0, *sorted(rng.randrange(len(data) + 1) for _ in range(cuts)), len(data)]
+    os.makedirs(path, exist_ok=True)
+    for k, (a, b) in enumerate(zip(at, at[1:])):
+        with gzip.open(os.path.join(path, f"part-{k:02d}.json.gz"), "wb") as f:  # from 100 on the names are longer
+            f.write(data[a:b])
+
+
+def test_parts_cut_anywhere_are_one_document(spark, tmp_root):
+    rng, want = random.Random(5), []
+    for k in range(4):
+        rows = [{f"c{i}": value(rng) for i in range(rng.randrange(5))} for _ in range(rng.choice([1, 60, 200]))]
+        want += rows
+        cut(rng, os.path.join(tmp_root, f"doc={k}"), json.dumps(document(rng, rows), ensure_ascii=k % 2 == 0, indent=[None, 1][k // 2]), [0, 150, 60, 130][k])
+    assert records(envelope_records(spark, tmp_root, parts=True)) == sorted(json.dumps(r, sort_keys=True) for r in want)
+
+
+@pytest.mark.parametrize("at", range(1, 60, 3))
+def test_scan_of_a_document_cut_in_two_equals_the_whole(at):
+    import pyarrow as pa
+    from chainlens.sources import envelope_scan as E
+    text = '{"x": [{"n": 0}], "d\\"a": [{"n": 1}], "data" : [{"a": "\\\\"}, [{"n": 2}], {"b": "}\\"]é"}], "data}": [{"n": 3}]}'.encode()
+    for place in ([at], [at, at + 1, at + 2]):
+        cuts = [0, *place, len(text)]
+        blocks = [dict(_f="f", _p=f"{k}", _b=0, _size=-1, _text=text[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        schema = pa.schema([("_f", pa.string()), ("_p", pa.string()), ("_b", pa.int64()), ("_size", pa.int64()), ("_text", pa.binary())])
+        totals = pa.Table.from_batches(E.block_totals(pa.Table.from_pylist(blocks, schema).to_batches()))
+        starts = E.composer("data")(totals).to_pylist()
+        assert all(s["_sound"] for s in starts)
+        rows = [{**b, **s} for b, s in zip(blocks, starts)]
+        out = pa.Table.from_batches(E.elements("data")(pa.Table.from_pylist(rows).to_batches())).to_pylist()
+        whole, of, mine = [r["_text"] for r in out if r["_n"] is None], b"", False
+        for r in (r for r in out if r["_n"] is not None):
+            if r["_opens"] and of:
+                whole, of = whole + [of] * mine, b""
+            mine = r["_mine"] if r["_opens"] else mine
+            of += r["_text"]
+        whole += [of] * (mine and bool(of))
+        assert sorted(json.loads(w).popitem() for w in whole) == [("a", "\\"), ("b", '}"]é')]
+
+
+@pytest.mark.parametrize("text", ['{"data": [{"a": 1}', '{"data": [{"a": "}]}', '{"data": [{"a": "x\\'])
+def test_broken_parts_fail(spark, tmp_root, text):
+    cut(random.Random(1), os.path.join(tmp_root, "d"), text, 3)
+    with pytest.raises(ValueError, match="ends inside"):
+        envelope_records(spark, os.path.join(tmp_root, "d"), parts=True).collect()
+
+
+def test_a_key_with_a_brace_ends_the_array_before_it(small_chunks, tmp_root):
+    write(tmp_root, "a.json", json.dumps({"data": [{"a": 1}], "x}y": [{"n": 1}], "z": [{"n": 2}]}))
+    for n in (7, 4096):
+        assert records(envelope_records(small_chunks(n), tmp_root)) == ['{"a": 1}']
+
+
+def test_landed_envelopes_take_less_disk_than_their_text(spark, monkeypatch):
+    """What the registered query leaves on disk: the landed parts and the records once, both compressed."""
+    from chainlens import queries
+    from chainlens.sources import envelopes
+    folders = []
+    keep = lambda s, name: folders.append(scratch_path(s, name)) or folders[-1]
+    monkeypatch.setattr(queries, "scratch_path", keep), monkeypatch.setattr(envelopes, "scratch_path", keep)
+    monkeypatch.setattr(queries, "PART_ROWS", 100)
+    rows = queries.QUERIES["orders_from_large_envelopes"](spark, "/root/testdata/sf0.001").collect()
+    records_ = [json.dumps({k: str(v) for k, v in r.asDict().items() if k not in ("lead_time_days", "order_value")}) for r in rows]
+    files = [os.path.join(d, f) for p in folders for d, _, names in os.walk(p) for f in names]
+    assert len(rows) == 6000 and sum(map(os.path.getsize, files)) < sum(map(len, records_))
+    assert len([f for f in files if "/doc=" in f and f.endswith(".gz")]) >= 60
