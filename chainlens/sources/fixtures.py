@@ -51,6 +51,11 @@ TPCH_SCHEMAS = {
 }
 
 
+# Columns of order lines and returns that come from the customer and part tables.
+FROM_CUSTOMER = ["country", "region"]
+FROM_PART = ["category", "profit"]
+
+
 class Raw:
     """Lazily scanned source tables of one scale factor (one reader per table)."""
 
@@ -79,22 +84,33 @@ def _geo(r: Raw) -> DataFrame:
     return nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name")
 
 
-def _order_heads(r: Raw) -> DataFrame:
+def _unique(df: DataFrame, key: str) -> bool:
+    """No two rows with one key: a LEFT JOIN to ``df`` keeps the number of rows."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty()
+
+
+def _order_heads(r: Raw, geography: bool = True) -> DataFrame:
     """orders x customer x geography: one row per order (4x fewer rows than
-    lineitem, so the customer join runs before the big lineitem join)."""
+    lineitem, so the customer join runs before the big lineitem join).
+    Without ``geography`` its columns are NULL."""
     cust = r.table("customer").select("c_custkey", "c_nationkey")
     cust = cust.join(_geo(r), cust.c_nationkey == F.col("n_nationkey"), "left").select("c_custkey", "n_name", "r_name")
     orders = r.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    if not geography and _unique(cust, "c_custkey"):
+        return orders.selectExpr("*", "CAST(NULL AS STRING) AS n_name", "CAST(NULL AS STRING) AS r_name")
     return fact_join(orders, cust, orders.o_custkey == cust.c_custkey, "left").select(
         "o_orderkey", "o_custkey", "o_orderdate", "n_name", "r_name")
 
 
 def _lines(r: Raw, returned_only: bool = False, lineitem: DataFrame | None = None,
-           skew_share: float | None = None) -> DataFrame:
+           skew_share: float | None = None, columns: list[str] | None = None) -> DataFrame:
     """Order lines; ``lineitem`` may be a STREAM of lineitem rows, which is
     then joined to the static order / customer / part tables (stream-static
     join, evaluated per micro-batch).
 
+    ``columns``: those that the caller takes.  A table that gives none of them
+    is not joined, unless a key that it has twice makes the join repeat rows.
+
     ``skew_share``: order keys holding at least this share of all lines are
     detected first and spread over several tasks by a salted join."""
     src = lineitem if lineitem is not None else r.table("lineitem")
@@ -104,7 +120,8 @@ def _lines(r: Raw, returned_only: bool = False, lineitem: DataFrame | None = Non
     if returned_only:
         li = li.where(F.col("l_returnflag") == "R")
     part = r.table("part").select("p_partkey", "p_type", "p_size", "p_retailprice")
-    heads = _order_heads(r)
+    taken = set(columns or FROM_CUSTOMER + FROM_PART)
+    heads = _order_heads(r, geography=not taken.isdisjoint(FROM_CUSTOMER))
     if skew_share and not src.isStreaming:
         hot = hot_keys(li, ["l_orderkey"], skew_share)
         joined = salted_join(li, heads, [("l_orderkey", "o_orderkey")], "left", hot=hot)
@@ -112,7 +129,9 @@ def _lines(r: Raw, returned_only: bool = False, lineitem: DataFrame | None = Non
         joined = li.join(heads, li.l_orderkey == heads.o_orderkey, "left")
     else:
         joined = fact_join(li, heads, li.l_orderkey == heads.o_orderkey, "left")
-    if src.isStreaming:
+    if taken.isdisjoint(FROM_PART) and _unique(part, "p_partkey"):
+        joined = joined.selectExpr("*", *[f"CAST(NULL AS {part.schema[c].dataType.simpleString()}) AS {c}" for c in part.columns])
+    elif src.isStreaming:
         joined = joined.join(part, joined.l_partkey == part.p_partkey, "left")
     else:
         joined = dim_join(joined, part, [("l_partkey", "p_partkey")], skew_share)
@@ -135,22 +154,27 @@ def _lines(r: Raw, returned_only: bool = False, lineitem: DataFrame | None = Non
     )
 
 
-def order_lines(r: Raw, lineitem: DataFrame | None = None, skew_share: float | None = None) -> DataFrame:
+def order_lines(r: Raw, lineitem: DataFrame | None = None, skew_share: float | None = None,
+                columns: list[str] | None = None) -> DataFrame:
     """Canonical order lines with the ingest-derived columns (a stream when
-    ``lineitem`` is a stream; hot order keys salted when ``skew_share``)."""
-    return enrich_orders(_lines(r, lineitem=lineitem, skew_share=skew_share))
+    ``lineitem`` is a stream; hot order keys salted when ``skew_share``), or
+    only ``columns`` of them."""
+    lines = enrich_orders(_lines(r, lineitem=lineitem, skew_share=skew_share, columns=columns))
+    return lines.select(*columns) if columns else lines
 
 
-def returns(r: Raw, skew_share: float | None = None, lineitem: DataFrame | None = None) -> DataFrame:
+def returns(r: Raw, skew_share: float | None = None, lineitem: DataFrame | None = None,
+            columns: list[str] | None = None) -> DataFrame:
     """Returned lines; return date = order date; stable return id from the
     natural line key (order, part, supplier, line number, ship day).  A stream
-    when ``lineitem`` is one."""
-    lines = _lines(r, returned_only=True, lineitem=lineitem, skew_share=skew_share)
-    return lines.select(
+    when ``lineitem`` is one.  ``columns``: only these."""
+    lines = _lines(r, returned_only=True, lineitem=lineitem, skew_share=skew_share, columns=columns)
+    found = lines.select(
         F.col("order_date").alias("return_date"),
         "order_id", "customer_id", "product_id", "category", "region",
         C.stable_id("RET_", "order_id", "product_id", "supplier_id", "line_number", "ship_date").alias("return_id"),
     )
+    return found.select(*columns) if columns else found
 
 
 def people(r: Raw) -> DataFrame:

@@ -39,6 +39,8 @@ WINDOW_DAYS = 30
 DELAY_DAYS = 2
 BATCH_ROWS = 2_000_000  # lines of a backlog that a micro-batch takes, or more where the state's days hold more
 BATCH_FILES = 8         # files of a side that a micro-batch takes
+CODEC = "zstd"          # of landed rows, state and result
+KEPT_BATCHES = 5        # micro-batches whose state the checkpoint keeps at least, to go on from
 
 
 def _at(day: str):
@@ -89,7 +91,7 @@ def land(rows: DataFrame, day: str, path: str, files: int) -> None:
     file system keeps no times that are set, the files are written one after the other instead.  A side never
     goes back in its days by that, so no row of a backlog is late, however far one side is ahead."""
     spark = rows.sparkSession
-    rows.repartitionByRange(files, day, "order_id").write.parquet(path)
+    rows.repartitionByRange(files, day, "order_id").write.parquet(path, compression=CODEC)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -106,7 +108,8 @@ def land(rows: DataFrame, day: str, path: str, files: int) -> None:
         whole = folder.suffix("-unordered")
         fs.rename(folder, whole)
         for f in listed(whole):
-            spark.read.schema(rows.schema).parquet(f.getPath().toString()).coalesce(1).write.mode("append").parquet(path)
+            spark.read.schema(rows.schema).parquet(f.getPath().toString()).coalesce(1).write.mode("append").parquet(
+                path, compression=CODEC)
             time.sleep(1)  # the next file's time is another one
 
 
@@ -117,7 +120,7 @@ def backlog_stream(spark: SparkSession, schema, path: str, files: int = BATCH_FI
 
 def write_stream(joined: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append the joined rows to Parquet files, each exactly once."""
-    return (joined.writeStream.format("parquet").outputMode("append").option("path", out)
+    return (joined.writeStream.format("parquet").outputMode("append").option("path", out).option("compression", CODEC)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
@@ -130,10 +133,12 @@ def batch_result(spark: SparkSession, sf_dir: str, state_partitions: int | None
     days = t.raw.table("orders").agg(F.datediff(F.max("o_orderdate"), F.min("o_orderdate"))).first()[0]
     batches = backlog_batches(t.raw.table("lineitem").count(), days or 0)
     base = scratch_path(spark, "stream_orders_with_returns")
-    sides = {"orders": (t.orders.select("order_id", "line_number", "product_id", "supplier_id", "order_date", "ship_date", "sales"),
-                        "order_date"),
-             "returns": (t.returns.select("order_id", "return_id", "return_date"), "return_date")}
+    sides = {"orders": (FX.order_lines(t.raw, columns=["order_id", "line_number", "product_id", "supplier_id", "order_date",
+                                                       "ship_date", "sales"]), "order_date"),
+             "returns": (FX.returns(t.raw, columns=["order_id", "return_id", "return_date"]), "return_date")}
     s = stream_session(spark, state_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    s.conf.set("spark.sql.streaming.stateStore.compression.codec", CODEC)
+    s.conf.set("spark.sql.streaming.minBatchesToRetain", KEPT_BATCHES)
     streams, tables = {}, {}
     for name, (rows, day) in sides.items():
         path = os.path.join(base, name)

@@ -120,3 +120,47 @@ def test_the_registered_backlog_goes_in_several_batches(spark, monkeypatch):
     got = R.batch_result(spark, "/root/testdata/sf0.001", state_partitions=2).count()
     peak = max(s["numRowsTotal"] for p in seen[0].recentProgress for s in p["stateOperators"])
     assert got > 6000 and peak < 4000  # all 8,000 rows of both sides when they came in one batch
+
+
+def test_lines_without_a_table_that_gives_nothing(spark, tmp_root):
+    """Tables of which no column is taken are not joined, unless their keys repeat."""
+    import shutil
+    from chainlens.sources import fixtures as FX
+    shutil.copytree("/root/testdata/sf0.001", tmp_root)
+    lines, back = ["order_id", "line_number", "product_id", "customer_id", "state", "order_date", "sales", "order_value"], ["order_id", "return_id", "return_date"]
+    scans = lambda df, name: f"{name}.parquet" in df._jdf.queryExecution().optimizedPlan().toString() + str(df.inputFiles())
+
+    def same():
+        t = FX.tables(spark, tmp_root)
+        for got, whole, cols in ((FX.order_lines(t.raw, columns=lines), t.orders, lines), (FX.returns(t.raw, columns=back), t.returns, back)):
+            assert got.schema.simpleString() == whole.select(cols).schema.simpleString()
+            assert sorted(map(str, got.collect())) == sorted(map(str, whole.select(cols).collect()))
+        return FX.order_lines(t.raw, columns=lines)
+
+    plain = same()
+    assert not scans(plain, "part") and not scans(plain, "customer") and scans(plain, "orders")
+    t = FX.tables(spark, tmp_root)
+    both = FX.order_lines(t.raw, columns=["order_id", "category", "country"])
+    assert scans(both, "part") and scans(both, "customer")
+    n = plain.count()
+    for name, key in (("part", "p_partkey"), ("customer", "c_custkey")):  # a key twice, and two without one
+        df = spark.read.parquet(f"{tmp_root}/{name}.parquet")
+        df.union(df.orderBy(key).limit(1)).union(df.limit(2).withColumn(key, F.lit(None).cast("long"))).write.parquet(f"{tmp_root}/{name}2")
+        shutil.move(f"{tmp_root}/{name}.parquet", f"{tmp_root}/{name}1")
+        shutil.move(f"{tmp_root}/{name}2", f"{tmp_root}/{name}.parquet")
+        n, before = same().count(), n
+        assert n > before and scans(same(), name)
+
+
+def test_files_of_a_backlog_are_zstd_and_old_state_goes(spark, monkeypatch):
+    import pyarrow.parquet as pq
+    bases, sessions = [], []
+    monkeypatch.setattr(R, "scratch_path", lambda s, n, _f=R.scratch_path: bases.append(_f(s, n)) or bases[-1])
+    monkeypatch.setattr(R, "stream_session", lambda *a, _f=R.stream_session: sessions.append(_f(*a)) or sessions[-1])
+    assert R.batch_result(spark, "/root/testdata/sf0.001", state_partitions=2).count() > 6000
+    for side in ("orders", "returns", "out"):
+        files = [os.path.join(bases[0], side, f) for f in os.listdir(os.path.join(bases[0], side)) if f.endswith(".parquet")]
+        assert {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files if pq.ParquetFile(f).metadata.num_rows} == {"ZSTD"}
+    assert sessions[0].conf.get("spark.sql.streaming.stateStore.compression.codec") == "zstd"
+    assert int(sessions[0].conf.get("spark.sql.streaming.minBatchesToRetain")) == R.KEPT_BATCHES
+    assert spark.conf.get("spark.sql.streaming.stateStore.compression.codec") == "lz4"
