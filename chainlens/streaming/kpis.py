@@ -138,28 +138,58 @@ def _merge_batch(batch: DataFrame, batch_id: int, table: str, partition_col: str
         return
     content["schema"] = batch.schema.json()
     folder = log.folder("run")
-    rows = _latest(batch, key, order_by)
+    runs = [folder]
     if not content["runs"]:
-        (rows.hint("rebalance", partition_col).write.partitionBy(partition_col).parquet(f"{folder}/data"))
-        own = spark.read.schema(batch.schema).parquet(f"{folder}/data")
-        own.select(F.col(partition_col).alias("_p")).distinct().coalesce(1).write.parquet(f"{folder}/parts")
+        # Written once in the order of its partitions; only rows whose key repeats go through a shuffle by the key.
+        _write_run(batch, folder, partition_col)
+        own = spark.read.schema(batch.schema).parquet(f"{folder}/data").select(*batch.columns)
+        _write_parts(own, folder, partition_col)
+        runs += _without_repeats(own, log, folder, partition_col, key, order_by)
     else:
-        rows.write.parquet(f"{folder}/incoming")  # read several times below
+        _latest(batch, key, order_by).write.parquet(f"{folder}/incoming")  # read several times below
         rows = spark.read.schema(batch.schema).parquet(f"{folder}/incoming")
         stored = _live(spark, table, content)
         where = _null_safe(stored.select(*dict.fromkeys([*key, partition_col])), rows.select(*key), key, "left_semi")
-        touched = rows.select(partition_col).unionByName(where.select(partition_col)).distinct()
-        touched.select(F.col(partition_col).alias("_p")).coalesce(1).write.parquet(f"{folder}/parts")
-        touched = spark.read.parquet(f"{folder}/parts").select(F.col("_p").cast(batch.schema[partition_col].dataType).alias(partition_col))
+        touched = _write_parts(rows.select(partition_col).unionByName(where.select(partition_col)), folder, partition_col)
         kept = _null_safe(_null_safe(stored, touched, [partition_col], "left_semi"), rows.select(*key), key, "left_anti")
-        (kept.unionByName(rows).hint("rebalance", partition_col).write.partitionBy(partition_col).parquet(f"{folder}/data"))
+        _write_run(kept.unionByName(rows), folder, partition_col)
     content["batch"] = batch_id
-    content["runs"] = content["runs"] + [{"folder": folder.rsplit("/", 1)[1], "level": 0}]
+    content["runs"] = content["runs"] + [{"folder": f.rsplit("/", 1)[1], "level": 0} for f in runs]
     version = log.publish(content, version)
     _compact(log, version, content, fanout)
     log.expire(min_age_s=min_age_s)
 
 
+def _write_run(rows: DataFrame, folder: str, partition_col: str) -> None:
+    rows.hint("rebalance", partition_col).write.partitionBy(partition_col).parquet(f"{folder}/data", compression="zstd")
+
+
+def _write_parts(rows: DataFrame, folder: str, partition_col: str) -> DataFrame:
+    """List the partitions of ``rows`` as those that the run replaces; returns them."""
+    rows.select(F.col(partition_col).alias("_p")).distinct().coalesce(1).write.parquet(f"{folder}/parts")
+    return rows.sparkSession.read.parquet(f"{folder}/parts").select(
+        F.col("_p").cast(rows.schema[partition_col].dataType).alias(partition_col))
+
+
+def _without_repeats(rows: DataFrame, log: Snapshots, folder: str, partition_col: str, key: list[str],
+                     order_by: list[str] | None) -> list[str]:
+    """Where a key repeats in ``rows``, a run in which the partitions of such rows hold the latest of each key only.
+
+    Of all rows only a hash of the key is shuffled.  Keys that have it by chance are compared as a whole with the others."""
+    hashed = rows.withColumn("_hash", F.xxhash64(*key))
+    counted = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
+    counted.write.parquet(f"{folder}/repeated")
+    repeated = rows.sparkSession.read.schema("_hash long").parquet(f"{folder}/repeated")
+    if repeated.isEmpty():
+        return []
+    again = hashed.join(repeated, "_hash", "left_semi").drop("_hash")
+    fixed = log.folder("run")
+    touched = _write_parts(again.select(partition_col), fixed, partition_col)
+    kept = _null_safe(hashed, touched, [partition_col], "left_semi").join(repeated, "_hash", "left_anti").drop("_hash")
+    _write_run(kept.unionByName(_latest(again, key, order_by)), fixed, partition_col)
+    return [fixed]
+
+
 def _compact(log: Snapshots, version: int, content: dict, fanout: int) -> None:
     """While the last ``fanout`` runs are of one level, make one run of the next level of them."""
     while len(content["runs"]) >= fanout and len({r["level"] for r in content["runs"][-fanout:]}) == 1:
@@ -168,7 +198,7 @@ def _compact(log: Snapshots, version: int, content: dict, fanout: int) -> None:
         _, parts = _runs(log.spark, log.path, content, last)
         parts.select("_p").distinct().coalesce(1).write.parquet(f"{folder}/parts")
         part = content["partition"]
-        (_live(log.spark, log.path, content, last).hint("rebalance", part).write.partitionBy(part).parquet(f"{folder}/data"))
+        _write_run(_live(log.spark, log.path, content, last), folder, part)
         content["runs"] = before + [{"folder": folder.rsplit("/", 1)[1], "level": last[0]["level"] + 1}]
         version = log.publish(content, version)
 

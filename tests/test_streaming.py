@@ -206,3 +206,22 @@ def test_the_key_is_shuffled_once_for_the_latest_row(spark):
     assert sorted(map(tuple, kpis._latest(df.select("n").where("n = 1"), ["n"]).collect())) == [(1,)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"struct\([^)]*\b[kn]#", plan), plan
+
+
+def test_only_rows_whose_key_repeats_are_shuffled_by_it(spark, tmp_root, monkeypatch):
+    """The first batch is written once in the order of its partitions; of all rows only a hash of the key is shuffled."""
+    seen, ddl = [], "k int, month string, v string"
+    monkeypatch.setattr(kpis, "_latest", lambda batch, *a, _f=kpis._latest: seen.append(batch.count()) or _f(batch, *a))
+    plain = spark.range(3000).selectExpr("cast(id as int) as k", "if(id % 7 = 0, null, concat('m', id % 3)) as month", "'a' as v")
+    kpis._merge_batch(plain, 0, os.path.join(tmp_root, "plain"), "month", ["k"])
+    assert not seen and _state(spark, os.path.join(tmp_root, "plain")) == sorted(map(tuple, plain.select("k", "month", "v").collect()), key=str)
+    more = spark.createDataFrame([(5, "m9", "z"), (6, "m0", "b"), (6, None, "c"), (7, None, "A"), (None, "m1", "x"), (None, "m4", "y")], ddl)
+    kpis._merge_batch(plain.union(more).repartition(5), 0, os.path.join(tmp_root, "more"), "month", ["k"])
+    want = {r[0]: r for r in plain.select("k", "month", "v").collect()}
+    # the greatest by all other columns, month first; a NULL is the least
+    want |= {5: (5, "m9", "z"), 6: (6, "m0", "b"), 7: (7, None, "a"), None: (None, "m4", "y")}
+    assert _state(spark, os.path.join(tmp_root, "more")) == sorted(map(tuple, want.values()), key=str)
+    assert sum(seen) == 9  # two rows of 5, three of 6, two of 7, two without a key
+    kpis._merge_batch(spark.createDataFrame([(6, "m2", "w")], ddl), 1, os.path.join(tmp_root, "more"), "month", ["k"])
+    want[6] = (6, "m2", "w")
+    assert _state(spark, os.path.join(tmp_root, "more")) == sorted(map(tuple, want.values()), key=str)
