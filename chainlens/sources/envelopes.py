@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chainlens.session import scratch_path
+from chainlens.session import scratch_path, twin_session
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -54,13 +54,9 @@ def _parts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _reading_session(spark: SparkSession) -> SparkSession:
-    """A session with the settings of ``spark`` in which a file is cut into the same blocks each time, though executors come and go."""
-    s = spark.newSession()
-    for key, value in spark.sql("SET").collect():
-        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
-            s.conf.set(key, value)
-    s.conf.set("spark.sql.files.minPartitionNum", spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.sparkContext.defaultParallelism)
-    return s
+    """A session in which a file is cut into the same blocks each time, though executors come and go."""
+    least = "spark.sql.files.minPartitionNum"
+    return twin_session(spark, **{least: spark.conf.get(least, None) or str(spark.sparkContext.defaultParallelism)})
 
 
 def _staged(spark: SparkSession, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:

@@ -103,7 +103,8 @@ def _order_heads(r: Raw, geography: bool = True) -> DataFrame:
 
 
 def _lines(r: Raw, returned_only: bool = False, lineitem: DataFrame | None = None,
-           skew_share: float | None = None, columns: list[str] | None = None) -> DataFrame:
+           skew_share: float | None = None, columns: list[str] | None = None,
+           deal: tuple[str, int] | None = None) -> DataFrame:
     """Order lines; ``lineitem`` may be a STREAM of lineitem rows, which is
     then joined to the static order / customer / part tables (stream-static
     join, evaluated per micro-batch).
@@ -111,6 +112,10 @@ def _lines(r: Raw, returned_only: bool = False, lineitem: DataFrame | None = Non
     ``columns``: those that the caller takes.  A table that gives none of them
     is not joined, unless a key that it has twice makes the join repeat rows.
 
+    ``deal``: a column's name and a number ``n``.  The column deals the orders
+    out into ``n`` parts, by which the lines are partitioned; they meet their
+    order there, so what works by that column shuffles them no more.
+
     ``skew_share``: order keys holding at least this share of all lines are
     detected first and spread over several tasks by a salted join."""
     src = lineitem if lineitem is not None else r.table("lineitem")
@@ -122,19 +127,27 @@ def _lines(r: Raw, returned_only: bool = False, lineitem: DataFrame | None = Non
     part = r.table("part").select("p_partkey", "p_type", "p_size", "p_retailprice")
     taken = set(columns or FROM_CUSTOMER + FROM_PART)
     heads = _order_heads(r, geography=not taken.isdisjoint(FROM_CUSTOMER))
-    if skew_share and not src.isStreaming:
+    no_part = taken.isdisjoint(FROM_PART) and _unique(part, "p_partkey")
+
+    def with_part(lines: DataFrame) -> DataFrame:
+        if no_part:
+            return lines.selectExpr("*", *[f"CAST(NULL AS {part.schema[c].dataType.simpleString()}) AS {c}" for c in part.columns])
+        if src.isStreaming:
+            return lines.join(part, lines.l_partkey == part.p_partkey, "left")
+        return dim_join(lines, part, [("l_partkey", "p_partkey")], skew_share)
+
+    if deal:
+        name, n = deal
+        li = with_part(li).withColumn(name, _dealt("l_orderkey", n)).repartition(n, name)
+        heads = heads.withColumn("_dealt", _dealt("o_orderkey", n)).repartition(n, "_dealt")
+        joined = fact_join(li, heads, (li[name] == heads._dealt) & (li.l_orderkey == heads.o_orderkey), "left")
+    elif skew_share and not src.isStreaming:
         hot = hot_keys(li, ["l_orderkey"], skew_share)
-        joined = salted_join(li, heads, [("l_orderkey", "o_orderkey")], "left", hot=hot)
-    elif src.isStreaming:
-        joined = li.join(heads, li.l_orderkey == heads.o_orderkey, "left")
-    else:
-        joined = fact_join(li, heads, li.l_orderkey == heads.o_orderkey, "left")
-    if taken.isdisjoint(FROM_PART) and _unique(part, "p_partkey"):
-        joined = joined.selectExpr("*", *[f"CAST(NULL AS {part.schema[c].dataType.simpleString()}) AS {c}" for c in part.columns])
+        joined = with_part(salted_join(li, heads, [("l_orderkey", "o_orderkey")], "left", hot=hot))
     elif src.isStreaming:
-        joined = joined.join(part, joined.l_partkey == part.p_partkey, "left")
+        joined = with_part(li.join(heads, li.l_orderkey == heads.o_orderkey, "left"))
     else:
-        joined = dim_join(joined, part, [("l_partkey", "p_partkey")], skew_share)
+        joined = with_part(fact_join(li, heads, li.l_orderkey == heads.o_orderkey, "left"))
     return joined.selectExpr(
         "CAST(l_orderkey AS STRING) AS order_id",
         "CAST(o_orderdate AS DATE) AS order_date",
@@ -150,16 +163,22 @@ def _lines(r: Raw, returned_only: bool = False, lineitem: DataFrame | None = Non
         "l_discount AS discount",
         "n_name AS country",
         "IF(o_custkey % 7 = 0, NULL, concat('ST', o_custkey % 5)) AS state",
-        "r_name AS region",
+        "r_name AS region", *([deal[0]] if deal else []),
     )
 
 
+def _dealt(key: str, n: int):
+    """The part in 0 .. n - 1 of an order, by its id as text."""
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n))
+
+
 def order_lines(r: Raw, lineitem: DataFrame | None = None, skew_share: float | None = None,
-                columns: list[str] | None = None) -> DataFrame:
+                columns: list[str] | None = None, deal: tuple[str, int] | None = None) -> DataFrame:
     """Canonical order lines with the ingest-derived columns (a stream when
     ``lineitem`` is a stream; hot order keys salted when ``skew_share``), or
-    only ``columns`` of them."""
-    lines = enrich_orders(_lines(r, lineitem=lineitem, skew_share=skew_share, columns=columns))
+    only ``columns`` of them.  ``deal=("doc", n)``: partitioned by a further
+    column ``doc`` that deals the orders out into ``n`` parts."""
+    lines = enrich_orders(_lines(r, lineitem=lineitem, skew_share=skew_share, columns=columns, deal=deal))
     return lines.select(*columns) if columns else lines
 
 

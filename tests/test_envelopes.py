@@ -217,3 +217,21 @@ def test_landed_envelopes_take_less_disk_than_their_text(spark, monkeypatch):
     files = [os.path.join(d, f) for p in folders for d, _, names in os.walk(p) for f in names]
     assert len(rows) == 6000 and sum(map(os.path.getsize, files)) < sum(map(len, records_))
     assert len([f for f in files if "/doc=" in f and f.endswith(".gz")]) >= 60
+
+
+def test_landed_lines_meet_their_order_where_their_document_is_written(spark, monkeypatch):
+    """The lines are shuffled by document once: the window that closes the documents adds no shuffle to the join."""
+    from pyspark.sql import DataFrameWriter
+    from chainlens import queries
+    from chainlens.sources import fixtures as FX
+    plans = []
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, *a, _f=DataFrameWriter.text, **k: plans.append(
+        self._df._jdf.queryExecution().executedPlan().toString()) or _f(self, *a, **k))
+    got = queries.QUERIES["orders_from_large_envelopes"](spark, "/root/testdata/sf0.001")
+    above = plans[0][plans[0].index("Window"):plans[0].index("SortMergeJoin")]
+    assert "Exchange" not in above and got.count() == 6000
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    t = FX.tables(spark, "/root/testdata/sf0.001")
+    dealt = FX.order_lines(t.raw, deal=("doc", 5))
+    assert sorted(map(str, dealt.drop("doc").collect())) == sorted(map(str, t.orders.collect()))
+    assert dealt.where("doc <> pmod(xxhash64(order_id), 5)").isEmpty()
